@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, token_blocks, warc
+from . import ann, licenses, maxscore, mixing, near_dup, pieces, token_blocks, toxicity, warc
 
 #: Seed of the seeded order of the mix.
 MIX_SEED = 17
@@ -23,16 +23,42 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_blocks.write_token_files(_table(spark, sf_dir, "documents"), byte_bpe)
     return token_blocks.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_bundles(_table(spark, sf_dir, "pages"))
     return warc.read_bundles(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _every_hundredth(identifier: Column) -> Column:
+    return identifier % 100 == 0
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), _every_hundredth)
+
+
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(_table(spark, sf_dir, "embeddings"), _every_hundredth)
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_table(spark, sf_dir, "documents"), piece_model())
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licenses.scan(_table(spark, sf_dir, "documents"))
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -44,8 +70,15 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), F.col("mx_taken").alias("taken"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    rows = toxicity.scores(docs, model)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op3_warc, op8_license_scan, op9_mix)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
