@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, maxscore, mixing, near_dup, pieces, token_blocks, toxicity, warc
+from . import ann, html_blocks, licenses, maxscore, mixing, near_dup, pieces, token_blocks, toxicity, warc
 
 #: Seed of the seeded order of the mix.
 MIX_SEED = 17
@@ -51,6 +51,10 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), _every_hundredth)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(_table(spark, sf_dir, "embeddings"), _every_hundredth)
 
@@ -78,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op5_main_text, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
