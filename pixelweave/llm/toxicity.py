@@ -14,13 +14,13 @@ from . import common, textbytes
 
 #: Bounds of the labelled sample that the model is fitted on: rows of each label, and bytes of a text.
 SAMPLE_ROWS = 2000
-SAMPLE_TEXT_BYTES = 1 << 18
+SAMPLE_TEXT_BYTES = 1 << 15
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS = 4
-ROUNDS = 80
+ROUNDS = 64
 #: Of training: step length, and rows of the sample in which a subword must occur.
-RATE, LEAST_ROWS = 2.0, 4
+RATE, LEAST_ROWS, PADDING = 4.0, 5, 20.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,7 +53,11 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 @dataclass
 class Model:
-    """Both classes' scores of a text are linear in the mean, over its distinct words, of means of subword vectors."""
+    """Both classes' scores of a text are linear in the mean, over its words, of means of subword vectors.
+
+    A word that occurs n times counts log2(1 + n) times, so that a run of one word doesn't fill the mean, and PADDING neutral words
+    are added, so that very short texts stay near the bias.
+    """
 
     weight: np.ndarray  #: of each subword bucket: its embedding times the difference of the classes' rows of the softmax
     bias: float
@@ -67,9 +71,9 @@ class Model:
             _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
             part, bucket = subwords(data, starts[first], ends[first])
             each = np.bincount(part, self.weight[bucket]) / np.bincount(part)
-            pairs = np.unique(rows * len(first) + word)
-            rows, word = pairs // len(first), pairs % len(first)
-            z += np.bincount(rows, each[word], minlength=n) / np.maximum(np.bincount(rows, minlength=n), 1)
+            pairs, count = np.unique(rows * len(first) + word, return_counts=True)
+            rows, word, count = pairs // len(first), pairs % len(first), np.log2(1 + count)
+            z += np.bincount(rows, each[word] * count, minlength=n) / (np.bincount(rows, count, minlength=n) + PADDING)
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
@@ -111,9 +115,13 @@ def _features(texts: list[bytes]) -> tuple[_Rows, _Rows, np.ndarray] | None:
     _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
     part, bucket = subwords(data, starts[first], ends[first])
     n, v = len(texts), len(first)
-    pair = np.unique(doc * v + word)
-    in_doc = _Rows(pair // v, pair % v, 1 / np.bincount(pair // v, minlength=n)[pair // v], n, v)
-    return in_doc, _Rows(part, bucket, 1 / np.bincount(part, minlength=v)[part], v, BUCKETS), _rows_with(pair // v, pair % v, part, bucket)
+    pair, count = np.unique(doc * v + word, return_counts=True)
+    count = np.log2(1 + count)
+    in_doc = _Rows(pair // v, pair % v, count / (np.bincount(pair // v, count, minlength=n) + PADDING)[pair // v], n, v)
+    rows_with = _rows_with(pair // v, pair % v, part, bucket)
+    share = 1 / np.bincount(part, minlength=v)[part]
+    keep = rows_with[bucket] >= LEAST_ROWS  # the others' vectors stay zero
+    return in_doc, _Rows(part[keep], bucket[keep], share[keep], v, BUCKETS), rows_with
 
 
 def _rows_with(doc: np.ndarray, word: np.ndarray, part: np.ndarray, bucket: np.ndarray, at_once: int = 100_000) -> np.ndarray:
