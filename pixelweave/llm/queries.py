@@ -85,5 +85,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op5_main_text, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity)}
 
 
+#: The ten highest integer inner products by comparing every query with every row.
+MAXSCORE_SQL = """
+WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(q.w, d.w) AS BIGINT) AS score FROM w q JOIN w d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+#: Water-filling by sorted caps, and the seeded order cut in two levels of cells.
+MIX_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+e AS (SELECT doc_id, source, size, CAST('0x' || substr(h, 1, 3) AS INT) AS cell, CAST('0x' || substr(h, 4, 3) AS INT) AS part FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM e GROUP BY source),
+w AS (SELECT source, ss, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS w, CAST(ss * 2 AS DOUBLE) AS cap FROM s),
+v AS (SELECT *, (CAST(sum(ss) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lev FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT lev FROM v WHERE lev * w <= cap ORDER BY cap / w, lev LIMIT 1),
+t AS (SELECT source, ss, least(cap, coalesce((SELECT lev FROM f) * w, cap)) AS target FROM v),
+g AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS whole, target - CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END * ss AS lft FROM t),
+c AS (SELECT source, cell, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY cell) AS run FROM e GROUP BY source, cell),
+k AS (SELECT g.*, x.cell AS cut, greatest(0, g.lft - (x.run - x.n)) AS lft2 FROM g LEFT JOIN (SELECT c.source, c.cell, c.n, c.run, row_number() OVER (PARTITION BY c.source ORDER BY c.cell) AS rn FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source WHERE c.run > g.lft) x ON x.source IS NOT DISTINCT FROM g.source AND x.rn = 1),
+p AS (SELECT e.source, e.part, sum(e.size) AS n, sum(sum(e.size)) OVER (PARTITION BY e.source ORDER BY e.part) AS run FROM e JOIN k ON e.source IS NOT DISTINCT FROM k.source AND e.cell = k.cut GROUP BY e.source, e.part),
+z AS (SELECT k.*, y.part AS cut2, CASE WHEN y.n > 0 THEN greatest(0, k.lft2 - (y.run - y.n)) / y.n ELSE 0 END AS fraction FROM k LEFT JOIN (SELECT p.source, p.part, p.n, p.run, row_number() OVER (PARTITION BY p.source ORDER BY p.part) AS rn FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source WHERE p.run > k.lft2) y ON y.source IS NOT DISTINCT FROM k.source AND y.rn = 1)
+SELECT doc_id, size, ss AS source_size, target, CAST(least(whole * size + floor(size * CASE WHEN cut IS NULL OR cell > cut THEN 0.0 WHEN cell < cut THEN 1.0 WHEN cut2 IS NULL OR part > cut2 THEN 0.0 WHEN part < cut2 THEN 1.0 ELSE fraction END + 0.5), size * 2) AS BIGINT) AS taken FROM e JOIN z ON e.source IS NOT DISTINCT FROM z.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_maxscore": MAXSCORE_SQL, "op9_mix": MIX_SQL}
