@@ -14,7 +14,7 @@ from . import common, textbytes
 
 #: Bounds of the labelled sample that the model is fitted on: rows of each label, and bytes of a text.
 SAMPLE_ROWS = 2000
-SAMPLE_TEXT_BYTES = 1 << 15
+SAMPLE_TEXT_BYTES = 1 << 14
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS = 4
@@ -48,7 +48,7 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         first = np.repeat(at - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
         words.append(word)
         grams.append(textbytes.mix((run[first + size] - run[first]) * down[first] + np.uint64(size)))
-    return np.concatenate(words), (np.concatenate(grams) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.concatenate(words), np.concatenate([(g % np.uint64(BUCKETS)).astype(np.int32) for g in grams])
 
 
 @dataclass
@@ -119,9 +119,10 @@ def _features(texts: list[bytes]) -> tuple[_Rows, _Rows, np.ndarray] | None:
     count = np.log2(1 + count)
     in_doc = _Rows(pair // v, pair % v, count / (np.bincount(pair // v, count, minlength=n) + PADDING)[pair // v], n, v)
     rows_with = _rows_with(pair // v, pair % v, part, bucket)
-    share = 1 / np.bincount(part, minlength=v)[part]
     keep = rows_with[bucket] >= LEAST_ROWS  # the others' vectors stay zero
-    return in_doc, _Rows(part[keep], bucket[keep], share[keep], v, BUCKETS), rows_with
+    sizes = np.bincount(part, minlength=v)
+    part, bucket = part[keep], bucket[keep]
+    return in_doc, _Rows(part, bucket, 1 / sizes[part], v, BUCKETS), rows_with
 
 
 def _rows_with(doc: np.ndarray, word: np.ndarray, part: np.ndarray, bucket: np.ndarray, at_once: int = 100_000) -> np.ndarray:
@@ -134,7 +135,7 @@ def _rows_with(doc: np.ndarray, word: np.ndarray, part: np.ndarray, bucket: np.n
         b = int(np.searchsorted(doc, doc[min(a + at_once, len(doc)) - 1], "right"))
         n = sizes[word[a:b]]
         at = np.repeat(firsts[word[a:b]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-        seen = np.unique(np.repeat(doc[a:b], n) * BUCKETS + bucket[order[at]])
+        seen = np.unique(np.repeat(doc[a:b], n) * BUCKETS + bucket[order[at]].astype(np.int64))
         out += np.bincount(seen % BUCKETS, minlength=BUCKETS)
         a = b
     return out
@@ -179,7 +180,6 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int =
         p /= p.sum(axis=0)
         losses = -np.log(np.maximum(p[labels, np.arange(n)], 1e-9))
         loss, learned = float(np.average(losses[judged], weights=weights[judged])), float((losses * share_of).sum())
-        if __import__("os").environ.get("TOXLOG") and k % 8 == 1: print(k, round(loss, 4), round(learned, 4), rate, flush=True)
         if loss < best:
             best, kept = loss, Model(((soft[1] - soft[0]) @ embed) * rarity * scale, float(bias[1] - bias[0]))
         if learned > last:
@@ -194,32 +194,44 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int =
     return kept
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[int], list[float]]:
-    """Texts, labels and weights of at most ``rows`` rows of each label, by a seeded hash of doc_id, none held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame | None:
+    """tx_id, tx_label, tx_weight, tx_text of at most ``rows`` rows of each label, by a hash of doc_id, none held out.
 
     Weights carry each label's share of all labelled rows that may be learned from. Where several labels name an id the
-    highest counts. Texts over SAMPLE_TEXT_BYTES are not in the sample (they are scored whole all the same).
+    highest counts. Texts over SAMPLE_TEXT_BYTES are not in the sample (they are scored whole all the same). None
+    without labels.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("tx_id")).agg(F.max(F.col("toxic").cast("int")).alias("tx_label"))
     known = known.where(~held_out(F.col("tx_id")) & F.col("tx_label").isin(0, 1))
     totals = {r.tx_label: r["count"] for r in known.groupBy("tx_label").count().collect()}
-    chosen = None
-    for label in totals:
-        some = known.where(F.col("tx_label") == label).orderBy(F.md5(F.col("tx_id").cast("string")), "tx_id").limit(rows)
-        chosen = some if chosen is None else chosen.union(some)
-    if chosen is None:
-        return [], [], []
-    small = chosen.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "tx_id long, tx_label int")
+    chosen = []
+    for label in sorted(totals):
+        chosen += [tuple(r) for r in known.where(F.col("tx_label") == label).orderBy(F.md5(F.col("tx_id").cast("string")), "tx_id").limit(rows).collect()]
+    if not chosen:
+        return None
+    weight = {k: totals[k] / sum(c[1] == k for c in chosen) for k in totals}
+    small = labels.sparkSession.createDataFrame([(*c, weight[c[1]]) for c in chosen], "tx_id long, tx_label int, tx_weight double")
     texts = docs.select(F.col("doc_id").cast("long").alias("tx_id"), common.text_or_empty("text").cast("binary").alias("tx_text")).where(F.octet_length("tx_text") <= SAMPLE_TEXT_BYTES)
     # at most 2 * rows ids are broadcast; repeated rows of an id are taken once
-    got = texts.join(F.broadcast(small), "tx_id").groupBy("tx_id", "tx_label").agg(F.min("tx_text").alias("tx_text")).orderBy(F.md5(F.col("tx_id").cast("string")), "tx_id").collect()
-    n = {k: max(1, sum(r.tx_label == k for r in got)) for k in (0, 1)}
-    return [bytes(r.tx_text) for r in got], [r.tx_label for r in got], [totals[r.tx_label] / n[r.tx_label] for r in got]
+    return texts.join(F.broadcast(small), "tx_id").groupBy("tx_id", "tx_label", "tx_weight").agg(F.min("tx_text").alias("tx_text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 0) -> Model:
-    texts, y, w = labelled_sample(docs, labels, rows)
-    return fit(texts, np.array(y), np.array(w), seed)
+    """Fit on the labelled sample, in one task: its size is bounded, and the driver only gets the weights."""
+    sample = labelled_sample(docs, labels, rows)
+    if sample is None:
+        return fit([], np.zeros(0), np.zeros(0), seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = pa.Table.from_batches(list(batches))
+        model = fit(some.column("tx_text").to_pylist(), some.column("tx_label").to_numpy(), some.column("tx_weight").to_numpy(), seed)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
+
+    one = sample.repartition(1).sortWithinPartitions(F.md5(F.col("tx_id").cast("string")), "tx_id", "tx_label")
+    got = one.mapInArrow(run, "weight binary, bias double").collect()
+    if not got:
+        return fit([], np.zeros(0), np.zeros(0), seed)
+    return Model(np.frombuffer(bytes(got[0].weight), "<f4"), got[0].bias)
 
 
 def add_score(docs: DataFrame, model: Model, name: str = "tx_score") -> DataFrame:
