@@ -92,6 +92,13 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(q.w
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
+#: The base32 text of a SHA-1 from five hexadecimal digits (four characters) at a time.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, {1 + 5 * k}, 5) AS INT) >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h AS fh, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM p JOIN f ON h = fh
+"""
+
 #: Water-filling by sorted caps, and the seeded order cut in two levels of cells.
 MIX_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
@@ -111,4 +118,4 @@ SELECT doc_id, size, ss AS source_size, target, CAST(least(whole * size + floor(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_maxscore": MAXSCORE_SQL, "op9_mix": MIX_SQL}
+    return {"op3_warc": WARC_SQL, "op6_maxscore": MAXSCORE_SQL, "op9_mix": MIX_SQL}
