@@ -11,7 +11,7 @@ from .functions import blend, colorspaces, generators, point
 from .functions.quantum import M, to_byte, to_depth
 from .operators import compare, geometry, hashes, histogram, kernels, layers, neighbourhood, regions
 from .plans import expression, steps
-from .sources import codecs, rasters
+from .sources import codecs, more_codecs, rasters
 
 KEY = ["image_id", "y", "x"]
 RGB = ["r", "g", "b"]
@@ -404,6 +404,12 @@ def _codec(kind: str, alpha: bool = False) -> Query:
 for _kind in codecs.CODECS:
     _deep = _kind in ("farbfeld", "png")
     register(f"codec_{_kind}", _codec(_kind), f"WITH {PX} SELECT image_id, y, x, {', '.join((c if _deep else f'{BYTE(c)}*257') + f' AS {c}' for c in RGB)} FROM px")
+for _kind in more_codecs.CODECS:
+    if _kind in ("pcx", "sgi", "sun", "pix", "gif", "xpm", "tiff", "fits", "ico", "dpx", "tensor"):
+        _deep = _kind in ("sgi", "tiff", "fits", "dpx", "tensor")
+        register(f"codec_{_kind}", _codec(_kind), f"WITH {PX} SELECT image_id, y, x, {', '.join((c if _deep else f'{BYTE(c)}*257') + f' AS {c}' for c in RGB)} FROM px")
+register("codec_wbmp", _codec("wbmp"), f"WITH {PX} SELECT image_id, y, x, {', '.join(f'CASE WHEN {L709} >= 32767.5 THEN 65535 ELSE 0 END AS {c}' for c in RGB)} FROM px")
+register("codec_hdr", _codec("hdr"))
 register("detect_format", lambda s, d: rasters.table(s, d, "pages").select("page_id", F.coalesce(codecs.detect(F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.col("html").cast("binary"))), F.lit("none")).alias("format"), F.coalesce(codecs.detect(F.col("html").cast("binary")), F.lit("none")).alias("plain")), "SELECT page_id, 'png' AS format, 'none' AS plain FROM pages")
 
 

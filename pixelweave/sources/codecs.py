@@ -44,11 +44,13 @@ SIGNATURES = [
     ("exr", 0, "762F3101"),
     ("sgi", 0, "01DA"),
     ("sun", 0, "59A66A95"),
-    ("pcx", 0, "0A"),
+    *[("pcx", 0, f"0A{v:02X}01") for v in (0, 2, 3, 4, 5)],
+    ("xpm", 0, "2F2A2058504D"),
+    ("tensor", 0, "54454E53"),
     *[("pnm", 0, f"50{0x30 + k:02X}") for k in range(1, 7)],
 ]
 #: Extensions of formats whose content has no signature.
-EXTENSIONS = {"tga": "tga", "wbmp": "wbmp", "pix": "pix", "xbm": "xbm", "xpm": "xpm", "svg": "svg", "pdf": "pdf", "raw": "raw", "jpg": "jpeg", "tif": "tiff", "ff": "farbfeld", "ppm": "pnm", "pgm": "pnm", "pbm": "pnm"}
+EXTENSIONS = {"tga": "tga", "wbmp": "wbmp", "pix": "pix", "xbm": "xbm", "xpm": "xpm", "svg": "svg", "pdf": "pdf", "raw": "raw", "jpg": "jpeg", "tif": "tiff", "ff": "farbfeld", "ppm": "pnm", "pgm": "pnm", "pbm": "pnm", "tensor": "tensor"}
 
 
 def detect(content: Column) -> Column:
@@ -323,6 +325,16 @@ CODECS: dict[str, tuple[Callable[[bytes], np.ndarray], Callable[[np.ndarray], by
 IMAGE = "image_id long, path string, format string, width int, height int, channels int, data binary, error string"
 
 
+def codec(kind: str) -> tuple[Callable[[bytes], np.ndarray], Callable[[np.ndarray], bytes]]:
+    """Decoder and encoder of a format, or a ValueError."""
+    from . import more_codecs
+
+    try:
+        return (CODECS | more_codecs.CODECS)[kind]
+    except KeyError:
+        raise ValueError(f"no codec for {kind}") from None
+
+
 def decode(files: DataFrame) -> DataFrame:
     """image_id, path, format, width, height, channels, data (16-bit little-endian, h x w x c), error of (image_id, path, content).
 
@@ -339,9 +351,7 @@ def decode(files: DataFrame) -> DataFrame:
             for image_id, path, kind, content in zip(*(batch.column(c) for c in ("image_id", "path", "format", "content")), strict=True):
                 row = [image_id.as_py(), path.as_py(), kind.as_py(), None, None, None, None, None]
                 try:
-                    if row[2] not in CODECS:
-                        raise ValueError(f"no decoder for {row[2]}")
-                    p = CODECS[row[2]][0](content.as_py())
+                    p = codec(row[2])[0](content.as_py())
                     row[3:7] = p.shape[1], p.shape[0], p.shape[2], p.astype("<u2").tobytes()
                 except Exception as e:  # noqa: BLE001  a broken file is a row with its error
                     row[7] = f"{type(e).__name__}: {e}"
@@ -371,7 +381,7 @@ def encode(pixels: DataFrame, kind: str) -> DataFrame:
     """image_id, content of pixels_wide: one group an image."""
     import pandas as pd
 
-    put = CODECS[kind][1]
+    put = codec(kind)[1]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = ["r", "g", "b"] + (["a"] if pdf.a.notna().all() else [])
