@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import blend, colorspaces, generators, point
+from .functions import blend, colorspaces, drawing, generators, point
 from .functions.quantum import M, to_byte, to_depth
-from .operators import compare, geometry, hashes, histogram, kernels, layers, neighbourhood, regions
+from .operators import compare, filters, geometry, hashes, histogram, kernels, layers, neighbourhood, regions
 from .plans import expression, steps
 from .sources import codecs, more_codecs, rasters
 
@@ -45,6 +45,8 @@ def _shift(df: DataFrame) -> DataFrame:
     return df.withColumn("image_id", F.col("image_id") - 1)
 
 
+_GRID = "(SELECT CAST(0 AS BIGINT) AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT unnest(range({h})) AS y) a, (SELECT unnest(range({w})) AS x) b)"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -357,9 +359,18 @@ register("seam_carve", lambda s, d: kernels.seam_carve(rasters.rgb(s, d), 6, 7).
 register("spectrum", lambda s, d: kernels.spectrum(rasters.rgb(s, d)).select(*KEY, *RGB))
 register("oil_paint", lambda s, d: kernels.oil_paint(rasters.rgb(s, d), 1).select(*KEY, *RGB))
 
+for _name, _f in {
+    "bilateral": lambda d: filters.bilateral(d), "selective_blur": lambda d: filters.selective_blur(d, 0.7), "kuwahara": lambda d: filters.kuwahara(d, 1), "motion_blur": lambda d: filters.motion_blur(d, 2, 1.0, 30.0), "radial_blur": lambda d: filters.radial_blur(d, 20.0),
+    "wavelet_denoise": lambda d: filters.wavelet_denoise(d, 0.02), "clahe": lambda d: filters.clahe(d, 2, 2), "canny": lambda d: filters.canny(d, 0.6, 0.05, 0.1), "mean_shift": lambda d: filters.mean_shift(d, 2), "vignette": lambda d: filters.vignette(d), "implode": lambda d: filters.implode(d), "wave": lambda d: filters.wave(d, 1.0, 6.0), "glow": lambda d: filters.glow(d), "dehaze": lambda d: filters.dehaze(d, 0.5, 1),
+}.items():
+    register(_name, lambda s, d, f=_f: f(rasters.rgb(s, d)).select(*KEY, *RGB))
+register("draw_rectangle", lambda s, d: drawing.paint(rasters.rgb(s, d), drawing.rectangle(s, 8, 8, 1.5, 2, 6, 5.25), (65535, 0, 0)).select(*KEY, *RGB), f"WITH {PX}, c AS (SELECT *, greatest(0, least(x+1, 6) - greatest(x, 1.5)) * greatest(0, least(y+1, 5.25) - greatest(y, 2)) AS t FROM px) SELECT image_id, y, x, {', '.join(f'CAST(floor({c}*(1-t)+t*{k}+0.5) AS INT) AS {c}' for c, k in zip(RGB, (65535, 0, 0), strict=True))} FROM c")
+register("draw_polygon", lambda s, d: drawing.polygon(s, 12, 9, [(1, 1), (11, 4), (2, 8)]), f"SELECT image_id, y, x, 1.0::DOUBLE AS coverage FROM {_GRID.format(h=9, w=12)} WHERE (CASE WHEN y+0.5 >= 1 AND y+0.5 < 4 AND x+0.5 < (y+0.5-1)*(10.0/3)+1 THEN 1 ELSE 0 END + CASE WHEN y+0.5 >= 4 AND y+0.5 < 8 AND x+0.5 < (y+0.5-4)*(-9.0/4)+11 THEN 1 ELSE 0 END + CASE WHEN y+0.5 >= 1 AND y+0.5 < 8 AND x+0.5 < (y+0.5-8)*(1.0/7)+2 THEN 1 ELSE 0 END) % 2 = 1")
+register("draw_ellipse", lambda s, d: drawing.ellipse(s, 20, 14, 9.5, 7, 6, 4))
+register("draw_line", lambda s, d: drawing.line(s, 20, 14, 2, 3, 17, 11, 1.5))
+
 # --- generators, expressions, pipelines, codecs -------------------------------------------------------------------------------------
 
-_GRID = "(SELECT CAST(0 AS BIGINT) AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT unnest(range({h})) AS y) a, (SELECT unnest(range({w})) AS x) b)"
 register("gradient", lambda s, d: rasters.gradient(s, 40, 30).select(*KEY, *RGB), f"SELECT image_id, y, x, CAST(x*65535//39 AS INT) AS r, CAST(y*65535//29 AS INT) AS g, CAST((x+y)*65535//68 AS INT) AS b FROM {_GRID.format(h=30, w=40)}")
 register("checkerboard", lambda s, d: generators.checkerboard(s, 40, 30, 4).select(*KEY, *RGB), f"SELECT image_id, y, x, {', '.join(f'CASE WHEN (x//4+y//4)%2 = 0 THEN 65535 ELSE 0 END AS {c}' for c in RGB)} FROM {_GRID.format(h=30, w=40)}")
 register("stripes", lambda s, d: generators.stripes(s, 20, 10, 4).select(*KEY, *RGB), f"SELECT image_id, y, x, {', '.join(f'CASE WHEN y%4 < 2 THEN 65535 ELSE 0 END AS {c}' for c in RGB)} FROM {_GRID.format(h=10, w=20)}")
