@@ -6,9 +6,11 @@ a fixed size at any corpus size). Two texts are near-duplicates at a weighted Ja
 are the connected components.
 
 Texts of equal words are one node from the start. Nodes that share a band's samples are candidates. First every member
-of a band is compared with one hub of it, a few times with other hubs; what then lies in one class already needs no
-comparison. Last, members of one band in different classes are all compared, unless their weights (Jaccard cannot exceed
-their ratio) or samples rule it out. So a group of n copies costs about n comparisons, and no candidate pair is lost.
+of a band is compared with one hub of it; what then lies in one class needs no more comparison. The members of a band in
+different classes are all compared: in bands of few members as pairs (at most SMALL for each member), unless their weights
+(Jaccard cannot exceed their ratio) or samples rule it out; larger bands are joined into clumps, cut into blocks of about
+BLOCK nodes, and each two blocks are compared as matrices in a task of their own, so no row is made for a pair and no
+group meets in one task. No candidate pair is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 #: Equal samples of 36 below which a pair is not compared: a pair of similarity 0.8 has fewer with probability 1e-6.
 LEAST_EQUAL = 16
-HUB_ROUNDS = 2
+#: Members up to which a band's pairs are made as rows, nodes of a block, and shingles that are compared at once.
+SMALL, BLOCK, COLUMNS = 32, 256, 4096
 
 _U = np.uint64
 
@@ -165,6 +168,72 @@ def _similarity(idf):
     return run
 
 
+def _items(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, weight): a shingle that occurs n times is n items of its weight, so common items add up to the lesser weight."""
+    parts = []
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    for a, b in common.row_chunks(offsets):
+        data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
+        n_rows = b - a
+        rows, hashes, _, _ = textbytes.words(data, offsets[a : b + 1] - offsets[a])
+        row, shingle, first = textbytes.shingles(rows, hashes, n_rows, SIZE)
+        _, _, once, _ = weighted_shingles(data, offsets[a : b + 1] - offsets[a], idf)
+        if not len(row):
+            continue
+        order = np.lexsort((shingle, row))
+        row, shingle = row[order], shingle[order]
+        new = np.concatenate(([True], (row[1:] != row[:-1]) | (shingle[1:] != shingle[:-1])))
+        which = np.cumsum(new) - 1
+        nth = np.arange(len(row)) - np.flatnonzero(new)[which]
+        each = (once / np.bincount(which))[which]
+        parts.append((row + a, np.where(nth > 0, textbytes.mix(shingle + nth.astype(_U)), shingle), each))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _blocks(idf, similarity: float):
+    def run(table):
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        names, labels = table.column("node").to_pylist(), table.column("label").to_pylist()
+        n = len(names)
+        side = [np.flatnonzero(left | table.column("same").to_numpy(zero_copy_only=False)), np.flatnonzero(~left | table.column("same").to_numpy(zero_copy_only=False))]
+        none = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "similarity": pa.array([], pa.float64())})
+        _, label = np.unique(np.array(labels, object), return_inverse=True)
+        if label.max(initial=0) == 0 or not len(side[0]) or not len(side[1]):
+            return none
+        row, item, weight = _items([t.encode() for t in table.column("text").to_pylist()], idf.value)
+        total = np.bincount(row, weight, minlength=n)
+        values, column, count = np.unique(item, return_inverse=True, return_counts=True)
+        keep = count[column] > 1
+        row, weight = row[keep], weight[keep]
+        _, column = np.unique(column[keep], return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, weight, column = row[order], weight[order], column[order]
+        both = np.zeros((n, n), np.float32)
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+            dense = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - a)), np.float32)
+            dense[row[lo:hi], column[lo:hi] - a] = np.sqrt(weight[lo:hi])
+            both += dense @ dense.T
+        found = both[np.ix_(*side)].astype(np.float64)
+        found /= np.maximum(total[side[0]][:, None] + total[side[1]][None] - found, 1e-12)
+        i, j = np.nonzero((found >= similarity - 1e-3) & (label[side[0]][:, None] != label[side[1]][None]))
+        a, b = side[0][i], side[1][j]
+        exact = np.array([_exact(row, column, weight, x, y, total) for x, y in zip(a, b, strict=True)])
+        ok = np.flatnonzero(exact >= similarity) if len(a) else []
+        return pa.table({"a": pa.array([names[a[k]] for k in ok], pa.binary()), "b": pa.array([names[b[k]] for k in ok], pa.binary()), "similarity": pa.array([float(exact[k]) for k in ok], pa.float64())})
+
+    return run
+
+
+def _exact(row, column, weight, x: int, y: int, total) -> float:
+    """The similarity of two texts of a block in double precision (products above are single)."""
+    one, two = row == x, row == y
+    both = float(weight[one][np.isin(column[one], column[two])].sum())
+    return both / max(total[x] + total[y] - both, 1e-12)
+
+
 class NearDuplicates:
     """The whole job on one table; its steps are kept as tables in the shared folder."""
 
@@ -179,10 +248,7 @@ class NearDuplicates:
 
     def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Verified pairs: texts of both nodes are fetched from the table by doc_id, in two joins."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = ends.join(nodes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("w_id"), F.col("first.raw").alias("w_raw"))
-        texts = self.docs.join(wanted, self.docs.doc_id.eqNullSafe(F.col("w_id")) & (self.docs.raw == F.col("w_raw"))).select("node", "text")
-        texts = common.materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes)
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         found = both.select("a", "b", "text_a", "text_b").mapInArrow(_similarity(self.idf), "a binary, b binary, similarity double")
         return common.materialize(found.where(F.col("similarity") >= self.similarity), "near-links")
@@ -201,45 +267,58 @@ class NearDuplicates:
         bands = common.materialize(bands, "near-bands")
         shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
         bands = common.materialize(bands.join(shared, "band"), "near-shared-bands")
-        labels, links, tried = None, None, None
-        for k in range(HUB_ROUNDS + 1):
-            members = bands.withColumn("label", F.col("node")) if labels is None else bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            if k < HUB_ROUNDS:
-                hub = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "label", "weight")).alias("hub"))
-                pairs = members.join(hub, "band").where(F.col("label") != F.col("hub.label")).select("node", F.col("hub.node").alias("other"), "weight", F.col("hub.weight").alias("other_weight"))
-            else:
-                pairs = self._across(members, nodes)
-            fits = F.least("weight", "other_weight") >= F.lit(self.similarity - 1e-6) * F.greatest("weight", "other_weight")
-            pairs = pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = common.materialize(pairs, "near-pairs")
-            if not pairs.take(1):
-                break
-            tried = pairs if tried is None else tried.union(pairs)
-            new = self.links(pairs, nodes)
-            links = new if links is None else links.union(new)
-            labels = components(links.select("a", "b"))
-        out = rows.join(labels, "node", "left") if labels is not None else rows.withColumn("label", F.lit(None).cast("binary"))
+        hub = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "weight")).alias("hub"))
+        star = bands.join(hub, "band").where(F.col("node") != F.col("hub.node")).select("node", F.col("hub.node").alias("other"), "weight", F.col("hub.weight").alias("other_weight"))
+        links = self.links(self._fitting(star), nodes)
+        labels = components(links.select("a", "b"))
+        members = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.min("node").alias("hub")).where(F.col("x") != F.col("y")).select("band", "size", "hub")
+        members = common.materialize(members.join(mixed, "band"), "near-mixed")
+        pairs = self._fitting(self._across(members.where(F.col("size") <= SMALL), nodes))
+        more = self.links(pairs, nodes)
+        large = members.where(F.col("size") > SMALL)
+        if large.take(1):
+            more = more.union(self._clumps(large, nodes))
+        if more.take(1):
+            labels = components(links.union(more).select("a", "b"))
+        out = rows.join(labels, "node", "left")
         out = out.select("doc_id", "raw", "node", F.coalesce("label", "node").alias("label"), F.col("samples").isNotNull().alias("worded"))
         least = out.where("worded").groupBy("label").agg(F.min(F.struct("doc_id", "raw")).alias("keep"), F.count("*").alias("class_size"))
         out = out.join(least, "label", "left")
         alone = F.struct("doc_id", "raw")
         return out.select("doc_id", "raw", F.when(F.col("worded"), F.col("keep.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("worded"), F.col("class_size")).otherwise(1).alias("class_size"), F.when(F.col("worded"), F.col("keep")).otherwise(alone).alias("keep"))
 
+    def _fitting(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a < b) whose total weights don't rule the similarity out."""
+        fits = F.least("weight", "other_weight") >= F.lit(self.similarity - 1e-6) * F.greatest("weight", "other_weight")
+        out = pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        return common.materialize(out, "near-pairs")
+
     def _across(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
-        """All pairs of one band in different classes: by cells of weight, each compared with itself and the next."""
-        mixed = members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("band")
-        width = float(-np.log(self.similarity) + 1e-6)
-        cell = F.floor(F.log(F.greatest("weight", F.lit(1e-30))) / width)
-        rows = members.join(mixed, "band").join(nodes.select("node", "samples"), "node").withColumn("cell", cell)
-        near = rows.withColumn("cell", F.explode(F.array(F.col("cell"), F.col("cell") - 1)))
-        names = {"node": "other", "weight": "other_weight", "label": "other_label", "samples": "other_samples"}
-        near = near.withColumnsRenamed(names)
-        pairs = rows.join(near, ["band", "cell"]).where((F.col("label") != F.col("other_label")) & (F.col("node") != F.col("other")))
+        """Pairs of small bands in different classes with enough equal samples."""
+        rows = members.join(nodes.select("node", "samples"), "node").select("band", "node", "weight", "label", "samples")
+        right = rows.withColumnsRenamed({"node": "other", "weight": "other_weight", "label": "other_label", "samples": "other_samples"})
+        pairs = rows.join(right, "band").where((F.col("label") < F.col("other_label")))
         equal = sum((F.substring("samples", 8 * j + 1, 8) == F.substring("other_samples", 8 * j + 1, 8)).cast("int") for j in range(SAMPLES))
         return pairs.where(equal >= LEAST_EQUAL).select("node", "other", "weight", "other_weight")
 
+    def texts(self, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+        """node, text of the given nodes, fetched from the table by doc_id."""
+        names = wanted.join(nodes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("w_id"), F.col("first.raw").alias("w_raw"))
+        found = self.docs.join(names, self.docs.doc_id.eqNullSafe(F.col("w_id")) & (self.docs.raw == F.col("w_raw"))).select("node", "text")
+        return common.materialize(found.groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+
+    def _clumps(self, large: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links across classes inside clumps of large bands, two blocks of nodes at a time."""
+        clump = components(large.select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("label", "clump")
+        of = large.select("node", "label").distinct().join(clump, "node")
+        sizes = of.groupBy("clump").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rows = of.join(sizes, "clump").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+        rows = rows.join(self.texts(of.select("node"), nodes), "node")
+        rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("node", "label", "text", "clump", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), (F.col("block") <= F.col("k")).alias("left"), (F.col("block") == F.col("k")).alias("same"))
+        found = rows.groupBy("clump", "i", "j").applyInArrow(_blocks(self.idf, self.similarity), "a binary, b binary, similarity double")
+        return common.materialize(found, "near-links")
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; other columns aren't read): doc_id, class_id, class_size."""
