@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -239,9 +240,7 @@ def add_score(docs: DataFrame, model: Model, name: str = "tx_score") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def score(texts: pd.Series) -> pd.Series:
         column = pa.array(texts, pa.large_string())
         data, offsets = common.string_buffers(column)
         parts = [shared.value.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in common.row_chunks(offsets)]
