@@ -24,10 +24,12 @@ from .vectors import matrix, usable
 
 SAMPLE = 20_000
 #: Rows that a list should hold, most lists, and rows of a block.
-LIST_ROWS, MOST_LISTS, BLOCK = 100, 2048, 2048
+LIST_ROWS, MOST_LISTS, BLOCK = 200, 2048, 2048
 NEIGHBOURS = 24
-BOUNDARY, COPIES = 0.08, 4
-RATIO, MOST_PROBES = 0.35, 512
+BOUNDARY, COPIES = 0.06, 4
+RATIO, MOST_PROBES = 0.2, 512
+#: Sampled rows whose k-th nearest bounds a query's k-th nearest distance from above: lists give only rows within it.
+LIMIT_ROWS = 4096
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -137,7 +139,25 @@ def _deal(graph, wanted: int, width: int, ratio: float):
                 keep = np.isfinite(near) & (near <= near[:, :1] * (1 + ratio))
                 row, col = np.nonzero(keep)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), part.column("vec_id").take(at), part.column("v").take(at)], names=["list", "vec_id", "v"])
+                others = [c for c in part.schema.names if c != "list"]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), *[part.column(c).take(at) for c in others]], names=["list", *others])
+
+    return run
+
+
+def _limit(some, k: int):
+    """Rows of queries with the distance of their k-th nearest in a sample of the rows (infinite if there are fewer)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = some.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                asks = part.column("vec_id").to_numpy()
+                d = np.sqrt(squared(matrix(part.column("v")), x)) + 1e-9  # not below the exact distances by rounding
+                d[asks[:, None] == ids[None]] = np.inf
+                limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(asks), np.inf)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(limit)], names=["vec_id", "v", "limit"])
 
     return run
 
@@ -148,13 +168,13 @@ def _read_lists(k: int):
         if len(postings) and len(queries):
             ids, x = postings.column("vec_id").to_numpy(), matrix(postings.column("v"))
             asks, y = queries.column("vec_id").to_numpy(), matrix(queries.column("v"))
+            limits = queries.column("limit").to_numpy()
             step = max(1, 2_000_000 // max(1, x.size))
             for a in range(0, len(asks), step):
                 d = np.sqrt(((y[a : a + step, None, :] - x[None]) ** 2).sum(axis=2))
-                for row, ask in zip(d, asks[a : a + step], strict=True):
-                    row = np.where(ids == ask, np.inf, row)
-                    top = np.lexsort((ids, row))[: k + 1]
-                    top = top[np.isfinite(row[top])][:k]
+                for row, ask, limit in zip(d, asks[a : a + step], limits[a : a + step], strict=True):
+                    near = np.flatnonzero((ids != ask) & (row <= limit))
+                    top = near[np.lexsort((ids[near], row[near]))[:k]]
                     found.append((np.full(len(top), ask), ids[top], row[top]))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
@@ -171,7 +191,7 @@ def search(rows: DataFrame, is_query, k: int = 10, ratio: float = RATIO, most_pr
     spark = rows.sparkSession
     table = common.materialize(usable(rows, nonzero=True), "ann-rows")
     n = table.count()
-    taken = table.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string"))), "vec_id").limit(sample).select("v").toArrow()
+    taken = table.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string"))), "vec_id").limit(sample).select("vec_id", "v").toArrow()
     x = matrix(taken.column("v"))
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -179,7 +199,9 @@ def search(rows: DataFrame, is_query, k: int = 10, ratio: float = RATIO, most_pr
     graph = spark.sparkContext.broadcast(Graph.build(fit_centroids(x, n_lists, seed), seed=seed))
     schema = "list int, vec_id long, v array<double>"
     postings = common.materialize(table.mapInArrow(_deal(graph, COPIES, 32, BOUNDARY), schema), "ann-postings")
-    asks = table.where(is_query(F.col("vec_id"))).mapInArrow(_deal(graph, most_probes, most_probes + 32, ratio), schema)
+    some = spark.sparkContext.broadcast((taken.column("vec_id").to_numpy()[:LIMIT_ROWS], x[:LIMIT_ROWS].copy()))
+    asks = table.where(is_query(F.col("vec_id"))).mapInArrow(_limit(some, k), "vec_id long, v array<double>, limit double")
+    asks = asks.mapInArrow(_deal(graph, most_probes, most_probes + 32, ratio), f"{schema}, limit double")
     # one count for each list, at most MOST_LISTS rows
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     counted = blocks.collect()
