@@ -20,7 +20,7 @@ from . import common
 from .vectors import matrix, usable
 
 #: Documents of a shard and of a block in it; queries that a task answers.
-SHARD, BLOCK, QUERIES = 1024, 256, 1024
+SHARD, BLOCK, QUERIES = 4096, 1024, 1024
 #: Components beyond this size could overflow a 64-bit score; such rows take no part.
 LARGEST = 2.0**27
 
