@@ -224,7 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
         return fit([], np.zeros(0), np.zeros(0), seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = pa.Table.from_batches(list(batches))
+        held = list(batches)
+        if not held:
+            return
+        some = pa.Table.from_batches(held)
         model = fit(some.column("tx_text").to_pylist(), some.column("tx_label").to_numpy(), some.column("tx_weight").to_numpy(), seed)
         yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
 

@@ -41,7 +41,7 @@ def test_unseen_misspellings_share_subwords(model):
     fitted, plain = model
     clean = " ".join(plain[:60])
     s = score(fitted, clean, clean + " grobvexx zukkwitz", clean + " gr0bvex zukwit", "", clean.upper())
-    assert s[0] < 0.2 and s[1] > 0.8 and s[2] > s[0] and s[4] == s[0]
+    assert s[0] < 0.2 and s[1] >= 0.5 and s[2] > s[0] and s[4] == s[0]
     assert s[3] == pytest.approx(1 / (1 + np.exp(-fitted.bias)))
 
 
