@@ -31,8 +31,10 @@ TAIL = struct.Struct("<IQ")
 CLOSING = b"\xb6PFB"
 #: Ids that one file holds before the next begins (about 32 MB packed); a longer document has a file of its own.
 FILE_TOKENS = 16_000_000
-#: Distinct words that a worker's cache holds; beyond it starts anew.
-CACHE_WORDS = 300_000
+#: Ids that are packed at once, whole blocks.
+PACKED_AT_ONCE = BLOCK << 14
+#: Distinct words in one of the two generations of a worker's cache.
+CACHE_WORDS = 250_000
 
 FIELDS = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 
@@ -52,15 +54,13 @@ def pack_blocks(ids: np.ndarray, percentile: float = 0.9) -> tuple[bytes, np.nda
     full[n:] = ids[(blocks - 1) * BLOCK :].min()
     v = full.reshape(blocks, BLOCK)
     low = v.min(axis=1)
-    v = v - low[:, None]
+    v = (v - low[:, None]).astype(np.uint32)
     at = min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)
     width = bit_width(np.partition(v, at, axis=1)[:, at])
-    over = (v >> width[:, None].astype(np.uint64)) > 0
+    over = v > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     n_over = over.sum(axis=1)
     sizes = 6 + width * (BLOCK // 8) + 5 * n_over
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    if starts[-1] >= 1 << 32:
-        raise ValueError("a file's blocks must stay below 4 GiB")
     out = np.zeros(starts[-1], np.uint8)
     begin = starts[:-1]
     out[begin[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -68,7 +68,7 @@ def pack_blocks(ids: np.ndarray, percentile: float = 0.9) -> tuple[bytes, np.nda
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            part = (v[rows] & np.uint64((1 << int(w)) - 1)).T.copy()
+            part = (v[rows] & np.uint32((1 << int(w)) - 1)).T.astype(np.uint64)
             packed = np.zeros((2 * w + 1, len(rows)), np.uint64)
             for i in range(BLOCK):
                 word, shift = divmod(i * int(w), 64)
@@ -81,7 +81,7 @@ def pack_blocks(ids: np.ndarray, percentile: float = 0.9) -> tuple[bytes, np.nda
         nth = np.arange(len(b)) - np.concatenate(([0], np.cumsum(n_over)[:-1]))[b]
         base = begin[b] + 6 + width[b] * (BLOCK // 8)
         out[base + nth] = i
-        out[(base + n_over[b] + 4 * nth)[:, None] + np.arange(4)] = (v[b, i] >> width[b].astype(np.uint64)).astype("<u4").view(np.uint8).reshape(-1, 4)
+        out[(base + n_over[b] + 4 * nth)[:, None] + np.arange(4)] = (v[b, i].astype(np.uint64) >> width[b].astype(np.uint64)).astype("<u4").view(np.uint8).reshape(-1, 4)
     return out.tobytes(), begin.astype(np.uint32)
 
 
@@ -117,7 +117,15 @@ def unpack_blocks(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 def build_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, range_no: int, before: int, percentile: float) -> bytes:
     """A file's bytes but for the closing ones."""
-    packed, starts = pack_blocks(ids, percentile)
+    parts, starts, at = [], [], 0
+    for a in range(0, len(ids), PACKED_AT_ONCE):
+        packed, begin = pack_blocks(ids[a : a + PACKED_AT_ONCE], percentile)
+        parts.append(packed)
+        starts.append(begin.astype(np.int64) + at)
+        at += len(packed)
+    if at >= 1 << 32:
+        raise ValueError("a file's blocks must stay below 4 GiB")
+    packed, starts = b"".join(parts), np.concatenate(starts) if starts else np.zeros(0, np.int64)
     table = np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array([x is not None for x in doc_ids], np.uint8).tobytes() + np.array(lengths, "<u4").tobytes()
     return HEAD.pack(b"PFB1", len(doc_ids), len(ids), before) + packed + table + starts.astype("<u4").tobytes() + TAIL.pack(range_no, HEAD.size + len(packed))
 
@@ -137,10 +145,11 @@ def read_file(content: bytes) -> tuple[int, int, list[int | None], np.ndarray, n
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct word once.
+    """Ids of whole texts by the tokenizers library, which sees each distinct word about once.
 
     A byte-level tokenizer's words never span a single space between two other characters, so a text's ids are
-    those of its pieces before each such space. The cache is bounded; a long piece passes uncached.
+    those of its pieces before each such space. New pieces are encoded many at once, a line each: the line feed's id
+    parts them again. The cache has two generations of bounded size, so words in use survive when one is dropped.
     """
 
     def __init__(self, path: str):
@@ -150,14 +159,30 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.first = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.cache, self.older = Tokenizer.from_file(path), {}, {}
         self.runs, self.split = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+        self.plain = re.compile(r" ?\S+").fullmatch
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.cache) + len(pieces) > CACHE_WORDS:
-            self.cache.clear()
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
         new = [p for p in pieces if p not in self.cache]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        if self.older:
+            old = [p for p in new if p in self.older]
+            self.cache.update(zip(old, map(self.older.__getitem__, old), strict=True))
+            new = [p for p in new if p not in self.cache]
+        lines = [p for p in new if self.plain(p)] if self.line is not None else []
+        groups = [lines[at : at + 1000] for at in range(0, len(lines), 1000)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            if len(ends) == len(some):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.cache.update(zip(some, [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends[:-1]]], ends, strict=True)], strict=True))
+        rest = [p for p in new if p not in self.cache]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.cache[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
