@@ -32,8 +32,8 @@ TEMPLATES = [
 #: Words too common to be looked up.
 STOP = frozenset("a and any are by for in into is it of or that the this to use with without under be on source form free person purpose terms version 0 1 2 3 4 v code copy following met provided subject".split())
 
-#: Highest-IDF licence words of a file that are looked up; all their places count.
-LOOKED_UP = 8
+#: Bound on the licence words of a file that are looked up: none, every place of every one counts.
+LOOKED_UP = None
 #: Least share of a template's words that must stand in place besides its key phrases.
 LEAST_SHARE = 0.6
 
@@ -69,10 +69,10 @@ def document_frequencies(docs: DataFrame) -> dict[str, int]:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ls_n_words, ls_n_base, ls_first_word, ls_last_word, ls_base_labels, ls_labels, ls_score.
 
-    Base: all places of the phrases of BASE. The method: a file's LOOKED_UP licence words of highest IDF are looked up
-    in the templates' postings; a template and the offset that its words agree on become a candidate if at least two
-    places (or its only looked-up word) point there, and count if every key phrase stands in place and LEAST_SHARE of
-    the template's words do. Score: 1 with a base place, else the best share of a template that counts, else 0.
+    Base: all places of the phrases of BASE. The method: all licence words of a file are looked up in the templates'
+    postings; a template and the offset that its words agree on become a candidate if at least two places (or one, where
+    its key phrases hold but one licence word) point there, and count if every key phrase stands in place and LEAST_SHARE
+    of the template's words do. The words of the key phrases point there themselves, so no place that counts is missed. Score: 1 with a base place, else the best share of a template that counts, else 0.
     A null or empty text has no words; labels are then empty and the places null. No shuffle but for the word counts.
     """
     rows = docs.withColumn("ls_words", words(F.coalesce(F.col(text), F.lit(""))))
@@ -91,14 +91,14 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         table = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]) for w in order])
         w = F.col("ls_words")
         # array_intersect keeps the order of its first side: the vocabulary by descending IDF
-        rows = rows.withColumn("ls_rare", F.slice(F.array_intersect(ranked, w), 1, LOOKED_UP))
+        rows = rows.withColumn("ls_rare", F.array_intersect(ranked, w))
         hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("ls_rare"), x["w"]))
         rows = rows.withColumn("ls_hits", F.when(F.size("ls_rare") > 0, hits))
         votes = F.flatten(F.transform(F.col("ls_hits"), lambda h: F.transform(F.element_at(table, F.array_position(ranked, h["w"]).cast("int")), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("o")))))
         rows = rows.withColumn("ls_votes", F.when(F.size("ls_hits") > 0, votes))
         bodies = F.array(*[_strings(body.split()) for _, body, _ in TEMPLATES])
-        # the least votes of a template: two, or one where only one of its words is looked up
-        need = F.array(*[F.greatest(F.lit(1), F.least(F.lit(2), F.size(F.array_intersect(F.col("ls_rare"), _strings(sorted(set(body.split()))))))) for _, body, _ in TEMPLATES])
+        # the least votes of a template: two, or one where its key phrases hold only one word that votes
+        need = F.array(*[F.lit(min(2, sum(x not in STOP for phrase in phrases for x in phrase.split()))) for _, _, phrases in TEMPLATES])
         # equal votes stand together once sorted: a candidate is the first of a run that is long enough
         rows = rows.withColumn("ls_votes", F.array_sort(F.col("ls_votes")))
         n = F.size("ls_votes")

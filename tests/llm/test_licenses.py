@@ -62,3 +62,30 @@ def test_odd_rows(spark):
     assert got.columns[:4] == docs.columns
     check([tuple(r) for r in docs.select("doc_id", "text").collect()], [(r[0], *r[4:]) for r in got.collect()])
     assert licenses.scan(no_documents(spark)).count() == 0
+
+
+def whole(text):
+    """Labels and shares by plain search over all offsets: no words are looked up, so none can be cut."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    out = {}
+    for label, body, phrases in licenses.TEMPLATES:
+        b = body.split()
+        for o in range(-len(b), len(w)):
+            placed = [0 <= o + k < len(w) and w[o + k] == x for k, x in enumerate(b)]
+            keys = all(any(b[k : k + len(p)] == p and all(placed[k : k + len(p)]) for k in range(len(b) - len(p) + 1)) for p in (p.split() for p in phrases))
+            if keys and sum(placed) / len(b) >= licenses.LEAST_SHARE:
+                out[label] = max(out.get(label, 0), sum(placed) / len(b))
+    return out
+
+
+def test_many_licences_in_a_text(spark):
+    notices = [body for _, body, _ in licenses.TEMPLATES]
+    fee = "x to use copy x and or x this x for any purpose with or without fee is x x x permission modify"
+    texts = ["\n\n".join(notices), " filler words ".join(notices[::-1]), "\n".join(notices[i] for i in (0, 2, 7)), "\n".join(notices[i] for i in (0, 7, 2, 9, 8)), *notices, fee, " and ".join(sorted(licenses.vocabulary()))]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    for r in licenses.scan(docs).collect():
+        want = whole(r.text)
+        assert set(r.ls_labels.split(",")) - {""} == set(want) | (set(r.ls_base_labels.split(",")) - {""})
+        assert r.ls_score == (1.0 if r.ls_n_base else max(want.values(), default=0.0))
+        if r.doc_id % len(texts) == 0:
+            assert set(want) == {label for label, _, _ in licenses.TEMPLATES}
