@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample (SAMPLE rows) by balanced k-means; every row is indexed. A row stands in the
 posting list of its nearest centroid, and of others nearly as near (within 1 + BOUNDARY of the least distance). A query
 finds near centroids by best-first search in a neighbour graph held in memory, keeps those whose distance is within
-1 + RATIO of the least, and reads their lists whole; distances are exact, in double precision.
+1 + RATIO of the least, and reads their lists whole; distances are exact, in double precision. The nearest
+of a fixed sample are candidates besides, so a query has k rows wherever the table has k others.
 
 Centroids number at most MOST_LISTS, so the graph that is broadcast has a fixed bound; longer lists are cut into blocks
 by a hash of the id, so no task reads more than about BLOCK rows of a list however the rows cluster.
@@ -28,7 +29,7 @@ LIST_ROWS, MOST_LISTS, BLOCK = 200, 2048, 2048
 NEIGHBOURS = 24
 BOUNDARY, COPIES = 0.06, 4
 RATIO, MOST_PROBES = 0.2, 512
-#: Sampled rows whose k-th nearest bounds a query's k-th nearest distance from above: lists give only rows within it.
+#: Sampled rows whose k nearest are candidates of a query; the k-th bounds its k-th nearest distance from above, so lists give only rows within it.
 LIMIT_ROWS = 4096
 
 
@@ -146,18 +147,28 @@ def _deal(graph, wanted: int, width: int, ratio: float):
 
 
 def _limit(some, k: int):
-    """Rows of queries with the distance of their k-th nearest in a sample of the rows (infinite if there are fewer)."""
+    """Rows of queries with their k nearest in a sample of the rows and the k-th's distance (infinite if there are fewer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = some.value
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                asks = part.column("vec_id").to_numpy()
-                d = np.sqrt(squared(matrix(part.column("v")), x)) + 1e-9  # not below the exact distances by rounding
+                asks, y = part.column("vec_id").to_numpy(), matrix(part.column("v"))
+                d = squared(y, x)
                 d[asks[:, None] == ids[None]] = np.inf
-                limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(asks), np.inf)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(limit)], names=["vec_id", "v", "limit"])
+                # what rounding may hide is taken in, then distances are exact, as those of the lists
+                reach = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(asks), np.inf)
+                reach = reach + 1e-12 * ((y * y).sum(axis=1) + (x * x).sum(axis=1).max(initial=0))
+                near, limits = [], []
+                for ask, row, own, most in zip(asks, d, y, reach, strict=True):
+                    at = np.flatnonzero((row <= most) & (ids != ask))
+                    far = np.sqrt(((own - x[at]) ** 2).sum(axis=1))
+                    top = np.lexsort((ids[at], far))[:k]
+                    near.append([{"vec_id": i, "score": f} for i, f in zip(ids[at[top]].tolist(), far[top].tolist(), strict=True)])
+                    limits.append(far[top[-1]] if len(top) == k else np.inf)
+                kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(limits, pa.float64()), pa.array(near, kind)], names=["vec_id", "v", "limit", "near"])
 
     return run
 
@@ -200,8 +211,10 @@ def search(rows: DataFrame, is_query, k: int = 10, ratio: float = RATIO, most_pr
     schema = "list int, vec_id long, v array<double>"
     postings = common.materialize(table.mapInArrow(_deal(graph, COPIES, 32, BOUNDARY), schema), "ann-postings")
     some = spark.sparkContext.broadcast((taken.column("vec_id").to_numpy()[:LIMIT_ROWS], x[:LIMIT_ROWS].copy()))
-    asks = table.where(is_query(F.col("vec_id"))).mapInArrow(_limit(some, k), "vec_id long, v array<double>, limit double")
-    asks = asks.mapInArrow(_deal(graph, most_probes, most_probes + 32, ratio), f"{schema}, limit double")
+    asks = table.where(is_query(F.col("vec_id"))).mapInArrow(_limit(some, k), "vec_id long, v array<double>, limit double, near array<struct<vec_id:long,score:double>>")
+    asks = common.materialize(asks, "ann-asks")
+    sampled = asks.select(F.col("vec_id").alias("query_id"), F.explode("near").alias("n")).select("query_id", "n.vec_id", "n.score")
+    asks = asks.select("vec_id", "v", "limit").mapInArrow(_deal(graph, most_probes, most_probes + 32, ratio), f"{schema}, limit double")
     # one count for each list, at most MOST_LISTS rows
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     counted = blocks.collect()
@@ -209,7 +222,7 @@ def search(rows: DataFrame, is_query, k: int = 10, ratio: float = RATIO, most_pr
     postings = postings.join(blocks(), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
     asks = asks.join(blocks(), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     found = postings.groupBy("list", "block").cogroup(asks.groupBy("list", "block")).applyInArrow(_read_lists(k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    once = found.union(sampled).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

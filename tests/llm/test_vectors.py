@@ -97,3 +97,22 @@ def test_graph_finds_the_nearest():
     assert (np.diff(near, axis=1) >= 0).all()
     sizes = np.bincount(ann.squared(x, ann.fit_centroids(x.copy(), 10)).argmin(axis=1), minlength=10)
     assert sizes.max() <= 60
+
+
+def clustered(n, dims, seed):
+    """Gauss vectors, a third of them copies of one, with ids in random order."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x[: n // 3] = x[0]
+    return rng.permutation(3 * n)[:n], x.astype(np.float32).astype(np.float64)
+
+
+def test_every_query_has_all_ranks(spark):
+    ids, x = clustered(3000, 8, 3)
+    ids[1000:1040] = 100 * np.arange(100_000, 100_040)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = by_query(ann.search(rows, lambda c: c >= 10_000_000).collect())
+    assert len(got) == 40
+    for q in range(1000, 1040):
+        want = nearest(ids, x, q)
+        assert [v for v, _ in got[int(ids[q])]] == [v for v, _ in want]
