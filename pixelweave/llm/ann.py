@@ -2,8 +2,8 @@
 
 Centroids are fitted on a bounded sample (SAMPLE rows) by balanced k-means; every row is indexed. A row stands in the
 posting list of its nearest centroid, and of others nearly as near (within 1 + BOUNDARY of the least distance). A query
-finds near centroids by best-first search in a neighbour graph held in memory, keeps those whose distance is within
-1 + RATIO of the least, and reads their lists whole; distances are exact, in double precision. The nearest
+finds near centroids by best-first search in a neighbour graph held in memory, keeps the LEAST_PROBES nearest and those
+whose distance is within 1 + RATIO of the least, and reads their lists whole; distances are exact, in double precision. The nearest
 of a fixed sample are candidates besides, so a query has k rows wherever the table has k others.
 
 Centroids number at most MOST_LISTS, so the graph that is broadcast has a fixed bound; longer lists are cut into blocks
@@ -29,6 +29,8 @@ LIST_ROWS, MOST_LISTS, BLOCK = 200, 2048, 2048
 NEIGHBOURS = 24
 BOUNDARY, COPIES = 0.06, 4
 RATIO, MOST_PROBES = 0.2, 512
+#: A query's nearest lists that are read whatever the ratio: in few dimensions, or beside copies, the least distance is near 0.
+LEAST_PROBES = 16
 #: Sampled rows whose k nearest are candidates of a query; the k-th bounds its k-th nearest distance from above, so lists give only rows within it.
 LIMIT_ROWS = 4096
 
@@ -129,15 +131,15 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.sqrt(np.take_along_axis(near, order, 1))
 
 
-def _deal(graph, wanted: int, width: int, ratio: float):
-    """Rows of (vec_id, v) → one for each list within 1 + ratio of the least distance."""
+def _deal(graph, wanted: int, width: int, ratio: float, least: int = 1):
+    """Rows of (vec_id, v) → one for each list within 1 + ratio of the least distance, and for the ``least`` nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
                 ids, near = graph.value.search(matrix(part.column("v")), wanted, width)
-                keep = np.isfinite(near) & (near <= near[:, :1] * (1 + ratio))
+                keep = np.isfinite(near) & ((near <= near[:, :1] * (1 + ratio)) | (np.arange(near.shape[1]) < least))
                 row, col = np.nonzero(keep)
                 at = pa.array(row)
                 others = [c for c in part.schema.names if c != "list"]
@@ -214,7 +216,7 @@ def search(rows: DataFrame, is_query, k: int = 10, ratio: float = RATIO, most_pr
     asks = table.where(is_query(F.col("vec_id"))).mapInArrow(_limit(some, k), "vec_id long, v array<double>, limit double, near array<struct<vec_id:long,score:double>>")
     asks = common.materialize(asks, "ann-asks")
     sampled = asks.select(F.col("vec_id").alias("query_id"), F.explode("near").alias("n")).select("query_id", "n.vec_id", "n.score")
-    asks = asks.select("vec_id", "v", "limit").mapInArrow(_deal(graph, most_probes, most_probes + 32, ratio), f"{schema}, limit double")
+    asks = asks.select("vec_id", "v", "limit").mapInArrow(_deal(graph, most_probes, most_probes + 32, ratio, LEAST_PROBES), f"{schema}, limit double")
     # one count for each list, at most MOST_LISTS rows
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     counted = blocks.collect()

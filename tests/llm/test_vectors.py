@@ -116,3 +116,15 @@ def test_every_query_has_all_ranks(spark):
     for q in range(1000, 1040):
         want = nearest(ids, x, q)
         assert [v for v, _ in got[int(ids[q])]] == [v for v, _ in want]
+
+
+def test_recall_in_few_dimensions_and_among_copies(spark):
+    for copies in (False, True):
+        ids, x = clustered(20_000, 8, 4)
+        if not copies:
+            x = np.random.default_rng(6).standard_normal(x.shape).astype(np.float32).astype(np.float64)
+        asked = set(ids[-60:].tolist())
+        rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+        got = by_query(ann.search(rows, lambda c: c.isin(asked)).collect())  # noqa: B023
+        hits = sum(len(dict(nearest(ids, x, q)).keys() & dict(got[int(ids[q])]).keys()) for q in range(len(ids) - 60, len(ids)))
+        assert hits >= 0.95 * 10 * 60, (copies, hits)
