@@ -31,13 +31,17 @@ ROUNDS = 10
 #: Fixed values of HTML: elements whose bounds part blocks, whose content is no text, and that close an open element.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|textarea|noscript|iframe|object|svg|math|canvas|audio|video|noframes"
+RAW = "script|style|template|textarea|noscript|iframe|noframes"
+#: Elements whose content is no text either, but only as far as their own end tag: an unclosed one is its start tag alone.
+CLOSED = "object|svg|canvas|audio|video"
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words of class names and ids, and elements, that mark a part of a page as no content (for weak labels only).
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer form header login menu meta nav navbar navigation newsletter notice pagination pager popup promo related respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 NOT_ELEMENTS = frozenset("nav aside footer header form head title button select option label menu dialog fieldset search legend".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: By name: start and end tags of an element of CLOSED, and what may hold their likes without being one.
+BOUNDS = {name: re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?){name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I) for name in CLOSED.split("|")}
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAME = re.compile(r"[a-z]+|[0-9]+")
 
@@ -61,6 +65,20 @@ def _names(attributes: str) -> list[str]:
     return out
 
 
+def _spans(page: str, name: str, at: int) -> dict[int, int]:
+    """Start of each closed element of a name, from ``at`` on → its end; each end tag ends the last open start tag."""
+    out, open_ = {}, []
+    for m in BOUNDS[name].finditer(page, at):
+        if m[2] == "":
+            if name == "svg" and m[0].endswith("/>"):
+                out[m.start()] = m.end()
+            else:
+                open_.append(m.start())
+        elif m[2] and open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def leaves(page: str) -> list[Leaf]:
     """The leaves of a page in order; unclosed, crossing and unknown tags are borne as browsers bear them."""
     out: list[Leaf] = []
@@ -83,7 +101,8 @@ def leaves(page: str) -> list[Leaf]:
         del stack[k:]
         path = tuple(x for _, names in stack for x in names)
 
-    for m in TOKEN.finditer(page):
+    spans: dict[str, dict[int, int]] = {}
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             buffer.append(piece)
@@ -96,6 +115,11 @@ def leaves(page: str) -> list[Leaf]:
                 buffer.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
+        if tag in BOUNDS and not m[2]:
+            if tag not in spans:
+                spans[tag] = _spans(page, tag, m.start())
+            at = spans[tag].get(m.start(), at)
+            continue
         if tag == "a":
             in_link = 0 if m[2] else 1
         if tag == "br":

@@ -72,3 +72,16 @@ def test_odd_rows(spark, network):
     assert {r.page_id: r.text for r in got}[1] == ""
     assert {r.page_id: r.n_chars for r in got}[4] == len("long words here. " * 20_000) - 1
     assert html_blocks.main_text(df.limit(0)).count() == 0
+
+
+def test_elements_without_text_end_where_they_end():
+    texts = lambda page: [x.text for x in html_blocks.leaves(page)]
+    article = "<article><p>a</p><p>b</p></article>"
+    for icon in ('<svg class="i"/>', "<SVG viewBox='0 0 > 1'\n/>", "<svg/>", "<svg class=i>", "<math/>", "<video src='v'>", "<audio src=v>", "<canvas id=c>", "<object data='o'/>", "<object data='o'>"):
+        assert texts(f"<header>h{icon}</header>{article}") == ["h", "a", "b"], icon
+        assert texts(f"<header>h{icon}</header>{article}<svg><title>t</title></svg><video>no</video><object>no</object><p>c") == ["h", "a", "b", "c"], icon
+    for closed in ("<svg><svg>no</svg>no<style/></svg>", "<svg><style>p{} </svg></style><text>no</text></svg>", "<svg><!-- </svg> --><svg/>no</svg>", "<object>no<object>no</object>no</object>", "<video>no <a href='x'>no</a></VIDEO >", "<canvas>no</canvas>"):
+        assert texts(f"x{closed}y<p>z") == ["xy", "z"], closed
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["so x=2 holds"]
+    assert texts("<p>a<iframe src='x'>no<p>no") == ["a"]
+    assert len(texts("<p>a<video>" * 20_000)) == 20_000
