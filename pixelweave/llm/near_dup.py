@@ -132,7 +132,7 @@ def _sketch(idf):
                 packed: list[bytes | None] = [None] * (b - a)
                 for row, sample in zip(present.tolist(), samples, strict=True):
                     packed[row] = sample.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("raw").slice(a, b - a), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(total), pa.array(packed, pa.binary())], names=["doc_id", "raw", "node", "weight", "samples"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("raw").slice(a, b - a), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(total, pa.float64()), pa.array(packed, pa.binary())], names=["doc_id", "raw", "node", "weight", "samples"])
 
     return run
 
@@ -234,12 +234,17 @@ def _exact(row, column, weight, x: int, y: int, total) -> float:
     return both / max(total[x] + total[y] - both, 1e-12)
 
 
+def _raw():
+    """Hash of the text as it stands; a null text is not the empty one."""
+    return F.xxhash64(F.col("text").cast("string")).alias("raw")
+
+
 class NearDuplicates:
     """The whole job on one table; its steps are kept as tables in the shared folder."""
 
     def __init__(self, docs: DataFrame, similarity: float = SIMILARITY):
         self.spark, self.similarity = docs.sparkSession, similarity
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty("text").alias("text")).withColumn("raw", F.xxhash64("text"))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty("text").alias("text"), _raw())
         self.idf = self.spark.sparkContext.broadcast(word_weights(docs))
 
     def sketches(self) -> DataFrame:
@@ -256,8 +261,8 @@ class NearDuplicates:
     def classes(self) -> DataFrame:
         """doc_id, raw, class_id (least doc_id of the class) of every row of the table.
 
-        A null text is empty; texts without words are alone with their exact like (equal words: none) and never linked
-        to others: each is a class of its own row's doc_id.
+        A null text has no words; texts without words are a class with their exact like (null with null, empty with
+        empty) and never linked to others.
         """
         rows = self.sketches()
         worded = rows.where(F.col("samples").isNotNull())
@@ -282,11 +287,10 @@ class NearDuplicates:
         if more.take(1):
             labels = components(links.union(more).select("a", "b"))
         out = rows.join(labels, "node", "left")
-        out = out.select("doc_id", "raw", "node", F.coalesce("label", "node").alias("label"), F.col("samples").isNotNull().alias("worded"))
-        least = out.where("worded").groupBy("label").agg(F.min(F.struct("doc_id", "raw")).alias("keep"), F.count("*").alias("class_size"))
-        out = out.join(least, "label", "left")
-        alone = F.struct("doc_id", "raw")
-        return out.select("doc_id", "raw", F.when(F.col("worded"), F.col("keep.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("worded"), F.col("class_size")).otherwise(1).alias("class_size"), F.when(F.col("worded"), F.col("keep")).otherwise(alone).alias("keep"))
+        own = F.encode(F.concat(F.lit("raw:"), F.col("raw").cast("string")), "utf-8")
+        out = out.select("doc_id", "raw", F.when(F.col("samples").isNotNull(), F.coalesce("label", "node")).otherwise(own).alias("label"))
+        least = out.groupBy("label").agg(F.min(F.struct("doc_id", "raw")).alias("keep"), F.count("*").alias("class_size"))
+        return out.join(least, "label").select("doc_id", "raw", F.col("keep.doc_id").alias("class_id"), "class_size", "keep")
 
     def _fitting(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a < b) whose total weights don't rule the similarity out."""
@@ -326,13 +330,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The document of least doc_id of each class, once; columns of ``docs``. Texts without words all stay.
+    """The document of least doc_id of each class, once; columns of ``docs``. Of exact copies of a text without words one stays.
 
     Rows that agree in doc_id and text are repeated rows: one of them stays.
     """
     job = NearDuplicates(docs, similarity)
     found = job.classes()
-    raw = F.xxhash64(common.text_or_empty("text"))
+    raw = _raw()
     kept = found.where((F.col("keep.raw") == F.col("raw")) & F.col("keep.doc_id").eqNullSafe(F.col("doc_id")))
     kept = common.materialize(kept.groupBy(F.col("doc_id").alias("nd_id"), F.col("raw").alias("nd_raw")).agg(F.count("*").alias("nd_n")), "near-kept")
     out = docs.withColumn("nd_key", raw).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("nd_id")) & (F.col("nd_key") == F.col("nd_raw")))

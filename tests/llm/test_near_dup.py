@@ -119,3 +119,14 @@ def test_word_hash_ignores_neighbours():
     low = [bytes(data[a:b]).lower() for a, b in zip(starts, ends, strict=True)]
     assert rows.tolist() == [0, 0, 1, 3, 3, 3, 3] and len(set(hashes.tolist())) == len(set(low))
     assert list(common.row_chunks(np.array([0, 5, 5, 30, 31]), 10)) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_exact_copies_without_words_are_a_class(spark):
+    texts = ["!!!", "", None, "?", "!!!", " ", "", None, "!!! ", "!!!", "a word", "a  word", "!"]
+    docs = spark.createDataFrame(list(enumerate(texts, 10)), "doc_id long, text string")
+    got = near_dup.classes(docs).collect()
+    like = collections.defaultdict(list)
+    for k, t in enumerate(texts, 10):
+        like["a word" if t == "a  word" else t].append(k)
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted((k, g[0], len(g)) for g in like.values() for k in g)
+    assert sorted(r.doc_id for r in near_dup.keep_one(docs).collect()) == sorted(g[0] for g in like.values())
