@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,17 @@ from .vectors import matrix, usable
 
 #: Documents of a shard and of a block in it; queries that a task answers.
 SHARD, BLOCK, QUERIES = 4096, 1024, 1024
-#: Components beyond this size could overflow a 64-bit score; such rows take no part.
+#: Components from this size on could overflow a 64-bit sum; such rows are reckoned in Python's integers, in shards and parts of their own.
 LARGEST = 2.0**27
 
 
+def integers(w: np.ndarray) -> np.ndarray:
+    """Whole doubles as 64-bit integers, or as Python's where one is too large."""
+    if not w.size or np.abs(w).max() < LARGEST:
+        return w.astype(np.int64)
+    return np.array([int(x) for x in w.flat], object).reshape(w.shape)
+
+
 class Shard:
     """Postings of some documents, in blocks: for each term its documents (offsets in the block) and weights, and the weights' range."""
 
@@ -43,10 +51,13 @@ class Shard:
 
     def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), ties to the smaller id, without the query's own row."""
+        wide = query.dtype == object or (bool(self.blocks) and self.blocks[0][2].dtype == object)
+        query = query.astype(object) if wide else query
+        kind = object if wide else np.int64
         terms = np.flatnonzero(query)
         best: list[tuple[int, int]] = []
         least = None
-        bounds = [np.maximum(query * high, query * low)[terms] for _, _, high, low in self.blocks]
+        bounds = [np.maximum(query * high.astype(kind, copy=False), query * low.astype(kind, copy=False))[terms] for _, _, high, low in self.blocks]
         # blocks that can score highest go first: the k-th best score rises early
         for b in sorted(range(len(self.blocks)), key=lambda b: -int(bounds[b].sum())):
             ids, postings, _, _ = self.blocks[b]
@@ -61,10 +72,10 @@ class Shard:
                 positive = np.concatenate(([0], np.cumsum(np.maximum(bound[order], 0))))
                 essential = int(np.searchsorted(positive, least, "left")) - 1 if least > 0 else 0
                 essential = min(max(essential, 0), len(order))
-            score, alive = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+            score, alive = np.zeros(len(ids), kind), np.zeros(len(ids), bool)
             for j in range(len(order) - 1, essential - 1, -1):
                 at, weight = postings[terms[order[j]]]
-                score[at] += weight * query[terms[order[j]]]
+                score[at] += weight.astype(kind, copy=False) * query[terms[order[j]]]
                 alive[at] = True
             if essential == 0:
                 alive[:] = True
@@ -78,12 +89,13 @@ class Shard:
                 place = np.searchsorted(at, docs)
                 hit = place < len(at)
                 hit[hit] = at[place[hit]] == docs[hit]
-                score[docs[hit]] += weight[place[hit]] * query[terms[order[j]]]
+                score[docs[hit]] += weight[place[hit]].astype(kind, copy=False) * query[terms[order[j]]]
             docs = docs[ids[docs] != own]
             if least is not None:
                 docs = docs[score[docs] >= least]
             if len(docs):
-                some = docs[np.lexsort((ids[docs], -score[docs]))[:k]]
+                by_id = docs[np.argsort(ids[docs], kind="stable")]
+                some = by_id[np.argsort(-score[by_id], kind="stable")[:k]]
                 best = sorted([*best, *zip(score[some].tolist(), ids[some].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
                 if len(best) == k:
                     least = best[-1][0]
@@ -91,12 +103,12 @@ class Shard:
 
 
 def _index(key, table):
-    content = pickle.dumps(Shard(table.column("vec_id").to_numpy(), matrix(table.column("w"), np.int64)), protocol=5)
+    content = pickle.dumps(Shard(table.column("vec_id").to_numpy(), integers(matrix(table.column("w")))), protocol=5)
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
 
 
 def _pack(key, table):
-    content = pickle.dumps((table.column("vec_id").to_numpy(), matrix(table.column("w"), np.int64)), protocol=5)
+    content = pickle.dumps((table.column("vec_id").to_numpy(), integers(matrix(table.column("w")))), protocol=5)
     return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "queries": pa.array([content], pa.binary())})
 
 
@@ -107,7 +119,8 @@ def _answer(k: int):
                 shard, (asks, weights) = pickle.loads(content.as_py()), pickle.loads(packed.as_py())
                 rows = [(int(ask), doc, score) for ask, query in zip(asks, weights, strict=True) for score, doc in shard.top(query, int(ask), k)]
                 columns = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+                scores = pa.array([Decimal(s) for s in columns[2]], pa.decimal128(38, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), scores], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -115,21 +128,25 @@ def _answer(k: int):
 def search(rows: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of floor(scale * x) of each query row with all other rows.
 
-    Null, non-finite and odd-length vectors take no part, nor do rows with a component beyond LARGEST; repeated rows
-    of an id are one row. Queries meet all shards in blocks of QUERIES queries and SHARD rows.
+    Null, non-finite and odd-length vectors take no part; repeated rows of an id are one row. A score among the k that
+    64 bits do not hold is an error, as in SQL. Queries meet all shards in blocks of QUERIES queries and SHARD rows.
     """
     spark = rows.sparkSession
-    table = usable(rows, nonzero=False).select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("f"))
-    table = table.where(F.forall("f", lambda x: F.abs(x) < LARGEST)).select("vec_id", F.col("f").cast("array<long>").alias("w"))
+    # the floor is 64-bit; a double of 2^53 or more is whole as it is
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    table = usable(rows, nonzero=False).select("vec_id", F.transform("v", lambda x: whole(x * scale)).alias("w"))
+    table = table.withColumn("wide", F.exists("w", lambda x: F.abs(x) >= LARGEST))
     table = common.materialize(table, "maxscore-rows")
     asks = table.where(is_query(F.col("vec_id")))
-    n, q = table.count(), asks.count()
-    shards, parts = max(1, -(-n // SHARD)), max(1, -(-q // QUERIES))
-    key = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+    count = lambda some: (some.where(~F.col("wide")).count(), some.where("wide").count())
+    (n, wide_n), (q, wide_q) = count(table), count(asks)
+    shards, wide_shards, parts, wide_parts = max(1, -(-n // SHARD)), -(-wide_n // SHARD), max(1, -(-q // QUERIES)), -(-wide_q // QUERIES)
+    place = lambda of, wide_of, *seed: F.when(F.col("wide"), of + F.pmod(F.xxhash64("vec_id", *seed), F.lit(max(1, wide_of)))).otherwise(F.pmod(F.xxhash64("vec_id", *seed), F.lit(of)))
+    key = place(shards, wide_shards)
     index = common.materialize(table.withColumn("shard", key).groupBy("shard").applyInArrow(_index, "shard long, content binary"), "maxscore-index")
-    packed = common.materialize(asks.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts))).groupBy("part").applyInArrow(_pack, "part long, queries binary"), "maxscore-queries")
-    left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
-    right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-    found = left.join(right, ["shard", "part"]).select("content", "queries").mapInArrow(_answer(k), "query_id long, vec_id long, score long")
+    packed = common.materialize(asks.withColumn("part", place(parts, wide_parts, F.lit(1))).groupBy("part").applyInArrow(_pack, "part long, queries binary"), "maxscore-queries")
+    left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts + wide_parts - 1)))).withColumn("part", F.col("part").cast("long"))
+    right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards + wide_shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
+    found = left.join(right, ["shard", "part"]).select("content", "queries").mapInArrow(_answer(k), "query_id long, vec_id long, score decimal(38,0)")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

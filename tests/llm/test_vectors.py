@@ -128,3 +128,16 @@ def test_recall_in_few_dimensions_and_among_copies(spark):
         got = by_query(ann.search(rows, lambda c: c.isin(asked)).collect())  # noqa: B023
         hits = sum(len(dict(nearest(ids, x, q)).keys() & dict(got[int(ids[q])]).keys()) for q in range(len(ids) - 60, len(ids)))
         assert hits >= 0.95 * 10 * 60, (copies, hits)
+
+
+def test_maxscore_of_large_components(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 4)).astype(np.float32).astype(np.float64)
+    x[::7] *= 200_000
+    x[3] = [2.0**20, 0.0, 0.0, 0.0]
+    x = x.astype(np.float32).astype(np.float64)
+    ids = rng.permutation(300)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = by_query(maxscore.search(rows, lambda c: c % 5 == 0).collect())
+    w = np.array([[int(np.floor(c * 1024)) for c in v] for v in x], object)
+    assert got == {int(ids[q]): [(int(ids[j]), int(w[j] @ w[q])) for j in sorted(range(300), key=lambda j: (-int(w[j] @ w[q]), ids[j])) if j != q][:10] for q in np.flatnonzero(ids % 5 == 0)}  # noqa: B023
