@@ -75,3 +75,18 @@ def test_odd_rows(spark):
         assert added.columns == [*docs.columns, "tx_score"]
         assert sorted(r.tx_score for r in added.collect()) == sorted(r.score for r in rows)
     assert toxicity.scores(no_documents(spark), fitted).count() == 0
+
+
+def test_unseen_misspellings_in_short_texts(model):
+    fitted, plain = model
+    clean = " ".join(plain[:30])
+    s = score(fitted, clean, clean + " grobvexx zukkwitz", clean + " gr0bvex zukwit")
+    assert s[0] < 0.2 and s[1] > 0.8 and s[2] >= 0.5
+
+
+@pytest.mark.xfail(reason="0.592 and 0.096: the mean over the words dilutes two misspellings among 60 clean words", strict=True)
+def test_unseen_misspellings_in_longer_texts(model):
+    fitted, plain = model
+    clean = " ".join(plain[:60])
+    s = score(fitted, clean, clean + " grobvexx zukkwitz", clean + " gr0bvex zukwit")
+    assert s[0] < 0.2 and s[1] > 0.8 and s[2] >= 0.5
