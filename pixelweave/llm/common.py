@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch between the JVM and Python while this package writes its tables; texts may be long.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Arrow batches hold BATCH_ROWS rows, so that neither side of a task holds many megabytes of text twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a shared folder and read it again: cuts the lineage, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +64,8 @@ def write_files(files: DataFrame, ending: bytes, name: str) -> str:
     """
     path = shared_dir(files.sparkSession, name)
     rows = files.select(F.col("content").cast("string").alias("value"))
-    rows.write.option("lineSep", ending.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
+    with small_batches(files.sparkSession):
+        rows.write.option("lineSep", ending.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
     return path
 
 

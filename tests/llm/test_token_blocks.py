@@ -53,9 +53,31 @@ def test_no_rows(spark):
     assert token_blocks.read_token_files(spark, path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a  b", " a", "a ", "a \n b", "it's  'x' don't", "\n\n a  b c  d", "1 2  33 ,, ;;  <|endoftext|> x", "tab\t x \t\ty", "\x1c a \x1f  b", "é è  ÿ"])
-def test_pieces_equal_whole(text):
+def encoded(texts, encoder=None):
+    raw = [t.encode() for t in texts]
+    ids, counts = (encoder or token_blocks.PieceEncoder(queries.byte_bpe())).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def whole(texts):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(queries.byte_bpe()).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(next(token_blocks.WordEncoder(queries.byte_bpe()).encode([text])), "<u4").tolist() == whole
+    return [e.ids for e in Tokenizer.from_file(queries.byte_bpe()).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_equal_whole():
+    texts = ["a  b", " a", "a ", "a \n b", "it's  'x' don't", "\n\n a  b c  d", "1 2  33 ,, ;;  <|endoftext|> x", "tab\t x \t\ty", "\x1c a \x1f  b", "é è  ÿ", "", "\n", "\n\nx", "x\n", "a\x00", "a", "a\u00a0\n\nb", "e\u0301's×÷ ß%é's", "\u3000 x\u2003\n y\x85\n\nz", "日本語、テキスト。 " * 20, "x" * 24, "x" * 23, "  \nfoo", "foo\n'bar"]
+    assert encoded(texts) == whole(texts)
+
+
+def test_random_texts_equal_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    signs = np.array(list("abZé×ß09 '%.,\n\t\r-_\u00a0\u0301\u3000日\x1c\x85\x00ſİ²½٣") + ["  ", "'s", "'ll", " '", "\n\n", "word", " the"])
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 40)))) for _ in range(3000)]
+    want = whole(texts)
+    assert encoded(texts) == want
+    monkeypatch.setattr(token_blocks, "CACHE_SLOTS", 256)  # generations change all the time
+    encoder = token_blocks.PieceEncoder(queries.byte_bpe())
+    encoder.table = token_blocks.PieceTable(256)
+    monkeypatch.setattr(token_blocks.PieceTable.__init__, "__defaults__", (256,))
+    assert [encoded(texts[a : a + 50], encoder) for a in range(0, 3000, 50)] == [want[a : a + 50] for a in range(0, 3000, 50)]
