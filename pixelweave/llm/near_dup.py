@@ -57,7 +57,9 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def word_weights(docs: DataFrame) -> np.ndarray:
     """ln(1 + N / df) of each word bucket over all rows; 65,537 sums reach the driver at most."""
-    sums = docs.select(common.text_or_empty("text").alias("text")).mapInArrow(_document_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select(common.text_or_empty("text").alias("text")).mapInArrow(_document_counts, "bucket int, n long")
+    with common.small_batches(docs.sparkSession):
+        sums = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS + 1, np.float64)
     df[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     return np.log1p(df[-1] / np.maximum(df[:-1], 1)).astype(np.float32)

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -242,24 +241,25 @@ def add_score(docs: DataFrame, model: Model, name: str = "tx_score") -> DataFram
     """``docs`` with the score of every whole text (null: empty); only the text is read by the model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.large_string())
-        data, offsets = common.string_buffers(column)
-        parts = [shared.value.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in common.row_chunks(offsets)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return _scored(shared.value, texts)
 
     return docs.withColumn(name, score(common.text_or_empty("text")))
 
 
+def _scored(model: Model, texts: pa.Array) -> pa.Array:
+    data, offsets = common.string_buffers(texts)
+    parts = [model.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in common.row_chunks(offsets)]
+    return pa.array(np.concatenate([*parts, np.zeros(0)]))
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score only, over Arrow batches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = common.string_buffers(batch.column("text"))
-            parts = [shared.value.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in common.row_chunks(offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _scored(shared.value, batch.column("text"))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
