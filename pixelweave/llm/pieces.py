@@ -36,7 +36,8 @@ class Vocabulary:
     byte: np.ndarray  #: the piece of each byte
     text: list[bytes]
     unknown: float
-    runs: bool  #: whether some usable piece has more than one marker
+    runs: bool  #: whether some piece has more than one marker at its front
+    inner: bool  #: whether some piece has a marker after another character
 
 
 def build_trie(pieces: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,8 +104,10 @@ def load(path: str, scores: Callable[[int, float], float] | None = None) -> Voca
         raise ValueError("the model has no byte fallback")
     base, check, piece = build_trie(usable)
     real = [score[k] for k in usable.values() if score[k] > PLACEHOLDER]
-    runs = any(score[k] > PLACEHOLDER and name.count(MARK.encode()) > 1 or MARK.encode() in name[1:] and name.strip(MARK.encode()) for name, k in usable.items() if name.count(MARK.encode()) > 0 and (name.count(MARK.encode()) > 1 or not name.startswith(MARK.encode())))
-    return Vocabulary(base, check, piece, score, byte, text, min(real, default=0.0) - 10, runs)
+    mark = MARK.encode()
+    runs = any(name.startswith(2 * mark) for name in usable)
+    inner = any(MARK in name.decode("utf-8", "replace").lstrip(MARK) for name in usable)
+    return Vocabulary(base, check, piece, score, byte, text, min(real, default=0.0) - 10, runs, inner)
 
 
 def viterbi(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
@@ -178,8 +181,9 @@ def _viterbi_block(v, words, lengths, rows, out) -> None:
 class Codec:
     """Encodes and decodes whole texts; a word (a marker and what follows up to the next) is segmented once.
 
-    Segmenting word by word is exact where no usable piece holds a marker beyond its first place; in a vocabulary with
-    such pieces, runs of spaces stay with the word after them.
+    Segmenting word by word is exact where no piece holds a marker beyond its first place. In a vocabulary with pieces
+    of several leading markers, runs of spaces stay with the word after them; with a piece that holds a marker after
+    another character, a text is one word.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -214,7 +218,9 @@ class Codec:
     def _cut(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.v.runs:
+        if self.v.inner:
+            return [" " + text]
+        if self.v.runs and (text[0] == " " or "  " in text):
             return self.words.findall(" " + text)
         return [" " + w for w in text.split(" ")]
 
@@ -303,12 +309,19 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, pieces (ids) of every row; a null text is empty and has no pieces."""
+    """doc_id, n_pieces, pieces (ids) of every row, in any order; repeated rows give a row each.
+
+    A null or empty text has no pieces; a text of any length is segmented whole, in words. Other columns are not read,
+    whatever their names; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     return _narrow(docs).mapInArrow(_encode(shared, True), "doc_id long, n_pieces long, pieces array<int>")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, crc32 of the ids as little-endian 32-bit integers, and whether decoding gives the text again."""
+    """doc_id, n_pieces, crc32 of the ids as little-endian 32-bit integers, and whether decoding gives the text again.
+
+    Rows as those of ``encode``; a null text counts as the empty one, whose crc32 is 0.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
     return _narrow(docs).mapInArrow(_encode(shared, False), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
