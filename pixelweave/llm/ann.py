@@ -6,8 +6,8 @@ finds near centroids by best-first search in a neighbour graph held in memory, k
 whose distance is within 1 + RATIO of the least, and reads their lists whole; distances are exact, in double precision. The nearest
 of a fixed sample are candidates besides, so a query has k rows wherever the table has k others.
 
-Centroids number at most MOST_LISTS, so the graph that is broadcast has a fixed bound; longer lists are cut into blocks
-by a hash of the id, so no task reads more than about BLOCK rows of a list however the rows cluster.
+Centroids number at most MOST_LISTS, so the graph that is broadcast has a fixed bound; longer lists and
+their queries are cut into blocks by a hash, so no task reads more than about BLOCK of either however the rows cluster.
 """
 
 from __future__ import annotations
@@ -59,7 +59,9 @@ def fit_centroids(x: np.ndarray, k: int, seed: int = 0, rounds: int = 8) -> np.n
         full = sizes > 0
         sums = np.add.reduceat(x[order], begin[:-1][full], axis=0)
         centers[full] = sums / sizes[full][:, None]
-        for empty, big in zip(np.flatnonzero(~full), np.argsort(-sizes), strict=False):
+        filled = np.argsort(-sizes, kind="stable")[: int(full.sum())]
+        for nth, empty in enumerate(np.flatnonzero(~full)):
+            big = filled[nth % len(filled)]
             centers[empty] = x[order[begin[big] + rng.integers(sizes[big])]]
     return centers
 
@@ -132,7 +134,7 @@ class Graph:
 
 
 def _deal(graph, wanted: int, width: int, ratio: float, least: int = 1):
-    """Rows of (vec_id, v) → one for each list within 1 + ratio of the least distance, and for the ``least`` nearest."""
+    """Rows with a vector v → one for each list within 1 + ratio of the least distance, and for the ``least`` nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,45 +154,48 @@ def _limit(some, k: int):
     """Rows of queries with their k nearest in a sample of the rows and the k-th's distance (infinite if there are fewer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = some.value
+        rows, ids, x = some.value
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                asks, y = part.column("vec_id").to_numpy(), matrix(part.column("v"))
+                asks, y = part.column("row").to_numpy(), matrix(part.column("v"))
                 d = squared(y, x)
-                d[asks[:, None] == ids[None]] = np.inf
+                d[asks[:, None] == rows[None]] = np.inf
                 # what rounding may hide is taken in, then distances are exact, as those of the lists
                 reach = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(asks), np.inf)
                 reach = reach + 1e-12 * ((y * y).sum(axis=1) + (x * x).sum(axis=1).max(initial=0))
                 near, limits = [], []
                 for ask, row, own, most in zip(asks, d, y, reach, strict=True):
-                    at = np.flatnonzero((row <= most) & (ids != ask))
+                    at = np.flatnonzero((row <= most) & (rows != ask))
                     far = np.sqrt(((own - x[at]) ** 2).sum(axis=1))
                     top = np.lexsort((ids[at], far))[:k]
-                    near.append([{"vec_id": i, "score": f} for i, f in zip(ids[at[top]].tolist(), far[top].tolist(), strict=True)])
+                    near.append([{"row": r, "vec_id": i, "score": f} for r, i, f in zip(rows[at[top]].tolist(), ids[at[top]].tolist(), far[top].tolist(), strict=True)])
                     limits.append(far[top[-1]] if len(top) == k else np.inf)
-                kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(limits, pa.float64()), pa.array(near, kind)], names=["vec_id", "v", "limit", "near"])
+                kind = pa.list_(pa.struct([("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "vec_id", "v")), pa.array(limits, pa.float64()), pa.array(near, kind)], names=["row", "vec_id", "v", "limit", "near"])
 
     return run
 
 
+FOUND = "ask long, query_id long, row long, vec_id long, score double"
+
+
 def _read_lists(k: int):
     def run(key, postings: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         if len(postings) and len(queries):
-            ids, x = postings.column("vec_id").to_numpy(), matrix(postings.column("v"))
-            asks, y = queries.column("vec_id").to_numpy(), matrix(queries.column("v"))
+            rows, ids, x = postings.column("row").to_numpy(), postings.column("vec_id").to_numpy(), matrix(postings.column("v"))
+            asks, names, y = queries.column("row").to_numpy(), queries.column("vec_id").to_numpy(), matrix(queries.column("v"))
             limits = queries.column("limit").to_numpy()
             step = max(1, 2_000_000 // max(1, x.size))
             for a in range(0, len(asks), step):
                 d = np.sqrt(((y[a : a + step, None, :] - x[None]) ** 2).sum(axis=2))
-                for row, ask, limit in zip(d, asks[a : a + step], limits[a : a + step], strict=True):
-                    near = np.flatnonzero((ids != ask) & (row <= limit))
+                for row, ask, name, limit in zip(d, asks[a : a + step], names[a : a + step], limits[a : a + step], strict=True):
+                    near = np.flatnonzero((rows != ask) & (row <= limit))
                     top = near[np.lexsort((ids[near], row[near]))[:k]]
-                    found.append((np.full(len(top), ask), ids[top], row[top]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+                    found.append((np.full(len(top), ask), np.full(len(top), name), rows[top], ids[top], row[top]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        return pa.table({n: pa.array(c, pa.float64() if n == "score" else pa.int64()) for n, c in zip(("ask", "query_id", "row", "vec_id", "score"), columns, strict=True)})
 
     return run
 
@@ -198,33 +203,36 @@ def _read_lists(k: int):
 def search(rows: DataFrame, is_query, k: int = 10, ratio: float = RATIO, most_probes: int = MOST_PROBES, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found of each query row, nearest first, ties to the smaller id.
 
-    ``rows``: vec_id, embedding; ``is_query`` is a condition on vec_id. Null, zero, non-finite and odd-length vectors take
-    no part; repeated rows of an id are one row; a row is never its own neighbour. No rows give no result.
+    ``rows``: vec_id, embedding; other columns are not read, whatever their names. ``is_query`` is a condition on vec_id.
+    Null, zero and non-finite vectors take no part, nor do those of another length than most (``vectors.usable``). A
+    query's candidates are all rows but its own: others of its id are candidates, and each row of a repeated query id is
+    a query, with ranks of its own. No rows, or no others, give no result. Runs some jobs when called.
     """
     spark = rows.sparkSession
     table = common.materialize(usable(rows, nonzero=True), "ann-rows")
     n = table.count()
-    taken = table.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string"))), "vec_id").limit(sample).select("vec_id", "v").toArrow()
+    taken = common.by_hash(table, F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), n, sample).select("row", "vec_id", "v").toArrow()
     x = matrix(taken.column("v"))
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n_lists = int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x) // 8)))
     graph = spark.sparkContext.broadcast(Graph.build(fit_centroids(x, n_lists, seed), seed=seed))
-    schema = "list int, vec_id long, v array<double>"
+    schema = "list int, row long, vec_id long, v array<double>"
     postings = common.materialize(table.mapInArrow(_deal(graph, COPIES, 32, BOUNDARY), schema), "ann-postings")
-    some = spark.sparkContext.broadcast((taken.column("vec_id").to_numpy()[:LIMIT_ROWS], x[:LIMIT_ROWS].copy()))
-    asks = table.where(is_query(F.col("vec_id"))).mapInArrow(_limit(some, k), "vec_id long, v array<double>, limit double, near array<struct<vec_id:long,score:double>>")
+    some = spark.sparkContext.broadcast((taken.column("row").to_numpy()[:LIMIT_ROWS], taken.column("vec_id").to_numpy()[:LIMIT_ROWS], x[:LIMIT_ROWS].copy()))
+    asks = table.where(is_query(F.col("vec_id"))).mapInArrow(_limit(some, k), "row long, vec_id long, v array<double>, limit double, near array<struct<row:long,vec_id:long,score:double>>")
     asks = common.materialize(asks, "ann-asks")
-    sampled = asks.select(F.col("vec_id").alias("query_id"), F.explode("near").alias("n")).select("query_id", "n.vec_id", "n.score")
-    asks = asks.select("vec_id", "v", "limit").mapInArrow(_deal(graph, most_probes, most_probes + 32, ratio, LEAST_PROBES), f"{schema}, limit double")
-    # one count for each list, at most MOST_LISTS rows
-    blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    counted = blocks.collect()
-    blocks = lambda: F.broadcast(spark.createDataFrame(counted, "list int, blocks int"))
-    postings = postings.join(blocks(), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
-    asks = asks.join(blocks(), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    found = postings.groupBy("list", "block").cogroup(asks.groupBy("list", "block")).applyInArrow(_read_lists(k), "query_id long, vec_id long, score double")
-    once = found.union(sampled).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    sampled = asks.select(F.col("row").alias("ask"), F.col("vec_id").alias("query_id"), F.explode("near").alias("n")).select("ask", "query_id", "n.row", "n.vec_id", "n.score")
+    asks = common.materialize(asks.select("row", "vec_id", "v", "limit").mapInArrow(_deal(graph, most_probes, most_probes + 32, ratio, LEAST_PROBES), f"{schema}, limit double"), "ann-probes")
+    # one row for each list, at most MOST_LISTS: a list's rows meet its queries block by block
+    cut = lambda side, name: side.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    counted = [tuple(r) for r in cut(postings, "blocks").join(cut(asks, "parts"), "list").collect()]
+    blocks = lambda: F.broadcast(spark.createDataFrame(counted, "list int, blocks int, parts int"))
+    own = lambda name: F.pmod(F.xxhash64("row"), F.col(name).cast("long")).cast("int")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    postings = postings.join(blocks(), "list").withColumn("block", own("blocks")).withColumn("part", each("parts")).drop("blocks", "parts")
+    asks = asks.join(blocks(), "list").withColumn("part", own("parts")).withColumn("block", each("blocks")).drop("blocks", "parts")
+    found = postings.groupBy("list", "block", "part").cogroup(asks.groupBy("list", "block", "part")).applyInArrow(_read_lists(k), FOUND)
+    once = found.union(sampled).groupBy("ask", "query_id", "row", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("ask").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-

@@ -52,7 +52,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a result of ``materialize`` that nothing reads any more."""
+    jvm, at = df.sparkSession._jvm, df.written_to
+    jvm.org.apache.hadoop.fs.Path(at).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(at), True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_of(df: DataFrame, but: Iterable[str] = ()) -> Column:
+    """All columns of ``df`` in one, so that none clashes with a name that an operator uses; ``but`` those are left out."""
+    taken = {c.lower() for c in but}
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def by_hash(rows: DataFrame, key: Column, n: int, most: int) -> DataFrame:
+    """``most`` of the ``n`` rows, those of least md5 of their key: a bound on the hash leaves few more before they are sorted."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
+    share = (most + 6 * most**0.5 + 20) / max(n, 1)
+    if share < 1:
+        rows = rows.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int(share * 2**32))
+    return rows.orderBy(digest, key).limit(most)
 
 
 def write_files(files: DataFrame, ending: bytes, name: str) -> str:

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rounds beyond any graph of this library's use: each round of both steps at least halves the distance to a class's least node.
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b); the label is the least node of its component.
@@ -20,16 +17,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = common.materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     mark = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, large.a == least.u).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        edges = common.materialize(small, "components")
+        done, edges = edges, common.materialize(small, "components")
+        common.discard(done)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if now == mark:
             break
         mark = now
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return common.materialize(labels.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct(), "labels")
+    out = common.materialize(labels.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct(), "labels")
+    common.discard(edges)
+    return out

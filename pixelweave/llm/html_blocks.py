@@ -430,12 +430,17 @@ def extract(network: BiLstm, pages: list[str]) -> list[str]:
 
 
 def sample(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[str]:
-    some = pages.where(F.col("html").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES)).select(F.col("html"), F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("order"))
-    return [r.html for r in some.orderBy("order", "html").limit(most).collect()]
+    """At most ``most`` pages of up to SAMPLE_BYTES, by a hash of page_id."""
+    some = pages.select(F.col("page_id").alias("id"), "html").where(F.col("html").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES))
+    return [r.html for r in common.by_hash(some, F.col("id"), pages.count(), most).collect()]
 
 
 def main_text(pages: DataFrame, network: BiLstm | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html; a null html is empty, its text too)."""
+    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html; a null html is empty, its text too).
+
+    Pages of any length are read whole; repeated rows give a row each, an empty table none. Other columns are not read,
+    whatever their names. Without a ``network`` one is trained when this is called.
+    """
     network = network or train(sample(pages))
     shared = pages.sparkSession.sparkContext.broadcast(network)
 

@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Phrases whose places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -38,6 +40,10 @@ LOOKED_UP = None
 LEAST_SHARE = 0.6
 
 
+#: Names that ``scan`` adds.
+OUTPUTS = ("ls_n_words", "ls_n_base", "ls_first_word", "ls_last_word", "ls_base_labels", "ls_labels", "ls_score")
+
+
 def vocabulary() -> list[str]:
     return sorted({w for _, text, _ in TEMPLATES for w in text.split()} - STOP)
 
@@ -73,9 +79,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     postings; a template and the offset that its words agree on become a candidate if at least two places (or one, where
     its key phrases hold but one licence word) point there, and count if every key phrase stands in place and LEAST_SHARE
     of the template's words do. The words of the key phrases point there themselves, so no place that counts is missed. Score: 1 with a base place, else the best share of a template that counts, else 0.
-    A null or empty text has no words; labels are then empty and the places null. No shuffle but for the word counts.
+    A null or empty text has no words; labels are then empty and the places null. Texts of any length are read whole;
+    repeated rows give a row each, an empty table none. All columns of ``docs`` stay, but one named as an output gives way
+    to it. No shuffle but for the word counts, for which the texts are read once when this is called.
     """
-    rows = docs.withColumn("ls_words", words(F.coalesce(F.col(text), F.lit(""))))
+    rows = docs.select(common.row_of(docs, OUTPUTS).alias("ls_row"), words(F.coalesce(F.col(text), F.lit(""))).alias("ls_words"))
     counts = document_frequencies(rows)
     vocab = [w for w in vocabulary() if w in counts]
     for label, phrase in [(label, p.split()) for p, label in BASE.items()]:
@@ -130,7 +138,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         rows = rows.withColumn("ls_found", none)
     n_base = F.size("ls_starts")
     return rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        "ls_row.*",
         F.size("ls_words").cast("long").alias("ls_n_words"),
         n_base.cast("long").alias("ls_n_base"),
         F.array_min("ls_starts").cast("long").alias("ls_first_word"),

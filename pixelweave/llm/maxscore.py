@@ -36,8 +36,10 @@ def integers(w: np.ndarray) -> np.ndarray:
 class Shard:
     """Postings of some documents, in blocks: for each term its documents (offsets in the block) and weights, and the weights' range."""
 
-    def __init__(self, ids: np.ndarray, weights: np.ndarray):
-        order = np.argsort(ids, kind="stable")
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, own: np.ndarray | None = None):
+        """``own``: what tells rows apart (the ids, where each is one row's)."""
+        own = ids if own is None else own
+        order = np.lexsort((own, ids))
         self.blocks = []
         for a in range(0, len(ids), BLOCK):
             rows = order[a : a + BLOCK]
@@ -47,20 +49,20 @@ class Shard:
                 at = np.flatnonzero(w[:, t])
                 postings.append((at.astype(np.int16), w[at, t]))
             # documents without the term score 0 there
-            self.blocks.append((ids[rows], postings, w.max(axis=0), w.min(axis=0)))
+            self.blocks.append((ids[rows], own[rows], postings, w.max(axis=0), w.min(axis=0)))
 
     def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), ties to the smaller id, without the query's own row."""
-        wide = query.dtype == object or (bool(self.blocks) and self.blocks[0][2].dtype == object)
+        wide = query.dtype == object or (bool(self.blocks) and self.blocks[0][3].dtype == object)
         query = query.astype(object) if wide else query
         kind = object if wide else np.int64
         terms = np.flatnonzero(query)
         best: list[tuple[int, int]] = []
         least = None
-        bounds = [np.maximum(query * high.astype(kind, copy=False), query * low.astype(kind, copy=False))[terms] for _, _, high, low in self.blocks]
+        bounds = [np.maximum(query * high.astype(kind, copy=False), query * low.astype(kind, copy=False))[terms] for _, _, _, high, low in self.blocks]
         # blocks that can score highest go first: the k-th best score rises early
         for b in sorted(range(len(self.blocks)), key=lambda b: -int(bounds[b].sum())):
-            ids, postings, _, _ = self.blocks[b]
+            ids, owners, postings, _, _ = self.blocks[b]
             bound = bounds[b]
             if least is not None and bound.sum() < least:
                 break
@@ -90,7 +92,7 @@ class Shard:
                 hit = place < len(at)
                 hit[hit] = at[place[hit]] == docs[hit]
                 score[docs[hit]] += weight[place[hit]].astype(kind, copy=False) * query[terms[order[j]]]
-            docs = docs[ids[docs] != own]
+            docs = docs[owners[docs] != own]
             if least is not None:
                 docs = docs[score[docs] >= least]
             if len(docs):
@@ -103,12 +105,12 @@ class Shard:
 
 
 def _index(key, table):
-    content = pickle.dumps(Shard(table.column("vec_id").to_numpy(), integers(matrix(table.column("w")))), protocol=5)
+    content = pickle.dumps(Shard(table.column("vec_id").to_numpy(), integers(matrix(table.column("w"))), table.column("row").to_numpy()), protocol=5)
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
 
 
 def _pack(key, table):
-    content = pickle.dumps((table.column("vec_id").to_numpy(), integers(matrix(table.column("w")))), protocol=5)
+    content = pickle.dumps((table.column("row").to_numpy(), table.column("vec_id").to_numpy(), integers(matrix(table.column("w")))), protocol=5)
     return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "queries": pa.array([content], pa.binary())})
 
 
@@ -116,11 +118,11 @@ def _answer(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, packed in zip(batch.column("content"), batch.column("queries"), strict=True):
-                shard, (asks, weights) = pickle.loads(content.as_py()), pickle.loads(packed.as_py())
-                rows = [(int(ask), doc, score) for ask, query in zip(asks, weights, strict=True) for score, doc in shard.top(query, int(ask), k)]
-                columns = list(zip(*rows, strict=True)) or [(), (), ()]
-                scores = pa.array([Decimal(s) for s in columns[2]], pa.decimal128(38, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), scores], names=["query_id", "vec_id", "score"])
+                shard, (owns, asks, weights) = pickle.loads(content.as_py()), pickle.loads(packed.as_py())
+                rows = [(own, ask, doc, score) for own, ask, query in zip(owns.tolist(), asks.tolist(), weights, strict=True) for score, doc in shard.top(query, own, k)]
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                scores = pa.array([Decimal(s) for s in columns[3]], pa.decimal128(38, 0))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), scores], names=["ask", "query_id", "vec_id", "score"])
 
     return run
 
@@ -128,25 +130,28 @@ def _answer(k: int):
 def search(rows: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of floor(scale * x) of each query row with all other rows.
 
-    Null, non-finite and odd-length vectors take no part; repeated rows of an id are one row. A score among the k that
-    64 bits do not hold is an error, as in SQL. Queries meet all shards in blocks of QUERIES queries and SHARD rows.
+    Null and non-finite vectors take no part, nor do those of another length than most (``vectors.usable``); vectors of
+    any size are reckoned exactly. A query's candidates are all rows but its own: others of its id are candidates, and
+    each row of a repeated query id is a query, with ranks of its own. Ties go to the smaller vec_id. Other columns are
+    not read, whatever their names; an empty table, or one without other rows, gives no rows. A score among the k that
+    64 bits do not hold is an error, as in SQL. Runs some jobs when called. Queries meet all shards in blocks of QUERIES queries and SHARD rows.
     """
     spark = rows.sparkSession
     # the floor is 64-bit; a double of 2^53 or more is whole as it is
     whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
-    table = usable(rows, nonzero=False).select("vec_id", F.transform("v", lambda x: whole(x * scale)).alias("w"))
+    table = usable(rows, nonzero=False).select("row", "vec_id", F.transform("v", lambda x: whole(x * scale)).alias("w"))
     table = table.withColumn("wide", F.exists("w", lambda x: F.abs(x) >= LARGEST))
     table = common.materialize(table, "maxscore-rows")
     asks = table.where(is_query(F.col("vec_id")))
     count = lambda some: (some.where(~F.col("wide")).count(), some.where("wide").count())
     (n, wide_n), (q, wide_q) = count(table), count(asks)
     shards, wide_shards, parts, wide_parts = max(1, -(-n // SHARD)), -(-wide_n // SHARD), max(1, -(-q // QUERIES)), -(-wide_q // QUERIES)
-    place = lambda of, wide_of, *seed: F.when(F.col("wide"), of + F.pmod(F.xxhash64("vec_id", *seed), F.lit(max(1, wide_of)))).otherwise(F.pmod(F.xxhash64("vec_id", *seed), F.lit(of)))
+    place = lambda of, wide_of, *seed: F.when(F.col("wide"), of + F.pmod(F.xxhash64("vec_id", "row", *seed), F.lit(max(1, wide_of)))).otherwise(F.pmod(F.xxhash64("vec_id", "row", *seed), F.lit(of)))
     key = place(shards, wide_shards)
     index = common.materialize(table.withColumn("shard", key).groupBy("shard").applyInArrow(_index, "shard long, content binary"), "maxscore-index")
     packed = common.materialize(asks.withColumn("part", place(parts, wide_parts, F.lit(1))).groupBy("part").applyInArrow(_pack, "part long, queries binary"), "maxscore-queries")
     left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts + wide_parts - 1)))).withColumn("part", F.col("part").cast("long"))
     right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards + wide_shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-    found = left.join(right, ["shard", "part"]).select("content", "queries").mapInArrow(_answer(k), "query_id long, vec_id long, score decimal(38,0)")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.join(right, ["shard", "part"]).select("content", "queries").mapInArrow(_answer(k), "ask long, query_id long, vec_id long, score decimal(38,0)")
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

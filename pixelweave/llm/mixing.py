@@ -81,18 +81,28 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     return common.materialize(out.select("mx_source", "source_size", "target", "mx_whole", F.col("mx_c").alias("mx_cut_cell"), "mx_cut_part", "mx_fraction"), "mix-plan")
 
 
+#: Names that ``mix`` adds.
+OUTPUTS = ("mx_size", "mx_source_size", "mx_target", "mx_reps", "mx_taken")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0) -> DataFrame:
-    """Every row of ``docs`` with mx_size, source_size, target, mx_reps (whole plus fractional repetitions), mx_taken (words).
+    """Every row of ``docs`` with mx_size, mx_source_size, mx_target, mx_reps (whole plus fractional repetitions), mx_taken (words).
 
     Reads doc_id, text and source; a null text has size 0, a null source is a source of its own, an empty table gives
-    an empty result. Rows before the cut of their source's seeded order are taken once more, rows at the cut for a
-    fraction; repeated rows stand at the same place and share it. Extra columns stay.
+    an empty result, a text of any length is counted whole. Rows before the cut of their source's seeded order are taken
+    once more, rows at the cut for a fraction; repeated rows stand at the same place and share it. All columns of ``docs``
+    stay, but one named as an output gives way to it.
     """
+    return _mixed(docs, weights, share, max_epochs, seed).select("mx_row.*", *OUTPUTS)
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, seed: int, but: Sequence[str] = OUTPUTS) -> DataFrame:
+    """mx_row (the row of ``docs``, without columns named in ``but``) and the columns of OUTPUTS."""
     p = plan(docs, weights, share, max_epochs, seed)
     small = p.count() <= BROADCAST_SOURCES
-    rows = docs.withColumns({"mx_size": word_count(F.col("text")), "mx_cell": _digits(F.col("doc_id"), seed, 1), "mx_part": _digits(F.col("doc_id"), seed, 4)})
+    rows = docs.select(common.row_of(docs, but).alias("mx_row"), F.col("source").alias("mx_of"), word_count(F.col("text")).alias("mx_size"), _digits(F.col("doc_id"), seed, 1).alias("mx_cell"), _digits(F.col("doc_id"), seed, 4).alias("mx_part"))
     p = p.withColumnsRenamed({"mx_source": "mx_s", "source_size": "mx_source_size", "target": "mx_target"})
-    joined = rows.join(F.broadcast(p) if small else p, F.col("source").eqNullSafe(F.col("mx_s")), "left")
+    joined = rows.join(F.broadcast(p) if small else p, F.col("mx_of").eqNullSafe(F.col("mx_s")), "left")
     cell, part = F.col("mx_cell"), F.col("mx_part")
     fraction = (
         F.when(F.col("mx_cut_cell").isNull() | (cell > F.col("mx_cut_cell")), 0.0)
@@ -103,11 +113,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     )
     out = joined.withColumn("mx_part_taken", fraction)
     taken = F.least(F.col("mx_whole") * F.col("mx_size") + F.floor(F.col("mx_size") * F.col("mx_part_taken") + 0.5), F.floor(F.col("mx_size") * F.lit(float(max_epochs)))).cast("long")
-    return out.withColumns({"mx_reps": F.col("mx_whole") + F.col("mx_part_taken"), "mx_taken": taken}).drop("mx_cell", "mx_part", "mx_s", "mx_whole", "mx_cut_cell", "mx_cut_part", "mx_fraction", "mx_part_taken")
+    return out.select("mx_row", "mx_size", "mx_source_size", "mx_target", (F.col("mx_whole") + F.col("mx_part_taken")).alias("mx_reps"), taken.alias("mx_taken"))
+
 
+def repeat_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0) -> DataFrame:
+    """The mix as rows: each row as often as its repetitions, a fraction rounded half up; columns of ``docs``, whatever their names.
 
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows: each row as often as its repetitions, a fraction rounded half up; columns of ``docs``."""
-    rows = mix(docs, **options)
+    Nulls, repeated rows, long texts and empty tables as for ``mix``.
+    """
+    rows = _mixed(docs, weights, share, max_epochs, seed, ())
     times = F.floor(F.col("mx_reps") + 0.5).cast("int")
-    return rows.where(times > 0).withColumn("mx_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.where(times > 0).select("mx_row", F.explode(F.array_repeat(F.lit(1), times))).select("mx_row.*")

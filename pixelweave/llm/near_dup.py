@@ -10,7 +10,8 @@ of a band is compared with one hub of it; what then lies in one class needs no m
 different classes are all compared: in bands of few members as pairs (at most SMALL for each member), unless their weights
 (Jaccard cannot exceed their ratio) or samples rule it out; larger bands are joined into clumps, cut into blocks of about
 BLOCK nodes, and each two blocks are compared as matrices in a task of their own, so no row is made for a pair and no
-group meets in one task. No candidate pair is lost.
+group meets in one task. Either way every pair of similar texts that share a band is found, but for the one in a million
+that agrees in fewer than LEAST_EQUAL samples; clumps may find similar texts that share no band besides.
 """
 
 from __future__ import annotations
@@ -326,23 +327,29 @@ class NearDuplicates:
         found = rows.groupBy("clump", "i", "j").applyInArrow(_blocks(self.idf, self.similarity), "a binary, b binary, similarity double")
         return common.materialize(found, "near-links")
 
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text; other columns aren't read): doc_id, class_id, class_size."""
+    """One row for each row of ``docs`` (doc_id, text): doc_id, class_id (least doc_id of the class), class_size.
+
+    Other columns are not read, whatever their names. A null text is of a class with null texts, and any text without
+    words with its exact copies; a null doc_id is the least only where all are null. Repeated rows are rows of their class
+    each. Texts of any length are compared whole; an empty table gives no rows. Runs its jobs when called.
+    """
     return NearDuplicates(docs, similarity).classes().select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The document of least doc_id of each class, once; columns of ``docs``. Of exact copies of a text without words one stays.
+    """The document of least doc_id of each class, once; columns of ``docs``, whatever their names. Rows as for ``classes``.
 
     Rows that agree in doc_id and text are repeated rows: one of them stays.
     """
     job = NearDuplicates(docs, similarity)
     found = job.classes()
-    raw = _raw()
     kept = found.where((F.col("keep.raw") == F.col("raw")) & F.col("keep.doc_id").eqNullSafe(F.col("doc_id")))
     kept = common.materialize(kept.groupBy(F.col("doc_id").alias("nd_id"), F.col("raw").alias("nd_raw")).agg(F.count("*").alias("nd_n")), "near-kept")
-    out = docs.withColumn("nd_key", raw).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("nd_id")) & (F.col("nd_key") == F.col("nd_raw")))
+    rows = docs.select(common.row_of(docs).alias("nd_row"), F.col("doc_id").cast("long").alias("nd_doc"), _raw().alias("nd_key"))
+    out = rows.join(kept, F.col("nd_doc").eqNullSafe(F.col("nd_id")) & (F.col("nd_key") == F.col("nd_raw")))
     once = out.where("nd_n = 1")
     if kept.where("nd_n > 1").take(1):
         once = once.unionByName(out.where("nd_n > 1").dropDuplicates(["nd_id", "nd_raw"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.select("nd_row.*")

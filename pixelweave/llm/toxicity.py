@@ -206,7 +206,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     totals = {r.tx_label: r["count"] for r in known.groupBy("tx_label").count().collect()}
     chosen = []
     for label in sorted(totals):
-        chosen += [tuple(r) for r in known.where(F.col("tx_label") == label).orderBy(F.md5(F.col("tx_id").cast("string")), "tx_id").limit(rows).collect()]
+        chosen += [tuple(r) for r in common.by_hash(known.where(F.col("tx_label") == label), F.col("tx_id"), totals[label], rows).collect()]
     if not chosen:
         return None
     weight = {k: totals[k] / sum(c[1] == k for c in chosen) for k in totals}
@@ -238,7 +238,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
 
 
 def add_score(docs: DataFrame, model: Model, name: str = "tx_score") -> DataFrame:
-    """``docs`` with the score of every whole text (null: empty); only the text is read by the model."""
+    """``docs`` with the score of every whole text (null: empty); only the text is read by the model.
+
+    All other columns stay, but one called ``name`` gives way to the score. Repeated rows score alike; texts of any
+    length are read whole; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -255,7 +259,11 @@ def _scored(model: Model, texts: pa.Array) -> pa.Array:
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score only, over Arrow batches."""
+    """doc_id and score (0 to 1) of every row, whatever its doc_id; a null text is empty, and a text without words has the bias's score.
+
+    Texts of any length are read whole; repeated rows give a row each, an empty table none. Other columns are not read,
+    whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 
 def usable(rows: DataFrame, nonzero: bool, vector: str = "embedding", identifier: str = "vec_id") -> DataFrame:
-    """vec_id long, v array<double>: rows with an id and a vector without null or non-finite components.
+    """row long, vec_id long, v array<double>: rows with an id and a vector without null or non-finite components.
 
-    Vectors of another length than the most frequent one (ties: the longer) take no part either, nor do empty ones;
-    ``nonzero`` leaves out zero vectors too. Repeated rows of an id are one row (the least vector).
+    Vectors of another length than the most frequent one (ties: the longer) take no part either, as nothing is defined
+    between them and the others, nor do empty ones; ``nonzero`` leaves out zero vectors too. ``row`` tells rows of one id
+    apart; it is fixed once the result is written.
     """
     v = F.col(vector).cast("array<double>")
     some = rows.select(F.col(identifier).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
@@ -22,7 +23,7 @@ def usable(rows: DataFrame, nonzero: bool, vector: str = "embedding", identifier
         some = some.where(F.exists("v", lambda x: x != 0))
     length = some.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     some = some.where(F.size("v") == (length[0].n if length else 0))
-    return some.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return some.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, kind=np.float64) -> np.ndarray:

@@ -89,3 +89,11 @@ def test_many_licences_in_a_text(spark):
         assert r.ls_score == (1.0 if r.ls_n_base else max(want.values(), default=0.0))
         if r.doc_id % len(texts) == 0:
             assert set(want) == {label for label, _, _ in licenses.TEMPLATES}
+
+
+def test_columns_of_any_names_stay(spark):
+    docs = odd_documents(spark).withColumnsRenamed({"size": "ls_words", "score": "ls_score", "label": "ls_found", "n_chars": "LS_row"})
+    got = licenses.scan(docs)
+    assert got.columns == [*[c for c in docs.columns if c != "ls_score"], *licenses.OUTPUTS]
+    for r in got.collect():
+        assert r.ls_words == "x" and r.ls_found == "z" and (r.ls_n_words, r.ls_n_base, r.ls_first_word, r.ls_last_word, r.ls_base_labels) == base(r.text)

@@ -74,3 +74,14 @@ def test_wide_plan_joins_alike(spark, monkeypatch):
     want = sorted(map(str, mixed(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert sorted(map(str, mixed(docs).collect())) == want
+
+
+def test_columns_of_any_names_stay(spark):
+    docs = odd_documents(spark).withColumnsRenamed({"size": "mx_size", "score": "mx_cell", "label": "mx_part", "n_chars": "MX_row"}).withColumn("mx_s", F.lit(1)).withColumn("mx_whole", F.lit(2))
+    plain = sorted((str(r.doc_id), str(r.text)) for r in mixing.repeat_rows(odd_documents(spark)).collect())
+    rows = mixing.repeat_rows(docs)
+    assert rows.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in rows.collect()) == plain
+    assert all(r.mx_size == "x" and r.mx_cell == "y" and r.mx_part == "z" and r.mx_s == 1 for r in rows.collect())
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*[c for c in docs.columns if c != "mx_size"], *mixing.OUTPUTS]
+    assert all(r.mx_size == size(r.text) and r.mx_cell == "y" for r in mixed.collect())

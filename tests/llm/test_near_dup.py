@@ -130,3 +130,15 @@ def test_exact_copies_without_words_are_a_class(spark):
         like["a word" if t == "a  word" else t].append(k)
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted((k, g[0], len(g)) for g in like.values() for k in g)
     assert sorted(r.doc_id for r in near_dup.keep_one(docs).collect()) == sorted(g[0] for g in like.values())
+
+
+def test_columns_of_any_names_stay(spark):
+    docs = odd_documents(spark).withColumnsRenamed({"size": "nd_n", "score": "nd_key", "label": "nd_id", "n_chars": "nd_row", "lang": "raw"})
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 1
+    assert all((r.nd_n, r.nd_key, r.nd_id) == ("x", "y", "z") for r in kept.collect())
+
+
+def test_long_path_of_edges(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(700)], "a long, b long")
+    assert {r.label for r in components(edges).collect()} == {0}

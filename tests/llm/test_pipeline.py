@@ -39,3 +39,11 @@ def test_near_stage_keeps_one_of_each(spark, sf):
     twice = docs.union(docs)
     kept = near_dup.keep_one(twice).collect()
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute([(r.doc_id, r.text) for r in docs.collect()])})
+
+
+def test_stages_keep_columns_of_any_names(spark, sf):
+    docs = odd_documents(spark).withColumnsRenamed({"size": "pipeline_score", "score": "mx_size", "label": "nd_n"})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert all((r.pipeline_score, r.mx_size, r.nd_n) == ("x", "y", "z") for r in out.collect())

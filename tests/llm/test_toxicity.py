@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -90,3 +91,49 @@ def test_unseen_misspellings_in_longer_texts(model):
     clean = " ".join(plain[:60])
     s = score(fitted, clean, clean + " grobvexx zukkwitz", clean + " gr0bvex zukwit")
     assert s[0] < 0.2 and s[1] > 0.8 and s[2] >= 0.5
+
+
+def plain_score(model, text):
+    """The score of one text, word by word and subword by subword."""
+    counts = {}
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))):
+        counts[w] = counts.get(w, 0) + 1
+    mask, prime = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def bucket(gram, salt):
+        return mixed((sum(b * pow(prime, i, 1 << 64) for i, b in enumerate(gram)) + salt) & mask) % toxicity.BUCKETS
+
+    total, share = 0.0, 0.0
+    for w, n in counts.items():
+        marked = b"\1" + w + b"\1"
+        grams = [bucket(marked, 1)] + [bucket(marked[a : a + size], size) for size in toxicity.SIZES for a in range(len(marked) - size + 1)]
+        total += np.log2(1 + n) * float(np.mean([model.weight[g] for g in grams]))
+        share += np.log2(1 + n)
+    z = model.bias + (total / (share + toxicity.PADDING) if share else 0.0)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_whole_table_equals_plain_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect() if len(r.text or "") < 4000}
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, sf).collect()}
+    assert len(texts) > 0.8 * len(got)
+    for doc_id, text in texts.items():
+        r = got[doc_id]
+        assert r.score == pytest.approx(plain_score(model, text), abs=1e-5)
+        assert r.held_out == (zlib.crc32(str(doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+
+
+def test_columns_of_any_names_stay(spark, model):
+    docs = odd_documents(spark).withColumnsRenamed({"size": "tx_text", "score": "tx_id", "label": "pipeline_score"})
+    added = toxicity.add_score(docs, model[0], "pipeline_score")
+    assert added.columns == docs.columns and all(0 <= r.pipeline_score <= 1 for r in added.collect())
+    assert toxicity.scores(docs, model[0]).count() == docs.count()

@@ -71,10 +71,10 @@ def test_odd_rows(spark):
     asked = lambda c: c % 100 == 0
     got = by_query(ann.search(odd(spark), asked).collect())
     half = np.sqrt(0.5)
-    assert got == {0: [(100, 0.0), (1, half), (2, half), (3, 2.0)], 100: [(0, 0.0), (1, half), (2, half), (3, 2.0)]}
+    assert got == {0: [(100, 0.0), (1, half), (1, half), (2, half), (3, 2.0)], 100: [(0, 0.0), (1, half), (1, half), (2, half), (3, 2.0)]}
     got = by_query(maxscore.search(odd(spark), asked).collect())
-    assert got[0] == [(100, 1048576), (1, 524288), (2, 524288), (300, 0), (3, -1048576)]
-    assert [v for v, _ in got[300]] == [0, 1, 2, 3, 100]
+    assert got[0] == [(100, 1048576), (1, 524288), (1, 524288), (2, 524288), (300, 0), (3, -1048576)]
+    assert [v for v, _ in got[300]] == [0, 1, 1, 2, 3, 100]
     for search in (ann.search, maxscore.search):
         assert search(odd(spark).limit(0), asked).count() == 0
         assert search(odd(spark).where("vec_id = 0"), asked).count() == 0
@@ -141,3 +141,45 @@ def test_maxscore_of_large_components(spark):
     got = by_query(maxscore.search(rows, lambda c: c % 5 == 0).collect())
     w = np.array([[int(np.floor(c * 1024)) for c in v] for v in x], object)
     assert got == {int(ids[q]): [(int(ids[j]), int(w[j] @ w[q])) for j in sorted(range(300), key=lambda j: (-int(w[j] @ w[q]), ids[j])) if j != q][:10] for q in np.flatnonzero(ids % 5 == 0)}  # noqa: B023
+
+
+def test_rows_of_one_id_are_rows_each(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(k), rng.integers(-9, 9, 3).astype(float).tolist()) for k in rng.integers(1, 40, 150)] + [(0, [1.0, 2.0, 3.0]), (0, [3.0, -1.0, 2.0]), (0, [1.0, 2.0, 3.0])]
+    rows = [(k, v) for k, v in rows if any(v)]
+    table = spark.createDataFrame([(*r, 9, 9) for r in rows], "vec_id long, embedding array<float>, row long, ask long")
+    ids, x = np.array([k for k, _ in rows]), np.array([v for _, v in rows])
+    own = [j for j, (k, _) in enumerate(rows) if k == 0]
+
+    def lists(got):
+        got = sorted((r.rank, r.vec_id, r.score) for r in got)
+        assert len(got) == 10 * len(own)
+        return got
+
+    def best(key):
+        out = []
+        for q in own:
+            ranked = sorted((key(j, q), ids[j]) for j in range(len(rows)) if j != q)[:10]
+            out += [(n, int(v), abs(s) if key is far else -s) for n, (s, v) in enumerate(ranked, 1)]
+        return sorted(out)
+
+    far = lambda j, q: float(np.sqrt(((x[j] - x[q]) ** 2).sum()))
+    inner = lambda j, q: -int((np.floor(1024 * x[j]) * np.floor(1024 * x[q])).sum())
+    assert lists(ann.search(table, lambda c: c == 0).collect()) == best(far)
+    assert lists(maxscore.search(table, lambda c: c == 0).collect()) == best(inner)
+
+
+def test_few_rows_far_from_all_others(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((6000, 8))
+    x[:4] += 1000
+    centers = ann.fit_centroids(x.copy(), 700)
+    assert np.isfinite(centers).all() and len(centers) == 700
+    x = x.astype(np.float32).astype(np.float64)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = by_query(ann.search(rows, lambda c: (c < 2) | (c % 1000 == 17)).collect())
+    hits = 0
+    for q, mine in got.items():
+        assert len(mine) == 10
+        hits += len(dict(nearest(np.arange(6000), x, q)).keys() & dict(mine).keys())
+    assert len(got) == 8 and hits >= 0.95 * 80
