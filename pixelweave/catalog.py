@@ -268,15 +268,31 @@ register("trim", lambda s, d: geometry.trim(point.posterize(rasters.rgb(s, d), 9
 register("sample", lambda s, d: geometry.sample(rasters.rgb(s, d), (8, 8), (12, 5)).select(*KEY, *RGB), f"WITH {PX} SELECT image_id, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, r, g, b FROM px JOIN (SELECT unnest(range(12)) AS tx) a ON least(7, CAST(floor((tx+0.5)*8/12) AS INT)) = x JOIN (SELECT unnest(range(5)) AS ty) c ON least(7, CAST(floor((ty+0.5)*8/5) AS INT)) = y")
 
 
+_SINC = "CASE WHEN v < 1e-10 THEN 1 ELSE sin(pi()*v)/(pi()*v) END"
+_I0 = lambda z: f"list_sum(list_transform(range(0, 30), lambda k: pow(pow(({z}) / 2, k) / factorial(CAST(k AS INT)), 2)))"
+#: Each kernel at v >= 0 and where it ends, written out.
+_KERNEL_SQL = {
+    "triangle": ("1 - v", 1), "hermite": ("2*v*v*v - 3*v*v + 1", 1), "catrom": ("CASE WHEN v < 1 THEN 1.5*v*v*v - 2.5*v*v + 1 ELSE -0.5*v*v*v + 2.5*v*v - 4*v + 2 END", 2),
+    "mitchell": ("CASE WHEN v < 1 THEN (7*v*v*v - 12*v*v + 16.0/3) / 6 ELSE (-7.0/3*v*v*v + 12*v*v - 20*v + 32.0/3) / 6 END", 2), "spline": ("CASE WHEN v < 1 THEN v*v*v/2 - v*v + 2.0/3 ELSE pow(2 - v, 3) / 6 END", 2),
+    "gaussian": ("exp(-2*v*v)", 2), "sinc": (_SINC, 4), **{f"lanczos{n}": (f"CASE WHEN v < 1e-10 THEN 1 ELSE {n}*sin(pi()*v)*sin(pi()*v/{n})/(pi()*pi()*v*v) END", n) for n in (2, 3, 4, 5)},
+    "hann": (f"({_SINC}) * (0.5 + 0.5*cos(pi()*v/3))", 3), "hamming": (f"({_SINC}) * (0.54 + 0.46*cos(pi()*v/3))", 3), "blackman": (f"({_SINC}) * (0.42 + 0.5*cos(pi()*v/3) + 0.08*cos(2*pi()*v/3))", 3),
+    "kaiser": (f"({_SINC}) * {_I0('6.5*sqrt(greatest(0, 1 - v*v/9))')} / {_I0('6.5')}", 3), "parzen": ("CASE WHEN v < 1 THEN 1 - 1.5*v*v*(1 - 0.5*v) ELSE pow(2 - v, 3) / 8 END", 2),
+    "bohman": ("(1 - v)*cos(pi()*v) + sin(pi()*v)/pi()", 1), "welch": ("1 - v*v", 1), "lagrange": ("CASE WHEN v < 1 THEN v*v*(1.5*v - 2.5) + 1 ELSE v*(v*(2.5 - 0.5*v) - 4) + 2 END", 2),
+}
+
+
 def _taps(source: int, target: int, method: str) -> str:
-    return "(VALUES " + ", ".join(f"({t},{s},{w!r}::DOUBLE)" for t, s, w in geometry.contributions(source, target, method)) + ")"
+    kernel, ends = _KERNEL_SQL[method]
+    scale = target / source
+    places = f"SELECT CAST(o AS INT) AS o, CAST(i AS INT) AS i, CAST(abs(i - ((o + 0.5) / {scale!r} - 0.5)) * {min(scale, 1.0)!r} AS DOUBLE) AS v FROM (SELECT unnest(range({target})) AS o) a, (SELECT unnest(range({source})) AS i) b"
+    return f"(SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, CASE WHEN v < {ends} THEN CAST({kernel} AS DOUBLE) ELSE 0 END AS w FROM ({places})))"
 
 
 for _method in sorted({*geometry.KERNELS} - {"bilinear", "bartlett", "bicubic"}):
     register(
         f"resize_{_method}",
         lambda s, d, m=_method: geometry.resize(rasters.rgb(s, d), (8, 8), (12, 5), m).select(*KEY, *RGB),
-        f"WITH {PX}, tx AS (SELECT * FROM {_taps(8, 12, _method)} t(o, i, w)), ty AS (SELECT * FROM {_taps(8, 5, _method)} t(o, i, w)), h AS (SELECT image_id, y, tx.o AS x, {', '.join(f'sum({c}*w) AS {c}' for c in RGB)} FROM px JOIN tx ON tx.i = x GROUP BY 1,2,3) SELECT image_id, CAST(ty.o AS INT) AS y, CAST(x AS INT) AS x, {', '.join(f'CAST(floor(least(greatest(round(sum({c}*w),6),0),65535)+0.5) AS INT) AS {c}' for c in RGB)} FROM h JOIN ty ON ty.i = y GROUP BY 1, ty.o, 3",
+        f"WITH {PX}, tx AS (SELECT * FROM {_taps(8, 12, _method)} t), ty AS (SELECT * FROM {_taps(8, 5, _method)} t), h AS (SELECT image_id, y, tx.o AS x, {', '.join(f'sum({c}*w) AS {c}' for c in RGB)} FROM px JOIN tx ON tx.i = x GROUP BY 1,2,3) SELECT image_id, CAST(ty.o AS INT) AS y, CAST(x AS INT) AS x, {', '.join(f'CAST(floor(least(greatest(round(sum({c}*w),6),0),65535)+0.5) AS INT) AS {c}' for c in RGB)} FROM h JOIN ty ON ty.i = y GROUP BY 1, ty.o, 3",
     )
 register("area_resize", lambda s, d: geometry.area_resize(rasters.rgb(s, d), (8, 8), (4, 2)).select(*KEY, *RGB), f"WITH {PX} SELECT image_id, CAST(y//4 AS INT) AS y, CAST(x//2 AS INT) AS x, {', '.join(f'CAST(floor(round(avg({c}),6)+0.5) AS INT) AS {c}' for c in RGB)} FROM px GROUP BY 1,2,3")
 register("affine", lambda s, d: geometry.affine(rasters.rgb(s, d), (8, 8), (1.0, 0.0, 0.0, 1.0, 1.5, -0.5)).select(*KEY, *RGB))
@@ -342,7 +358,7 @@ register("average_hash", lambda s, d: _halves(hashes.average_hash(rasters.rgb(s,
 register("difference_hash", lambda s, d: _halves(hashes.difference_hash(rasters.rgb(s, d))))
 register("wavelet_hash", lambda s, d: _halves(hashes.wavelet_hash(rasters.rgb(s, d))))
 register("perceptual_hash", lambda s, d: _halves(hashes.perceptual_hash(rasters.rgb(s, d))))
-register("similar_images", lambda s, d: hashes.similar(hashes.average_hash(rasters.rgb(s, d)), 15), f"WITH {PX}, l AS (SELECT image_id, y*8+x AS k, {L709} AS l, avg({L709}) OVER (PARTITION BY image_id) AS m FROM px), h AS (SELECT image_id, string_agg(CASE WHEN l >= round(m,6) THEN '1' ELSE '0' END, '' ORDER BY k) AS h FROM l GROUP BY 1), f AS (SELECT h, min(image_id) AS f FROM h GROUP BY 1) SELECT a.f AS a, b.f AS b, hamming(a.h, b.h) AS distance FROM f a JOIN f b ON a.f < b.f WHERE hamming(a.h, b.h) <= 15")
+register("similar_images", lambda s, d: hashes.similar(hashes.average_hash(rasters.rgb(s, d)), 15), f"WITH {PX}, l AS (SELECT image_id, y*8+x AS k, {L709} AS l, avg({L709}) OVER (PARTITION BY image_id) AS m FROM px), h AS (SELECT image_id, string_agg(CASE WHEN l >= round(m,6) THEN '1' ELSE '0' END, '' ORDER BY k) AS h FROM l GROUP BY 1), f AS (SELECT h, min(image_id) AS f FROM h GROUP BY 1) SELECT a.f AS a, b.f AS b, hamming(a.h, b.h) AS distance FROM f a JOIN f b ON a.f < b.f WHERE hamming(a.h, b.h) <= 15 UNION ALL SELECT f AS a, image_id AS b, 0 AS distance FROM h JOIN f USING (h) WHERE image_id <> f")
 register("components", lambda s, d: regions.components(rasters.rgb(s, d), 0.5, 8).select("image_id", "label", "area", "x", "y", "w", "h", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round("mean_intensity", 6).alias("mean_intensity")))
 register("flood_select", lambda s, d: regions.flood_select(rasters.rgb(s, d), 4, 4, 9000))
 register("distance_transform", lambda s, d: regions.distance_transform(rasters.rgb(s, d)))

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.quantum import M
 from .kernels import per_image
@@ -93,30 +94,38 @@ def kuwahara(df: DataFrame, radius: int = 2) -> DataFrame:
     return per_image(df, lambda p: kuwahara_pixels(p, radius))
 
 
+def _mean_of_places(p: np.ndarray, places: list[tuple[float, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The weighted mean of the nearest pixels at real places (weight, x, y); places outside don't count."""
+    h, w = p.shape[:2]
+    total, weight = np.zeros(p.shape), np.zeros((h, w, 1))
+    for k, x, y in places:
+        sx, sy = np.rint(x).astype(int), np.rint(y).astype(int)
+        inside = ((sx >= 0) & (sx < w) & (sy >= 0) & (sy < h))[..., None]
+        total += np.where(inside, p[np.clip(sy, 0, h - 1), np.clip(sx, 0, w - 1)] * k, 0)
+        weight += np.where(inside, k, 0)
+    return np.where(weight > 0, np.floor(total / np.maximum(weight, 1e-300) + 0.5), p)
+
+
 def motion_blur(df: DataFrame, radius: int, sigma: float, degrees: float) -> DataFrame:
-    """A one-sided Gaussian along a direction."""
+    """A Gaussian along a direction, centred; what lies outside the image doesn't count."""
+    dx, dy = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
 
     def f(p: np.ndarray) -> np.ndarray:
-        w = np.exp(-(np.arange(2 * radius + 1) ** 2) / (2 * sigma * sigma))
-        w /= w.sum()
-        dx, dy = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-        return np.floor(sum(k * _shifted(p, round(n * dx), round(n * dy)) for n, k in enumerate(w)) + 0.5)
+        ys, xs = np.mgrid[0 : p.shape[0], 0 : p.shape[1]]
+        return _mean_of_places(p, [(math.exp(-n * n / (2 * sigma * sigma)), xs + n * dx, ys + n * dy) for n in range(-radius, radius + 1)])
 
     return per_image(df, f)
 
 
-def radial_blur(df: DataFrame, degrees: float, steps: int = 9) -> DataFrame:
-    """The mean over turns about the centre."""
+def radial_blur(df: DataFrame, degrees: float) -> DataFrame:
+    """The mean over turns about (w / 2, h / 2); their number grows with the angle and the root of the half diagonal."""
 
     def f(p: np.ndarray) -> np.ndarray:
         h, w = p.shape[:2]
-        ys, xs = np.mgrid[0:h, 0:w].astype(float)
-        cx, cy = (w - 1) / 2, (h - 1) / 2
-        out = 0
-        for t in np.linspace(-0.5, 0.5, steps) * math.radians(degrees):
-            c, s = math.cos(t), math.sin(t)
-            out = out + _sample(p, cx + (xs - cx) * c - (ys - cy) * s, cy + (xs - cx) * s + (ys - cy) * c)
-        return np.floor(out / steps + 0.5)
+        dy, dx = (v - c for v, c in zip(np.mgrid[0:h, 0:w], (h / 2, w / 2), strict=True))
+        steps = max(3, int(2 * degrees * math.sqrt(math.hypot(w / 2, h / 2))) + 1) | 1
+        turns = (np.arange(steps) - steps // 2) * (math.radians(degrees) / (steps - 1))
+        return _mean_of_places(p, [(1.0, dx * math.cos(t) - dy * math.sin(t) + w / 2, dx * math.sin(t) + dy * math.cos(t) + h / 2) for t in turns])
 
     return per_image(df, f)
 
@@ -226,42 +235,47 @@ def mean_shift(df: DataFrame, radius: int = 3, color: float = 0.1, rounds: int =
     return per_image(df, f)
 
 
-def vignette(df: DataFrame, sigma: float = 10.0) -> DataFrame:
-    """Darker away from the centre, by a soft ellipse."""
+def vignette(df: DataFrame, sigma: float = 10.0, inset_x: int | None = None, inset_y: int | None = None) -> DataFrame:
+    """The image, over black, times a blurred white ellipse that lies a tenth of the size inside the edges; opaque."""
 
     def f(p: np.ndarray) -> np.ndarray:
         h, w = p.shape[:2]
+        ix, iy = int(w * 0.1) if inset_x is None else inset_x, int(h * 0.1) if inset_y is None else inset_y
         ys, xs = np.mgrid[0:h, 0:w]
-        d = np.hypot((xs - (w - 1) / 2) / max(w / 2, 1), (ys - (h - 1) / 2) / max(h / 2, 1))
-        return np.floor(p * (1 / (1 + np.exp((d - 1) * 10 / max(sigma / 10, 0.1))))[..., None] + 0.5)
+        inside = ((xs - w / 2) / max(1.0, w / 2 - ix)) ** 2 + ((ys - h / 2) / max(1.0, h / 2 - iy)) ** 2 <= 1
+        mask = np.floor(gaussian(np.where(inside, float(M), 0.0)[..., None], sigma if sigma > 0 else 10.0) + 0.5)
+        return np.floor(p * (mask / M) + 0.5)
 
-    return per_image(df, f)
+    share = F.coalesce(F.col("a"), F.lit(M)) / M
+    flat = df.select("image_id", "y", "x", *[F.floor(F.col(c) * share + 0.5).cast("int").alias(c) for c in "rgb"], F.lit(None).cast("int").alias("a"))
+    return per_image(flat, f)
 
 
 def implode(df: DataFrame, amount: float = 0.5) -> DataFrame:
-    """Radial pinch (positive) or punch."""
+    """Radial pinch (positive) or punch about (w / 2, h / 2), inside the largest circle in units of the width."""
 
     def f(p: np.ndarray) -> np.ndarray:
         h, w = p.shape[:2]
         ys, xs = np.mgrid[0:h, 0:w].astype(float)
-        cx, cy = (w - 1) / 2, (h - 1) / 2
-        radius = max(min(w, h) / 2, 1)
-        d = np.hypot(xs - cx, ys - cy)
-        k = np.where((d < radius) & (d > 0), np.sin(math.pi / 2 * np.minimum(d / radius, 1)) ** amount if amount >= 0 else np.minimum(d / radius, 1) ** -amount, 1.0)
-        k = np.where(k > 0, 1 / np.maximum(k, 1e-6), 1.0) if amount >= 0 else k
-        return np.floor(_sample(p, cx + (xs - cx) * k, cy + (ys - cy) * k) + 0.5)
+        dx, dy = xs - w / 2, (ys - h / 2) * (w / h)
+        radius, d = min(w, h) / 2, np.hypot(dx, dy)
+        near = (d < radius) & (d > 0)
+        k = np.where(near, np.sin(math.pi / 2 * np.where(near, d, radius) / radius) ** -amount, 1.0)
+        inside = d < radius
+        return np.where(inside[..., None], np.floor(_sample(p, np.where(inside, k * dx + w / 2, 0), np.where(inside, k * dy / (w / h) + h / 2, 0)) + 0.5), p)
 
     return per_image(df, f)
 
 
 def wave(df: DataFrame, amplitude: float, length: float) -> DataFrame:
-    """Columns shifted by a sine; the canvas grows by twice the amplitude, black outside."""
+    """Columns shifted by a sine; the canvas grows by twice the amplitude; black above the first and from the last row on."""
     grow = math.ceil(abs(amplitude))
 
     def f(p: np.ndarray) -> np.ndarray:
         h, w = p.shape[:2]
         ys, xs = np.mgrid[0 : h + 2 * grow, 0:w].astype(float)
-        return np.floor(_sample(p, xs, ys - grow - amplitude * np.sin(2 * math.pi * xs / length), clamp=False) + 0.5)
+        at = ys - (grow + amplitude * np.sin(2 * math.pi * xs / length))
+        return np.where(((at >= 0) & (at < h - 1))[..., None], np.floor(_sample(p, xs, at) + 0.5), 0)
 
     return per_image(df, f)
 

@@ -175,11 +175,6 @@ def _bessel(x: float) -> float:
     return total
 
 
-def _lagrange(x: float) -> float:
-    x = abs(x)
-    return 1 - x / 2 - x * x + x**3 / 2 if x < 1 else 1 - 11 * x / 6 + x * x - x**3 / 6 if x < 2 else 0.0
-
-
 #: Kernel and radius of each method.
 KERNELS: dict[str, tuple[Callable[[float], float], float]] = {
     "triangle": (lambda x: max(0.0, 1 - abs(x)), 1),
@@ -187,17 +182,18 @@ KERNELS: dict[str, tuple[Callable[[float], float], float]] = {
     "catrom": (_cubic(0, 0.5), 2),
     "mitchell": (_cubic(1 / 3, 1 / 3), 2),
     "spline": (_cubic(1, 0), 2),
-    "gaussian": (lambda x: math.exp(-2 * x * x) * math.sqrt(2 / math.pi), 2),
-    "sinc": (lambda x: _sinc(x), 4),
+    "gaussian": (lambda x: math.exp(-2 * x * x) if abs(x) < 2 else 0.0, 2),
+    "sinc": (_windowed(4, lambda t: 1.0), 4),
     **{f"lanczos{n}": (_windowed(n, _sinc), n) for n in (2, 3, 4, 5)},
-    "hann": (_windowed(4, lambda t: 0.5 + 0.5 * math.cos(math.pi * t)), 4),
-    "hamming": (_windowed(4, lambda t: 0.54 + 0.46 * math.cos(math.pi * t)), 4),
-    "blackman": (_windowed(4, lambda t: 0.42 + 0.5 * math.cos(math.pi * t) + 0.08 * math.cos(2 * math.pi * t)), 4),
-    "kaiser": (_windowed(4, lambda t: _bessel(6.5 * math.sqrt(max(0.0, 1 - t * t))) / _bessel(6.5)), 4),
-    "parzen": (_windowed(4, lambda t: 1 - 6 * t * t * (1 - t) if t <= 0.5 else 2 * (1 - t) ** 3), 4),
-    "bohman": (_windowed(4, lambda t: (1 - t) * math.cos(math.pi * t) + math.sin(math.pi * t) / math.pi), 4),
-    "welch": (_windowed(4, lambda t: 1 - t * t), 4),
-    "lagrange": (_lagrange, 2),
+    "hann": (_windowed(3, lambda t: 0.5 + 0.5 * math.cos(math.pi * t)), 3),
+    "hamming": (_windowed(3, lambda t: 0.54 + 0.46 * math.cos(math.pi * t)), 3),
+    "blackman": (_windowed(3, lambda t: 0.42 + 0.5 * math.cos(math.pi * t) + 0.08 * math.cos(2 * math.pi * t)), 3),
+    "kaiser": (_windowed(3, lambda t: _bessel(6.5 * math.sqrt(max(0.0, 1 - t * t))) / _bessel(6.5)), 3),
+    # plain windows and polynomials, without a sinc
+    "parzen": (lambda x: 1 - 1.5 * x * x * (1 - abs(x) / 2) if abs(x) < 1 else max(0.0, 2 - abs(x)) ** 3 / 8, 2),
+    "bohman": (lambda x: (1 - abs(x)) * math.cos(math.pi * x) + math.sin(math.pi * abs(x)) / math.pi if abs(x) < 1 else 0.0, 1),
+    "welch": (lambda x: max(0.0, 1 - x * x), 1),
+    "lagrange": (_cubic(0, 0.5), 2),
 }
 KERNELS |= {"bilinear": KERNELS["triangle"], "bartlett": KERNELS["triangle"], "bicubic": KERNELS["catrom"]}
 
@@ -220,8 +216,8 @@ def contributions(source: int, target: int, method: str) -> list[tuple[int, int,
 def resize(df: DataFrame, source: tuple[int, int], target: tuple[int, int], method: str = "lanczos3") -> DataFrame:
     """Images of one size (w, h) to another. ``nearest`` samples; the others run along x, then along y.
 
-    The table of contributions depends on the sizes only; it is a literal array by place, so no join is needed: each pixel
-    is spread to its targets and these are summed, with partial sums before the shuffle. Rounded once, at the end.
+    The contributions depend on the sizes only: one short row for each place of an axis, broadcast. Each pixel is spread
+    to its targets and these are summed, with partial sums before the shuffle. Rounded once, at the end.
     """
     (sw, sh), (tw, th) = source, target
     if method in ("nearest", "nearestneighbor"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,18 +81,25 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def similar(hashes: DataFrame, most: int = 10) -> DataFrame:
-    """Pairs of images (a < b) whose hashes differ in at most ``most`` bits.
+    """Every link between images whose hashes differ in at most ``most`` bits: a, b (a < b), distance.
 
-    A hash is cut into most + 1 bands (at most 16): two hashes within the distance agree in one at least, so an equi-join on
-    (band, value) finds every pair. Images of equal hashes are one row during the join, then membership is joined back.
+    Images of equal hashes are one row during the join: links between different hashes stand between the least images
+    of each, and every further image of a hash is linked to that least one at distance 0, so none is lost and a group of n
+    equal images has n - 1 rows. A hash is cut into at most four bands: of two hashes within the distance, one band
+    differs in ``most`` // bands bits at most, so values with so many bits flipped are looked up by an equi-join.
     """
-    n = min(most + 1, 16)
-    if most >= 16:
+    if not 0 <= most < 16:
         raise ValueError("at most 15 bits can differ")
+    flips = next(r for r in range(4) if most // (r + 1) + 1 <= 4)
+    n = most // (flips + 1) + 1
+    cuts = [k * BITS // n for k in range(n + 1)]
     distinct = hashes.groupBy("hash").agg(F.min("image_id").alias("first"))
-    cuts = [round(k * BITS / n) for k in range(n + 1)]
-    value = lambda k: F.shiftrightunsigned("hash", cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1)
-    bands = distinct.select("hash", "first", F.posexplode(F.array(*[value(k) for k in range(n)])).alias("band", "value"))
-    right = bands.select("band", "value", F.col("hash").alias("other"), F.col("first").alias("other_first"))
-    pairs = bands.join(right, ["band", "value"]).where((F.col("first") < F.col("other_first")) & (distance(F.col("hash"), F.col("other")) <= most))
-    return pairs.select(F.col("first").alias("a"), F.col("other_first").alias("b"), distance(F.col("hash"), F.col("other")).alias("distance")).distinct()
+    bands = [(k, F.shiftrightunsigned("hash", cuts[k]).bitwiseAND((1 << cuts[k + 1] - cuts[k]) - 1 if n > 1 else -1)) for k in range(n)]
+    masks = [F.array(*[F.lit(sum(1 << b for b in some)).cast("long") for r in range(flips + 1) for some in itertools.combinations(range(cuts[k + 1] - cuts[k]), r)]) for k in range(n)]
+    probe = lambda k, v: lambda x: F.struct(F.lit(k).alias("band"), v.bitwiseXOR(x).alias("value"))
+    left = distinct.select("hash", "first", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), v.alias("value")) for k, v in bands])).alias("at")).select("hash", "first", "at.band", "at.value")
+    right = distinct.select(F.col("hash").alias("other"), F.col("first").alias("other_first"), F.explode(F.concat(*[F.transform(m, probe(k, v)) for (k, v), m in zip(bands, masks, strict=True)])).alias("at")).select("other", "other_first", "at.band", "at.value")
+    near = distance(F.col("hash"), F.col("other"))
+    pairs = left.join(right, ["band", "value"]).where((F.col("first") < F.col("other_first")) & (near <= most)).select(F.col("first").alias("a"), F.col("other_first").alias("b"), near.alias("distance")).distinct()
+    members = hashes.join(distinct, "hash").where("image_id <> first").select(F.col("first").alias("a"), F.col("image_id").alias("b"), F.lit(0).alias("distance"))
+    return pairs.union(members)

@@ -368,13 +368,29 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return decode(files.select(F.xxhash64("path").alias("image_id"), "path", "content"))
 
 
+#: Pixels in one Arrow batch that ``to_pixels`` gives.
+BATCH_PIXELS = 1 << 16
+
+
 def to_pixels(images: DataFrame) -> DataFrame:
-    """pixels_wide of decoded images, by built-in functions: two bytes a value."""
-    n = F.col("width") * F.col("height")
-    flat = images.where(F.col("error").isNull()).select("image_id", "width", "channels", F.hex("data").alias("x"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    at = lambda k: (F.col("i") * F.col("channels") + k) * 4 + 1
-    value = lambda k: F.conv(F.concat(F.substring(F.col("x"), at(k) + 2, F.lit(2)), F.substring(F.col("x"), at(k), F.lit(2))), 16, 10).cast("int")
-    return flat.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), value(0).alias("r"), value(1).alias("g"), value(2).alias("b"), F.when(F.col("channels") > 3, value(3)).alias("a"))
+    """pixels_wide of decoded images, two bytes a value: numpy views of the data, batches of BATCH_PIXELS rows."""
+    import pyarrow as pa
+
+    names = ["image_id", "y", "x", "r", "g", "b", "a"]
+
+    def run(batches):
+        for batch in batches:
+            for image_id, width, channels, data in zip(*(batch.column(c) for c in ("image_id", "width", "channels", "data")), strict=True):
+                w, c = width.as_py(), channels.as_py()
+                values = np.frombuffer(data.as_buffer(), "<u2").reshape(-1, c)
+                for at in range(0, len(values), BATCH_PIXELS):
+                    part = values[at : at + BATCH_PIXELS].astype(np.int32)
+                    place = np.arange(at, at + len(part))
+                    planes = [pa.array(part[:, k]) for k in range(min(c, 4))] + [pa.nulls(len(part), pa.int32())] * (4 - min(c, 4))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), image_id.as_py(), np.int64)), pa.array((place // w).astype(np.int32)), pa.array((place % w).astype(np.int32)), *planes], names=names)
+
+    rows = images.where(F.col("error").isNull()).select("image_id", "width", "channels", "data")
+    return rows.mapInArrow(run, "image_id long, y int, x int, r int, g int, b int, a int")
 
 
 def encode(pixels: DataFrame, kind: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import blend, colorspaces, generators, point
 from pixelweave.functions.quantum import M, from_byte, to_byte
-from pixelweave.operators import compare, geometry, hashes, histogram, kernels, layers, neighbourhood, regions
+from pixelweave.operators import compare, filters, geometry, hashes, histogram, kernels, layers, neighbourhood, regions
 from pixelweave.plans import expression, steps
 from pixelweave.sources import codecs, rasters
 
@@ -147,7 +147,14 @@ def test_hash_join_finds_all_pairs(spark):
     for k, v in enumerate(values):
         first.setdefault(v, k)
     want = {(a, b) for v, a in first.items() for w, b in first.items() if a < b and ((v ^ w) & (2**64 - 1)).bit_count() <= 6}
-    assert {(r.a, r.b) for r in hashes.similar(df, 6).collect()} == want and want
+    want |= {(first[v], k) for k, v in enumerate(values) if k != first[v]}
+    for most in (6, 0, 1, 3, 9, 15):
+        links = {(a, b) for a, b in want if ((values[a] ^ values[b]) & (2**64 - 1)).bit_count() <= most}
+        if most > 6:
+            links = {(a, b) for v, a in first.items() for w, b in first.items() if a < b and ((v ^ w) & (2**64 - 1)).bit_count() <= most} | {(first[v], k) for k, v in enumerate(values) if k != first[v]}
+        got = [(r.a, r.b, r.distance) for r in hashes.similar(df, most).collect()]
+        assert len(got) == len(set(got)) and {(a, b) for a, b, _ in got} == links and links
+        assert all(((values[a] ^ values[b]) & (2**64 - 1)).bit_count() == d for a, b, d in got)
     assert df.select(hashes.from_hex(hashes.to_hex(F.col("hash"))).alias("h"), "hash").where("h <> hash").count() == 0
 
 
@@ -191,3 +198,68 @@ def test_streamed_files(spark, image, tmp_path):
     query = stream.writeStream.format("memory").queryName("streamed").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r.format, r.width, r.error) for r in spark.table("streamed").collect()] == [("png", 9, None)]
+
+
+def plain_bilinear(p, x, y):
+    h, w = p.shape[:2]
+    x0, y0 = int(np.floor(x)), int(np.floor(y))
+    at = lambda i, j: p[min(max(j, 0), h - 1), min(max(i, 0), w - 1)]
+    top, low = at(x0, y0) + (at(x0 + 1, y0) - at(x0, y0)) * (x - x0), at(x0, y0 + 1) + (at(x0 + 1, y0 + 1) - at(x0, y0 + 1)) * (x - x0)
+    return np.floor(top + (low - top) * (y - y0) + 0.5)
+
+
+def test_directional_blurs_pixel_by_pixel(spark, sf):
+    image = rasters.rgb(spark, sf).where("image_id = 3 and x < 7")
+    p = array(image).astype(float)
+    h, w = p.shape[:2]
+
+    def mean(x, y, places):
+        found = [(k, p[round(b), round(a)]) for k, a, b in places(x, y) if 0 <= round(a) < w and 0 <= round(b) < h]
+        return np.floor(sum(k * v for k, v in found) / sum(k for k, _ in found) + 0.5)
+
+    turn = np.radians(30)
+    motion = lambda x, y: [(np.exp(-n * n / 2), x + n * np.cos(turn), y + n * np.sin(turn)) for n in range(-2, 3)]
+    steps = max(3, int(2 * 20 * np.sqrt(np.hypot(w / 2, h / 2))) + 1)
+    steps += steps % 2 == 0
+    spin = [(k - steps // 2) * np.radians(20) / (steps - 1) for k in range(steps)]
+    radial = lambda x, y: [(1, (x - w / 2) * np.cos(t) - (y - h / 2) * np.sin(t) + w / 2, (x - w / 2) * np.sin(t) + (y - h / 2) * np.cos(t) + h / 2) for t in spin]
+    for got, places in ((filters.motion_blur(image, 2, 1.0, 30.0), motion), (filters.radial_blur(image, 20.0), radial)):
+        want = np.array([[mean(x, y, places) for x in range(w)] for y in range(h)])
+        assert np.abs(array(got) - want).max() <= 1
+
+
+def test_wave_implode_and_vignette_pixel_by_pixel(spark, sf):
+    image = rasters.rgb(spark, sf).where("image_id = 3 and x < 7")
+    p = array(image).astype(float)
+    h, w = p.shape[:2]
+    shift = lambda x: 2 + 1.5 * np.sin(2 * np.pi * x / 5)
+    waved = [[plain_bilinear(p, x, y - shift(x)) if 0 <= y - shift(x) < h - 1 else np.zeros(3) for x in range(w)] for y in range(h + 4)]
+    assert np.abs(array(filters.wave(image, 1.5, 5.0)) - waved).max() <= 1
+
+    def pinched(x, y):
+        dx, dy = x - w / 2, (y - h / 2) * w / h
+        d, radius = np.hypot(dx, dy), min(w, h) / 2
+        if d >= radius:
+            return p[y, x]
+        k = np.sin(np.pi / 2 * d / radius) ** -0.4 if d > 0 else 1.0
+        return plain_bilinear(p, min(max(k * dx + w / 2, 0), w - 1), min(max(k * dy * h / w + h / 2, 0), h - 1))
+
+    assert np.abs(array(filters.implode(image, 0.4)) - [[pinched(x, y) for x in range(w)] for y in range(h)]).max() <= 1
+    out = array(filters.vignette(image, 1.0))
+    assert (out <= p).all() and (out[h // 2, w // 2] > 0.9 * p[h // 2, w // 2]).all() and (out[0, 0] < 0.5 * p[0, 0]).all()
+
+
+def test_large_images_become_pixels_in_linear_time(spark):
+    import struct
+    import time
+    import zlib
+
+    n = 512  # a PNG file made here, without the library's own writer
+    raw = np.random.default_rng(1).integers(0, 256, (n, n, 3), dtype=np.uint8)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", n, n, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + row.tobytes() for row in raw))) + chunk(b"IEND", b"")
+    files = spark.createDataFrame([(1, "x.png", bytearray(png))], "image_id long, path string, content binary")
+    begun = time.time()
+    got = codecs.to_pixels(codecs.decode(files)).orderBy("y", "x").select("r", "g", "b").toArrow()
+    assert (np.stack([got.column(c).to_numpy() for c in "rgb"], 1).reshape(n, n, 3) == raw.astype(int) * 257).all()
+    assert time.time() - begun < 20
