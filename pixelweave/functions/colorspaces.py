@@ -220,6 +220,89 @@ def from_ycbcr(y, cb, cr) -> Triple:
     return times(inverse(LINEAR["ypbpr"]), [y, cb - 0.5, cr - 0.5])
 
 
+#: Luma of the hue, chroma and luma space; D65 to D50 and back; XYZ (D50) to ProPhoto and back.
+HCL_LUMA = (0.298839, 0.586811, 0.114350)
+D65_D50 = [[1.0479298208, 0.0228856803, -0.0501704271], [0.0296278156, 0.9904344267, -0.0170738250], [-0.0092430581, 0.0150551442, 0.7518742814]]
+D50_D65 = [[0.9555766, -0.0230393, 0.0631636], [-0.0282895, 1.0099416, 0.0210077], [0.0122982, -0.0204830, 1.3299098]]
+XYZ_PROPHOTO = [[1.3459433009, -0.2556075108, -0.0511118843], [-0.5445989113, 1.5081673660, 0.0205351443], [0.0, 0.0, 1.2118127757]]
+PROPHOTO_XYZ = [[0.7977604896, 0.1351917082, 0.0313493495], [0.2880711282, 0.7118432178, 0.0000856540], [0.0, 0.0, 0.8251046026]]
+#: Fixed values of the perceptual quantizer and of Jzazbz (white at 203 nits).
+PQ = {"c1": 0.8359375, "c2": 18.8515625, "c3": 18.6875, "n": 0.15930175781, "p": 134.034375}
+JZ = {"b": 1.15, "g": 0.66, "d": -0.56, "d0": 1.6295499532821566e-11, "white": 203.0}
+JZ_LMS = [[0.41478972, 0.579999, 0.0146480], [-0.20151000, 1.120649, 0.0531008], [-0.01660080, 0.264800, 0.6684799]]
+LMS_JZ = [[1.9242264358, -1.0047923126, 0.0376514040], [0.3503167621, 0.7264811939, -0.0653844229], [-0.0909828110, -0.3127282905, 1.5227665613]]
+JZ_IAB = [[0.5, 0.5, 0.0], [3.524000, -4.066708, 0.542708], [0.199076, 1.096799, -1.295875]]
+IAB_JZ = [[1.0, 0.1386050433, 0.0580473162], [1.0, -0.1386050433, -0.0580473162], [1.0, -0.0960192421, -0.8118918960]]
+
+
+def to_hcl(r, g, b) -> Triple:
+    """Hexcone hue, chroma and luma."""
+    return [hue(r, g, b), F.greatest(r, g, b) - F.least(r, g, b), r * HCL_LUMA[0] + g * HCL_LUMA[1] + b * HCL_LUMA[2]]
+
+
+def from_hcl(h, c, light) -> Triple:
+    rgb = _sector(h, c)
+    m = light - (rgb[0] * HCL_LUMA[0] + rgb[1] * HCL_LUMA[1] + rgb[2] * HCL_LUMA[2])
+    return [v + m for v in rgb]
+
+
+def from_hclp(h, c, light) -> Triple:
+    """As ``from_hcl``, but what leaves the gamut is drawn to the gray of its luma."""
+    rgb = _sector(h, c)
+    m = light - (rgb[0] * HCL_LUMA[0] + rgb[1] * HCL_LUMA[1] + rgb[2] * HCL_LUMA[2])
+    share = F.when(m < 0, light / (light - m)).when(m + c > 1, (1 - light) / (m - light + c)).otherwise(1.0)
+    low = F.when(m < 0, F.lit(0.0)).when(m + c > 1, 1 - share * c).otherwise(m)
+    return [share * v + low for v in rgb]
+
+
+def _pq(x: Column) -> Column:
+    t = F.pow(x / 10000.0, F.lit(PQ["n"]))
+    return F.when(x <= 0, 0.0).otherwise(F.pow((t * PQ["c2"] + PQ["c1"]) / (t * PQ["c3"] + 1), F.lit(PQ["p"])))
+
+
+def _unpq(x: Column) -> Column:
+    t = F.pow(x, F.lit(1 / PQ["p"]))
+    low = t * PQ["c3"] - PQ["c2"]
+    return F.when((x <= 0) | (low >= 0), 0.0).otherwise(F.pow((PQ["c1"] - t) / low, F.lit(1 / PQ["n"])) * 10000.0)
+
+
+def to_jzazbz(r, g, b) -> Triple:
+    """A perceptual space of absolute light; both opponent axes are halved and moved to 0..1."""
+    x, y, z = [v * JZ["white"] for v in to_xyz(r, g, b)]
+    i, a, b_ = times(JZ_IAB, [_pq(v) for v in times(JZ_LMS, [x * JZ["b"] - z * (JZ["b"] - 1), y * JZ["g"] - x * (JZ["g"] - 1), z])])
+    return [i * (1 + JZ["d"]) / (i * JZ["d"] + 1) - JZ["d0"], a * 0.5 + 0.5, b_ * 0.5 + 0.5]
+
+
+def from_jzazbz(j, a, b) -> Triple:
+    i = (j + JZ["d0"]) / (1 + JZ["d"] - (j + JZ["d0"]) * JZ["d"])
+    x, y, z = times(LMS_JZ, [_unpq(v) for v in times(IAB_JZ, [i, (a - 0.5) * 2, (b - 0.5) * 2])])
+    x = (x + z * (JZ["b"] - 1)) / JZ["b"]
+    y = (y + x * (JZ["g"] - 1)) / JZ["g"]
+    return from_xyz(*[v / JZ["white"] for v in (x, y, z)])
+
+
+def to_jzczhz(r, g, b) -> Triple:
+    """Lightness, chroma and hue (0..1) of Jzazbz."""
+    j, a, b_ = to_jzazbz(r, g, b)
+    a, b_ = (a - 0.5) * 2, (b_ - 0.5) * 2
+    return [j, F.sqrt(a * a + b_ * b_), F.pmod(F.atan2(b_, a) / (2 * math.pi), F.lit(1.0))]
+
+
+def from_jzczhz(j, c, h) -> Triple:
+    return from_jzazbz(j, c * F.cos(h * (2 * math.pi)) * 0.5 + 0.5, c * F.sin(h * (2 * math.pi)) * 0.5 + 0.5)
+
+
+def to_prophoto(r, g, b) -> Triple:
+    """ProPhoto RGB by way of XYZ at D50, exponent 1.8 with a linear foot."""
+    linear = [clamp(v, 0, 1) for v in times(XYZ_PROPHOTO, times(D65_D50, to_xyz(r, g, b)))]
+    return [F.when(v >= 1 / 512, F.pow(v, F.lit(1 / 1.8))).otherwise(v * 16.0) for v in linear]
+
+
+def from_prophoto(r, g, b) -> Triple:
+    linear = [F.when(v < 0, 0.0).when(v >= 16 / 512, F.pow(v, F.lit(1.8))).otherwise(v / 16.0) for v in (r, g, b)]
+    return from_xyz(*times(D50_D65, times(PROPHOTO_XYZ, linear)))
+
+
 SPACES: dict[str, tuple[Callable, Callable]] = {
     "hsl": (to_hsl, from_hsl),
     "hsv": (to_hsv, from_hsv),
@@ -235,6 +318,11 @@ SPACES: dict[str, tuple[Callable, Callable]] = {
     "oklab": (to_oklab, from_oklab),
     "oklch": (_as_polar(to_oklab), _of_polar(from_oklab)),
     "displayp3": (to_p3, from_p3),
+    "hcl": (to_hcl, from_hcl),
+    "hclp": (to_hcl, from_hclp),
+    "jzazbz": (to_jzazbz, from_jzazbz),
+    "jzczhz": (to_jzczhz, from_jzczhz),
+    "prophoto": (to_prophoto, from_prophoto),
     **{name: (lambda r, g, b, m=m: times(m, [r, g, b]), lambda x, y, z, m=m: times(inverse(m), [x, y, z])) for name, m in LINEAR.items()},
 }
 

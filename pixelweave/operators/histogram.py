@@ -181,3 +181,47 @@ def match_histogram(long: DataFrame, reference: DataFrame) -> DataFrame:
 
 def pixel_channels(df: DataFrame) -> DataFrame:
     return to_long(df)
+
+
+def triangle(df: DataFrame) -> DataFrame:
+    """image_id, bin, threshold: the first bin of the luma histogram farthest from the chord of its peak and its longer tail."""
+    dense = luma_histogram(df).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    dense = dense.select("image_id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")).alias("n"))
+    dense = dense.withColumns({"peak": F.array_position("n", F.array_max("n")).cast("int") - 1, "used": F.filter(F.sequence(F.lit(0), F.lit(255)), lambda i: F.get("n", i) > 0)})
+    low, high = F.element_at("used", 1), F.element_at("used", -1)
+    right = (F.col("peak") - low) < (high - F.col("peak"))
+    ends = dense.select("image_id", "n", F.when(right, F.col("peak")).otherwise(low).alias("from"), F.when(right, high).otherwise(F.col("peak")).alias("to"))
+    x0, x1 = F.col("from"), F.col("to")
+    y0, y1 = F.get("n", x0), F.get("n", x1)
+    far = ends.select("image_id", x0.alias("from"), F.transform(F.sequence(x0, x1), lambda i: F.round(F.abs((y1 - y0) * i - (x1 - x0) * F.get("n", i) + x1 * y0 - y1 * x0), 6)).alias("far"))
+    best = F.when(F.array_max("far") > 0, F.col("from") + F.array_position("far", F.array_max("far")).cast("int") - 1).otherwise(F.col("from"))
+    return far.select("image_id", best.alias("bin"), F.when(F.size("far") == 1, 0.5).otherwise(best / 255.0).alias("threshold"))
+
+
+def linear_stretch(df: DataFrame, black: float = 2.0, white: float = 1.0) -> DataFrame:
+    """One pair of levels for all channels: those where so many percent of the luma values lie at or below, and at or above."""
+    level = F.floor(F.col("r") * 0.212656 + F.col("g") * 0.715158 + F.col("b") * 0.072186).cast("int")
+    h = df.groupBy("image_id", level.alias("bin")).agg(F.count("*").alias("n"))
+    up = Window.partitionBy("image_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = h.withColumns({"below": F.sum("n").over(up), "total": F.sum("n").over(Window.partitionBy("image_id"))})
+    above = F.col("total") - F.col("below") + F.col("n")
+    ends = h.groupBy("image_id").agg(F.min(F.when(F.col("below") >= F.col("total") * (black / 100), F.col("bin"))).alias("lo"), F.max(F.when(above >= F.col("total") * (white / 100), F.col("bin"))).alias("hi"))
+    v = lambda c: F.when(F.col(c) <= F.col("lo"), 0).when(F.col(c) >= F.col("hi"), M).otherwise(F.floor((F.col(c) - F.col("lo")) * (float(M) / (F.col("hi") - F.col("lo")))).cast("int"))
+    return df.join(ends, "image_id").withColumns({c: v(c) for c in RGB}).select(*df.columns)
+
+
+def hu_moments(df: DataFrame) -> DataFrame:
+    """image_id, hu1 to hu7: the seven moments of luma that turns, scales and shifts leave unchanged; one aggregate an image."""
+    v, x, y = luma() / float(M), F.col("x").cast("double"), F.col("y").cast("double")
+    m = df.groupBy("image_id").agg(*[F.sum(F.pow(x, F.lit(p)) * F.pow(y, F.lit(q)) * v).alias(f"m{p}{q}") for p in range(4) for q in range(4) if p + q <= 3])
+    c = lambda name: F.col(f"m{name}")
+    xc, yc = c("10") / c("00"), c("01") / c("00")
+    two, three = c("00") * c("00"), F.pow(c("00"), F.lit(2.5))
+    n20, n11, n02 = (c("20") - xc * c("10")) / two, (c("11") - xc * c("01")) / two, (c("02") - yc * c("01")) / two
+    n30 = (c("30") - xc * c("20") * 3 + xc * xc * c("10") * 2) / three
+    n21 = (c("21") - xc * c("11") * 2 - yc * c("20") + xc * xc * c("01") * 2) / three
+    n12 = (c("12") - yc * c("11") * 2 - xc * c("02") + yc * yc * c("10") * 2) / three
+    n03 = (c("03") - yc * c("02") * 3 + yc * yc * c("01") * 2) / three
+    a, b, s, t = n30 + n12, n21 + n03, n30 - n12 * 3, n21 * 3 - n03
+    hu = [n20 + n02, (n20 - n02) * (n20 - n02) + n11 * n11 * 4, s * s + t * t, a * a + b * b, s * a * (a * a - b * b * 3) + t * b * (a * a * 3 - b * b), (n20 - n02) * (a * a - b * b) + n11 * a * b * 4, t * a * (a * a - b * b * 3) - s * b * (a * a * 3 - b * b)]
+    return m.select("image_id", *[F.when(c("00") == 0, 0.0).otherwise(e).alias(f"hu{k}") for k, e in enumerate(hu, 1)])
