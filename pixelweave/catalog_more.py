@@ -146,3 +146,30 @@ _R = "sqrt((px-4)*(px-4)+(py-4)*(py-4))"
 _FAR = f"(CASE WHEN {_R} < 0.001 THEN {_R} ELSE 4*tan(asin(least({_R}/4, 1)*0.6))/tan(asin(0.6)) END)"
 warped("spherize", lambda s, d: warp.spherize(rasters.rgb(s, d), 0.6), f"4 + cos(atan2(py-4, px-4))*{_FAR}", f"4 + sin(atan2(py-4, px-4))*{_FAR}", "sqrt((px-4)*(px-4)+(py-4)*(py-4)) < 4")
 warped("displace", lambda s, d: warp.displace(rasters.rgb(s, d), _shift(rasters.rgb(s, d)), 3.0, 2.0).join(_shift(rasters.rgb(s, d)).select("image_id").distinct(), "image_id"), "px + (n.r2 - 32767.5)/32767.5*3", "py + (n.g2 - 32767.5)/32767.5*2", source=PX + ", nx AS (SELECT image_id - 1 AS image_id, y, x, r AS r2, g AS g2 FROM px)", at="JOIN nx n ON n.image_id = g.image_id AND n.x = g.x AND n.y = g.y", ids="(SELECT image_id FROM px INTERSECT SELECT image_id FROM nx)")
+
+# --- formats ------------------------------------------------------------------------------------------------------------------------
+
+
+def _jpeg(spark, sf_dir: str, **options) -> DataFrame:
+    """How many images come back from JPEG files with a mean error below 1 % of the range."""
+    df = rasters.rgb(spark, sf_dir)
+    files = codecs.encode(df, "jpeg", **options).withColumn("path", F.lit("x.jpg"))
+    back = codecs.to_pixels(codecs.decode(files))
+    far = df.join(back.select(*KEY, *[F.col(c).alias(f"{c}2") for c in RGB]), KEY).groupBy("image_id").agg(F.count("*").alias("n"), F.avg(sum(F.abs(F.col(c) - F.col(f"{c}2")) for c in RGB) / 3).alias("far"))
+    return far.select("image_id", "n", (F.col("far") < 655.35).alias("near"))
+
+
+for _name, _options in (("jpeg", {"quality": 100}), ("jpeg_progressive", {"quality": 100, "progressive": True})):
+    register(f"codec_{_name}", lambda s, d, o=_options: _jpeg(s, d, **o), f"WITH {PX} SELECT image_id, count(*) AS n, TRUE AS near FROM px GROUP BY 1")
+_KNOWN = [(n, at, digits) for n, at, digits in codecs.SIGNATURES]
+register(
+    "probe_signatures",
+    lambda s, d: s.createDataFrame([(k, at, digits) for k, (_, at, digits) in enumerate(_KNOWN)], "id int, at int, digits string").select("id", codecs.detect(F.concat(F.unhex(F.repeat(F.lit("01"), F.col("at"))), F.unhex("digits"), F.unhex(F.lit("00" * 8)))).alias("format")),
+    "SELECT CAST(id AS INT) AS id, format FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, (n, _, _) in enumerate(_KNOWN)) + ") t(id, format)",
+)
+_NAMES = sorted(codecs.EXTENSIONS.items())
+register(
+    "probe_extensions",
+    lambda s, d: s.createDataFrame([(k, f"dir.d/File.{e.upper()}") for k, (e, _) in enumerate(_NAMES)], "id int, path string").select("id", codecs.detect_extension(F.col("path")).alias("format")),
+    "SELECT CAST(id AS INT) AS id, format FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, (_, n) in enumerate(_NAMES)) + ") t(id, format)",
+)

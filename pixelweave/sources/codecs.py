@@ -327,10 +327,10 @@ IMAGE = "image_id long, path string, format string, width int, height int, chann
 
 def codec(kind: str) -> tuple[Callable[[bytes], np.ndarray], Callable[[np.ndarray], bytes]]:
     """Decoder and encoder of a format, or a ValueError."""
-    from . import more_codecs
+    from . import jpeg, more_codecs
 
     try:
-        return (CODECS | more_codecs.CODECS)[kind]
+        return (CODECS | more_codecs.CODECS | {"jpeg": (jpeg.decode, jpeg.encode)})[kind]
     except KeyError:
         raise ValueError(f"no codec for {kind}") from None
 
@@ -393,8 +393,8 @@ def to_pixels(images: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "image_id long, y int, x int, r int, g int, b int, a int")
 
 
-def encode(pixels: DataFrame, kind: str) -> DataFrame:
-    """image_id, content of pixels_wide: one group an image."""
+def encode(pixels: DataFrame, kind: str, **options) -> DataFrame:
+    """image_id, content of pixels_wide: one group an image. ``options`` go to the encoder (JPEG: quality, sampling, progressive)."""
     import pandas as pd
 
     put = codec(kind)[1]
@@ -403,6 +403,6 @@ def encode(pixels: DataFrame, kind: str) -> DataFrame:
         names = ["r", "g", "b"] + (["a"] if pdf.a.notna().all() else [])
         p = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1, len(names)), np.int32)
         p[pdf.y, pdf.x] = pdf[names].astype(int)
-        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "content": [put(p)]})
+        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "content": [put(p, **options)]})
 
     return pixels.select("image_id", "y", "x", "r", "g", "b", "a").groupBy("image_id").applyInPandas(run, "image_id long, content binary")
