@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .catalog import EMB, KEY, L601, L709, PAIR, PX, PXA, RGB, Q, T, _shift, pixels, register
 from .functions import adjust, colorspaces, point
 from .operators import compare, geometry, hashes, histogram, warp
-from .sources import codecs, rasters
+from .sources import codecs, metadata, rasters
 
 # --- point operators ----------------------------------------------------------------------------------------------------------------
 
@@ -173,3 +173,46 @@ register(
     lambda s, d: s.createDataFrame([(k, f"dir.d/File.{e.upper()}") for k, (e, _) in enumerate(_NAMES)], "id int, path string").select("id", codecs.detect_extension(F.col("path")).alias("format")),
     "SELECT CAST(id AS INT) AS id, format FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, (_, n) in enumerate(_NAMES)) + ") t(id, format)",
 )
+
+# --- metadata -----------------------------------------------------------------------------------------------------------------------
+
+
+def _tagged(spark, sf_dir: str) -> DataFrame:
+    """EXIF entries for each vector's id: a text, a number, rationals and bytes in three directories."""
+    rows = rasters.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"))
+    entry = lambda ifd, tag, kind, text: F.struct(F.lit(ifd).alias("ifd"), F.lit(tag).alias("tag"), F.lit(kind).alias("type"), text.alias("text"))
+    i = F.col("image_id")
+    entries = F.array(
+        entry("ifd0", 0x010E, 2, F.concat(F.lit("vector "), i.cast("string"))),
+        entry("ifd0", 0x0112, 3, (i % 8 + 1).cast("string")),
+        entry("exif", 0x829A, 5, F.concat(F.lit("1/"), (i + 1).cast("string"))),
+        entry("exif", 0x9000, 7, F.lit("0x30 0x32 0x33 0x32")),
+        entry("gps", 2, 5, F.concat((i % 90).cast("string"), F.lit("/1, 30/1, 7/2"))),
+    )
+    return rows.select("image_id", F.explode(entries).alias("e")).select("image_id", "e.*")
+
+
+def _files(spark, sf_dir: str) -> DataFrame:
+    """A small JPEG file for each vector's id: all of the same bytes."""
+    import numpy as np
+
+    from .sources import jpeg
+
+    return rasters.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(bytearray(jpeg.encode(np.full((8, 8, 3), 30_000)))).alias("content"))
+
+
+_ENTRIES = "SELECT vec_id AS image_id, unnest([{'ifd': 'ifd0', 'tag': 270, 'name': 'ImageDescription', 'text': 'vector ' || vec_id}, {'ifd': 'ifd0', 'tag': 274, 'name': 'Orientation', 'text': CAST(vec_id % 8 + 1 AS VARCHAR)}, {'ifd': 'exif', 'tag': 33434, 'name': 'ExposureTime', 'text': '1/' || (vec_id + 1)}, {'ifd': 'exif', 'tag': 36864, 'name': 'ExifVersion', 'text': '0x30 0x32 0x33 0x32'}, {'ifd': 'gps', 'tag': 2, 'name': 'GpsLatitude', 'text': (vec_id % 90) || '/1, 30/1, 7/2'}]) AS e FROM embeddings"
+for _name, _big in (("exif_tags", False), ("exif_tags_big_endian", True)):
+    register(_name, lambda s, d, b=_big: metadata.exif_tags(metadata.with_exif(_files(s, d), _tagged(s, d), b)).select("image_id", "ifd", "tag", "name", "text"), f"SELECT image_id, e.ifd AS ifd, e.tag AS tag, e.name AS name, e.text AS text FROM ({_ENTRIES})")
+register("exif_first_tag", lambda s, d: metadata.first_tag(_tagged(s, d), 0x829A), "SELECT vec_id AS image_id, 'exif' AS ifd, '1/' || (vec_id + 1) AS text FROM embeddings")
+register("exif_names", lambda s, d: _tagged(s, d).select("image_id", "tag", metadata.name_of(F.col("tag")).alias("name")), f"SELECT image_id, e.tag AS tag, CASE WHEN e.tag = 2 THEN '0x0002' ELSE e.name END AS name FROM ({_ENTRIES})")
+
+
+def _recorded(spark, sf_dir: str) -> DataFrame:
+    rows = rasters.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"))
+    return rows.select("image_id", F.posexplode(F.array(F.concat(F.lit("title "), F.col("image_id").cast("string")), F.lit("one"), F.lit("two"))).alias("place", "text")).select("image_id", "place", F.when(F.col("place") == 0, 5).otherwise(25).alias("data_set"), "text")
+
+
+register("iptc_records", lambda s, d: metadata.iptc_records(metadata.with_iptc(_files(s, d), _recorded(s, d))), "SELECT vec_id AS image_id, CAST(p AS INT) AS place, CASE WHEN p = 0 THEN 5 ELSE 25 END AS data_set, CASE WHEN p = 0 THEN 'ObjectName' ELSE 'Keywords' END AS name, CASE p WHEN 0 THEN 'title ' || vec_id WHEN 1 THEN 'one' ELSE 'two' END AS text FROM embeddings, (SELECT unnest([0, 1, 2]) AS p) t")
+register("iptc_first_value", lambda s, d: metadata.first_value(_recorded(s, d), 25), "SELECT vec_id AS image_id, 'one' AS text FROM embeddings")
+register("strip_metadata", lambda s, d: _files(s, d).join(metadata.stripped(metadata.with_exif(_files(s, d), _tagged(s, d))).withColumnRenamed("content", "bare"), "image_id").select("image_id", (F.col("content") == F.col("bare")).alias("same")), "SELECT vec_id AS image_id, TRUE AS same FROM embeddings")
