@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import EMB, KEY, L601, L709, PAIR, PX, PXA, RGB, Q, T, _shift, pixels, register
-from .functions import adjust, colorspaces, point
-from .operators import compare, geometry, hashes, histogram, warp
+from .catalog import EMB, KEY, L601, L709, PAIR, PX, PXA, RGB, Q, T, _shift, _taps, pixels, register
+from .functions import adjust, colorspaces, drawing, noise, point
+from .operators import filters, geometry, hashes, histogram, neighbourhood, warp
 from .sources import codecs, metadata, rasters
 
 # --- point operators ----------------------------------------------------------------------------------------------------------------
@@ -216,3 +216,155 @@ def _recorded(spark, sf_dir: str) -> DataFrame:
 register("iptc_records", lambda s, d: metadata.iptc_records(metadata.with_iptc(_files(s, d), _recorded(s, d))), "SELECT vec_id AS image_id, CAST(p AS INT) AS place, CASE WHEN p = 0 THEN 5 ELSE 25 END AS data_set, CASE WHEN p = 0 THEN 'ObjectName' ELSE 'Keywords' END AS name, CASE p WHEN 0 THEN 'title ' || vec_id WHEN 1 THEN 'one' ELSE 'two' END AS text FROM embeddings, (SELECT unnest([0, 1, 2]) AS p) t")
 register("iptc_first_value", lambda s, d: metadata.first_value(_recorded(s, d), 25), "SELECT vec_id AS image_id, 'one' AS text FROM embeddings")
 register("strip_metadata", lambda s, d: _files(s, d).join(metadata.stripped(metadata.with_exif(_files(s, d), _tagged(s, d))).withColumnRenamed("content", "bare"), "image_id").select("image_id", (F.col("content") == F.col("bare")).alias("same")), "SELECT vec_id AS image_id, TRUE AS same FROM embeddings")
+
+# --- textures -----------------------------------------------------------------------------------------------------------------------
+
+_XY = "(SELECT CAST(0 AS BIGINT) AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT unnest(range({h})) AS y) a, (SELECT unnest(range({w})) AS x) b)"
+_LAT = lambda x, y, seed: f"(CAST('0x' || substr(md5(CAST(CAST({x} AS BIGINT) AS VARCHAR) || ',' || CAST(CAST({y} AS BIGINT) AS VARCHAR) || ',{seed}'), 1, 6) AS INT) / 16777216.0)"
+
+
+def _sql_slope(ix: str, iy: str, dx: str, dy: str, seed: int) -> str:
+    turn = f"({_LAT(ix, iy, seed)} * 2 * pi())"
+    return f"(cos({turn})*({dx}) + sin({turn})*({dy}))"
+
+
+def _sql_perlin(x: str, y: str, seed: int = 0) -> str:
+    ix, iy = f"floor({x})", f"floor({y})"
+    fx, fy = f"(({x}) - {ix})", f"(({y}) - {iy})"
+    u, v = (f"(6*pow({t}, 5) - 15*pow({t}, 4) + 10*pow({t}, 3))" for t in (fx, fy))
+    at = lambda a, b: _sql_slope(f"{ix} + {a}", f"{iy} + {b}", f"{fx} - {a}", f"{fy} - {b}", seed)
+    top, low = (f"({at(0, b)}*(1 - {u}) + {at(1, b)}*{u})" for b in (0, 1))
+    return f"(({top}*(1 - {v}) + {low}*{v}) * sqrt(2.0))"
+
+
+def _sql_fbm(x: str, y: str, octaves: int, persistence: float, seed: int, folded: bool) -> str:
+    parts = [_sql_perlin(f"({x})*{2.0**k}", f"({y})*{2.0**k}", seed + k) for k in range(octaves)]
+    return "((" + " + ".join(f"{f'abs({p})' if folded else p}*{persistence**k!r}" for k, p in enumerate(parts)) + f") / {sum(persistence**k for k in range(octaves))!r})"
+
+
+def _sql_simplex(x: str, y: str, seed: int) -> str:
+    skew, back = (math.sqrt(3) - 1) / 2, (3 - math.sqrt(3)) / 6
+    ix, iy = (f"floor({v} + ({x} + {y})*{skew!r})" for v in (x, y))
+    x0, y0 = (f"(({v}) - {i} + ({ix} + {iy})*{back!r})" for v, i in ((x, ix), (y, iy)))
+    right = f"(CASE WHEN {x0} > {y0} THEN 1 ELSE 0 END)"
+    total = []
+    for a, b, k in (("0", "0", 0), (right, f"(1 - {right})", 1), ("1", "1", 2)):
+        dx, dy = f"({x0} - {a} + {k * back!r})", f"({y0} - {b} + {k * back!r})"
+        total.append(f"pow(greatest(0.5 - {dx}*{dx} - {dy}*{dy}, 0), 4) * {_sql_slope(f'{ix} + {a}', f'{iy} + {b}', dx, dy, seed)}")
+    return f"(({' + '.join(total)}) * 99.2)"
+
+
+def _sql_worley(x: str, y: str, seed: int) -> str:
+    cells = [f"sqrt(pow(floor({x}) + {a} + {_LAT(f'floor({x}) + {a}', f'floor({y}) + {b}', seed)} - ({x}), 2) + pow(floor({y}) + {b} + {_LAT(f'floor({x}) + {a}', f'floor({y}) + {b}', seed + 1)} - ({y}), 2))" for b in (-1, 0, 1) for a in (-1, 0, 1)]
+    return f"list_sort([{', '.join(cells)}])"
+
+
+def textured(name: str, make, r: str, g: str | None = None, b: str | None = None, size: tuple[int, int] = (12, 9)) -> None:
+    register(name, lambda s, d: make(s, *size).select(*KEY, *RGB), f"SELECT image_id, y, x, {', '.join(f'{e} AS {c}' for e, c in zip((r, g or r, b or r), RGB, strict=True))} FROM {_XY.format(w=size[0], h=size[1])}")
+
+
+_GRAY = lambda v, signed=True: Q(f"round(({f'{v}*0.5 + 0.5' if signed else v})*65535, 6)")
+_NX, _NY = "(x/12.0*3)", "(y/9.0*3)"
+textured("noise_perlin", lambda s, w, h: noise.texture(s, w, h, lambda x, y: noise.perlin(x, y, 5), 3.0), _GRAY(_sql_perlin(_NX, _NY, 5)))
+textured("noise_simplex", lambda s, w, h: noise.texture(s, w, h, lambda x, y: noise.simplex(x, y, 5), 3.0), _GRAY(_sql_simplex(_NX, _NY, 5)))
+textured("noise_worley", lambda s, w, h: noise.texture(s, w, h, lambda x, y: noise.worley(x, y, 5), 3.0, False), _GRAY(f"{_sql_worley(_NX, _NY, 5)}[1]", False))
+textured("noise_worley_between", lambda s, w, h: noise.texture(s, w, h, lambda x, y: noise.worley(x, y, 5, between=True), 3.0, False), _GRAY(f"({_sql_worley(_NX, _NY, 5)}[2] - {_sql_worley(_NX, _NY, 5)}[1])", False))
+textured("noise_fbm", lambda s, w, h: noise.texture(s, w, h, lambda x, y: noise.fbm(x, y, 3, seed=2), 3.0), _GRAY(_sql_fbm(_NX, _NY, 3, 0.5, 2, False)))
+textured("noise_turbulence", lambda s, w, h: noise.texture(s, w, h, lambda x, y: noise.fbm(x, y, 3, seed=2, folded=True), 3.0, False), _GRAY(_sql_fbm(_NX, _NY, 3, 0.5, 2, True), False))
+textured("marble", lambda s, w, h: noise.marble(s, w, h, 3.0, 4.0, 2, 7), _GRAY(f"sin({_NX} + {_sql_fbm(_NX, _NY, 2, 0.5, 7, True)}*4.0)"))
+_WX, _WY = "((x/12.0 - 0.5)*4)", "((y/9.0 - 0.5)*4)"
+_RING = f"((sin((sqrt({_WX}*{_WX} + {_WY}*{_WY}) + {_sql_perlin(f'{_WX}*2', f'{_WY}*2', 3)}*0.1)*12*pi()) + 1)*0.5)"
+textured("wood", lambda s, w, h: noise.wood(s, w, h, seed=3), *[f"CAST(floor(round({_RING}*{(b - a) * 257}, 6)) + {a * 257} AS INT)" for a, b in ((100, 200), (60, 150), (20, 80))])
+textured("plasma", lambda s, w, h: noise.plasma(s, w, h, 1), *[_GRAY(_sql_fbm("(x/12.0*2)", "(y/9.0*2)", 7, 0.6, 1 + 100 * k, False)) for k in range(3)])
+
+
+def _sql_stops(t: str, stops: list, c: int) -> str:
+    out = f"CASE WHEN {t} <= {stops[0][0]} THEN {stops[0][c]}"
+    for one, two in zip(stops, stops[1:], strict=False):
+        out += f" WHEN {t} <= {two[0]} THEN ({t} - {one[0]})/{two[0] - one[0]!r}*{two[c] - one[c]} + {one[c]}"
+    return Q(f"round({out} ELSE {stops[-1][c]} END, 6)")
+
+
+_STOPS = [(0.0, 0, 1000, 60000), (0.3, 65535, 20000, 0), (0.8, 100, 65535, 30000), (1.0, 40000, 40000, 40000)]
+_LT = "least(greatest(((x - 5.5)*cos(radians(30)) + (y - 4)*sin(radians(30)))*0.5/(5.5*cos(radians(30)) + 4*sin(radians(30))) + 0.5, 0), 1)"
+_RT = "least(sqrt((x - 3.3)*(x - 3.3) + (y - 4.0)*(y - 4.0))/sqrt(7.7*7.7 + 16), 1)"
+textured("gradient_linear_stops", lambda s, w, h: noise.linear_stops(s, w, h, _STOPS, 30.0), *[_sql_stops(_LT, _STOPS, c) for c in (1, 2, 3)])
+textured("gradient_radial_stops", lambda s, w, h: noise.radial_stops(s, w, h, _STOPS, 0.3, 0.5), *[_sql_stops(_RT, _STOPS, c) for c in (1, 2, 3)])
+for _name, (_n, _rows) in noise.PATTERNS.items():
+    textured(f"pattern_{_name}", lambda s, w, h, n=_name: noise.pattern(s, w, h, n, (100, 200, 300), (400, 500, 600)), *[f"CASE WHEN (([{', '.join(map(str, _rows))}])[y % {len(_rows)} + 1] >> ({_n - 1} - x % {_n})) & 1 = 1 THEN {a} ELSE {b} END" for a, b in ((100, 400), (200, 500), (300, 600))])
+
+# --- shapes -------------------------------------------------------------------------------------------------------------------------
+
+
+def shaped(name: str, shape, coverage: str) -> None:
+    register(name, lambda s, d: shape(s, 16, 12).select("y", "x", F.round("coverage", 6).alias("coverage")), f"SELECT * FROM (SELECT y, x, round(least(greatest({coverage}, 0), 1), 6) AS coverage FROM {_XY.format(w=16, h=12)}) WHERE coverage > 0")
+
+
+def _sql_polygon(points) -> str:
+    return "(" + " + ".join(f"CASE WHEN y + 0.5 >= {min(ya, yb)!r} AND y + 0.5 < {max(ya, yb)!r} AND x + 0.5 < (y + 0.5 - {ya!r})*({(xb - xa) / (yb - ya)!r}) + {xa!r} THEN 1 ELSE 0 END" for (xa, ya), (xb, yb) in zip(points, [*points[1:], points[0]], strict=True) if ya != yb) + ") % 2"
+
+
+def _sql_stroke(parts, stroke: float) -> str:
+    far = []
+    for (xa, ya), (xb, yb) in parts:
+        dx, dy = xb - xa, yb - ya
+        dx, dy, xa, ya = (f"{v!r}::DOUBLE" for v in (dx, dy, xa, ya))
+        t = f"least(greatest(((x + 0.5 - {xa})*({dx}) + (y + 0.5 - {ya})*({dy}))/(({dx})*({dx}) + ({dy})*({dy})), 0), 1)"
+        far.append(f"pow(x + 0.5 - ({t}*({dx}) + {xa}), 2) + pow(y + 0.5 - ({t}*({dy}) + {ya}), 2)")
+    return f"{stroke / 2 + 0.5} - sqrt(least({', '.join(far)}))"
+
+
+_LINE = [(1.0, 1.5), (8.0, 10.0), (14.5, 2.0)]
+_POLYGONS = {"polygon_regular": drawing.regular_polygon(8.2, 6.1, 5.3, 5), "polygon_star": drawing.star(8.2, 6.1, 5.7, 2.3, 5), "polygon_circle": drawing.circle(7.9, 5.7, 4.6, 24), "rectangle_rounded": drawing.rounded_rectangle(2.2, 1.3, 11.1, 8.9, 3.0, 2.0), "path": drawing.parse_path("M 2.1 1.2 L 13.3 2.2 q 2 4 -1 8.1 H 3.1 V 7.2 C 1.1 6.1 5.2 4.3 2.1 1.2 Z")[0]}
+for _name, _points in _POLYGONS.items():
+    shaped(f"shape_{_name}", lambda s, w, h, p=_points: drawing.polygon(s, w, h, p), _sql_polygon(_points))
+shaped("shape_polyline", lambda s, w, h: drawing.polyline(s, w, h, _LINE, 1.6), _sql_stroke(list(zip(_LINE, _LINE[1:], strict=False)), 1.6))
+shaped("shape_dashes", lambda s, w, h: drawing.polyline(s, w, h, _LINE, 1.2, (3.0, 2.0)), _sql_stroke(drawing.dashed(_LINE, (3.0, 2.0)), 1.2))
+shaped("shape_point", lambda s, w, h: drawing.rectangle(s, w, h, 5, 4, 6, 5), "CASE WHEN x = 5 AND y = 4 THEN 1 ELSE 0 END")
+_DISC = "least(greatest((1 - sqrt((x+0.5-4)*(x+0.5-4)/9.0 + (y+0.5-4)*(y+0.5-4)/9.0))*3 + 0.5, 0), 1)"
+for _name, _paint, _t in (("linear", lambda df, sh: drawing.paint_linear(df, sh, 1, 1, 7, 5, (0, 60000, 10000), (65535, 0, 30000)), "((x+0.5-1)*6 + (y+0.5-1)*4)/52.0"), ("radial", lambda df, sh: drawing.paint_radial(df, sh, 3, 4, 4, (0, 60000, 10000), (65535, 0, 30000)), "sqrt((x+0.5-3)*(x+0.5-3) + (y+0.5-4)*(y+0.5-4))/4.0")):
+    register(f"fill_{_name}_gradient", lambda s, d, f=_paint: f(rasters.rgb(s, d), drawing.ellipse(s, 8, 8, 4, 4, 3, 3)).select(*KEY, *RGB), f"WITH {PX} SELECT image_id, y, x, {', '.join(f'CAST(floor(round({c}*(1 - {_DISC}) + (least(greatest({_t}, 0), 1)*{b - a} + {a})*{_DISC}, 6) + 0.5) AS INT) AS {c}' for c, a, b in zip(RGB, (0, 60000, 10000), (65535, 0, 30000), strict=True))} FROM px")
+
+# --- neighbourhoods and sizes -------------------------------------------------------------------------------------------------------
+
+_NEAR = "(([" + ", ".join(str(w) for row in filters.NEAR for w in row) + "])[(dy+2)*5+dx+3]/25.0*greatest(0, 1 - abs({n} - {p})/65535.0*3))"
+_AROUND = "o AS (SELECT dx, dy FROM (SELECT unnest(range(-{r}, {r}+1)) AS dx) a, (SELECT unnest(range(-{r}, {r}+1)) AS dy) b)"
+register("enhance", lambda s, d: filters.enhance(rasters.rgb(s, d)).select(*KEY, *RGB), f"WITH {PX}, {_AROUND.format(r=2)} SELECT p.image_id, p.y, p.x, {', '.join('CAST(floor(round(sum({w}*q.{c})/sum({w}), 6)) AS INT) AS {c}'.format(w=_NEAR.format(n=f'q.{c}', p=f'p.{c}'), c=c) for c in RGB)} FROM px p, o JOIN px q ON q.image_id = p.image_id AND q.x = least(greatest(p.x+dx, 0), 7) AND q.y = least(greatest(p.y+dy, 0), 7) GROUP BY 1, 2, 3")
+_LC = f"l AS (SELECT *, {L601} AS l FROM px), m AS (SELECT p.image_id, p.y, p.x, sum((3 - abs(dx))*(3 - abs(dy))*q.l)/81.0 AS m FROM l p, o JOIN l q ON q.image_id = p.image_id AND q.x = least(greatest(p.x+dx, 0), 7) AND q.y = least(greatest(p.y+dy, 0), 7) GROUP BY 1, 2, 3)"
+register("local_contrast", lambda s, d: neighbourhood.local_contrast(rasters.rgb(s, d), 2, 60.0).select(*KEY, *RGB), f"WITH {PX}, {_AROUND.format(r=2)}, {_LC} SELECT l.image_id, l.y, l.x, {', '.join(f'CAST(floor(least(greatest(round({c}*CASE WHEN l > 1 THEN (l + (l - m)*0.6)/l ELSE 1 END, 6), 0), 65535)) AS INT) AS {c}' for c in RGB)} FROM l JOIN m ON m.image_id = l.image_id AND m.y = l.y AND m.x = l.x")
+_SH = f"l AS (SELECT *, {L709} AS l FROM px), n AS (SELECT *, coalesce(lag(l) OVER (PARTITION BY image_id, y ORDER BY x), l) - coalesce(lead(l) OVER (PARTITION BY image_id, y ORDER BY x), l) AS nx, coalesce(lag(l) OVER (PARTITION BY image_id, x ORDER BY y), l) - coalesce(lead(l) OVER (PARTITION BY image_id, x ORDER BY y), l) AS ny FROM l), v AS (SELECT *, least(greatest(round(CASE WHEN abs(nx) < 0.5 AND abs(ny) < 0.5 THEN 65535*sin(radians(40)) ELSE (nx*65535*cos(radians(25))*cos(radians(40)) + ny*65535*sin(radians(25))*cos(radians(40)) + 131070.0*65535*sin(radians(40)))/sqrt(nx*nx + ny*ny + 131070.0*131070) END, 6), 0), 65535) AS v FROM n)"
+register("shade", lambda s, d: neighbourhood.shade(rasters.rgb(s, d), 25.0, 40.0).select(*KEY, *RGB), f"WITH {PX}, {_SH} SELECT image_id, y, x, CAST(floor(v) AS INT) AS r, CAST(floor(v) AS INT) AS g, CAST(floor(v) AS INT) AS b FROM v")
+register("shade_tinted", lambda s, d: neighbourhood.shade(rasters.rgb(s, d), 25.0, 40.0, True).select(*KEY, *RGB), f"WITH {PX}, {_SH} SELECT image_id, y, x, {', '.join(f'CAST(floor(round({c}*v/65535, 6)) AS INT) AS {c}' for c in RGB)} FROM v")
+register("lens_blur", lambda s, d: neighbourhood.lens_blur(rasters.rgb(s, d), 2).select(*KEY, *RGB), f"WITH {PX}, {_AROUND.format(r=2)} SELECT p.image_id, p.y, p.x, {', '.join(f'CAST(floor(round(avg(q.{c}), 6) + 0.5) AS INT) AS {c}' for c in RGB)} FROM px p, o JOIN px q ON q.image_id = p.image_id AND q.x = p.x+dx AND q.y = p.y+dy WHERE dx*dx + dy*dy <= 4 GROUP BY 1, 2, 3")
+register("pointillize", lambda s, d: neighbourhood.pointillize(rasters.rgb(s, d), 2, 3, 40000).select(*KEY, *RGB), f"WITH {PX}, k AS (SELECT image_id, y AS cy, x AS cx, r, g, b FROM px WHERE x IN (2, 5) AND y IN (2, 5)), d AS (SELECT px.image_id, px.y, px.x, arg_max(struct_pack(r := k.r, g := k.g, b := k.b), cy*100 + cx) AS d FROM px JOIN k ON k.image_id = px.image_id AND (px.x-cx)*(px.x-cx) + (px.y-cy)*(px.y-cy) <= 4 GROUP BY 1, 2, 3) SELECT px.image_id, px.y, px.x, {', '.join(f'coalesce(d.d.{c}, 40000) AS {c}' for c in RGB)} FROM px LEFT JOIN d ON d.image_id = px.image_id AND d.y = px.y AND d.x = px.x")
+
+
+def _sized(name: str, f, target: tuple[int, int], method: str = "lanczos3") -> None:
+    register(name, lambda s, d: f(rasters.rgb(s, d)).select(*KEY, *RGB), f"WITH {PX}, tx AS (SELECT * FROM {_taps(8, target[0], method)} t), ty AS (SELECT * FROM {_taps(8, target[1], method)} t), h AS (SELECT image_id, y, tx.o AS x, {', '.join(f'sum({c}*w) AS {c}' for c in RGB)} FROM px JOIN tx ON tx.i = x GROUP BY 1,2,3) SELECT image_id, CAST(ty.o AS INT) AS y, CAST(x AS INT) AS x, {', '.join(f'CAST(floor(least(greatest(round(sum({c}*w),6),0),65535)+0.5) AS INT) AS {c}' for c in RGB)} FROM h JOIN ty ON ty.i = y GROUP BY 1, ty.o, 3")
+
+
+_sized("magnify", lambda d: geometry.magnify(d, (8, 8)), (16, 16))
+_sized("minify", lambda d: geometry.minify(d, (8, 8)), (4, 4))
+_sized("thumbnail", lambda d: geometry.thumbnail(d, (8, 8), (9, 5), "mitchell"), (5, 5), "mitchell")
+_sized("resample", lambda d: geometry.resample(d, (8, 8), (100.0, 50.0), (72.0, 0.0), "catrom"), (11, 6), "catrom")
+_KG = [math.exp(-k * k / (2 * 0.6 * 0.6)) for k in range(-2, 3)]
+_BLUR = f"o AS (SELECT dx, dy, wx::DOUBLE*wy::DOUBLE AS w FROM (VALUES {', '.join(f'({k - 2}, {w / sum(_KG)!r})' for k, w in enumerate(_KG))}) a(dx, wx), (VALUES {', '.join(f'({k - 2}, {w / sum(_KG)!r})' for k, w in enumerate(_KG))}) b(dy, wy)), s AS (SELECT p.image_id, p.y, p.x, {', '.join(f'CAST(floor(least(greatest(round(sum(q.{c}*w), 6), 0), 65535) + 0.5) AS INT) AS s{c}' for c in RGB)} FROM px p, o JOIN px q ON q.image_id = p.image_id AND q.x = least(greatest(p.x+dx, 0), 7) AND q.y = least(greatest(p.y+dy, 0), 7) GROUP BY 1, 2, 3), both_ AS (SELECT px.*, sr, sg, sb FROM px JOIN s ON s.image_id = px.image_id AND s.y = px.y AND s.x = px.x)"
+register("sharpen", lambda s, d: neighbourhood.sharpen(rasters.rgb(s, d), 0.6, 1.3).select(*KEY, *RGB), f"WITH {PX}, {_BLUR} SELECT image_id, y, x, {', '.join(f'CAST(floor(least(greatest(round({c} + ({c} - s{c})*1.3, 6), 0), 65535) + 0.5) AS INT) AS {c}' for c in RGB)} FROM both_")
+register("unsharp_mask", lambda s, d: neighbourhood.unsharp_mask(rasters.rgb(s, d), 0.6, 1.0, 0.02).select(*KEY, *RGB), f"WITH {PX}, {_BLUR} SELECT image_id, y, x, {', '.join(f'CAST(CASE WHEN abs(({c} - s{c})*2) < 0.02*65535 THEN {c} ELSE floor(least(greatest({c} + ({c} - s{c}), 0), 65535)) END AS INT) AS {c}' for c in RGB)} FROM both_")
+register("frequency_high", lambda s, d: neighbourhood.frequency_separation(rasters.rgb(s, d), 0.6)[1].select(*KEY, *RGB), f"WITH {PX}, {_BLUR} SELECT image_id, y, x, {', '.join(f'CAST(least(greatest({c} - s{c} + 32767, 0), 65535) AS INT) AS {c}' for c in RGB)} FROM both_")
+register("feather_mask", lambda s, d: neighbourhood.gaussian_blur(rasters.rgb(s, d), 0.6).select(*KEY, *RGB), f"WITH {PX}, {_BLUR} SELECT image_id, y, x, sr AS r, sg AS g, sb AS b FROM both_")
+for _name, _f, _agg in (("expand_mask", neighbourhood.dilate, "max"), ("contract_mask", neighbourhood.erode, "min")):
+    register(_name, lambda s, d, f=_f: f(rasters.rgb(s, d), [(x, y) for y in range(-2, 3) for x in range(-2, 3) if x * x + y * y <= 4]).select(*KEY, *RGB), f"WITH {PX}, {_AROUND.format(r=2)} SELECT p.image_id, p.y, p.x, {', '.join(f'{_agg}(q.{c}) AS {c}' for c in RGB)} FROM px p, o JOIN px q ON q.image_id = p.image_id AND q.x = least(greatest(p.x+dx, 0), 7) AND q.y = least(greatest(p.y+dy, 0), 7) WHERE dx*dx + dy*dy <= 4 GROUP BY 1, 2, 3")
+
+# --- functions without a query so far -----------------------------------------------------------------------------------------------
+
+_PF = [f"({c}*0.75::DOUBLE + {c}*({k}/65535.0)*0.25::DOUBLE)" for c, k in zip(RGB, (60000, 40000, 10000), strict=True)]
+_PFL = f"({_PF[0]}*0.2126 + {_PF[1]}*0.7152 + {_PF[2]}*0.0722)"
+pixels("photo_filter", lambda d: point.photo_filter(d, 60000, 40000, 10000, 0.25), *[T(f"{v} * CASE WHEN {_PFL} > 0 THEN {L709}/{_PFL} ELSE 1 END") for v in _PF])
+_K = "(least(1-r/65535.0, 1-g/65535.0, 1-b/65535.0)*0.9)"
+_INK = f"((1-r/65535.0) + (1-g/65535.0) + (1-b/65535.0) - 3*{_K} + {_K})"
+pixels("soft_proof", lambda d: point.soft_proof(d, 1.2, 0.9), Q(f"least(greatest(1 - (1-{{v}}/65535.0)*CASE WHEN {_INK} > 1.2 THEN 1.2/{_INK} ELSE 1 END, 0), 1)*65535"))
+pixels("curves", lambda d: point.curves(d, [(0.0, 0.0), (1.0, 0.5)]), Q("{v}/65535.0*0.5*65535"))
+_STAT = ", ".join(f"avg({c}) AS m{c}, stddev_pop({c}) AS s{c}" for c in RGB)
+register("color_transfer", lambda s, d: histogram.color_transfer(rasters.rgb(s, d), rasters.rgb(s, d).where("image_id = 0"), 0.7).select(*KEY, *RGB), f"WITH {PX}, a AS (SELECT image_id, {_STAT} FROM px GROUP BY 1), q AS (SELECT {_STAT.replace(' AS m', ' AS qm').replace(' AS s', ' AS qs')} FROM px WHERE image_id = 0) SELECT px.image_id, y, x, {', '.join(T(f'round({c} + (({c} - m{c})/CASE WHEN s{c} > 0 THEN s{c} ELSE 1 END*qs{c} + qm{c} - {c})*0.7, 6)') + f' AS {c}' for c in RGB)} FROM px JOIN a ON a.image_id = px.image_id, q")
+register("spatial_tiles", lambda s, d: rasters.mosaic(s, d).groupBy(F.floor(F.col("y") / 16).cast("int").alias("ty"), F.floor(F.col("x") / 32).cast("int").alias("tx")).agg(F.count("*").alias("n"), F.sum("r").alias("total"), F.max("r").alias("most")), f"WITH {EMB} SELECT CAST(((image_id//20)*8+y)//16 AS INT) AS ty, CAST(((image_id%20)*8+x)//32 AS INT) AS tx, count(*) AS n, sum(v) AS total, max(v) AS most FROM emb GROUP BY 1, 2")

@@ -305,3 +305,23 @@ def dehaze(df: DataFrame, strength: float = 0.5, radius: int = 7) -> DataFrame:
         return np.clip((p - air) / t + air, 0, M)
 
     return per_image(df, f)
+
+
+#: Weights of the 25 neighbours of ``enhance``.
+NEAR = [[5, 8, 10, 8, 5], [8, 20, 40, 20, 8], [10, 40, 80, 40, 10], [8, 20, 40, 20, 8], [5, 8, 10, 8, 5]]
+
+
+def enhance(df: DataFrame) -> DataFrame:
+    """[t] A weighted mean of near values that are alike, each channel alone; edges repeated."""
+
+    def f(p: np.ndarray) -> np.ndarray:
+        total, weight = np.zeros(p.shape), np.zeros(p.shape)
+        for j, row in enumerate(NEAR):
+            for i, w in enumerate(row):
+                n = _shifted(p, i - 2, j - 2)
+                k = w / 25 * np.maximum(0, 1 - np.abs(n - p) / M * 3)
+                total += n * k
+                weight += k
+        return np.floor(np.round(total / weight, 6))
+
+    return per_image(df, f)

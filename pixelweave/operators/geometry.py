@@ -238,6 +238,30 @@ def resize(df: DataFrame, source: tuple[int, int], target: tuple[int, int], meth
     return out.select(*KEY, *[F.floor(F.least(F.greatest(F.round(c, 6), F.lit(0.0)), F.lit(float(M))) + 0.5).cast("int").alias(c) for c in RGBA])
 
 
+def thumbnail_size(source: tuple[int, int], box: tuple[int, int]) -> tuple[int, int]:
+    """The size that fits a box at the same shape, one pixel at least."""
+    scale = min(box[0] / source[0], box[1] / source[1])
+    return max(1, int(source[0] * scale + 0.5)), max(1, int(source[1] * scale + 0.5))
+
+
+def thumbnail(df: DataFrame, source: tuple[int, int], box: tuple[int, int], method: str = "lanczos3") -> DataFrame:
+    return resize(df, source, thumbnail_size(source, box), method)
+
+
+def resample(df: DataFrame, source: tuple[int, int], target_dpi: tuple[float, float], source_dpi: tuple[float, float] = (72.0, 72.0), method: str = "lanczos3") -> DataFrame:
+    """To another resolution at the same physical size; a resolution of 0 counts as 72."""
+    size = tuple(max(1, int(n * t / (s if s > 0 else 72.0) + 0.5)) for n, t, s in zip(source, target_dpi, source_dpi, strict=True))
+    return resize(df, source, size, method)
+
+
+def magnify(df: DataFrame, source: tuple[int, int], method: str = "lanczos3") -> DataFrame:
+    return resize(df, source, (source[0] * 2, source[1] * 2), method)
+
+
+def minify(df: DataFrame, source: tuple[int, int], method: str = "lanczos3") -> DataFrame:
+    return resize(df, source, (max(1, source[0] // 2), max(1, source[1] // 2)), method)
+
+
 def sample(df: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
     """Point sampling: each pixel to the target places whose centre falls in it."""
     (sw, sh), (tw, th) = source, target

@@ -162,7 +162,7 @@ def color_transfer(df: DataFrame, reference: DataFrame, strength: float = 1.0) -
     one = stats(reference, "q").first().asDict()
     rows = df.join(own, "image_id")
     value = lambda c: (F.col(c) - F.col(f"pm{c}")) / F.when(F.col(f"ps{c}") > 0, F.col(f"ps{c}")).otherwise(1.0) * one[f"qs{c}"] + one[f"qm{c}"]
-    return rows.withColumns({c: t16(F.col(c) + (value(c) - F.col(c)) * strength) for c in RGB}).select(*df.columns)
+    return rows.withColumns({c: t16(F.round(F.col(c) + (value(c) - F.col(c)) * strength, 6)) for c in RGB}).select(*df.columns)
 
 
 def match_histogram(long: DataFrame, reference: DataFrame) -> DataFrame:

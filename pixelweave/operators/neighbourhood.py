@@ -20,8 +20,8 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _along(df: DataFrame, axis: str, weights: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Weighted sums along an axis with edge replication: whole lines as windows, lags and leads of each pixel."""
+def _along(df: DataFrame, axis: str, weights: Sequence[float], names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Weighted sums along an axis with edge replication: whole lines as windows, lags and leads of each pixel; ``keep`` stays."""
     line = Window.partitionBy("image_id", "x" if axis == "y" else "y").orderBy(axis)
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     radius = len(weights) // 2
@@ -33,7 +33,7 @@ def _along(df: DataFrame, axis: str, weights: Sequence[float], names: Sequence[s
             out = v * w if out is None else out + v * w
         return out
 
-    return df.select(*KEY, *[value(c).alias(c) for c in names])
+    return df.select(*KEY, *keep, *[value(c).alias(c) for c in names])
 
 
 def round16(c: str | Column) -> Column:
@@ -41,10 +41,16 @@ def round16(c: str | Column) -> Column:
     return F.floor(F.least(F.greatest(F.round(c, 6), F.lit(0.0)), F.lit(float(M))) + 0.5).cast("int")
 
 
-def separable(df: DataFrame, weights: Sequence[float], names: Sequence[str] = RGBA) -> DataFrame:
+def separable(df: DataFrame, weights: Sequence[float], names: Sequence[str] = RGBA, keep: Sequence[str] = ()) -> DataFrame:
     """A rank-one kernel in two passes, rounded once; alpha is blurred too."""
-    out = _along(_along(df, "x", weights, names), "y", weights, names)
-    return out.select(*KEY, *[round16(c).alias(c) for c in names])
+    out = _along(_along(df, "x", weights, names, keep), "y", weights, names, keep)
+    return out.select(*KEY, *keep, *[round16(c).alias(c) for c in names])
+
+
+def with_blur(df: DataFrame, sigma: float) -> DataFrame:
+    """``df`` with its Gaussian blur beside it as sr, sg, sb: the image passes through the same two windows, without a join."""
+    own = df.select(*KEY, *RGBA, *[F.col(c).alias(f"s{c}") for c in "rgb"])
+    return separable(own, gaussian_weights(sigma), ("sr", "sg", "sb"), RGBA)
 
 
 def gaussian_blur(df: DataFrame, sigma: float) -> DataFrame:
@@ -57,16 +63,14 @@ def box_blur(df: DataFrame, radius: int) -> DataFrame:
 
 
 def sharpen(df: DataFrame, sigma: float, amount: float = 1.0) -> DataFrame:
-    soft = gaussian_blur(df, sigma).select(*KEY, *[F.col(c).alias(f"s{c}") for c in "rgb"])
-    return df.join(soft, KEY).select(*KEY, *[round16(F.col(c) + (F.col(c) - F.col(f"s{c}")) * amount).alias(c) for c in "rgb"], "a")
+    return with_blur(df, sigma).select(*KEY, *[round16(F.col(c) + (F.col(c) - F.col(f"s{c}")) * amount).alias(c) for c in "rgb"], "a")
 
 
 def unsharp_mask(df: DataFrame, sigma: float, amount: float = 1.0, threshold: float = 0.0) -> DataFrame:
     """[t] As sharpen, but only where twice the difference reaches the threshold."""
-    soft = gaussian_blur(df, sigma).select(*KEY, *[F.col(c).alias(f"s{c}") for c in "rgb"])
     d = lambda c: F.col(c) - F.col(f"s{c}")
     value = lambda c: F.when(F.abs(d(c) * 2) < threshold * M, F.col(c)).otherwise(F.floor(F.least(F.greatest(F.col(c) + d(c) * amount, F.lit(0.0)), F.lit(float(M))))).cast("int")
-    return df.join(soft, KEY).select(*KEY, *[value(c).alias(c) for c in "rgb"], "a")
+    return with_blur(df, sigma).select(*KEY, *[value(c).alias(c) for c in "rgb"], "a")
 
 
 def rows_as_arrays(df: DataFrame, names: Sequence[str] = RGBA) -> DataFrame:
@@ -236,8 +240,7 @@ def pixelate(df: DataFrame, size: int) -> DataFrame:
 
 def frequency_separation(df: DataFrame, sigma: float) -> tuple[DataFrame, DataFrame]:
     """Low frequencies, and what is left plus the middle value."""
-    low = gaussian_blur(df, sigma)
-    both = df.join(low.select(*KEY, *[F.col(c).alias(f"s{c}") for c in "rgb"]), KEY)
+    low, both = gaussian_blur(df, sigma), with_blur(df, sigma)
     high = both.select(*KEY, *[F.least(F.greatest(F.col(c) - F.col(f"s{c}") + 32767, F.lit(0)), F.lit(M)).alias(c) for c in "rgb"], "a")
     return low, high
 
@@ -249,3 +252,48 @@ def normal_map(df: DataFrame) -> DataFrame:
     nx, ny = -F.col("gx") / float(M), -F.col("gy") / float(M)
     length = F.sqrt(nx * nx + ny * ny + 1)
     return g.select(*KEY, *[F.floor((n / length + 1) / 2 * M + 0.5).cast("int").alias(c) for n, c in ((nx, "r"), (ny, "g"), (F.lit(1.0), "b"))])
+
+
+def local_contrast(df: DataFrame, radius: int = 10, strength: float = 50.0) -> DataFrame:
+    """[t] Each pixel's distance from a triangular mean of the luma around it grows by a percentage; colours keep their ratio."""
+    n = [radius + 1 - abs(k) for k in range(-radius, radius + 1)]
+    weights = [w / sum(n) for w in n]
+    own = df.select(*KEY, *RGBA, luma("601").alias("m"))
+    mean = _along(_along(own, "x", weights, ("m",), RGBA), "y", weights, ("m",), RGBA)
+    v = luma("601")
+    gain = F.when(v > 1, (v + (v - F.col("m")) * (min(max(strength, 0), 100) / 100)) / v).otherwise(1.0)
+    return mean.select(*KEY, *[F.floor(F.least(F.greatest(F.round(F.col(c) * gain, 6), F.lit(0.0)), F.lit(float(M)))).cast("int").alias(c) for c in "rgb"], "a")
+
+
+def shade(df: DataFrame, azimuth: float = 30.0, elevation: float = 30.0, tinted: bool = False) -> DataFrame:
+    """[t] Light from a direction on the surface whose height is the luma; ``tinted`` scales the image by it."""
+    a, e = math.radians(azimuth), math.radians(elevation)
+    light = [M * math.cos(a) * math.cos(e), M * math.sin(a) * math.cos(e), M * math.sin(e)]
+    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    own = df.select(*KEY, *RGBA, luma().alias("l"))
+    side = lambda f, w: F.coalesce(f("l").over(w), F.col("l"))
+    own = own.withColumn("nx", side(F.lag, row) - side(F.lead, row)).withColumn("ny", side(F.lag, column) - side(F.lead, column))
+    nz = 2.0 * M
+    dot = F.col("nx") * light[0] + F.col("ny") * light[1] + nz * light[2]
+    value = F.when((F.abs("nx") < 0.5) & (F.abs("ny") < 0.5), light[2]).otherwise(dot / F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + nz * nz))
+    value = F.least(F.greatest(F.round(value, 6), F.lit(0.0)), F.lit(float(M)))
+    return own.select(*KEY, *[F.floor(F.round(F.col(c) * value / float(M), 6) if tinted else value).cast("int").alias(c) for c in "rgb"], "a")
+
+
+def lens_blur(df: DataFrame, radius: int = 5) -> DataFrame:
+    """The mean over a disc; what lies outside the image doesn't count."""
+    disc = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
+    return neighbours(df, disc, edges="ignore").groupBy(*KEY).agg(*[round16(F.avg(f"n{c}")).alias(c) for c in RGBA])
+
+
+def pointillize(df: DataFrame, radius: int = 4, spacing: int = 0, background: int = M) -> DataFrame:
+    """Discs of the colours at grid places on a background; of discs that overlap the later one shows."""
+    step = spacing or 2 * radius
+    most = 2 * radius // step + 1
+    near = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in range(most + 1) for i in range(most + 1)])
+    at = lambda c, k: (F.floor(F.col(c) / step) - most + 1 + k) * step + radius
+    asks = df.select(*KEY, F.explode(near).alias("o")).select(*KEY, at("y", F.col("o.j")).cast("int").alias("cy"), at("x", F.col("o.i")).cast("int").alias("cx"))
+    asks = asks.where((F.col("cy") >= radius) & (F.col("cx") >= radius) & ((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) <= radius * radius))
+    centres = df.where(((F.col("x") - radius) % step == 0) & ((F.col("y") - radius) % step == 0)).select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"), *[F.col(c).alias(f"d{c}") for c in "rgb"])
+    last = asks.join(centres, ["image_id", "cy", "cx"]).groupBy(*KEY).agg(F.max(F.struct("cy", "cx", "dr", "dg", "db")).alias("d"))
+    return df.select(*KEY, "a").join(last, KEY, "left").select(*KEY, *[F.coalesce(F.col(f"d.d{c}"), F.lit(background)).alias(c) for c in "rgb"], "a")
