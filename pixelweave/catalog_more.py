@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import EMB, KEY, L601, L709, PAIR, PX, PXA, RGB, Q, T, _shift, _taps, pixels, register
+from .catalog import EMB, KEY, L601, L709, ORACLES, PAIR, PX, PXA, RGB, Q, T, _shift, _taps, pixels, register
 from .functions import adjust, colorspaces, drawing, noise, point
-from .operators import filters, geometry, hashes, histogram, neighbourhood, warp
+from .operators import filters, frames, geometry, hashes, histogram, neighbourhood, warp
 from .sources import codecs, metadata, rasters
 
 # --- point operators ----------------------------------------------------------------------------------------------------------------
@@ -368,3 +368,18 @@ pixels("curves", lambda d: point.curves(d, [(0.0, 0.0), (1.0, 0.5)]), Q("{v}/655
 _STAT = ", ".join(f"avg({c}) AS m{c}, stddev_pop({c}) AS s{c}" for c in RGB)
 register("color_transfer", lambda s, d: histogram.color_transfer(rasters.rgb(s, d), rasters.rgb(s, d).where("image_id = 0"), 0.7).select(*KEY, *RGB), f"WITH {PX}, a AS (SELECT image_id, {_STAT} FROM px GROUP BY 1), q AS (SELECT {_STAT.replace(' AS m', ' AS qm').replace(' AS s', ' AS qs')} FROM px WHERE image_id = 0) SELECT px.image_id, y, x, {', '.join(T(f'round({c} + (({c} - m{c})/CASE WHEN s{c} > 0 THEN s{c} ELSE 1 END*qs{c} + qm{c} - {c})*0.7, 6)') + f' AS {c}' for c in RGB)} FROM px JOIN a ON a.image_id = px.image_id, q")
 register("spatial_tiles", lambda s, d: rasters.mosaic(s, d).groupBy(F.floor(F.col("y") / 16).cast("int").alias("ty"), F.floor(F.col("x") / 32).cast("int").alias("tx")).agg(F.count("*").alias("n"), F.sum("r").alias("total"), F.max("r").alias("most")), f"WITH {EMB} SELECT CAST(((image_id//20)*8+y)//16 AS INT) AS ty, CAST(((image_id%20)*8+x)//32 AS INT) AS tx, count(*) AS n, sum(v) AS total, max(v) AS most FROM emb GROUP BY 1, 2")
+
+# --- whole images as rows -----------------------------------------------------------------------------------------------------------
+
+
+def framed(name: str, f, sql: str) -> None:
+    register(name, lambda s, d: codecs.to_pixels(f(frames.from_pixels(rasters.rgb(s, d)))).select(*KEY, *RGB), sql)
+
+
+framed("frames_identity", lambda i: i, f"WITH {PX} SELECT image_id, y, x, r, g, b FROM px")
+framed("frames_normalize", frames.normalize, ORACLES["normalize"])
+framed("frames_sample", lambda i: frames.sample(i, 12, 5), ORACLES["sample"])
+_CFA = "m AS (SELECT image_id, y, x, CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN r WHEN y % 2 = 1 AND x % 2 = 1 THEN b ELSE g END AS v FROM px)"
+_MIRROR8 = lambda e: f"CASE WHEN {e} < 0 THEN -({e}) WHEN {e} > 7 THEN 14 - ({e}) ELSE {e} END"
+_SAW = "CASE WHEN ({y}) % 2 = 0 AND ({x}) % 2 = 0 THEN 'r' WHEN ({y}) % 2 = 1 AND ({x}) % 2 = 1 THEN 'b' ELSE 'g' END"
+framed("demosaic", lambda i: frames.demosaic(frames.mosaic(i)), f"WITH {PX}, {_CFA}, o AS (SELECT dx, dy FROM (SELECT unnest([-1, 0, 1]) AS dx) a, (SELECT unnest([-1, 0, 1]) AS dy) b), n AS (SELECT p.image_id, p.y, p.x, q.v, {_SAW.format(y='p.y', x='p.x')} AS own, {_SAW.format(y='p.y+dy+2', x='p.x+dx+2')} AS saw, dx, dy FROM m p, o JOIN m q ON q.image_id = p.image_id AND q.x = {_MIRROR8('p.x+dx')} AND q.y = {_MIRROR8('p.y+dy')}) SELECT image_id, y, x, {', '.join(f'''CAST(floor(avg(v) FILTER (saw = '{c}' AND CASE WHEN own = '{c}' THEN dx = 0 AND dy = 0 ELSE TRUE END) + 0.5) AS INT) AS {c}''' for c in RGB)} FROM n GROUP BY 1, 2, 3")

@@ -389,7 +389,8 @@ def to_pixels(images: DataFrame) -> DataFrame:
                     planes = [pa.array(part[:, k]) for k in range(min(c, 4))] + [pa.nulls(len(part), pa.int32())] * (4 - min(c, 4))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), image_id.as_py(), np.int64)), pa.array((place // w).astype(np.int32)), pa.array((place % w).astype(np.int32)), *planes], names=names)
 
-    rows = images.where(F.col("error").isNull()).select("image_id", "width", "channels", "data")
+    whole = images.where(F.col("error").isNull()) if "error" in images.columns else images
+    rows = whole.select("image_id", "width", "channels", "data")
     return rows.mapInArrow(run, "image_id long, y int, x int, r int, g int, b int, a int")
 
 
