@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_blocks, licenses, maxscore, mixing, near_dup, pieces, token_blocks, toxicity, warc
+from . import ann, html_blocks, licenses, maxscore, mixing, near_dup, pieces, token_blocks, toxicity, warc, whitening
 
 #: Seed of the seeded order of the mix.
 MIX_SEED = 17
@@ -81,8 +81,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    rows = rows.select("vec_id", F.col("wh_deviation").alias("deviation"), F.posexplode("wh_vector").alias("at", "whitened"))
+    explained = F.element_at(F.array(*[F.lit(float(e)) for e in model.explained or [0.0]]), F.col("at") + 1)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op5_main_text, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op5_main_text, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity, op11_whitening)}
 
 
 #: The ten highest integer inner products by comparing every query with every row.
