@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_blocks, licenses, maxscore, mixing, near_dup, pieces, token_blocks, toxicity, warc, whitening
+from . import ann, html_blocks, licenses, maxscore, merkle, mixing, near_dup, pieces, token_blocks, toxicity, warc, whitening
 
 #: Seed of the seeded order of the mix.
 MIX_SEED = 17
@@ -88,8 +88,20 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(model.identity_error).alias("identity_error"))
 
 
+def _lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, _lower_ascii(text)).otherwise(text)
+    rows = merkle.manifest(_table(spark, sf_dir, "documents"), tampered)
+    names = ("leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+    return rows.select("doc_id", *[F.col(f"mk_{n}").alias(n) for n in names])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op5_main_text, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity, op11_whitening)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op5_main_text, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity, op11_whitening, op12_merkle)}
 
 
 #: The ten highest integer inner products by comparing every query with every row.
@@ -124,5 +136,44 @@ SELECT doc_id, size, ss AS source_size, target, CAST(least(whole * size + floor(
 """
 
 
+#: Levels of 16 written out in the SQL: sources of up to 16^6 rows.
+_LEVELS = 6
+
+
+def _merkle_level(nodes: str, h: int) -> str:
+    """Runs of level h, with the digests in order, and the nodes above them; a single node stays as it is."""
+    runs = f"r{nodes}{h} AS (SELECT g, pos // 16 AS run, list(d ORDER BY pos) AS ds, max(n) AS n FROM {nodes}{h} GROUP BY g, pos // 16)"
+    above = f"{nodes}{h + 1} AS (SELECT g, run AS pos, CAST(ceil(n / 16.0) AS BIGINT) AS n, CASE WHEN n = 1 THEN ds[1] ELSE sha256(list_aggregate(ds, 'string_agg', '')) END AS d FROM r{nodes}{h})"
+    return f"{runs},\n{above}"
+
+
+def _merkle_sql() -> str:
+    """Levels of all sources (s0, s1, ...) and of the root (t0, t1, ...), then the siblings of every leaf gathered upwards."""
+    field = lambda c, v=None: f"coalesce(CAST(strlen(CAST({v or c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({v or c} AS VARCHAR), '-')"
+    head = " || ".join(field(c) for c in merkle.FIELDS[:-1])
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    crc = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)"
+    parts = [
+        f"tabs AS (SELECT {steps} AS tab)",
+        f"l AS (SELECT doc_id, coalesce('s' || source, '') AS g, sha256({head} || {field('text')}) AS d, CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {field('text', lower)}) ELSE sha256({head} || {field('text')}) END AS t FROM documents, tabs)",
+        "i AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l)",
+        "s0 AS (SELECT g, pos, n, d FROM i)",
+        *[_merkle_level("s", h) for h in range(_LEVELS)],
+        f"q AS (SELECT g AS source, d, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM s{_LEVELS})",
+        "t0 AS (SELECT '' AS g, pos, n, d FROM q)",
+        *[_merkle_level("t", h) for h in range(_LEVELS)],
+        "u0 AS (SELECT i.doc_id, i.g, i.d AS leaf, q.d AS subroot, i.t AS x, '' AS proof, i.pos, i.n, q.pos AS tpos, q.n AS tn FROM i JOIN q ON i.g = q.source)",
+    ]
+    for k in range(2 * _LEVELS):
+        nodes, h, key = ("s", k, "u.g") if k < _LEVELS else ("t", k - _LEVELS, "''")
+        p, n = ("u.pos", "u.n") if nodes == "s" else ("u.tpos", "u.tn")
+        rest = (f"{p} // 16 AS pos, CAST(ceil({n} / 16.0) AS BIGINT) AS n, u.tpos, u.tn" if nodes == "s" else f"u.pos, u.n, {p} // 16 AS tpos, CAST(ceil({n} / 16.0) AS BIGINT) AS tn")
+        left = f"coalesce(list_aggregate(r.ds[1:CAST({p} % 16 AS INT)], 'string_agg', ''), '')"
+        right = f"coalesce(list_aggregate(r.ds[CAST({p} % 16 AS INT) + 2:], 'string_agg', ''), '')"
+        parts.append(f"u{k + 1} AS (SELECT u.doc_id, u.g, leaf, subroot, CASE WHEN {n} = 1 THEN x ELSE sha256({left} || x || {right}) END AS x, CASE WHEN {n} = 1 THEN proof ELSE proof || {left} || {right} END AS proof, {rest} FROM u{k} u JOIN r{nodes}{h} r ON r.g = {key} AND r.run = {p} // 16)")
+    return f"WITH {', '.join(parts)}\nSELECT doc_id, leaf, subroot, t.d AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = t.d AS verified FROM u{2 * _LEVELS}, t{_LEVELS} t"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": WARC_SQL, "op6_maxscore": MAXSCORE_SQL, "op9_mix": MIX_SQL}
+    return {"op3_warc": WARC_SQL, "op6_maxscore": MAXSCORE_SQL, "op9_mix": MIX_SQL, "op12_merkle": _merkle_sql()}
