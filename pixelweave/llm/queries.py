@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_blocks, licenses, maxscore, merkle, mixing, near_dup, pieces, token_blocks, toxicity, warc, whitening
+from . import ann, html_blocks, licenses, maxscore, merkle, mixing, near_dup, pieces, simhash, token_blocks, toxicity, warc, whitening
 
 #: Seed of the seeded order of the mix.
 MIX_SEED = 17
@@ -100,8 +100,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"mk_{n}").alias(n) for n in names])
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.classes(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op5_main_text, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity, op11_whitening, op12_merkle)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_near_duplicates, op3_warc, op4_nearest_neighbours, op5_main_text, op6_maxscore, op7_pieces, op8_license_scan, op9_mix, op10_toxicity, op11_whitening, op12_merkle, op13_simhash)}
 
 
 #: The ten highest integer inner products by comparing every query with every row.
