@@ -211,7 +211,7 @@ def search(rows: DataFrame, is_query, k: int = 10, ratio: float = RATIO, most_pr
     spark = rows.sparkSession
     table = common.materialize(usable(rows, nonzero=True), "ann-rows")
     n = table.count()
-    taken = common.by_hash(table, F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), n, sample).select("row", "vec_id", "v").toArrow()
+    taken = common.by_hash(table, F.concat_ws(":", F.lit(str(seed)), F.col("vec_id").cast("string"), F.col("row").cast("string")), n, sample).select("row", "vec_id", "v").toArrow()
     x = matrix(taken.column("v"))
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -78,11 +78,17 @@ def row_of(df: DataFrame, but: Iterable[str] = ()) -> Column:
 
 
 def by_hash(rows: DataFrame, key: Column, n: int, most: int) -> DataFrame:
-    """``most`` of the ``n`` rows, those of least md5 of their key: a bound on the hash leaves few more before they are sorted."""
+    """``most`` of about ``n`` rows, those of least md5 of their key: a bound on the hash leaves few more before they are sorted.
+
+    Rows of one key pass the bound together or not at all. Where it leaves fewer than are due, as with few distinct keys, all
+    rows are sorted instead, of which a task keeps ``most`` at a time.
+    """
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
     share = (most + 6 * most**0.5 + 20) / max(n, 1)
     if share < 1:
-        rows = rows.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int(share * 2**32))
+        bounded = rows.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int(share * 2**32))
+        if bounded.limit(most).count() == most:
+            rows = bounded
     return rows.orderBy(digest, key).limit(most)
 
 

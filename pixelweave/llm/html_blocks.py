@@ -31,18 +31,19 @@ ROUNDS = 10
 #: Fixed values of HTML: elements whose bounds part blocks, whose content is no text, and that close an open element.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|textarea|noscript|iframe|noframes"
+RAW = frozenset("script style textarea iframe noframes".split())
 #: Elements whose content is no text either, but only as far as their own end tag: an unclosed one is its start tag alone.
-CLOSED = "object|svg|canvas|audio|video"
+CLOSED = frozenset("object svg canvas audio video noscript template".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words of class names and ids, and elements, that mark a part of a page as no content (for weak labels only).
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer form header login menu meta nav navbar navigation newsletter notice pagination pager popup promo related respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 NOT_ELEMENTS = frozenset("nav aside footer header form head title button select option label menu dialog fieldset search legend".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-#: By name: start and end tags of an element of CLOSED, and what may hold their likes without being one.
-BOUNDS = {name: re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?){name}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I) for name in CLOSED.split("|")}
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+GAP, ATTRIBUTE, EQUALS, UNQUOTED = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+#: Open elements of a path that count, outermost and innermost; deeper ones between them don't.
+OUTER, INNER = 32, 32
 NAME = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -53,99 +54,187 @@ class Leaf:
     linked: float  #: share of its text in links
 
 
-def _names(attributes: str) -> list[str]:
-    out = []
-    for kind, a, b, c in ATTRIBUTE.findall(attributes):
-        kind, value = kind.lower(), (a or b or c).lower()
-        if kind in ("hidden", "aria-hidden") or kind == "style":
-            if kind == "hidden" or value == "true" or "display:none" in value.replace(" ", ""):
-                out.append("hidden")
+@dataclass
+class Token:
+    start: int
+    end: int
+    name: str = ""  #: of a tag, in lower case; empty for what is no tag
+    closing: bool = False
+    empty: bool = False  #: the tag ends with a slash
+    attributes: tuple[tuple[str, str], ...] = ()
+    text: str = ""  #: of a CDATA section
+
+
+def _attributes(page: str, at: int, quotes: bool) -> tuple[list[tuple[str, str]], int] | None:
+    """Attributes from ``at`` on, one after another, and where their tag ends; None if it doesn't.
+
+    Only a quote right after an equals sign opens a value, which runs to the next such quote; any other is a character.
+    """
+    out: list[tuple[str, str]] = []
+    while True:
+        at = GAP.match(page, at).end()
+        if at >= len(page):
+            return None
+        if page[at] == ">":
+            return out, at + 1
+        m = ATTRIBUTE.match(page, at)
+        name, at, value = m[0].lower(), m.end(), ""
+        if m := EQUALS.match(page, at):
+            at = m.end()
+            if quotes and page[at : at + 1] in ('"', "'"):
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m = UNQUOTED.match(page, at)
+                value, at = m[0], m.end()
+        out.append((name, value))
+
+
+def tokens(page: str) -> list[Token]:
+    """Tags, comments, CDATA sections and raw elements in order, in time linear in the page; all between them is text.
+
+    A tag that doesn't end, a quote that is never closed included, makes quotes plain characters from there on: each later
+    tag ends at its first ``>``. What has no end even so is text. Raw elements reach to their end tag or the end of the page.
+    """
+    out: list[Token] = []
+    at, quotes, drawings = 0, True, 0
+    while m := OPEN.search(page, at):
+        start, name = m.start(), (m[2] or "").lower()
+        if not name:
+            if m[0] == "<!--":
+                at = page.find("-->", start + 2)
+                at = len(page) if at < 0 else at + 3
+                out.append(Token(start, at))
+            elif m[0] == "<![CDATA[":
+                end = page.find("]]>", m.end())
+                end = len(page) if end < 0 else end
+                at = min(end + 3, len(page))
+                out.append(Token(start, at, text=page[m.end() : end]))
+            else:
+                at = page.find(">", start) + 1
+                if not at:
+                    break
+                out.append(Token(start, at))
+            continue
+        found = _attributes(page, m.end(), quotes)
+        if found is None and quotes:
+            quotes = False
+            found = _attributes(page, m.end(), quotes)
+        if found is None:
+            break
+        attributes, at = found
+        empty = page[at - 2] == "/"
+        drawings = max(drawings + (-1 if m[1] else not empty), 0) if name == "svg" else drawings
+        if name in RAW and not m[1] and not (empty and drawings):
+            end = RAW_ENDS[name].search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or len(page)
+            name = ""
+        out.append(Token(start, at, name, bool(m[1]), empty, tuple(attributes)))
+    return out
+
+
+def _without_text(found: list[Token]) -> dict[int, int]:
+    """Place of the start tag of each closed element of CLOSED → of its end tag; each end tag ends the last open start tag of its name."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for k, t in enumerate(found):
+        if t.name not in CLOSED:
+            continue
+        if t.closing:
+            if open_.get(t.name):
+                out[open_[t.name].pop()] = k
+        elif t.name == "svg" and t.empty:
+            out[k] = k
         else:
-            out += NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())
+            open_.setdefault(t.name, []).append(k)
     return out
 
 
-def _spans(page: str, name: str, at: int) -> dict[int, int]:
-    """Start of each closed element of a name, from ``at`` on → its end; each end tag ends the last open start tag."""
-    out, open_ = {}, []
-    for m in BOUNDS[name].finditer(page, at):
-        if m[2] == "":
-            if name == "svg" and m[0].endswith("/>"):
-                out[m.start()] = m.end()
-            else:
-                open_.append(m.start())
-        elif m[2] and open_:
-            out[open_.pop()] = m.end()
+def _names(attributes: tuple[tuple[str, str], ...]) -> list[str]:
+    out = []
+    for kind, value in attributes:
+        low = value.lower()
+        if kind in ("hidden", "aria-hidden", "style"):
+            if kind == "hidden" or low == "true" or "display:none" in low.replace(" ", ""):
+                out.append("hidden")
+        elif kind in ("class", "id", "role"):
+            out += NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
     return out
 
 
 def leaves(page: str) -> list[Leaf]:
-    """The leaves of a page in order; unclosed, crossing and unknown tags are borne as browsers bear them."""
+    """The leaves of a page in order, in linear time; unclosed, crossing and unknown tags are borne as browsers bear them."""
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
+    open_: dict[str, int] = {}
     buffer: list[str] = []
     size = linked = in_link = at = 0
 
+    def add(piece: str) -> None:
+        nonlocal size, linked
+        if piece:
+            buffer.append(piece)
+            size += len(piece)
+            linked += len(piece) if in_link else 0
+
     def flush() -> None:
         nonlocal size, linked
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                out.append(Leaf(path, text, linked / max(size, 1)))
+                counted = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+                out.append(Leaf(tuple(x for _, names in counted for x in names), text, linked / max(size, 1)))
             buffer.clear()
         size = linked = 0
 
-    def cut(k: int) -> None:
-        nonlocal path
-        del stack[k:]
-        path = tuple(x for _, names in stack for x in names)
-
-    spans: dict[str, dict[int, int]] = {}
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            buffer.append(piece)
-            size += len(piece)
-            linked += len(piece) if in_link else 0
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                buffer.append(m[0][9:].removesuffix("]]>"))
+    def pop() -> str:
+        tag, _ = stack.pop()
+        open_[tag] -= 1
+        return tag
+
+    found = tokens(page)
+    spans = _without_text(found)
+    k = 0
+    while k < len(found):
+        t = found[k]
+        add(page[at : t.start])
+        k += 1
+        at = t.end
+        if not t.name:
+            if t.text:
+                buffer.append(t.text)
             continue
-        tag = tag.lower()
-        if tag in BOUNDS and not m[2]:
-            if tag not in spans:
-                spans[tag] = _spans(page, tag, m.start())
-            at = spans[tag].get(m.start(), at)
+        tag = t.name
+        if tag in CLOSED and not t.closing:
+            if k - 1 in spans:
+                k = spans[k - 1] + 1
+                at = found[k - 1].end
             continue
         if tag == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if t.closing else 1
         if tag == "br":
             buffer.append(" ")
         if tag not in BLOCKS:
             continue
         flush()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    cut(k)
-                    break
+        if t.closing:
+            while open_.get(tag) and pop() != tag:
+                pass
             in_link = 0
             continue
         if tag in VOID:
             continue
         if stack and stack[-1][0] == "p" and tag not in ("button", "label", "option", "select"):
-            cut(len(stack) - 1)
+            pop()
         shut = CLOSES.get(tag)
         while shut and stack and stack[-1][0] in shut:
-            cut(len(stack) - 1)
-        stack.append((tag, (tag, *(f"{tag}.{w}" for w in _names(m[4])))))
-        path += stack[-1][1]
-    if at < len(page):
-        buffer.append(page[at:])
-        size += len(page) - at
+            pop()
+        stack.append((tag, (tag, *(f"{tag}.{w}" for w in _names(t.attributes)))))
+        open_[tag] = open_.get(tag, 0) + 1
+    add(page[at:])
     flush()
     return out
 
@@ -194,9 +283,10 @@ def vectors(items: list[Leaf], at: np.ndarray, of: np.ndarray) -> np.ndarray:
         sign = np.where(hashes >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
         words[a:b] = np.bincount(cell, sign, minlength=(b - a) * WORD_DIMS).reshape(b - a, WORD_DIMS)
         count[a:b] = np.bincount(rows, minlength=b - a)
-    words /= np.maximum(np.sqrt(count), 1)[:, None]
+    # a block of thousands of words, or of one word many times, looks like other long ones
+    words = np.clip(words / np.maximum(np.sqrt(count), 1)[:, None], -3, 3).astype(np.float32)
     ends = np.array([x.text[-1] in ".!?…。" for x in items], np.float32)
-    plain = np.stack([np.log1p(count) / 4, np.array([x.linked for x in items]), ends, at / np.maximum(of, 1), np.minimum(at, 10) / 10, np.minimum(of - at, 10) / 10, np.array([x.text.count(",") for x in items]) / np.maximum(count, 1), np.array(["©" in x.text for x in items])], axis=1)
+    plain = np.stack([np.log1p(np.minimum(count, 100)) / 4, np.array([x.linked for x in items]), ends, at / np.maximum(of, 1), np.minimum(at, 10) / 10, np.minimum(of - at, 10) / 10, np.array([x.text.count(",") for x in items]) / np.maximum(count, 1), np.array(["©" in x.text for x in items])], axis=1)
     return np.concatenate([np.array([path_vector(x.path) for x in items]), words, plain.astype(np.float32)], axis=1)
 
 
@@ -218,12 +308,12 @@ class BiLstm:
         self.p["v"] = (rng.standard_normal(2 * hidden) / np.sqrt(2 * hidden)).astype(np.float32)
         self.p["d"] = np.zeros(1, np.float32)
 
-    def _way(self, x, mask, way):
+    def _way(self, x, mask, way, learn=True):
         t, n, h = len(x), x.shape[1], self.hidden
         gates = x.reshape(t * n, -1) @ self.p[f"w{way}"] + self.p[f"c{way}"]
         gates = gates.reshape(t, n, -1)
         state, out = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        kept = {"out": np.zeros((t, n, h), np.float32)}
+        kept = np.zeros((t, n, h), np.float32)
         steps = []
         for k in range(t) if way == "f" else range(t - 1, -1, -1):
             g = gates[k] + out @ self.p[f"u{way}"]
@@ -232,14 +322,16 @@ class BiLstm:
             new = f * state + i * c
             th = np.tanh(new)
             m = mask[k][:, None]
-            steps.append((k, i, f, o, c, state, th, out, m))
+            if learn:
+                steps.append((k, i, f, o, c, state, th, out, m))
             state, out = np.where(m, new, state), np.where(m, o * th, out)
-            kept["out"][k] = out
-        return kept["out"], steps
+            kept[k] = out
+        return kept, steps
 
-    def forward(self, x, mask):
-        hf, sf = self._way(x, mask, "f")
-        hb, sb = self._way(x, mask, "b")
+    def forward(self, x, mask, learn=True):
+        """Probabilities, hidden states, and what learning needs of each step (nothing without ``learn``)."""
+        hf, sf = self._way(x, mask, "f", learn)
+        hb, sb = self._way(x, mask, "b", learn)
         both = np.concatenate([hf, hb], axis=2)
         return sigmoid(both @ self.p["v"] + self.p["d"][0]), both, sf, sb
 
@@ -304,7 +396,7 @@ class BiLstm:
                 b += 1
             group = [k for k in order[a:b] if len(pages[k])]
             if group:
-                p = self.forward(*pad([pages[k] for k in group]))[0]
+                p = self.forward(*pad([pages[k] for k in group]), learn=False)[0]
                 for col, k in enumerate(group):
                     out[k] = p[: len(pages[k]), col]
             a = b
@@ -430,8 +522,8 @@ def extract(network: BiLstm, pages: list[str]) -> list[str]:
 
 
 def sample(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[str]:
-    """At most ``most`` pages of up to SAMPLE_BYTES, by a hash of page_id."""
-    some = pages.select(F.col("page_id").alias("id"), "html").where(F.col("html").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES))
+    """At most ``most`` pages of up to SAMPLE_BYTES, by a hash of page_id and html; a null or repeated page_id is no reason to leave one out."""
+    some = pages.select(F.concat_ws(":", F.col("page_id").cast("string"), F.xxhash64("html").cast("string")).alias("id"), "html").where(F.col("html").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES))
     return [r.html for r in common.by_hash(some, F.col("id"), pages.count(), most).collect()]
 
 

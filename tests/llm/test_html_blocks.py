@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -85,3 +86,122 @@ def test_elements_without_text_end_where_they_end():
     assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["so x=2 holds"]
     assert texts("<p>a<iframe src='x'>no<p>no") == ["a"]
     assert len(texts("<p>a<video>" * 20_000)) == 20_000
+
+
+def slow_tokens(page):
+    """A tokenizer of one character at a time, written from the states of the standard: (kind, text) with kind "text" or a tag's name."""
+    out, text, i, n = [], "", 0, len(page)
+
+    def tag(j, quotes):
+        """(name, attributes, place after the tag) or None."""
+        name, attributes, state, key, value, quote = "", [], "name", "", "", ""
+        while j < n:
+            c = page[j]
+            j += 1
+            space = c.isspace()
+            if state == "name":
+                if c == ">":
+                    return name.lower(), attributes, j
+                if space or c == "/":
+                    state = "gap"
+                else:
+                    name += c
+            elif state == "gap":
+                if c == ">":
+                    return name.lower(), attributes, j
+                if not (space or c == "/"):
+                    key, value, state = c, "", "key"
+            elif state in ("key", "after"):
+                if c == "=":
+                    state = "value"
+                elif c == ">" or c == "/" or (state == "after" and not space):
+                    attributes.append((key.lower(), ""))
+                    if c == ">":
+                        return name.lower(), attributes, j
+                    key, state = c, "gap" if c == "/" else "key"
+                elif space:
+                    state = "after"
+                else:
+                    key += c
+            elif state == "value":
+                if c == ">":
+                    attributes.append((key.lower(), ""))
+                    return name.lower(), attributes, j
+                if quotes and c in "\"'":
+                    quote, state = c, "quoted"
+                elif not space:
+                    value, state = c, "unquoted"
+            elif state == "quoted":
+                if c == quote:
+                    attributes.append((key.lower(), value))
+                    state = "gap"
+                else:
+                    value += c
+            elif state == "unquoted":
+                if c == ">" or space:
+                    attributes.append((key.lower(), value))
+                    if c == ">":
+                        return name.lower(), attributes, j
+                    state = "gap"
+                else:
+                    value += c
+        return None
+
+    quotes = True
+    while i < n:
+        closing = page[i + 1 : i + 2] == "/"
+        begin = i + 1 + closing
+        if page[i] != "<" or not (page[begin : begin + 1].isascii() and page[begin : begin + 1].isalpha()):
+            text += page[i]
+            i += 1
+            continue
+        found = tag(begin, quotes)
+        if found is None and quotes:
+            quotes = False
+            found = tag(begin, False)
+        if found is None:
+            text += page[i:]
+            break
+        if text:
+            out.append(("text", text))
+        text = ""
+        out.append((closing, found[0], tuple(found[1])))
+        i = found[2]
+    return out + ([("text", text)] if text else [])
+
+
+def test_tokens_against_a_slow_tokenizer():
+    rng = np.random.default_rng(12)
+    parts = ["<p", "<b ", "</p", "</i >", ">", ">", " ", "\n", "=", "/", '"', "'", "a", "class", "id=x", "title='", 'x="y"', "<", "é", "=>", "/>", "one two", "='a b'", "<1", "</>"]
+    for _ in range(4000):
+        page = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 30)))
+        got, at = [], 0
+        for t in html_blocks.tokens(page):
+            got += [("text", page[at : t.start])] * (t.start > at) + [(t.closing, t.name, t.attributes)]
+            at = t.end
+        got += [("text", page[at:])] * (at < len(page))
+        assert got == slow_tokens(page), page
+
+
+def test_stray_quotes_and_unclosed_elements():
+    texts = lambda page: [x.text for x in html_blocks.leaves(page)]
+    assert texts("<p title=it's>one two three</p><p>don't stop</p><p>four</p>") == ["one two three", "don't stop", "four"]
+    assert texts('<p class="a"">one</p><p class=a"b>two</p>') == ["one", "two"]
+    assert texts("<p>a<noscript>b<p>c") == ["ab", "c"] and texts("<p>a<template>b<p>c") == ["ab", "c"]
+    assert texts("a<noscript>no<p>no</noscript>b<template>no<template>no</template>no</template>c") == ["abc"]
+    assert texts("<p title='never closed>one</p><p>two</p>") == ["one", "two"]
+    assert texts("<script>a</script ><p>b<script>c</script x") == ["b"]
+
+
+@pytest.mark.parametrize("part", ['<b "', "<a x='", "<a x=\"'", "<a x='b'", "<div>x", "<div>x</section>", "<svg><video>", "</script ", "<script></script ", "<!--", "<![CDATA[", "<!x", "<", "&lt;<p", "<template>x", "<li><td>x"])
+def test_a_megabyte_of_anything_takes_linear_time(part):
+    page = "<p title='a>x" + part * (1_000_000 // len(part))
+    start = time.process_time()
+    html_blocks.leaves(page)
+    assert time.process_time() - start < 12
+
+
+def test_sample_of_pages_without_ids(spark):
+    rows = spark.range(1000).selectExpr("cast(null as long) page_id", "concat('<p>', id) html")
+    assert len(html_blocks.sample(rows, 50)) == 50
+    assert len(html_blocks.sample(spark.range(1000).selectExpr("7 page_id", "'<p>same' html"), 50)) == 50

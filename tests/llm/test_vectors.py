@@ -183,3 +183,19 @@ def test_few_rows_far_from_all_others(spark):
         assert len(mine) == 10
         hits += len(dict(nearest(np.arange(6000), x, q)).keys() & dict(mine).keys())
     assert len(got) == 8 and hits >= 0.95 * 80
+
+
+def test_rows_of_one_id_beyond_the_sample(spark):
+    """2,000 rows of query id 100 and some of id 7, with samples of 50: every row is found a neighbour by, none is lost."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((2020, 4))
+    rows = [(100 if k < 2000 else 7, [float(x) for x in np.float32(r)]) for k, r in enumerate(v)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(table, lambda c: c % 100 == 0, sample=50).collect()
+    assert len(got) == 20_000 and sorted({r["rank"] for r in got}) == list(range(1, 11))
+    x = np.float32(v).astype(np.float64)
+    d = np.sqrt(((x[:2000, None] - x[None]) ** 2).sum(2))
+    d[np.arange(2000), np.arange(2000)] = np.inf
+    best = np.sort(d, 1)[:, :10].ravel()
+    found = np.sort(np.array([r.score for r in got]))
+    assert np.isclose(found, np.sort(best)).mean() > 0.9
