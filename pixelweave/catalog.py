@@ -19,8 +19,8 @@ RGB = ["r", "g", "b"]
 # --- the rasters in SQL -------------------------------------------------------------------------------------------------------------
 
 EMB = "emb AS (SELECT vec_id AS image_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, CAST(floor(least(greatest((CAST(embedding[i] AS DOUBLE) + 1) / 2, 0), 1) * 65535 + 0.5) AS INT) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) ix)"
-PX = EMB + ", px AS (SELECT image_id // 3 AS image_id, y, x, max(CASE WHEN image_id % 3 = 0 THEN v END) AS r, max(CASE WHEN image_id % 3 = 1 THEN v END) AS g, max(CASE WHEN image_id % 3 = 2 THEN v END) AS b FROM emb GROUP BY 1, 2, 3 HAVING count(*) = 3)"
-PXA = EMB + ", px AS (SELECT image_id // 4 AS image_id, y, x, max(CASE WHEN image_id % 4 = 0 THEN v END) AS r, max(CASE WHEN image_id % 4 = 1 THEN v END) AS g, max(CASE WHEN image_id % 4 = 2 THEN v END) AS b, max(CASE WHEN image_id % 4 = 3 THEN v END) AS a FROM emb GROUP BY 1, 2, 3 HAVING count(*) = 4)"
+PX = EMB + ", px AS (SELECT image_id // 3 AS image_id, y, x, coalesce(max(CASE WHEN image_id % 3 = 0 THEN v END), 32768) AS r, coalesce(max(CASE WHEN image_id % 3 = 1 THEN v END), 32768) AS g, coalesce(max(CASE WHEN image_id % 3 = 2 THEN v END), 32768) AS b FROM emb GROUP BY 1, 2, 3)"
+PXA = EMB + ", px AS (SELECT image_id // 4 AS image_id, y, x, coalesce(max(CASE WHEN image_id % 4 = 0 THEN v END), 32768) AS r, coalesce(max(CASE WHEN image_id % 4 = 1 THEN v END), 32768) AS g, coalesce(max(CASE WHEN image_id % 4 = 2 THEN v END), 32768) AS b, coalesce(max(CASE WHEN image_id % 4 = 3 THEN v END), 32768) AS a FROM emb GROUP BY 1, 2, 3)"
 #: The image that follows each one: for operators on two images.
 PAIR = PX + ", nx AS (SELECT image_id - 1 AS image_id, y, x, r AS r2, g AS g2, b AS b2 FROM px), two AS (SELECT * FROM px JOIN nx USING (image_id, y, x))"
 LONG = PX + ", lg AS (SELECT image_id, y, x, 0 AS c, r AS v FROM px UNION ALL SELECT image_id, y, x, 1, g FROM px UNION ALL SELECT image_id, y, x, 2, b FROM px)"
@@ -456,4 +456,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import catalog_more  # noqa: E402,F401  registers further queries with the helpers above
+from . import catalog_images, catalog_more  # noqa: E402,F401  registers further queries with the helpers above

@@ -327,10 +327,10 @@ IMAGE = "image_id long, path string, format string, width int, height int, chann
 
 def codec(kind: str) -> tuple[Callable[[bytes], np.ndarray], Callable[[np.ndarray], bytes]]:
     """Decoder and encoder of a format, or a ValueError."""
-    from . import jpeg, more_codecs
+    from . import jpeg, more_codecs, webp
 
     try:
-        return (CODECS | more_codecs.CODECS | {"jpeg": (jpeg.decode, jpeg.encode)})[kind]
+        return (CODECS | more_codecs.CODECS | {"jpeg": (jpeg.decode, jpeg.encode), "webp": (webp.decode, webp.encode)})[kind]
     except KeyError:
         raise ValueError(f"no codec for {kind}") from None
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -326,16 +326,16 @@ def gif_encode_sequence(frames: list[np.ndarray], delays: list[int] | None = Non
     return out + b"\x3b"
 
 
-def gif_frames(data: bytes) -> list[dict]:
-    """Frames as they stand in the file: pixels (h, w, 4), x, y, delay, dispose."""
+def gif_each_frame(data: bytes) -> Iterator[dict]:
+    """Frames as they stand in the file, one at a time: pixels (h, w, 4), x, y, delay, dispose."""
     flags = data[10]
     at, shared = 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
         shared = np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3)
         at += n * 3
-    out, delay, dispose, clear = [], 0, 0, None
-    while data[at] != 0x3B:
+    delay, dispose, clear = 0, 0, None
+    while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             kind = data[at + 1]
             at += 2
@@ -366,14 +366,17 @@ def gif_frames(data: bytes) -> list[dict]:
             index = laced
         alpha = np.where(index == clear, 0, 65535) if clear is not None else np.full(index.shape, 65535)
         pixels = np.concatenate([table[np.minimum(index, len(table) - 1)].astype(np.int32) * 257, alpha[:, :, None]], axis=2)
-        out.append({"pixels": pixels, "x": x, "y": y, "delay": delay, "dispose": {2: "background", 3: "previous"}.get(dispose, "none")})
+        yield {"pixels": pixels, "x": x, "y": y, "delay": delay, "dispose": {2: "background", 3: "previous"}.get(dispose, "none")}
         delay, dispose, clear = 0, 0, None
-    return out
+
+
+def gif_frames(data: bytes) -> list[dict]:
+    return list(gif_each_frame(data))
 
 
 def gif_decode(data: bytes) -> np.ndarray:
     """The first frame; alpha only where something is transparent."""
-    p = gif_frames(data)[0]["pixels"]
+    p = next(gif_each_frame(data))["pixels"]
     return p if (p[:, :, 3] < 65535).any() else p[:, :, :3]
 
 
@@ -404,18 +407,6 @@ def xpm_decode(data: bytes) -> np.ndarray:
 # --- depth and range ----------------------------------------------------------------------------------------------------------------
 
 
-def tiff_encode(p: np.ndarray, packed: bool = True) -> bytes:
-    """One strip of 16 bits a channel, deflated or plain."""
-    h, w, n = p.shape
-    body = p.astype("<u2").tobytes()
-    body = zlib.compress(body) if packed else body
-    bits_at = 8 + len(body) + len(body) % 2
-    ifd_at = bits_at + 2 * n
-    tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, n, bits_at), (259, 3, 1, 8 if packed else 1), (262, 3, 1, 2), (273, 4, 1, 8), (277, 3, 1, n), (278, 4, 1, h), (279, 4, 1, len(body)), (284, 3, 1, 1)] + ([(338, 3, 1, 2)] if n == 4 else [])
-    out = b"II*\0" + struct.pack("<I", ifd_at) + body + b"\0" * (len(body) % 2) + struct.pack(f"<{n}H", *[16] * n)
-    return out + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + b"\0\0\0\0"
-
-
 def _packbits(data: bytes) -> bytes:
     out, at = bytearray(), 0
     while at < len(data):
@@ -430,44 +421,16 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def tiff_encode(p: np.ndarray, packed: bool = True) -> bytes:
+    from . import tiff
+
+    return tiff.encode([p], tiff.DEFLATE if packed else tiff.PLAIN)
+
+
 def tiff_decode(data: bytes) -> np.ndarray:
-    """The first page: strips, plain, deflated or PackBits; gray, RGB and palette; 1, 8 and 16 bits; horizontal prediction."""
-    e = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack_from(e + "I", data, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(e + "H", data, at)[0]):
-        tag, kind, count = struct.unpack_from(e + "HHI", data, at + 2 + 12 * k)
-        code = {1: "B", 3: "H", 4: "I"}.get(kind)
-        if code:
-            place = at + 10 + 12 * k
-            if struct.calcsize(code) * count > 4:
-                place = struct.unpack_from(e + "I", data, place)[0]
-            tags[tag] = struct.unpack_from(f"{e}{count}{code}", data, place)
-    w, h, bits, n = tags[256][0], tags[257][0], tags.get(258, (1,))[0], tags.get(277, (1,))[0]
-    packing, rows = tags.get(259, (1,))[0], tags.get(278, (h,))[0]
-    if packing not in (1, 8, 32773, 32946) or tags.get(284, (1,))[0] != 1 or 322 in tags:
-        raise ValueError("this kind of TIFF isn't read")
-    parts = []
-    for start, size in zip(tags[273], tags[279], strict=True):
-        part = data[start : start + size]
-        parts.append(zlib.decompress(part) if packing in (8, 32946) else _packbits(part) if packing == 32773 else part)
-    body = b"".join(parts)
-    del rows
-    if bits == 16:
-        v = np.frombuffer(body, e + "u2", h * w * n).reshape(h, w, n).astype(np.int64)
-    elif bits == 8:
-        v = np.frombuffer(body, np.uint8, h * w * n).reshape(h, w, n).astype(np.int64)
-    else:
-        line = (w * n * bits + 7) // 8
-        v = np.unpackbits(np.frombuffer(body, np.uint8, h * line).reshape(h, line), axis=1)[:, : w * n].reshape(h, w, n).astype(np.int64)
-    if tags.get(317, (1,))[0] == 2:
-        v = np.cumsum(v, axis=1) & (1 << bits) - 1
-    kind = tags.get(262, (2,))[0]
-    if kind == 3:
-        return np.array(tags[320], np.int32).reshape(3, -1).T[v[:, :, 0]]
-    v = (v * 65535 // ((1 << bits) - 1)).astype(np.int32)
-    v = 65535 - v if kind == 0 else v
-    return v.repeat(3, axis=2) if n == 1 else v[:, :, :4]
+    from . import tiff
+
+    return tiff.decode(data)
 
 
 def fits_encode(p: np.ndarray) -> bytes:

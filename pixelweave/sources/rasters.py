@@ -28,10 +28,13 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb(spark: SparkSession, sf_dir: str, alpha: bool = False) -> DataFrame:
-    """pixels_wide of three embeddings each; with ``alpha`` four. Whole vectors are grouped, then exploded."""
+    """pixels_wide of three embeddings each; with ``alpha`` four. Whole vectors are grouped, then exploded.
+
+    Where the last image has too few embeddings its other channels are of the middle level.
+    """
     n = 4 if alpha else 3
     rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / n).alias("image_id"), (F.col("vec_id") % n).alias("c"), "embedding")
-    planes = rows.groupBy("image_id").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("c") == k, F.col("embedding"))).alias(f"e{k}") for k in range(n)]).where(F.col("n") == n)
+    planes = rows.groupBy("image_id").agg(*[F.coalesce(F.max(F.when(F.col("c") == k, F.col("embedding"))), F.array_repeat(F.lit(0.0).cast("float"), SIDE * SIDE)).alias(f"e{k}") for k in range(n)])
     names = ["r", "g", "b", "a"][:n]
     flat = planes.select("image_id", F.posexplode(F.arrays_zip(*[F.col(f"e{k}") for k in range(n)])).alias("i", "p"))
     out = flat.select("image_id", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).cast("int").alias("x"), *[_level(F.col(f"p.e{k}")).alias(c) for k, c in enumerate(names)])
