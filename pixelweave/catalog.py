@@ -340,7 +340,7 @@ for _name, _f in {"opening": neighbourhood.opening, "closing": neighbourhood.clo
     register(_name, lambda s, d, f=_f: f(rasters.rgb(s, d), neighbourhood.element("square", 1)).select(*KEY, *RGB), f"{_two_steps} SELECT s2.image_id, s2.y, s2.x, {', '.join(_columns.replace('{c}', c) + f' AS {c}' for c in RGB)} FROM s2 JOIN px USING (image_id, y, x)")
 register("sobel", lambda s, d: neighbourhood.sobel(rasters.rgb(s, d)).select(*KEY, F.round("magnitude", 6).alias("magnitude")))
 register("normal_map", lambda s, d: neighbourhood.normal_map(rasters.rgb(s, d)))
-register("adaptive_threshold", lambda s, d: neighbourhood.adaptive_threshold(rasters.rgb(s, d), 3, 0.01).select(*KEY, *RGB), f"WITH {PX}, l AS (SELECT *, {L709} AS l FROM px), m AS (SELECT p.image_id, p.y, p.x, avg(q.l) AS m FROM l p JOIN l q ON q.image_id = p.image_id AND abs(q.x-p.x) <= 1 AND abs(q.y-p.y) <= 1 GROUP BY 1,2,3) SELECT image_id, y, x, {', '.join(f'CASE WHEN l > m - 0.01*65535 THEN 65535 ELSE 0 END AS {c}' for c in RGB)} FROM l JOIN m USING (image_id, y, x)")
+register("adaptive_threshold", lambda s, d: neighbourhood.adaptive_threshold(rasters.rgb(s, d), 3, 0.01).select(*KEY, *RGB), f"WITH {PX}, m AS (SELECT p.image_id, p.y, p.x, {', '.join(f'sum(q.{c}) // count(*) AS m{c}' for c in RGB)} FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.x-p.x) <= 1 AND abs(q.y-p.y) <= 1 GROUP BY 1,2,3) SELECT image_id, y, x, {', '.join(f'CASE WHEN {c} >= greatest(m{c} - 655, 0) THEN 65535 ELSE 0 END AS {c}' for c in RGB)} FROM px JOIN m USING (image_id, y, x)")
 register("pixelate", lambda s, d: neighbourhood.pixelate(rasters.rgb(s, d), 3).select(*KEY, *RGB), f"WITH {PX} SELECT image_id, y, x, {', '.join(f'CAST(sum({c}) OVER w // count(*) OVER w AS INT) AS {c}' for c in RGB)} FROM px WINDOW w AS (PARTITION BY image_id, y//3, x//3)")
 
 # --- hashes, regions, layers --------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import PX, RGB, register
-from .operators import frames
+from .operators import attention, frames, stacks
 from .sources import codecs, image_files, rasters
 
 #: Images of a sequence in the queries below.
@@ -56,3 +56,96 @@ def _fax(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LUMA = "(r*CAST(0.2126 AS DOUBLE) + g*CAST(0.7152 AS DOUBLE) + b*CAST(0.0722 AS DOUBLE))"
 register("sequence_fax", _fax, f"WITH {PX} SELECT image_id, y, x, {', '.join(f'CASE WHEN {_LUMA} < 32767.5 THEN 0 ELSE 65535 END AS {c}' for c in RGB)} FROM px")
 register("codec_webp", lambda s, d: codecs.to_pixels(codecs.decode(frames.encode(_images(s, d), "webp").withColumn("path", F.lit("x.webp")))).select("image_id", "y", "x", *RGB), f"WITH {PX} SELECT image_id, y, x, {', '.join(_BYTE.format(c=c) + f' AS {c}' for c in RGB)} FROM px")
+
+# --- stacks -------------------------------------------------------------------------------------------------------------------------
+
+
+def _stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every three images as one stack."""
+    return _images(spark, sf_dir).withColumn("seq_id", F.floor(F.col("image_id") / 3)).withColumn("z", (F.col("image_id") % 3).cast("int"))
+
+
+def _pixels(images: DataFrame) -> DataFrame:
+    return codecs.to_pixels(images).select("image_id", "y", "x", *RGB)
+
+
+_STACK = f"{PX}, st AS (SELECT image_id // 3 AS seq, image_id % 3 AS z, y, x, r, g, b, {_LUMA} AS l FROM px)"
+_UNIT = {c: f"({c}::DOUBLE / 65535)" for c in RGB}
+_HAT = "CASE WHEN l/65535 <= 0.5 THEN 2*(l/65535) ELSE 2*(1 - l/65535) END"
+register(
+    "hdr_merge",
+    lambda s, d: _pixels(stacks.hdr_merge(_stacks(s, d).withColumn("stops", F.col("z") - 1), "stops")),
+    f"WITH {_STACK}, w AS (SELECT *, {_HAT} AS w FROM st), m AS (SELECT seq, y, x, sum(w ORDER BY z) AS sw, {', '.join(f'sum(w*({u}/pow(2.0::DOUBLE, z - 1)) ORDER BY z) AS {c}' for c, u in _UNIT.items())} FROM w GROUP BY 1,2,3), "
+    f"a AS (SELECT seq, y, x, {', '.join(f'CASE WHEN sw > 0 THEN {c}/sw ELSE 0 END AS {c}' for c in RGB)} FROM m), t AS (SELECT seq, max(greatest(r, g, b)) AS top FROM a GROUP BY 1) "
+    f"SELECT seq AS image_id, y, x, {', '.join(f'CAST(trunc(least({c} * CASE WHEN top > 0 THEN 65535/top ELSE 1 END, 65535)) AS INT) AS {c}' for c in RGB)} FROM a JOIN t USING (seq)",
+)
+_NEAR = "PARTITION BY seq, z, {a} ORDER BY {b}"
+_SIDES = {n: f"{f}({{v}}) OVER (PARTITION BY seq, z, {a} ORDER BY {b})" for n, f, a, b in (("u", "lag", "x", "y"), ("d", "lead", "x", "y"), ("e", "lag", "y", "x"), ("f", "lead", "y", "x"))}
+_MEAN = f"(({' + '.join(_UNIT.values())})/3.0)"
+_EXPOSED = " * ".join(f"exp(-12.5*({u}-0.5)*({u}-0.5))" for u in _UNIT.values())
+_SPREAD = f"sqrt(({' + '.join(f'({u}-{_MEAN})*({u}-{_MEAN})' for u in _UNIT.values())})/3.0)"
+_LUM = f"(0.2126::DOUBLE*{_UNIT['r']} + 0.7152::DOUBLE*{_UNIT['g']} + 0.0722::DOUBLE*{_UNIT['b']})"
+register(
+    "exposure_fusion",
+    lambda s, d: _pixels(stacks.exposure_fusion(_stacks(s, d))),
+    f"WITH {_STACK}, k AS (SELECT *, {_LUM} AS lu FROM st), n AS (SELECT *, {', '.join(f'{v.format(v=chr(108) + chr(117))} AS s{n}' for n, v in _SIDES.items())} FROM k), "
+    f"w AS (SELECT *, (CASE WHEN su IS NULL OR sd IS NULL OR se IS NULL OR sf IS NULL THEN 0 ELSE abs(4*lu - su - sd - se - sf) END + 1e-10::DOUBLE) * ({_SPREAD} + 1e-10::DOUBLE) * ({_EXPOSED}) + 1e-12::DOUBLE AS w FROM n) "
+    f"SELECT seq AS image_id, y, x, {', '.join(f'CASE WHEN count(*) = 1 THEN max({c}) ELSE CAST(trunc(sum({c}*w ORDER BY z) / sum(w ORDER BY z)) AS INT) END AS {c}' for c in RGB)} FROM w GROUP BY 1,2,3",
+)
+_LAPLACE = " + ".join(f"abs(4*{c} - {c}u - {c}d - {c}e - {c}f)" for c in RGB)
+_FOCUS = (
+    f"{_STACK}, n AS (SELECT *, {', '.join(f'{v.format(v=c)} AS {c}{n}' for c in RGB for n, v in _SIDES.items())} FROM st), f AS (SELECT *, coalesce({_LAPLACE}, 0) AS sharp FROM n), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY seq, y, x ORDER BY sharp DESC, z) AS k FROM f), b AS (SELECT seq, y, x, z FROM o WHERE k = 1), "
+    "c AS (SELECT p.seq, p.y, p.x, q.z, count(*) AS n FROM b p JOIN b q ON q.seq = p.seq AND abs(q.y-p.y) <= 2 AND abs(q.x-p.x) <= 2 GROUP BY 1,2,3,4), "
+    "j AS (SELECT *, row_number() OVER (PARTITION BY seq, y, x ORDER BY n DESC, z) AS k FROM c)"
+)
+register("focus_stack", lambda s, d: _pixels(stacks.focus_stack(_stacks(s, d))), f"WITH {_FOCUS} SELECT st.seq AS image_id, st.y, st.x, st.r, st.g, st.b FROM st JOIN j ON j.seq = st.seq AND j.y = st.y AND j.x = st.x AND j.z = st.z WHERE j.k = 1")
+
+# --- interest -----------------------------------------------------------------------------------------------------------------------
+
+_GRAY = "CAST(trunc(0.299::DOUBLE*({r}) + 0.587::DOUBLE*({g}) + 0.114::DOUBLE*({b})) AS INT)".format(**{c: f"{u}*255" for c, u in _UNIT.items()})
+_BIN = " + ".join(f"{k}*least(CAST(trunc({u}*255) AS INT) // 42, 5)" for k, u in zip((36, 6, 1), _UNIT.values(), strict=True))
+_AT = {n: f"{f}(v, 1) OVER (PARTITION BY image_id, {a} ORDER BY {b})" for n, f, a, b in (("w", "lag", "y", "x"), ("e", "lead", "y", "x"))}
+_INTEREST = (
+    f"{PX}, g AS (SELECT *, {_GRAY} AS v, {_BIN} AS bin FROM px), h AS (SELECT *, {', '.join(f'{v} AS {n}' for n, v in _AT.items())} FROM g), "
+    "s AS (SELECT *, (e - w) + 2*0 AS dx, w + 2*v + e AS sm FROM h), "
+    "q AS (SELECT *, lag(dx) OVER c AS dn, lead(dx) OVER c AS ds, lag(sm) OVER c AS sn, lead(sm) OVER c AS ss FROM s WINDOW c AS (PARTITION BY image_id, x ORDER BY y)), "
+    "ed AS (SELECT image_id, y, x, coalesce(sqrt(((dn + 2*dx + ds)*(dn + 2*dx + ds) + (ss - sn)*(ss - sn))::DOUBLE), 0) AS edge FROM q), "
+    "wc AS (SELECT p.image_id, p.y, p.x, q.v, count(*) AS n FROM g p JOIN g q ON q.image_id = p.image_id AND abs(q.y-p.y) <= 8 AND abs(q.x-p.x) <= 8 GROUP BY 1,2,3,4), "
+    "wt AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY image_id, y, x) AS share FROM wc), "
+    "en AS (SELECT image_id, y, x, -sum(share*log2(share) ORDER BY v) AS entropy FROM wt GROUP BY 1,2,3), "
+    "hb AS (SELECT image_id, bin, count(*) AS n FROM g GROUP BY 1,2), ht AS (SELECT *, max(n) OVER (PARTITION BY image_id) AS top, sum(n) OVER (PARTITION BY image_id) AS total FROM hb), "
+    "ra AS (SELECT image_id, bin, CASE WHEN n < top*0.1::DOUBLE THEN ln(1 + total::DOUBLE/n) ELSE 0 END AS rare FROM ht)"
+)
+_HEAT = ("CASE WHEN t < 0.5 THEN 0 WHEN t < 0.75 THEN (t-0.5)/0.25*65535 ELSE 65535 END", "CASE WHEN t < 0.25 THEN 0 WHEN t < 0.5 THEN (t-0.25)/0.25*65535 WHEN t < 0.75 THEN 65535 ELSE 65535 - (t-0.75)/0.25*65535 END", "CASE WHEN t < 0.25 THEN t/0.25*65535 WHEN t < 0.5 THEN 65535 - (t-0.25)/0.25*65535 ELSE 0 END")
+# no place's entropy or edge may be the sum of other orders to the last bit, so heat is compared in steps of 16
+register(
+    "interest_map",
+    lambda s, d: _pixels(attention.interest_map(_images(s, d))).select("image_id", "y", "x", *[F.floor((F.col(c) + 8) / 16).cast("int").alias(c) for c in RGB]),
+    f"WITH {_INTEREST}, m AS (SELECT image_id, y, x, least(1, entropy / greatest(max(entropy) OVER i, CASE WHEN max(entropy) OVER i < 1e-6 THEN 1 ELSE 0 END)*0.67::DOUBLE + edge / greatest(max(edge) OVER i, CASE WHEN max(edge) OVER i < 1e-6 THEN 1 ELSE 0 END)*0.33::DOUBLE) AS t FROM en JOIN ed USING (image_id, y, x) WINDOW i AS (PARTITION BY image_id)) "
+    f"SELECT image_id, y, x, {', '.join(f'CAST(floor((trunc({v}) + 8) / 16) AS INT) AS {c}' for v, c in zip(_HEAT, RGB, strict=True))} FROM m",
+)
+
+
+def _crop_sql(tw: int, th: int) -> str:
+    """Corners, foreground, scores of a coarse grid, then of every place about its best."""
+    back = ", ".join(f"avg({u}) FILTER (WHERE (y = 0 OR y = 7) AND (x = 0 OR x = 7)) OVER (PARTITION BY image_id) AS k{c}" for c, u in _UNIT.items())
+    away = " OR ".join(f"abs({u} - k{c}) > 0.15::DOUBLE" for c, u in _UNIT.items())
+    score = f"sum(i.interest) * (1.0::DOUBLE - 0.6::DOUBLE*((py - t)::DOUBLE / greatest(1, bo - t)))"
+    places = lambda ys, xs, step: f"SELECT image_id, l, t, ri, bo, bx, byy, py, px_ FROM {{src}} JOIN (SELECT unnest(range(0, {8 - th + 1})) AS py) a ON py BETWEEN {ys} {step('py', ys)} JOIN (SELECT unnest(range(0, {8 - tw + 1})) AS px_) b ON px_ BETWEEN {xs} {step('px_', xs)}"
+    coarse = places(f"greatest(0, t - {th // 4}) AND least({8 - th}, bo - {th // 4})", f"greatest(0, l - {tw // 4}) AND least({8 - tw}, ri - {tw // 2})", lambda v, r: f"AND ({v} - {r.split(' AND ')[0]}) % 2 = 0")
+    fine = places(f"greatest(0, byy - 4) AND least({8 - th}, byy + 4)", f"greatest(0, bx - 4) AND least({8 - tw}, bx + 4)", lambda v, r: "")
+    scored = lambda name: f"SELECT p.image_id, l, t, ri, bo, py, px_, {score} AS score FROM {name} p JOIN it i ON i.image_id = p.image_id AND i.y BETWEEN py AND py + {th - 1} AND i.x BETWEEN px_ AND px_ + {tw - 1} GROUP BY p.image_id, l, t, ri, bo, py, px_"
+    return (
+        f"WITH {_INTEREST}, it AS (SELECT image_id, y, x, rare*2 + entropy + ln(1 + edge)*0.1::DOUBLE AS interest FROM g JOIN ra USING (image_id, bin) JOIN en USING (image_id, y, x) JOIN ed USING (image_id, y, x)), "
+        f"ba AS (SELECT image_id, y, x, r, g, b, {back} FROM px), fo AS (SELECT image_id, min(x) AS l, min(y) AS t, max(x) AS ri, max(y) AS bo FROM ba WHERE {away} GROUP BY 1), "
+        f"fb AS (SELECT image_id, CASE WHEN ok THEN l ELSE 0 END AS l, CASE WHEN ok THEN t ELSE 0 END AS t, CASE WHEN ok THEN ri + 1 ELSE 8 END AS ri, CASE WHEN ok THEN bo + 1 ELSE 8 END AS bo FROM (SELECT i.image_id, l, t, ri, bo, coalesce(l < ri AND t < bo, FALSE) AS ok FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN fo USING (image_id))), "
+        f"st AS (SELECT *, least(greatest(CASE WHEN ri - l <= {tw} THEN (l + ri) // 2 - {tw // 2} ELSE l END, 0), {8 - tw}) AS bx, least(greatest(CASE WHEN bo - t <= {th} THEN t ELSE t + CAST(trunc((bo - t)*0.1::DOUBLE) AS INT) END, 0), {8 - th}) AS byy FROM fb), "
+        f"co AS ({coarse.format(src='st')}), cs AS ({scored('co')}), cb AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, py, px_) AS k FROM cs), "
+        f"fs AS (SELECT st.image_id, st.l, st.t, st.ri, st.bo, coalesce(cb.px_, st.bx) AS bx, coalesce(cb.py, st.byy) AS byy, cb.score AS best FROM st LEFT JOIN cb ON cb.image_id = st.image_id AND cb.k = 1), "
+        f"fi AS ({fine.format(src='fs')}), fc AS ({scored('fi')}), fk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, py, px_) AS k FROM fc) "
+        f"SELECT fs.image_id, CAST(CASE WHEN best IS NULL OR fk.score > best + 1e-9 THEN fk.px_ ELSE bx END AS INT) AS x, CAST(CASE WHEN best IS NULL OR fk.score > best + 1e-9 THEN fk.py ELSE byy END AS INT) AS y, {tw} AS width, {th} AS height FROM fs JOIN fk ON fk.image_id = fs.image_id AND fk.k = 1"
+    )
+
+
+register("smart_crop", lambda s, d: attention.regions(_images(s, d), 4, 3), _crop_sql(4, 3))

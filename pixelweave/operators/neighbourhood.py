@@ -223,11 +223,11 @@ def bottom_hat(df: DataFrame, offsets: Sequence[tuple[int, int]]) -> DataFrame:
 
 
 def adaptive_threshold(df: DataFrame, window: int = 3, offset: float = 0.0) -> DataFrame:
-    """White where luma exceeds the mean of the window inside the image less the offset."""
-    near = neighbours(df.select(*KEY, luma().alias("l")), square(window // 2), ("l",), edges="ignore")
-    means = near.groupBy(*KEY).agg(F.avg("nl").alias("m"))
-    v = F.when(luma() > F.col("m") - offset * M, M).otherwise(0)
-    return df.join(means, KEY).select(*KEY, *[v.alias(c) for c in "rgb"], "a")
+    """``attention.adaptive_threshold`` on a table of pixels: images are gathered once, and nothing is joined."""
+    from ..sources.codecs import to_pixels
+    from . import attention, frames
+
+    return to_pixels(attention.adaptive_threshold(frames.from_pixels(df), window, offset))
 
 
 def pixelate(df: DataFrame, size: int) -> DataFrame:
