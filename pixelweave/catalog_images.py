@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import PX, RGB, register
-from .operators import attention, frames, stacks
+from .operators import attention, frames, layer_trees, stacks
 from .sources import codecs, image_files, rasters
 
 #: Images of a sequence in the queries below.
@@ -149,3 +149,62 @@ def _crop_sql(tw: int, th: int) -> str:
 
 
 register("smart_crop", lambda s, d: attention.regions(_images(s, d), 4, 3), _crop_sql(4, 3))
+
+# --- layers -------------------------------------------------------------------------------------------------------------------------
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every image and the next as a document: a base, a masked layer, an adjustment, a group of two with clipping, a hidden layer."""
+    images = _images(spark, sf_dir)
+    doc = F.col("image_id")
+    row = lambda z, depth, kind, image=None, mask=None, mode=None, opacity=None, visible=None, clipped=None, dx=None, dy=None, adjustment=None: F.struct(
+        F.lit(z).alias("z"), F.lit(depth).alias("depth"), F.lit(kind).alias("kind"), (F.lit(None) if image is None else doc + image).cast("long").alias("image_id"), (F.lit(None) if mask is None else doc + mask).cast("long").alias("mask_id"), F.lit(mode).cast("string").alias("mode"),
+        F.lit(opacity).cast("double").alias("opacity"), F.lit(visible).cast("boolean").alias("visible"), F.lit(clipped).cast("boolean").alias("clipped"), F.lit(dx).cast("int").alias("dx"), F.lit(dy).cast("int").alias("dy"), F.lit(adjustment).cast("string").alias("adjustment"),
+    )
+    rows = [row(0, 0, "layer", 0), row(1, 0, "layer", 1, 0, "multiply", 0.75), row(2, 0, "adjustment", opacity=0.5, adjustment="invert"), row(3, 0, "group", mode="screen", opacity=0.5), row(4, 1, "layer", 0, dx=2, dy=3), row(5, 1, "layer", 1, mode="difference", clipped=True), row(6, 0, "layer", 1, visible=False)]
+    layers = images.select(doc.alias("doc_id"), F.explode(F.array(*rows)).alias("l")).select("doc_id", "l.*")
+    return layers, images
+
+
+def _flattened(change=None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        layers, images = _tree(spark, sf_dir)
+        if change:
+            layers, images = change(layers, images)
+        return codecs.to_pixels(layer_trees.flatten(layers, images, 8, 8)).select("image_id", "y", "x", *RGB, "a")
+
+    return run
+
+
+def _flat_sql(steps: list[str]) -> str:
+    """Steps one after another on (image_id, y, x, r, g, b, a) and the second image's r2, g2, b2."""
+    head = f"WITH {PX}, nx AS (SELECT image_id - 1 AS image_id, y, x, r AS r2, g AS g2, b AS b2 FROM px), b0 AS (SELECT px.image_id, px.y, px.x, px.r AS r1, px.g AS g1, px.b AS b1, r2, g2, b2, 0 AS r, 0 AS g, 0 AS b, 0 AS a FROM px LEFT JOIN nx USING (image_id, y, x))"
+    for k, step in enumerate(steps):
+        head += f", b{k + 1} AS ({step.replace('{from}', f'b{k}')})"
+    return f"{head} SELECT image_id, y, x, r, g, b, a FROM b{len(steps)}"
+
+
+_ROUND = "CAST(floor(least(greatest(({v})*65535, 0), 65535) + 0.5) AS INT)"
+_KEPT = "image_id, y, x, r1, g1, b1, r2, g2, b2"
+
+
+def _mixed(mode: str, over: str, alpha: str, present: str) -> str:
+    """A mode that is mixed by alpha; ``over`` has {c} for the channel."""
+    new = {"multiply": "({b})*({o})", "screen": "1-(1-({b}))*(1-({o}))", "difference": "abs(({b})-({o}))"}[mode]
+    value = lambda c: _ROUND.format(v=f"{c}/65535.0::DOUBLE*(1-({alpha})/65535.0::DOUBLE) + ({new.format(b=f'{c}/65535.0::DOUBLE', o=over.format(c=c) + '/65535.0::DOUBLE')})*(({alpha})/65535.0::DOUBLE)")
+    a = _ROUND.format(v=f"({alpha})/65535.0::DOUBLE + a/65535.0::DOUBLE*(1-({alpha})/65535.0::DOUBLE)")
+    return f"SELECT {_KEPT}, {', '.join(f'CASE WHEN {present} THEN {value(c)} ELSE {c} END AS {c}' for c in RGB)}, CASE WHEN {present} THEN {a} ELSE a END AS a FROM {{from}}"
+
+
+_BASE = f"SELECT {_KEPT}, {', '.join(f'{c}1 AS {c}' for c in RGB)}, 65535 AS a FROM {{from}}"
+_MASKED = _mixed("multiply", "{c}2", "CAST(trunc(1.0::DOUBLE*0.75*(r1/65535.0::DOUBLE)*65535) AS INT)", "r2 IS NOT NULL")
+_INVERT = f"SELECT {_KEPT}, {', '.join(f'CAST(trunc({c}*0.5::DOUBLE + (65535-{c})*0.5::DOUBLE) AS INT) AS {c}' for c in RGB)}, CAST(trunc(a*0.5::DOUBLE + a*0.5::DOUBLE) AS INT) AS a FROM {{from}}"
+# the group's own canvas: the first image at (2, 3), then the difference with the second, clipped to what is there
+_SHIFTED = ", ".join(f"q.{c}1 AS {c}q" for c in RGB)
+_DIFF = lambda c: f"CASE WHEN {c}2 IS NULL OR {c}q IS NULL THEN coalesce({c}q, 0) ELSE " + _ROUND.format(v=f"{c}q/65535.0::DOUBLE*0.0 + abs({c}q/65535.0::DOUBLE - {c}2/65535.0::DOUBLE)") + " END"
+_GROUP = f"SELECT p.*, {', '.join(f'{_DIFF(c)} AS {c}g' for c in RGB)}, CASE WHEN rq IS NULL THEN 0 ELSE 65535 END AS ag FROM (SELECT p.*, {_SHIFTED} FROM {{from}} p LEFT JOIN {{from}} q ON q.image_id = p.image_id AND q.y = p.y - 3 AND q.x = p.x - 2) p"
+_SCREEN = _mixed("screen", "{c}g", "CAST(trunc(ag/65535.0::DOUBLE*0.5*65535) AS INT)", "TRUE")
+register("layers_flatten", _flattened(), _flat_sql([_BASE, _MASKED, _INVERT, _GROUP, _SCREEN]))
+register("layers_removed", _flattened(lambda layers, images: (layer_trees.removed(layers, 2), images)), _flat_sql([_BASE, _MASKED, _GROUP, _SCREEN]))
+register("layers_moved", _flattened(lambda layers, images: (layer_trees.moved(layers, 2, 0), images)), _flat_sql([f"SELECT {_KEPT}, 65535//2 AS r, 65535//2 AS g, 65535//2 AS b, 0 AS a FROM {{from}}", _BASE, _MASKED, _GROUP, _SCREEN]))
+register("layers_merged", _flattened(lambda layers, images: layer_trees.merged(layers, images, 0, 3, 8, 8, 1 << 40)), _flat_sql([_BASE, _MASKED, _INVERT, _GROUP, _SCREEN]))
