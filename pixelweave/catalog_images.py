@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import PX, RGB, register
-from .operators import attention, frames, layer_trees, stacks
+from .functions.quantum import M
+from .operators import attention, frames, layer_trees, palettes, retouch, selection, stacks, stitching, textures
 from .sources import codecs, image_files, rasters
 
 #: Images of a sequence in the queries below.
@@ -208,3 +210,171 @@ register("layers_flatten", _flattened(), _flat_sql([_BASE, _MASKED, _INVERT, _GR
 register("layers_removed", _flattened(lambda layers, images: (layer_trees.removed(layers, 2), images)), _flat_sql([_BASE, _MASKED, _GROUP, _SCREEN]))
 register("layers_moved", _flattened(lambda layers, images: (layer_trees.moved(layers, 2, 0), images)), _flat_sql([f"SELECT {_KEPT}, 65535//2 AS r, 65535//2 AS g, 65535//2 AS b, 0 AS a FROM {{from}}", _BASE, _MASKED, _GROUP, _SCREEN]))
 register("layers_merged", _flattened(lambda layers, images: layer_trees.merged(layers, images, 0, 3, 8, 8, 1 << 40)), _flat_sql([_BASE, _MASKED, _INVERT, _GROUP, _SCREEN]))
+
+# --- selection ----------------------------------------------------------------------------------------------------------------------
+
+
+def _trimap(p: np.ndarray) -> np.ndarray:
+    """The border is background, the four pixels in the middle are foreground."""
+    out = np.full((*p.shape[:2], 1), M // 2)
+    out[0] = out[-1] = out[:, 0] = out[:, -1] = 0
+    out[3:5, 3:5] = M
+    return out
+
+
+def _hole(p: np.ndarray) -> np.ndarray:
+    out = np.zeros((*p.shape[:2], 1))
+    out[2:6, 3:6] = M
+    return out
+
+
+def _values(images: DataFrame) -> DataFrame:
+    """image_id, y, x, v of images of one channel."""
+    return codecs.to_pixels(images).select("image_id", "y", "x", F.col("r").alias("v"))
+
+
+def _with(other, f):
+    """A query on every image and what is made of it beside it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        images = _images(spark, sf_dir)
+        return f(images, frames.apply(images, other))
+
+    return run
+
+
+_KNOWN = "k AS (SELECT *, CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN 0 WHEN y IN (3, 4) AND x IN (3, 4) THEN 1 ELSE 2 END AS side FROM px)"
+_FAR = " + ".join(f"(p.{c}::DOUBLE/65535 - q.{c}::DOUBLE/65535)*(p.{c}::DOUBLE/65535 - q.{c}::DOUBLE/65535)" for c in RGB)
+register(
+    "alpha_matting",
+    _with(_trimap, lambda i, t: _values(selection.alpha_matting(i, t, 4))),
+    f"WITH {PX}, {_KNOWN}, d AS (SELECT p.image_id, p.y, p.x, q.side, {_FAR} + ((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y))/100.0::DOUBLE*0.1::DOUBLE AS d FROM k p JOIN k q ON q.image_id = p.image_id AND q.side < 2 WHERE p.side = 2), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x, side ORDER BY d) AS n FROM d), s AS (SELECT image_id, y, x, side, sum(exp(-d/(200.0::DOUBLE + 1e-12))*d)/sum(exp(-d/(200.0::DOUBLE + 1e-12))) AS d FROM n WHERE n <= 4 GROUP BY 1,2,3,4), "
+    "a AS (SELECT image_id, y, x, max(CASE WHEN side = 1 THEN d END) AS f, max(CASE WHEN side = 0 THEN d END) AS b FROM s GROUP BY 1,2,3) "
+    "SELECT k.image_id, k.y, k.x, CASE WHEN side = 0 THEN 0 WHEN side = 1 THEN 65535 WHEN a.f + a.b > 1e-12 THEN CAST(trunc(a.b/(a.f + a.b)*65535) AS INT) ELSE 32767 END AS v FROM k LEFT JOIN a USING (image_id, y, x)",
+)
+register("knn_matting", _with(_trimap, lambda i, t: _values(selection.knn_matting(i, t, 6, 3))))
+register("grab_cut", _with(_trimap, lambda i, t: _values(selection.grab_cut(i, t))))
+register("remove_background", lambda s, d: codecs.to_pixels(selection.remove_background(_images(s, d))).select("image_id", "y", "x", *RGB, "a"))
+
+
+def _box(of: str, source: str, radius: int) -> str:
+    return f"SELECT p.image_id, p.y, p.x, sum(q.{of})/count(*) AS m FROM {source} p JOIN {source} q ON q.image_id = p.image_id AND abs(q.y-p.y) <= {radius} AND abs(q.x-p.x) <= {radius} GROUP BY 1,2,3"
+
+
+# the last digits depend on the order of sums, so steps of 16 are compared
+register(
+    "saliency_map",
+    lambda s, d: _values(selection.saliency_map(_images(s, d))).select("image_id", "y", "x", F.floor((F.col("v") + 8) / 16).cast("int").alias("v")),
+    f"WITH {PX}, l AS (SELECT image_id, y, x, {_LUMA}/65535 AS l FROM px), {', '.join(f'm{k} AS ({_box(chr(108), chr(108), k // 2)})' for k in (3, 7, 15, 31))}, "
+    "s AS (SELECT image_id, y, x, abs(l - m3.m) + abs(l - m7.m) + abs(l - m15.m) + abs(l - m31.m) AS s FROM l JOIN m3 USING (image_id, y, x) JOIN m7 USING (image_id, y, x) JOIN m15 USING (image_id, y, x) JOIN m31 USING (image_id, y, x)), "
+    f"n AS (SELECT image_id, y, x, s / CASE WHEN max(s) OVER i > 0 THEN max(s) OVER i ELSE 1 END AS s FROM s WINDOW i AS (PARTITION BY image_id)), b AS ({_box('s', 'n', 5)}) "
+    "SELECT image_id, y, x, CAST(floor((trunc(m / CASE WHEN max(m) OVER i > 0 THEN max(m) OVER i ELSE 1 END * 65535) + 8) / 16) AS INT) AS v FROM b WINDOW i AS (PARTITION BY image_id)",
+)
+
+# --- retouching ---------------------------------------------------------------------------------------------------------------------
+
+register("inpaint", _with(_hole, lambda i, m: _pixels(retouch.inpaint(i, m, 3))))
+register("inpaint_edges", _with(_hole, lambda i, m: _pixels(retouch.inpaint_edges(i, m, 3, 10))))
+register("patch_fill", _with(_hole, lambda i, m: _pixels(retouch.patch_fill(i, m, 3))))
+register("remove_object", _with(_hole, lambda i, m: _pixels(retouch.remove_object(i, m, 3, 1.0))))
+
+
+def _dot(p: np.ndarray) -> np.ndarray:
+    out = np.zeros((*p.shape[:2], 1))
+    out[4, 3] = M
+    return out
+
+
+# a hole of one pixel has no order: the weighted mean of its surroundings
+register("inpaint_dot", _with(_dot, lambda i, m: _pixels(retouch.inpaint(i, m, 3))), f"WITH {PX}, w AS (SELECT *, 1.0::DOUBLE/((y-4)*(y-4) + (x-3)*(x-3)) AS w FROM px WHERE (y-4)*(y-4) + (x-3)*(x-3) BETWEEN 1 AND 9), m AS (SELECT image_id, {', '.join(f'CAST(trunc(sum({c}*w)/sum(w) + 0.5) AS INT) AS m{c}' for c in RGB)} FROM w GROUP BY 1) SELECT image_id, y, x, {', '.join(f'CASE WHEN y = 4 AND x = 3 THEN m{c} ELSE {c} END AS {c}' for c in RGB)} FROM px JOIN m USING (image_id)")
+_STAMP = f"{PX}, st AS (SELECT p.*, {', '.join(f'q.{c} AS s{c}' for c in RGB)} FROM px p LEFT JOIN px q ON q.image_id = p.image_id AND p.y BETWEEN 4 AND 7 AND p.x BETWEEN 3 AND 7 AND q.y = p.y - 3 AND q.x = p.x - 3)"
+register("clone_stamp", lambda s, d: _pixels(retouch.clone_stamp(_images(s, d), 0, 1, 3, 4, 6, 5)), f"WITH {_STAMP} SELECT image_id, y, x, {', '.join(f'coalesce(s{c}, {c}) AS {c}' for c in RGB)} FROM st")
+_OUTLINE = "(y IN ({a}, {a} + 3) OR x IN ({b}, {b} + 4)) AND y BETWEEN {a} AND {a} + 3 AND x BETWEEN {b} AND {b} + 4"
+register(
+    "healing_brush",
+    lambda s, d: _pixels(retouch.healing_brush(_images(s, d), 0, 1, 3, 4, 6, 5)),
+    f"WITH {_STAMP}, o AS (SELECT image_id, {', '.join(f'avg({c}) FILTER (WHERE {_OUTLINE.format(a=4, b=3)}) - avg({c}) FILTER (WHERE {_OUTLINE.format(a=1, b=0)}) AS off_{c}' for c in RGB)} FROM px GROUP BY 1), "
+    f"w AS (SELECT *, least(least(y-4, 7-y)/2.0::DOUBLE, 1)*least(least(x-3, 7-x)/2.0::DOUBLE, 1) AS w FROM st JOIN o USING (image_id)) SELECT image_id, y, x, {', '.join(f'CASE WHEN s{c} IS NULL THEN {c} ELSE CAST(trunc(least(greatest(s{c} + off_{c}*w + 0.5, 0), 65535)) AS INT) END AS {c}' for c in RGB)} FROM w",
+)
+_RED = "CASE WHEN g + b > 65.535 THEN (r/65535.0::DOUBLE)/((g/65535.0::DOUBLE + b/65535.0::DOUBLE)*0.5 + r/65535.0::DOUBLE) ELSE 0 END"
+register(
+    "red_eye",
+    lambda s, d: _pixels(retouch.red_eye(_images(s, d), 3, 4, 3, 0.5)),
+    f"WITH {PX}, e AS (SELECT *, {_RED} AS red FROM px), f AS (SELECT *, least(greatest((red - 0.5)/0.5, 0), 1) AS s FROM e) SELECT image_id, y, x, CASE WHEN (y-4)*(y-4) + (x-3)*(x-3) <= 9 AND red > 0.5 THEN CAST(trunc(least((r/65535.0::DOUBLE*(1-s) + (0.299::DOUBLE*(r/65535.0::DOUBLE) + 0.587::DOUBLE*(g/65535.0::DOUBLE) + 0.114::DOUBLE*(b/65535.0::DOUBLE))*s)*65535 + 0.5, 65535)) AS INT) ELSE r END AS r, g, b FROM f",
+)
+
+# --- textures and palettes ----------------------------------------------------------------------------------------------------------
+
+_FADE = lambda a, b, t: f"CAST(floor({a}*{t} + {b}*(1-{t}) + 0.5) AS INT)"
+_H = f"{PX}, o AS (SELECT p.*, {', '.join(f'q.{c} AS q{c}' for c in RGB)}, CASE WHEN p.x < 2 THEN p.x ELSE p.x - 6 END*0.5::DOUBLE AS t FROM px p LEFT JOIN px q ON q.image_id = p.image_id AND q.y = p.y AND q.x = CASE WHEN p.x < 2 THEN p.x + 6 WHEN p.x > 5 THEN p.x - 6 END), h AS (SELECT image_id, y, x, {', '.join(f'CASE WHEN q{c} IS NULL THEN {c} ELSE {_FADE(c, f'q{c}', 't')} END AS {c}' for c in RGB)} FROM o)"
+register(
+    "seamless_tile",
+    lambda s, d: _pixels(textures.seamless_tile(_images(s, d))),
+    f"WITH {_H}, v AS (SELECT p.*, {', '.join(f'q.{c} AS q{c}' for c in RGB)}, CASE WHEN p.y < 2 THEN p.y ELSE p.y - 6 END*0.5::DOUBLE AS t FROM h p LEFT JOIN h q ON q.image_id = p.image_id AND q.x = p.x AND q.y = CASE WHEN p.y < 2 THEN p.y + 6 WHEN p.y > 5 THEN p.y - 6 END) SELECT image_id, y, x, {', '.join(f'CASE WHEN q{c} IS NULL THEN {c} ELSE {_FADE(c, f'q{c}', 't')} END AS {c}' for c in RGB)} FROM v",
+)
+register("synthesize_texture", lambda s, d: _pixels(textures.synthesize(_images(s, d), 12, 10, 2, None)))
+#: Fixed colours of the remapping query.
+_COLORS = [(0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 255, 0), (0, 0, 255), (128, 128, 128), (200, 120, 40), (60, 90, 160)]
+_NEAREST = f"{PX}, pal AS (SELECT * FROM (VALUES {', '.join(f'({k}, {r}, {g}, {b})' for k, (r, g, b) in enumerate(_COLORS))}) v(k, pr, pg, pb)), q AS (SELECT image_id, y, x, {', '.join(f'CAST(floor({c}/257.0 + 0.5) AS INT) AS {c}' for c in RGB)} FROM px), n AS (SELECT q.*, pal.*, row_number() OVER (PARTITION BY image_id, y, x ORDER BY (r-pr)*(r-pr) + (g-pg)*(g-pg) + (b-pb)*(b-pb), k) AS n FROM q, pal)"
+register("remap", lambda s, d: _pixels(palettes.remap(_images(s, d), np.array(_COLORS, np.uint8))), f"WITH {_NEAREST} SELECT image_id, y, x, pr*257 AS r, pg*257 AS g, pb*257 AS b FROM n WHERE n = 1")
+register("remap_dithered", lambda s, d: _pixels(palettes.remap(_images(s, d), np.array(_COLORS, np.uint8), True)))
+register("quantize", lambda s, d: _pixels(palettes.quantize(_images(s, d), 8, False)))
+register("quantize_dithered", lambda s, d: _pixels(palettes.quantize(_images(s, d), 8)))
+register("image_palettes", lambda s, d: palettes.palettes(_images(s, d), 8))
+_OCT = " + ".join(f"(((CAST(floor({c}/257.0 + 0.5) AS INT) >> {bit}) & 1) << {3 * (bit - 3) + 2 - k})" for bit in range(7, 2, -1) for k, c in enumerate(RGB))
+register("octree_cells", lambda s, d: palettes.cell_sums(_images(s, d)), f"WITH {PX} SELECT CAST({_OCT} AS INT) AS cell, count(*) AS n, {', '.join(f'CAST(sum(CAST(floor({c}/257.0 + 0.5) AS INT)) AS BIGINT) AS {c}' for c in RGB)} FROM px GROUP BY 1")
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _images(spark, sf_dir)
+    return _pixels(palettes.remap(images, palettes.shared_palette(images, 32)))
+
+
+register("shared_palette", _shared)
+
+# --- stitching ----------------------------------------------------------------------------------------------------------------------
+
+
+def _overlapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each image enlarged smoothly, as two views of 170 x 170, the second (its id and 2^40) 17 to the right and 13 down."""
+    large = frames.resize(_images(spark, sf_dir), 192, 192, "hermite")
+    first = frames.apply(large, lambda p: np.ascontiguousarray(p[:170, :170]))
+    second = frames.apply(large, lambda p: np.ascontiguousarray(p[13:183, 17:187])).withColumn("image_id", F.col("image_id") + (1 << 40))
+    pairs = large.select(F.col("image_id").alias("a"), (F.col("image_id") + (1 << 40)).alias("b"))
+    return first.unionByName(second), pairs
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images, pairs = _overlapping(spark, sf_dir)
+    found = stitching.align(pairs, stitching.features(images))
+    h = lambda k: F.round(F.element_at("homography", k + 1), 2) + F.lit(0.0)
+    return found.select(F.col("a").alias("image_id"), *[h(k).alias(f"h{k}") for k in range(8)], (F.col("inliers") >= 4).alias("agreed"))
+
+
+register("align_views", _aligned, f"WITH {PX} SELECT DISTINCT image_id, 1.0::DOUBLE AS h0, 0.0::DOUBLE AS h1, -17.0::DOUBLE AS h2, 0.0::DOUBLE AS h3, 1.0::DOUBLE AS h4, -13.0::DOUBLE AS h5, 0.0::DOUBLE AS h6, 0.0::DOUBLE AS h7, TRUE AS agreed FROM px")
+
+
+def _stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each panorama of 187 x 183 is from the enlarged image (both views show it as it is), at most, in steps of 256."""
+    images, pairs = _overlapping(spark, sf_dir)
+    whole = frames.apply(frames.resize(_images(spark, sf_dir), 192, 192, "hermite"), lambda p: np.ascontiguousarray(p[:183, :187]))
+    seen = np.zeros((183, 187), bool)
+    seen[:170, :170] = seen[13:, 17:] = True
+
+    def away(p: np.ndarray, q: np.ndarray) -> dict[str, float]:
+        same = p.shape == q.shape
+        return {"width": p.shape[1], "height": p.shape[0], "away": np.abs(p.astype(float) - q)[seen].max() // 256 if same else -1.0}
+
+    return frames.measure(stitching.stitch(pairs, images), whole, away, ["width", "height", "away"])
+
+
+register("stitch", _stitched, f"WITH {PX} SELECT DISTINCT image_id, 187.0::DOUBLE AS width, 183.0::DOUBLE AS height, 0.0::DOUBLE AS away FROM px")
+
+
+def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _images(spark, sf_dir)
+    return _pixels(stitching.laplacian_blend(images, frames.apply(images, lambda p: M - p), frames.apply(images, _trimap), 3))
+
+
+register("laplacian_blend", _banded)

@@ -63,6 +63,18 @@ def measure(images: DataFrame, other: DataFrame, f: Callable[[np.ndarray, np.nda
     return images.join(right, "image_id").mapInArrow(run, "image_id long, " + ", ".join(f"{n} double" for n in names))
 
 
+def combine(images: DataFrame, other: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """One image of each and the one of its id in ``other`` (a mask, a trimap, a second image): one join of image rows."""
+    right = other.select("image_id", *[F.col(c).alias(f"o_{c}") for c in COLUMNS[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*[batch.column(c) for c in [*COLUMNS, *[f"o_{c}" for c in COLUMNS[1:]]]], strict=True):
+                yield _row(row[0].as_py(), f(_array(row[:5]), _array((row[0], *row[5:]))))
+
+    return images.select(*COLUMNS).join(right, "image_id").mapInArrow(run, SCHEMA)
+
+
 def from_pixels(df: DataFrame) -> DataFrame:
     """Image rows of a table of pixels: one group an image, sorted in the JVM."""
     alpha = F.col("a").isNotNull()
