@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import EMB, KEY, L601, L709, ORACLES, PAIR, PX, PXA, RGB, Q, T, _shift, _taps, pixels, register
+from .catalog import EMB, KEY, L601, L709, ORACLES, PAIR, PX, PXA, QUERIES, RGB, Q, T, _shift, _taps, pixels, register
 from .functions import adjust, colorspaces, drawing, noise, point
 from .operators import filters, frames, geometry, hashes, histogram, neighbourhood, warp
 from .sources import codecs, metadata, rasters
@@ -100,26 +100,41 @@ def _hidden(spark, sf_dir: str) -> DataFrame:
 
 register("hide_mark", lambda s, d: _hidden(s, d).select(*KEY, *RGB), f"WITH {_MARKED} SELECT image_id, y, x, r, g, b FROM hid")
 register("find_mark", lambda s, d: adjust.find_mark(_hidden(s, d), (8, 8), (8, 8), 2), f"WITH {_MARKED}, e AS (SELECT hid.*, y*8+x AS place FROM hid), w AS (SELECT image_id, i, sum(((CASE WHEN (i+(1-b)*64) % 3 = 0 THEN r WHEN (i+(1-b)*64) % 3 = 1 THEN g ELSE b_ END) & 1) << b) AS l FROM (SELECT image_id, place, r, g, b AS b_ FROM e) e JOIN (SELECT unnest(range(64)) AS i) p ON p.i = e.place CROSS JOIN (SELECT unnest([0, 1]) AS b) z GROUP BY 1,2) SELECT image_id, CAST(i//8 AS INT) AS y, CAST(i%8 AS INT) AS x, {', '.join(f'CAST(floor(l*65535.0/255 + 0.5) AS INT) AS {c}' for c in RGB)} FROM w")
-_PLACES = "SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT unnest(range(-19, 20)) AS x) a, (SELECT unnest(range(-17, 18)) AS y) b"
+_PLACES = "SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT unnest(range(-9, 17)) AS x) a, (SELECT unnest(range(-7, 12)) AS y) b"
 _MOD = lambda v, n: f"((({v} % {n}) + {n}) % {n})"
 _MIRROR = lambda v, n: f"CASE WHEN {_MOD(v, 2 * n - 2)} < {n} THEN {_MOD(v, 2 * n - 2)} ELSE {2 * n - 2} - {_MOD(v, 2 * n - 2)} END"
 _MAPPED = {
     "edge": ("TRUE", "least(greatest(x, 0), 6)", "least(greatest(y, 0), 4)"), "mirror": ("TRUE", _MIRROR("x", 7), _MIRROR("y", 5)), "tile": ("TRUE", _MOD("x", 7), _MOD("y", 5)),
     "horizontaltile": ("y BETWEEN 0 AND 4", _MOD("x", 7), "y"), "verticaltile": ("x BETWEEN 0 AND 6", "x", _MOD("y", 5)), "checkertile": ("(floor(x/7.0) + floor(y/5.0)) % 2 = 0", _MOD("x", 7), _MOD("y", 5)), "background": ("x BETWEEN 0 AND 6 AND y BETWEEN 0 AND 4", "x", "y"),
 }
+
+
+def _read_outside(method: str):
+    """What 26 x 19 places in and around a window of 7 x 5 of each image read."""
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        places = spark.range(26 * 19).select((F.floor(F.col("id") / 19) - 9).cast("int").alias("x"), (F.col("id") % 19 - 7).cast("int").alias("y"))
+        places = places.withColumn("m", adjust.map_coordinate(F.col("x"), F.col("y"), 7, 5, method)).select("x", "y", F.col("m.x").alias("mx"), F.col("m.y").alias("my"))
+        # a few places of one window: the same for every image
+        px = rasters.gray(spark, sf_dir).select("image_id", F.col("y").alias("my"), F.col("x").alias("mx"), "v")
+        return px.join(F.broadcast(places), ["mx", "my"]).select("image_id", "x", "y", "mx", "my", "v")
+
+    return run
+
+
 for _method, (_when, _mx, _my) in _MAPPED.items():
-    register(f"map_coordinate_{_method}", lambda s, d, m=_method: s.range(39 * 35).select((F.floor(F.col("id") / 35) - 19).cast("int").alias("x"), (F.col("id") % 35 - 17).cast("int").alias("y")).withColumn("m", adjust.map_coordinate(F.col("x"), F.col("y"), 7, 5, m)).select("x", "y", F.col("m.x").alias("mx"), F.col("m.y").alias("my")), f"SELECT x, y, CAST(CASE WHEN {_when} THEN {_mx} END AS INT) AS mx, CAST(CASE WHEN {_when} THEN {_my} END AS INT) AS my FROM ({_PLACES})")
-register("rectangle_intersect", lambda s, d: s.range(400).select("id", adjust.intersect([F.col("id") % 20, F.floor(F.col("id") / 20), F.lit(5), F.lit(7)], [F.lit(6), F.lit(8), F.lit(9), F.lit(4)]).alias("k")).select("id", "k.x", "k.y", "k.width", "k.height"), "WITH r AS (SELECT id, greatest(id % 20, 6) AS l, greatest(id // 20, 8) AS t, least(id % 20 + 5, 15) AS e, least(id // 20 + 7, 12) AS o FROM (SELECT unnest(range(400)) AS id)) SELECT id, CASE WHEN e > l AND o > t THEN l ELSE 0 END AS x, CASE WHEN e > l AND o > t THEN t ELSE 0 END AS y, CASE WHEN e > l AND o > t THEN e - l ELSE 0 END AS width, CASE WHEN e > l AND o > t THEN o - t ELSE 0 END AS height FROM r")
+    register(f"map_coordinate_{_method}", _read_outside(_method), f"WITH {EMB}, m AS (SELECT x, y, CAST(CASE WHEN {_when} THEN {_mx} END AS INT) AS mx, CAST(CASE WHEN {_when} THEN {_my} END AS INT) AS my FROM ({_PLACES})) SELECT e.image_id, m.x, m.y, mx, my, v FROM m JOIN emb e ON e.x = mx AND e.y = my")
+register("rectangle_intersect", lambda s, d: rasters.table(s, d, "embeddings").select(F.col("vec_id").alias("id")).select("id", adjust.intersect([F.col("id") % 20, F.floor(F.col("id") / 20) % 20, F.lit(5), F.lit(7)], [F.lit(6), F.lit(8), F.lit(9), F.lit(4)]).alias("k")).select("id", "k.x", "k.y", "k.width", "k.height"), "WITH r AS (SELECT id, greatest(id % 20, 6) AS l, greatest(id // 20 % 20, 8) AS t, least(id % 20 + 5, 15) AS e, least(id // 20 % 20 + 7, 12) AS o FROM (SELECT vec_id AS id FROM embeddings)) SELECT id, CASE WHEN e > l AND o > t THEN l ELSE 0 END AS x, CASE WHEN e > l AND o > t THEN t ELSE 0 END AS y, CASE WHEN e > l AND o > t THEN e - l ELSE 0 END AS width, CASE WHEN e > l AND o > t THEN o - t ELSE 0 END AS height FROM r")
 _A = adjust.Affine.rotation(30).then(adjust.Affine.scale(2, 0.5)).then(adjust.Affine.translation(3, -1))
 
 
 def _turned(spark, sf_dir: str) -> DataFrame:
     x, y = _A.apply(F.col("x").cast("double"), F.col("y").cast("double"))
     bx, by = _A.inverse().apply(x, y)
-    return rasters.grid(spark, 16, 16).select("x", "y", F.round(x, 6).alias("ax"), F.round(y, 6).alias("ay"), F.round(bx, 6).alias("bx"), F.round(by, 6).alias("by_"))
+    return rasters.gray(spark, sf_dir).select("image_id", "x", "y", F.round(x, 6).alias("ax"), F.round(y, 6).alias("ay"), F.round(bx, 6).alias("bx"), F.round(by, 6).alias("by_"))
 
 
-register("affine_matrix", _turned, "SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, round((x*cos(radians(30)) - y*sin(radians(30)))*2 + 3, 6) AS ax, round((x*sin(radians(30)) + y*cos(radians(30)))*0.5 - 1, 6) AS ay, CAST(x AS DOUBLE) AS bx, CAST(y AS DOUBLE) AS by_ FROM (SELECT unnest(range(16)) AS x) a, (SELECT unnest(range(16)) AS y) b")
+register("affine_matrix", _turned, f"WITH {EMB} SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round((x*cos(radians(30)) - y*sin(radians(30)))*2 + 3, 6) AS ax, round((x*sin(radians(30)) + y*cos(radians(30)))*0.5 - 1, 6) AS ay, CAST(x AS DOUBLE) AS bx, CAST(y AS DOUBLE) AS by_ FROM emb")
 
 # --- warps --------------------------------------------------------------------------------------------------------------------------
 
@@ -132,7 +147,7 @@ def warped(name: str, f, sx: str, sy: str, inside: str = "TRUE", size: tuple[int
     register(
         name,
         lambda s, d: f(s, d).select(*KEY, *RGB),
-        f"WITH {source}, ids AS (SELECT DISTINCT image_id FROM {ids}), g AS (SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, x + {off} AS px, y + {off} AS py FROM ids, (SELECT unnest(range({h})) AS y) a, (SELECT unnest(range({w})) AS x) b), a AS (SELECT g.*, ({sx}) - {off} AS sx, ({sy}) - {off} AS sy FROM g {at}), b AS (SELECT *, {inside} AS inside, floor(sx) AS x0, floor(sy) AS y0 FROM a), t AS (SELECT b.image_id, b.y, b.x, {tap('x0 + dx', 8)} AS tx, {tap('y0 + dy', 8)} AS ty, (CASE WHEN dx = 1 THEN sx - x0 ELSE 1 - sx + x0 END) * (CASE WHEN dy = 1 THEN sy - y0 ELSE 1 - sy + y0 END) AS wt FROM b, (SELECT unnest([0, 1]) AS dx) i, (SELECT unnest([0, 1]) AS dy) j WHERE inside), v AS (SELECT t.image_id, t.y, t.x, {', '.join(f'CAST(floor(round(sum({c}*wt), 6) + 0.5) AS INT) AS {c}' for c in RGB)} FROM t JOIN px q ON q.image_id = t.image_id AND q.x = tx AND q.y = ty GROUP BY 1, 2, 3) SELECT g.image_id, g.y, g.x, {', '.join(f'coalesce(v.{c}, 0) AS {c}' for c in RGB)} FROM g LEFT JOIN v ON v.image_id = g.image_id AND v.y = g.y AND v.x = g.x",
+        f"WITH {source.replace(', px AS (', ', px AS MATERIALIZED (')}, ids AS (SELECT DISTINCT image_id FROM {ids}), g AS (SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, x + {off} AS px, y + {off} AS py FROM ids, (SELECT unnest(range({h})) AS y) a, (SELECT unnest(range({w})) AS x) b), a AS (SELECT g.*, ({sx}) - {off} AS sx, ({sy}) - {off} AS sy FROM g {at}), b AS (SELECT *, {inside} AS inside, floor(sx) AS x0, floor(sy) AS y0 FROM a), t AS MATERIALIZED (SELECT b.image_id, b.y, b.x, CAST({tap('x0 + dx', 8)} AS INT) AS tx, CAST({tap('y0 + dy', 8)} AS INT) AS ty, (CASE WHEN dx = 1 THEN sx - x0 ELSE 1 - sx + x0 END) * (CASE WHEN dy = 1 THEN sy - y0 ELSE 1 - sy + y0 END) AS wt FROM b, (SELECT unnest([0, 1]) AS dx) i, (SELECT unnest([0, 1]) AS dy) j WHERE inside), v AS (SELECT t.image_id, t.y, t.x, {', '.join(f'CAST(floor(round(sum({c}*wt), 6) + 0.5) AS INT) AS {c}' for c in RGB)} FROM t JOIN px q ON q.image_id = t.image_id AND q.x = tx AND q.y = ty GROUP BY 1, 2, 3) SELECT g.image_id, g.y, g.x, {', '.join(f'coalesce(v.{c}, 0) AS {c}' for c in RGB)} FROM g LEFT JOIN v ON v.image_id = g.image_id AND v.y = g.y AND v.x = g.x",
     )
 
 
@@ -161,17 +176,25 @@ def _jpeg(spark, sf_dir: str, **options) -> DataFrame:
 
 for _name, _options in (("jpeg", {"quality": 100}), ("jpeg_progressive", {"quality": 100, "progressive": True})):
     register(f"codec_{_name}", lambda s, d, o=_options: _jpeg(s, d, **o), f"WITH {PX} SELECT image_id, count(*) AS n, TRUE AS near FROM px GROUP BY 1")
-_KNOWN = [(n, at, digits) for n, at, digits in codecs.SIGNATURES]
+#: Fixed values, written out from the formats' own documents: what a file of each begins with, as text where it is some, and its name.
+_BEGINNINGS = [
+    ("89504E470D0A1A0A", "png"), ("FFD8FFE0", "jpeg"), ("474946383961", "gif"), ("474946383761", "gif"), ("524946460000000057454250", "webp"), ("49492A0008000000", "tiff"), ("4D4D002A00000008", "tiff"), ("424D36000000", "bmp"), ("384250530001", "psd"), ("444453207C000000", "dds"),
+    ("716F696600000008", "qoi"), ("233F52414449414E43450A", "hdr"), ("233F524742450A", "hdr"), ("000001000100", "ico"), ("6661726266656C64", "farbfeld"), ("5344505800000800", "dpx"), ("5850445300080000", "dpx"), ("53494D504C4520203D", "fits"), ("802A5FD7", "cin"), ("00" * 128 + "4449434D", "dicom"),
+    ("0000000C6A5020200D0A870A", "jpeg2000"), ("FF4FFF5100", "jpeg2000"), ("FF0A0000", "jxl"), ("0000000C4A584C20", "jxl"), ("000000206674797061766966", "avif"), ("762F310102000000", "exr"), ("01DA0101", "sgi"), ("59A66A95", "sun"), ("0A050108", "pcx"), ("2F2A2058504D202A2F", "xpm"), ("54454E53", "tensor"),
+    ("50310A38", "pnm"), ("50320A38", "pnm"), ("50330A38", "pnm"), ("50340A38", "pnm"), ("50350A38", "pnm"), ("50360A38", "pnm"), ("3C68746D6C3E", "none"), ("0102030405", "none"),
+]
+_one_of = lambda values: F.element_at(F.array(*[F.lit(v) for v, _ in values]), (F.col("page_id") % len(values) + 1).cast("int"))
 register(
     "probe_signatures",
-    lambda s, d: s.createDataFrame([(k, at, digits) for k, (_, at, digits) in enumerate(_KNOWN)], "id int, at int, digits string").select("id", codecs.detect(F.concat(F.unhex(F.repeat(F.lit("01"), F.col("at"))), F.unhex("digits"), F.unhex(F.lit("00" * 8)))).alias("format")),
-    "SELECT CAST(id AS INT) AS id, format FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, (n, _, _) in enumerate(_KNOWN)) + ") t(id, format)",
+    lambda s, d: rasters.table(s, d, "pages").select("page_id", F.coalesce(codecs.detect(F.concat(F.unhex(_one_of(_BEGINNINGS)), F.col("html").cast("binary"))), F.lit("none")).alias("format")),
+    f"SELECT page_id, CASE page_id % {len(_BEGINNINGS)} " + " ".join(f"WHEN {k} THEN '{n}'" for k, (_, n) in enumerate(_BEGINNINGS)) + " END AS format FROM pages",
 )
-_NAMES = sorted(codecs.EXTENSIONS.items())
+#: Extensions and the formats they stand for.
+_ENDINGS = [("tga", "tga"), ("WBMP", "wbmp"), ("pix", "pix"), ("Xbm", "xbm"), ("xpm", "xpm"), ("svg", "svg"), ("PDF", "pdf"), ("jpg", "jpeg"), ("jpeg", "jpeg"), ("TIF", "tiff"), ("tiff", "tiff"), ("ff", "farbfeld"), ("ppm", "pnm"), ("pgm", "pnm"), ("pbm", "pnm"), ("png", "png")]
 register(
     "probe_extensions",
-    lambda s, d: s.createDataFrame([(k, f"dir.d/File.{e.upper()}") for k, (e, _) in enumerate(_NAMES)], "id int, path string").select("id", codecs.detect_extension(F.col("path")).alias("format")),
-    "SELECT CAST(id AS INT) AS id, format FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, (_, n) in enumerate(_NAMES)) + ") t(id, format)",
+    lambda s, d: rasters.table(s, d, "pages").select("page_id", codecs.detect_extension(F.concat(F.col("url"), F.lit("/a.b/file."), _one_of(_ENDINGS))).alias("format")),
+    f"SELECT page_id, CASE page_id % {len(_ENDINGS)} " + " ".join(f"WHEN {k} THEN '{n}'" for k, (_, n) in enumerate(_ENDINGS)) + " END AS format FROM pages",
 )
 
 # --- metadata -----------------------------------------------------------------------------------------------------------------------
@@ -383,3 +406,28 @@ _CFA = "m AS (SELECT image_id, y, x, CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN r WH
 _MIRROR8 = lambda e: f"CASE WHEN {e} < 0 THEN -({e}) WHEN {e} > 7 THEN 14 - ({e}) ELSE {e} END"
 _SAW = "CASE WHEN ({y}) % 2 = 0 AND ({x}) % 2 = 0 THEN 'r' WHEN ({y}) % 2 = 1 AND ({x}) % 2 = 1 THEN 'b' ELSE 'g' END"
 framed("demosaic", lambda i: frames.demosaic(frames.mosaic(i)), f"WITH {PX}, {_CFA}, o AS (SELECT dx, dy FROM (SELECT unnest([-1, 0, 1]) AS dx) a, (SELECT unnest([-1, 0, 1]) AS dy) b), n AS (SELECT p.image_id, p.y, p.x, q.v, {_SAW.format(y='p.y', x='p.x')} AS own, {_SAW.format(y='p.y+dy+2', x='p.x+dx+2')} AS saw, dx, dy FROM m p, o JOIN m q ON q.image_id = p.image_id AND q.x = {_MIRROR8('p.x+dx')} AND q.y = {_MIRROR8('p.y+dy')}) SELECT image_id, y, x, {', '.join(f'''CAST(floor(avg(v) FILTER (saw = '{c}' AND CASE WHEN own = '{c}' THEN dx = 0 AND dy = 0 ELSE TRUE END) + 0.5) AS INT) AS {c}''' for c in RGB)} FROM n GROUP BY 1, 2, 3")
+
+
+# --- what is drawn or made by a formula, laid over every image ----------------------------------------------------------------------
+
+
+def _over_images(name: str) -> None:
+    """A canvas of fixed size over each image of the table, which repeats beneath it: colours mixed evenly, coverage as white paint."""
+    query, sql = QUERIES[name], ORACLES.get(name)
+    shape = name.startswith(("draw_", "shape_"))
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        canvas = query(spark, sf_dir)
+        top = canvas.select("y", "x", *([F.col("coverage")] if shape else [F.col(c).alias(f"o{c}") for c in RGB]), F.pmod("y", F.lit(8)).alias("ty"), F.pmod("x", F.lit(8)).alias("tx"))
+        px = rasters.rgb(spark, sf_dir).select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx"), *RGB)
+        # the canvas has a fixed size, whatever the table holds
+        rows = px.join(F.broadcast(top), ["ty", "tx"])
+        new = {c: F.floor(F.col(c) + (F.lit(65535) - F.col(c)) * F.col("coverage") + 0.5) if shape else F.floor((F.col(c) + F.col(f"o{c}")) / 2) for c in RGB}
+        return rows.select(*KEY, *[v.cast("int").alias(c) for c, v in new.items()])
+
+    mixed = ", ".join(f"CAST(floor(px.{c} + (65535 - px.{c})*cv.coverage + 0.5) AS INT) AS {c}" if shape else f"(px.{c} + cv.{c}) // 2 AS {c}" for c in RGB)
+    register(name, run, sql and f"WITH {PX}, cv AS ({sql}) SELECT px.image_id, CAST(cv.y AS INT) AS y, CAST(cv.x AS INT) AS x, {mixed} FROM cv JOIN px ON px.y = ((cv.y % 8) + 8) % 8 AND px.x = ((cv.x % 8) + 8) % 8")
+
+
+for _name in [n for n in QUERIES if n in ("gradient", "checkerboard", "stripes", "solid", "linear_gradient", "radial_gradient", "value_noise", "marble", "wood", "plasma", "gradient_linear_stops", "gradient_radial_stops", "draw_polygon", "draw_ellipse", "draw_line") or n.startswith(("noise_", "pattern_", "shape_"))]:
+    _over_images(_name)
