@@ -46,10 +46,21 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Tasks a core that write an intermediate table at most; each file of a table costs the file system some calls of its own.
+WRITERS_A_CORE = 8
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a shared folder and read it again: cuts the lineage, and a lost executor loses nothing of it."""
+    """Write ``df`` to a shared folder and read it again: cuts the lineage, and a lost executor loses nothing of it.
+
+    More partitions than WRITERS_A_CORE for each core of the cluster are read one after another by as many tasks, so that
+    small tables of many partitions do not become as many files. Where executors come and go their number says nothing, and
+    partitions stay as they are.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
+        df = df.coalesce(WRITERS_A_CORE * spark.sparkContext.defaultParallelism)
     with small_batches(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
