@@ -390,7 +390,8 @@ register("checkerboard", lambda s, d: generators.checkerboard(s, 40, 30, 4).sele
 register("stripes", lambda s, d: generators.stripes(s, 20, 10, 4).select(*KEY, *RGB), f"SELECT image_id, y, x, {', '.join(f'CASE WHEN y%4 < 2 THEN 65535 ELSE 0 END AS {c}' for c in RGB)} FROM {_GRID.format(h=10, w=20)}")
 register("solid", lambda s, d: generators.solid(s, 9, 7, (1, 2, 3)).select(*KEY, *RGB), f"SELECT image_id, y, x, 1 AS r, 2 AS g, 3 AS b FROM {_GRID.format(h=7, w=9)}")
 register("linear_gradient", lambda s, d: generators.linear_gradient(s, 33, 9, (0, 100, 65535), (65535, 200, 0)).select(*KEY, *RGB), f"SELECT image_id, y, x, CAST(floor(((x-16.0)/32.0+0.5)*65535+0.5) AS INT) AS r, CAST(floor(((x-16.0)/32.0+0.5)*100+100+0.5) AS INT) AS g, CAST(floor(((x-16.0)/32.0+0.5)*(-65535)+65535+0.5) AS INT) AS b FROM {_GRID.format(h=9, w=33)}")
-register("radial_gradient", lambda s, d: generators.radial_gradient(s, 31, 31, (65535, 0, 0), (0, 0, 65535)).select(*KEY, *RGB))
+_T01 = "least(sqrt((x-15)*(x-15) + (y-15)*(y-15))/sqrt(450.0::DOUBLE), 1)"
+register("radial_gradient", lambda s, d: generators.radial_gradient(s, 31, 31, (65535, 0, 0), (0, 0, 65535)).select(*KEY, *RGB), f"SELECT image_id, y, x, CAST(floor({_T01}*(-65535) + 65535 + 0.5) AS INT) AS r, 0 AS g, CAST(floor({_T01}*65535 + 0.5) AS INT) AS b FROM {_GRID.format(h=31, w=31)}")
 register("value_noise", lambda s, d: generators.value_noise(s, 32, 32).select(*KEY, *RGB))
 register("add_noise", lambda s, d: generators.add_noise(rasters.rgb(s, d), "gaussian").select(*KEY, *RGB))
 register("apply_hald", lambda s, d: generators.apply_hald(rasters.rgb(s, d), generators.identity_hald(s, 4), 4).select(*KEY, *RGB))
@@ -456,4 +457,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import catalog_images, catalog_more  # noqa: E402,F401  registers further queries with the helpers above
+from . import catalog_checked, catalog_images, catalog_more  # noqa: E402,F401  registers further queries with the helpers above

@@ -135,24 +135,27 @@ def unique_colors_image(df: DataFrame) -> DataFrame:
 
 
 def reinhard(df: DataFrame, key: float = 0.18, saturation: float = 1.0) -> DataFrame:
-    """Global tone map by the image's log-average luminance."""
+    """[t] Global tone map by the image's log-average luminance; less than full saturation goes towards the mapped luminance."""
     lum = luma() / float(M)
     means = df.groupBy("image_id").agg(F.exp(F.avg(F.log(lum + 1e-6))).alias("mean_log"))
     rows = df.join(means, "image_id")
-    scaled = lum * key / F.col("mean_log")
+    scaled = lum * (F.lit(key) / F.col("mean_log"))
     mapped = scaled / (scaled + 1)
-    out = lambda c: F.when(lum > 0, F.pow(F.col(c) / float(M) / F.when(lum > 0, lum).otherwise(1.0), F.lit(saturation)) * mapped).otherwise(0.0)
-    return rows.withColumns({c: from_unit(out(c)) for c in RGB}).select(*df.columns)
+    ratio = F.when(lum > 1e-6, mapped / F.when(lum > 1e-6, lum).otherwise(1.0)).otherwise(0.0)
+    power = lambda v, p: v if p == 1 else F.pow(v, F.lit(float(p)))
+    out = lambda c: power(F.col(c) / float(M) * ratio, saturation) * (F.lit(1.0) if saturation == 1 else power(mapped, 1 - saturation))
+    return rows.withColumns({c: t16(F.round(out(c) * float(M), 6)) for c in RGB}).select(*df.columns)
 
 
 def drago(df: DataFrame, bias: float = 0.85) -> DataFrame:
-    """Adaptive logarithmic map by the image's greatest luminance."""
+    """[t] Adaptive logarithmic map by the image's greatest luminance."""
     lum = luma() / float(M)
     rows = df.join(df.groupBy("image_id").agg(F.max(lum).alias("top")), "image_id")
-    ratio = lum / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)
-    mapped = F.log(lum + 1) / (F.log10(F.col("top") + 1) * F.log(F.pow(ratio, F.lit(math.log(bias) / math.log(0.5))) * 8 + 2)) / math.log(10) * math.log(10)
-    scale = F.when((lum > 0) & (F.col("top") > 0), mapped / F.when(lum > 0, lum).otherwise(1.0)).otherwise(0.0)
-    return rows.withColumns({c: from_unit(F.col(c) / float(M) * scale) for c in RGB}).select(*df.columns)
+    adapted = F.log10(F.pow(lum / (F.col("top") + 1e-6), F.lit(math.log(bias) / math.log(0.5))) * 8 + 2)
+    below = F.log10(F.col("top") + 1) * adapted
+    mapped = F.least(F.greatest(F.log10(lum + 1) / F.when(below > 0, below).otherwise(1.0), F.lit(0.0)), F.lit(1.0))
+    ratio = F.when(lum > 1e-6, mapped / F.when(lum > 1e-6, lum).otherwise(1.0)).otherwise(0.0)
+    return rows.withColumns({c: t16(F.round(F.col(c) / float(M) * ratio * float(M), 6)) for c in RGB}).select(*df.columns)
 
 
 def color_transfer(df: DataFrame, reference: DataFrame, strength: float = 1.0) -> DataFrame:

@@ -14,20 +14,18 @@ SCHEMA = "image_id long, y int, x int, r int, g int, b int, a int"
 
 
 def per_image(df: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Apply ``f`` to each image's (h, w, 3) array; alpha is kept where the size stays, else null."""
+    """Apply ``f`` to each image's (h, w, 3) array; alpha is kept where the size stays, else null.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf.y.max()) + 1, int(pdf.x.max()) + 1
-        pixels, alpha = np.zeros((h, w, 3)), np.full((h, w), np.nan)
-        pixels[pdf.y, pdf.x] = pdf[["r", "g", "b"]]
-        alpha[pdf.y, pdf.x] = pdf.a.astype(float)
-        out = f(pixels)
-        ys, xs = np.mgrid[0 : out.shape[0], 0 : out.shape[1]]
-        v = np.clip(out, 0, M).astype(np.int32)
-        a = pd.Series(alpha.ravel() if out.shape[:2] == (h, w) else np.full(v.shape[0] * v.shape[1], np.nan)).astype("Int32")
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "y": ys.ravel().astype(np.int32), "x": xs.ravel().astype(np.int32), "r": v[:, :, 0].ravel(), "g": v[:, :, 1].ravel(), "b": v[:, :, 2].ravel(), "a": a})
-
-    return df.select("image_id", "y", "x", "r", "g", "b", "a").groupBy("image_id").applyInPandas(run, SCHEMA)
+    Pixels are gathered as arrays in the JVM and pass Arrow as one row an image; whole images go through ``frames.apply``.
+    """
+    from ..sources.codecs import to_pixels
+    from . import frames
+
+    def whole(p: np.ndarray) -> np.ndarray:
+        out = np.clip(f(p[..., :3].astype(np.float64)), 0, M).astype("<u2")
+        return np.concatenate([out, p[..., 3:]], axis=2) if out.shape[:2] == p.shape[:2] else out
+
+    return to_pixels(frames.apply(frames.from_pixels(df), whole))
 
 
 #: Error diffusion taps (dx, dy, share) of each method.
