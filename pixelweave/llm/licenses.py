@@ -1,4 +1,10 @@
-"""Licence scan by a positional index of rare licence words, in DataFrame operations only."""
+"""Licence scan by a positional index of rare licence words, in DataFrame operations only.
+
+A template counts only where all its mandatory key phrases stand in place, so every place that counts holds each word of
+them. Of these words the two of highest inverse document frequency in the corpus are looked up in a file: their positions,
+moved by where they stand in the template, are postings of the same template offset, and their intersection are the
+candidates. The key phrases and the share of the whole template are verified there alone. No place that counts is missed.
+"""
 
 from __future__ import annotations
 
@@ -30,12 +36,21 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc0", "cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
     ("epl", "the terms of the eclipse public license", ["eclipse public license"]),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license as published by", "version 3 of the license"]),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license as published by", "version 2 of the license"]),
+    ("gpl-3.0", "gnu general public license version 3", ["gnu general public license version 3"]),
+    ("gpl-2.0", "gnu general public license version 2", ["gnu general public license version 2"]),
+    ("apache-2.0", "http www apache org licenses license 2 0", ["apache org licenses license 2 0"]),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", ["provided as is without warranty of any kind express or implied", "warranties of merchantability"]),
 ]
-#: Words too common to be looked up.
-STOP = frozenset("a and any are by for in into is it of or that the this to use with without under be on source form free person purpose terms version 0 1 2 3 4 v code copy following met provided subject".split())
+#: Identifiers of the public list of licence tags, and their labels.
+TAGS = {
+    "MIT": "mit", "Apache-2.0": "apache-2.0", "GPL-3.0": "gpl-3.0", "GPL-2.0": "gpl-2.0", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl", "BSD-2-Clause": "bsd", "BSD-3-Clause": "bsd", "MPL-2.0": "mpl-2.0", "ISC": "isc", "Unlicense": "unlicense", "CC-BY-NC-4.0": "cc-by-nc", "CC-BY-SA-4.0": "cc-by-sa", "CC0-1.0": "cc0", "EPL-2.0": "epl",
+}
+for _tag, _label in TAGS.items():
+    _words = "spdx license identifier " + _tag.lower().replace("-", " ").replace(".", " ")
+    TEMPLATES.append((_label, _words, [_words]))
 
-#: Bound on the licence words of a file that are looked up: none, every place of every one counts.
-LOOKED_UP = None
 #: Least share of a template's words that must stand in place besides its key phrases.
 LEAST_SHARE = 0.6
 
@@ -44,8 +59,33 @@ LEAST_SHARE = 0.6
 OUTPUTS = ("ls_n_words", "ls_n_base", "ls_first_word", "ls_last_word", "ls_base_labels", "ls_labels", "ls_score")
 
 
+def key_words() -> list[list[tuple[str, int]]]:
+    """Of each template the distinct words of its key phrases with the first place of each inside one."""
+    out = []
+    for _, body, phrases in TEMPLATES:
+        b, found = body.split(), {}
+        for phrase in (p.split() for p in phrases):
+            at = next(i for i in range(len(b)) if b[i : i + len(phrase)] == phrase)
+            for k, w in enumerate(phrase):
+                found.setdefault(w, at + k)
+        out.append(sorted(found.items()))
+    return out
+
+
 def vocabulary() -> list[str]:
-    return sorted({w for _, text, _ in TEMPLATES for w in text.split()} - STOP)
+    return sorted({w for words_ in key_words() for w, _ in words_})
+
+
+def anchors(counts: dict[str, int]) -> list[tuple[tuple[str, int], tuple[str, int]] | None]:
+    """Of each template its two key words of highest IDF (fewest documents, then alphabetically) with their places.
+
+    None where one of its key words is in no document; a template of one key word has it twice.
+    """
+    out: list[tuple[tuple[str, int], tuple[str, int]] | None] = []
+    for found in key_words():
+        ranked = sorted(found, key=lambda x: (counts.get(x[0], 0), x[0]))
+        out.append((ranked[0], ranked[min(1, len(ranked) - 1)]) if counts.get(ranked[0][0], 0) else None)
+    return out
 
 
 def words(text: Column) -> Column:
@@ -75,48 +115,45 @@ def document_frequencies(docs: DataFrame) -> dict[str, int]:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ls_n_words, ls_n_base, ls_first_word, ls_last_word, ls_base_labels, ls_labels, ls_score.
 
-    Base: all places of the phrases of BASE. The method: all licence words of a file are looked up in the templates'
-    postings; a template and the offset that its words agree on become a candidate if at least two places (or one, where
-    its key phrases hold but one licence word) point there, and count if every key phrase stands in place and LEAST_SHARE
-    of the template's words do. The words of the key phrases point there themselves, so no place that counts is missed. Score: 1 with a base place, else the best share of a template that counts, else 0.
+    Base: all places of the phrases of BASE. The method: the two rarest words of a template's key phrases are looked up in
+    each file, in one filter of its words for all templates; offsets that both agree on are candidates, and count if every
+    key phrase stands in place and LEAST_SHARE of the template's words do. Score: 1 with a base place, else the best share
+    of a template that counts, else 0.
     A null or empty text has no words; labels are then empty and the places null. Texts of any length are read whole;
     repeated rows give a row each, an empty table none. All columns of ``docs`` stay, but one named as an output gives way
     to it. No shuffle but for the word counts, for which the texts are read once when this is called.
     """
     rows = docs.select(common.row_of(docs, OUTPUTS).alias("ls_row"), words(F.coalesce(F.col(text), F.lit(""))).alias("ls_words"))
     counts = document_frequencies(rows)
-    vocab = [w for w in vocabulary() if w in counts]
+    looked_up = anchors(counts)
+    alive = [t for t, a in enumerate(looked_up) if a]
     for label, phrase in [(label, p.split()) for p, label in BASE.items()]:
         rows = rows.withColumn(f"ls_at_{label}", _places(F.col("ls_words"), phrase))
     at = {label: F.col(f"ls_at_{label}") for label in BASE.values()}
     rows = rows.withColumn("ls_starts", F.concat(*at.values()))
     rows = rows.withColumn("ls_base", F.concat(*[F.when(F.size(c) > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for label, c in at.items()]))
     none = F.array().cast("array<struct<label:string,share:double>>")
-    if vocab:
-        order = {w: k for k, w in enumerate(sorted(vocab, key=lambda w: (counts[w], w)))}  # ascending count: descending IDF
-        postings = {w: [(t, p) for t, (_, body, _) in enumerate(TEMPLATES) for p, x in enumerate(body.split()) if x == w] for w in order}
-        ranked = _strings(list(order))
-        table = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]) for w in order])
+    if alive:
         w = F.col("ls_words")
-        # array_intersect keeps the order of its first side: the vocabulary by descending IDF
-        rows = rows.withColumn("ls_rare", F.array_intersect(ranked, w))
+        rare = sorted({x for t in alive for x, _ in looked_up[t]}, key=lambda x: (counts[x], x))
+        # array_intersect keeps the order of its first side: the anchors by descending IDF
+        rows = rows.withColumn("ls_rare", F.array_intersect(_strings(rare), w))
         hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("ls_rare"), x["w"]))
         rows = rows.withColumn("ls_hits", F.when(F.size("ls_rare") > 0, hits))
-        votes = F.flatten(F.transform(F.col("ls_hits"), lambda h: F.transform(F.element_at(table, F.array_position(ranked, h["w"]).cast("int")), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("o")))))
-        rows = rows.withColumn("ls_votes", F.when(F.size("ls_hits") > 0, votes))
+
+        def candidates_of(t: int) -> Column:
+            offsets = lambda x, p: F.transform(F.filter(F.col("ls_hits"), lambda h: h["w"] == x), lambda h: h["i"] - p)
+            (x, p), (y, q) = looked_up[t]
+            both = F.array_intersect(offsets(x, p), offsets(y, q)) if x != y else F.array_distinct(offsets(x, p))
+            there = F.array_contains("ls_rare", x) & F.array_contains("ls_rare", y)
+            return F.when(there, F.transform(both, lambda o: F.struct(F.lit(t).alias("t"), o.alias("o")))).otherwise(F.array().cast("array<struct<t:int,o:int>>"))
+
+        rows = rows.withColumn("ls_candidates", F.when(F.size("ls_hits") > 0, F.flatten(F.array(*[candidates_of(t) for t in alive]))))
         bodies = F.array(*[_strings(body.split()) for _, body, _ in TEMPLATES])
-        # the least votes of a template: two, or one where its key phrases hold only one word that votes
-        need = F.array(*[F.lit(min(2, sum(x not in STOP for phrase in phrases for x in phrase.split()))) for _, _, phrases in TEMPLATES])
-        # equal votes stand together once sorted: a candidate is the first of a run that is long enough
-        rows = rows.withColumn("ls_votes", F.array_sort(F.col("ls_votes")))
-        n = F.size("ls_votes")
-        runs = F.filter(F.transform(F.col("ls_votes"), lambda v, i: F.struct(v.alias("v"), F.when(i == 0, True).otherwise(F.get(F.col("ls_votes"), i - 1) != v).alias("new"), ((i + 1 < n) & (F.get(F.col("ls_votes"), i + 1) == v)).alias("more"))), lambda r: r["new"] & (r["more"] | (F.element_at(need, r["v"]["t"] + 1) == 1)))
-        candidates = F.transform(runs, lambda r: r["v"])
-        rows = rows.withColumn("ls_candidates", F.when(n > 0, candidates))
 
         def key_phrases(v: Column) -> Column:
             ok = F.lit(False)
-            for t, (_, body, phrases) in enumerate(TEMPLATES):
+            for t, (_, body, phrases) in ((t, TEMPLATES[t]) for t in alive):
                 here = v["t"] == t
                 for phrase in phrases:
                     p = body.split()

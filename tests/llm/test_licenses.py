@@ -14,34 +14,10 @@ def base(text):
     return len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))
 
 
-def found(text, counts):
-    """Labels of the method by plain search over all offsets."""
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
-    rare = sorted(set(w) & set(counts), key=lambda x: (counts[x], x))[: licenses.LOOKED_UP]
-    out = {}
-    for label, body, phrases in licenses.TEMPLATES:
-        b = body.split()
-        need = max(1, min(2, len(set(b) & set(rare))))
-        for o in range(-len(b), len(w)):
-            votes = sum(1 for k, x in enumerate(b) if x in rare and 0 <= o + k < len(w) and w[o + k] == x)
-            if votes < need:
-                continue
-            here = lambda k: w[o + k] if 0 <= o + k < len(w) else None  # noqa: B023, E731
-            keys = all(any(b[k : k + len(p.split())] == p.split() and [here(k + j) for j in range(len(p.split()))] == p.split() for k in range(len(b))) for p in phrases)
-            share = sum(here(k) == x for k, x in enumerate(b)) / len(b)
-            if keys and share >= licenses.LEAST_SHARE:
-                out[label] = max(out.get(label, 0), share)
-    return out
-
-
 def check(rows, got):
-    counts = {}
-    for _, text in rows:
-        for x in set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))) & set(licenses.vocabulary()):
-            counts[x] = counts.get(x, 0) + 1
     want = []
     for doc_id, text in rows:
-        b, f = base(text), found(text, counts)
+        b, f = base(text), whole(text)
         labels = ",".join(sorted(set(b[4].split(",")) - {""} | set(f)))
         want.append((doc_id, *b, labels, 1.0 if b[1] else max(f.values(), default=0.0)))
     assert sorted(got, key=str) == sorted(want, key=str)
@@ -97,3 +73,28 @@ def test_columns_of_any_names_stay(spark):
     assert got.columns == [*[c for c in docs.columns if c != "ls_score"], *licenses.OUTPUTS]
     for r in got.collect():
         assert r.ls_words == "x" and r.ls_found == "z" and (r.ls_n_words, r.ls_n_base, r.ls_first_word, r.ls_last_word, r.ls_base_labels) == base(r.text)
+
+
+def test_tags_and_the_usual_notices(spark):
+    cases = {
+        "// SPDX-License-Identifier: MIT": "mit",
+        "# SPDX-License-Identifier: Apache-2.0 OR BSD-3-Clause": "apache-2.0",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY': "mit",
+        "SPDX License: MIT": "",
+        "the mit licence of software without warranty": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.text: r.ls_labels for r in licenses.scan(docs).collect()} == cases
+
+
+def test_the_rarest_key_words_are_looked_up():
+    counts = dict.fromkeys(licenses.vocabulary(), 100) | {"mit": 3, "identifier": 2, "spdx": 1, "eclipse": 0}
+    looked_up = licenses.anchors(counts)
+    at = {body: a for (_, body, _), a in zip(licenses.TEMPLATES, looked_up, strict=True)}
+    assert at["spdx license identifier mit"] == (("spdx", 0), ("identifier", 2))
+    assert at["released under the mit license"] == (("mit", 3), ("license", 4))
+    assert at["the terms of the eclipse public license"] is None
+    assert at["licensed under cc by nc 4 0"] is not None
