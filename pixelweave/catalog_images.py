@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalog import PX, RGB, register
 from .functions.quantum import M
-from .operators import attention, frames, layer_trees, palettes, retouch, selection, stacks, stitching, textures
+from .operators import attention, creative, frames, layer_trees, palettes, retouch, selection, stacks, stitching, textures
 from .sources import codecs, image_files, rasters
 
 #: Images of a sequence in the queries below.
@@ -378,3 +378,73 @@ def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("laplacian_blend", _banded)
+
+# --- creative filters ---------------------------------------------------------------------------------------------------------------
+
+_JIT = lambda gx, gy, k: f"((xor(xor({gx}*73856093, {gy}*19349663), {k}*83492791) & 2147483647) % 3)"
+register(
+    "crystallize",
+    lambda s, d: _pixels(creative.crystallize(_images(s, d), 3, 7)),
+    f"WITH {PX}, ce AS (SELECT gx, gy, least(gx*3 + {_JIT('gx', 'gy', 14)}, 7) AS cx, least(gy*3 + {_JIT('gx', 'gy', 15)}, 7) AS cy FROM (SELECT CAST(unnest([0, 1]) AS BIGINT) AS gx) a, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS gy) b), "
+    f"n AS (SELECT px.*, gx, gy, row_number() OVER (PARTITION BY image_id, y, x ORDER BY (x-cx)*(x-cx) + (y-cy)*(y-cy), gy, gx) AS k FROM px, ce WHERE abs(least(y//3, 1) - gy) <= 1 AND abs(least(x//3, 1) - gx) <= 1) "
+    f"SELECT image_id, y, x, {', '.join(f'CAST(sum({c}) OVER w // count(*) OVER w AS INT) AS {c}' for c in RGB)} FROM n WHERE k = 1 WINDOW w AS (PARTITION BY image_id, gy, gx)",
+)
+
+
+def _ink(name: str, value: str, degrees: float) -> str:
+    """Dots of a screen of three pixels at an angle: name(image_id, y, x, v)."""
+    c, s = f"cos({degrees}*pi()/180)", f"sin({degrees}*pi()/180)"
+    return (
+        f"{name}0 AS (SELECT DISTINCT y, x, x*{c} + y*{s} AS rx, -x*{s} + y*{c} AS ry FROM px), {name}1 AS (SELECT *, floor(rx/3 + 0.5)*3 AS mx, floor(ry/3 + 0.5)*3 AS my FROM {name}0), "
+        f"{name} AS (SELECT q.image_id, p.y, p.x, CASE WHEN (rx-mx)*(rx-mx) + (ry-my)*(ry-my) <= ({value})*2.25 THEN {value} ELSE 0 END AS v FROM {name}1 p JOIN ik q ON q.x = least(greatest(CAST(trunc(mx*{c} - my*{s}) AS INT), 0), 7) AND q.y = least(greatest(CAST(trunc(mx*{s} + my*{c}) AS INT), 0), 7))"
+    )
+
+
+_INKS = f"{PX}, ik0 AS (SELECT *, 1.0 - greatest(r, g, b)/65535.0::DOUBLE AS k FROM px), ik AS (SELECT *, CASE WHEN k < 1 THEN 1/(1-k) ELSE 0 END AS sh FROM ik0)"
+_ANGLES = {"r": 15.0, "g": 75.0, "b": 0.0}
+register(
+    "halftone",
+    lambda s, d: _pixels(creative.halftone(_images(s, d), 3)),
+    f"WITH {_INKS}, {', '.join(_ink(f'h{c}', f'(1.0 - {c}/65535.0::DOUBLE - k)*sh', a) for c, a in _ANGLES.items())}, {_ink('hk', 'k', 45.0)} SELECT hk.image_id, hk.y, hk.x, {', '.join(f'CAST(floor((1 - h{c}.v)*(1 - hk.v)*65535 + 0.5) AS INT) AS {c}' for c in RGB)} FROM hk JOIN hr USING (image_id, y, x) JOIN hg USING (image_id, y, x) JOIN hb USING (image_id, y, x)",
+)
+
+
+def _speckle_sql() -> str:
+    """Thirty-two passes over the image and its repeated edge, ten wide, in reading order."""
+    head = f"WITH {PX}, lg AS (SELECT image_id, y, x, 0 AS c, r AS v FROM px UNION ALL SELECT image_id, y, x, 1, g FROM px UNION ALL SELECT image_id, y, x, 2, b FROM px), w0 AS (SELECT image_id, c, i, v FROM lg JOIN (SELECT unnest(range(100)) AS i) ON y = least(greatest(i // 10 - 1, 0), 7) AND x = least(greatest(i % 10 - 1, 0), 7))"
+    n = 0
+    for dy, dx in ((0, 1), (1, 0), (1, 1), (-1, 1)):
+        o = 10 * dy + dx
+        for way, up in ((o, 1), (o, 1), (-o, 1), (-o, 1), (-o, 0), (-o, 0), (o, 0), (o, 0)):
+            q = f"lead(v, {way}) OVER (PARTITION BY image_id, c ORDER BY i)" if way > 0 else f"lag(v, {-way}) OVER (PARTITION BY image_id, c ORDER BY i)"
+            new = "CASE WHEN q >= v + 514 THEN least(v + 257, 65535) ELSE v END" if up else "CASE WHEN q <= v - 514 THEN greatest(v - 257, 0) ELSE v END"
+            head += f", w{n + 1} AS MATERIALIZED (SELECT image_id, c, i, CASE WHEN i BETWEEN 11 AND 88 THEN {new} ELSE v END AS v FROM (SELECT *, {q} AS q FROM w{n}))"
+            n += 1
+    return f"{head} SELECT image_id, CAST(i // 10 - 1 AS INT) AS y, CAST(i % 10 - 1 AS INT) AS x, {', '.join(f'max(CASE WHEN c = {k} THEN v END) AS {c}' for k, c in enumerate(RGB))} FROM w{n} WHERE i // 10 BETWEEN 1 AND 8 AND i % 10 BETWEEN 1 AND 8 GROUP BY 1, 2, 3"
+
+
+register("despeckle", lambda s, d: _pixels(creative.despeckle(_images(s, d))), _speckle_sql())
+#: Points of the sparse colour queries: x, y, r, g, b.
+_POINTS = [(1.0, 1.0, 65535.0, 0.0, 0.0), (6.0, 2.0, 0.0, 65535.0, 30000.0), (3.5, 7.0, 1000.0, 2000.0, 65535.0)]
+_SPARSE = f"{PX}, pt AS (SELECT * FROM (VALUES {', '.join(f'({k}, ' + ', '.join(f'{v}::DOUBLE' for v in p) + ')' for k, p in enumerate(_POINTS))}) v(k, cx, cy, cr, cg, cb)), d AS (SELECT image_id, y, x, k, cr, cg, cb, (x-cx)*(x-cx) + (y-cy)*(y-cy) AS e, abs(x-cx) + abs(y-cy) AS m FROM px, pt)"
+for _method, _far in (("voronoi", "e"), ("manhattan", "m")):
+    register(f"sparse_{_method}", lambda s, d, m=_method: _pixels(creative.sparse_color(_images(s, d), m, _POINTS)), f"WITH {_SPARSE}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY {_far}, k) AS n FROM d) SELECT image_id, y, x, CAST(cr AS INT) AS r, CAST(cg AS INT) AS g, CAST(cb AS INT) AS b FROM o WHERE n = 1")
+for _method, _power in (("shepards", "1.0"), ("inverse", "0.5")):
+    register(f"sparse_{_method}", lambda s, d, m=_method: _pixels(creative.sparse_color(_images(s, d), m, _POINTS)), f"WITH {_SPARSE}, w AS (SELECT *, 1/greatest(pow(e, {_power}), 1) AS w FROM d) SELECT image_id, y, x, {', '.join(f'CAST(floor(sum(c{c}*w)/sum(w) + 0.5) AS INT) AS {c}' for c in RGB)} FROM w GROUP BY 1, 2, 3")
+_PUSH = "exp(-((x-4)*(x-4) + (y-3)*(y-3))/2.0::DOUBLE)*0.8"
+_COME = f"{PX}, s AS (SELECT image_id, y, x, r, g, b, (x-4)*(x-4) + (y-3)*(y-3) < 9 AS ok, x - 2.0::DOUBLE*({_PUSH}) AS sx, y + 1.0::DOUBLE*({_PUSH}) AS sy FROM px), t AS (SELECT *, floor(sx) AS x0, floor(sy) AS y0 FROM s)"
+register(
+    "liquify",
+    lambda s, d: _pixels(creative.liquify(_images(s, d), [(4, 3, 2.0, -1.0)], 3, 0.8)),
+    f"WITH {_COME}, v AS (SELECT t.image_id, t.y, t.x, {', '.join(f'CAST(floor(round(sum(q.{c}*(CASE WHEN dx = 1 THEN sx - x0 ELSE 1 - sx + x0 END)*(CASE WHEN dy = 1 THEN sy - y0 ELSE 1 - sy + y0 END)), 6)) AS INT) AS {c}' for c in RGB)} FROM t, (SELECT unnest([0, 1]) AS dx) a, (SELECT unnest([0, 1]) AS dy) b JOIN px q ON q.image_id = t.image_id AND q.x = CAST(least(greatest(x0 + dx, 0), 7) AS INT) AND q.y = CAST(least(greatest(y0 + dy, 0), 7) AS INT) WHERE ok GROUP BY 1, 2, 3) SELECT s.image_id, s.y, s.x, {', '.join(f'coalesce(v.{c}, s.{c}) AS {c}' for c in RGB)} FROM s LEFT JOIN v USING (image_id, y, x)",
+)
+_LINES = ", ".join(f"({k}, {a!r}::DOUBLE)" for k, a in enumerate(creative.angles()))
+register(
+    "skew",
+    lambda s, d: creative.skews(_images(s, d), 0.45),
+    f"WITH {PX}, f AS (SELECT image_id, y, x FROM px WHERE (r + g + b)/3.0::DOUBLE < {int(0.45 * M)}), a AS (SELECT * FROM (VALUES {_LINES}) v(k, a)), b AS (SELECT image_id, k, a, CAST(trunc((x-4.0)*sin(a*pi()/180.0) + (y-4.0)*cos(a*pi()/180.0) + 8) AS INT) AS bin, count(*) AS n FROM f, a GROUP BY 1, 2, 3, 4), "
+    "s AS (SELECT image_id, k, a, sum(n*n) AS s, sum(n) AS t FROM b GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, k) AS rn FROM s) SELECT i.image_id, CASE WHEN s/16.0::DOUBLE - (t/16.0::DOUBLE)*(t/16.0::DOUBLE) > 1e-12 THEN a ELSE 0.0::DOUBLE END AS degrees FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN o ON o.image_id = i.image_id AND rn = 1",
+)
+register("deskew", lambda s, d: _pixels(creative.deskew(_images(s, d), 0.45)))
+register("shear", lambda s, d: _pixels(creative.shear(_images(s, d), 20.0, 10.0)))
+register("polaroid", lambda s, d: _pixels(creative.polaroid(_images(s, d), 2, (65535, 0, 257))), f"WITH {PX}, c AS (SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT DISTINCT image_id FROM px), (SELECT unnest(range(16)) AS y), (SELECT unnest(range(12)) AS x)) SELECT c.image_id, c.y, c.x, coalesce(px.r, 65535) AS r, coalesce(px.g, 0) AS g, coalesce(px.b, 257) AS b FROM c LEFT JOIN px ON px.image_id = c.image_id AND px.y = c.y - 2 AND px.x = c.x - 2")

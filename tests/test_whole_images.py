@@ -355,3 +355,35 @@ def test_nested_groups(spark):
     want = np.zeros((4, 4), int)
     want[1:3, 2] = want[3, 3] = 1
     assert np.array_equal(got[..., 2] == M, want == 1) and np.array_equal(got[..., 0] == M, want == 0)
+
+
+# --- creative -----------------------------------------------------------------------------------------------------------------------
+
+
+def test_deskew_straightens_lines(spark):
+    from pixelweave.operators import creative
+
+    page = np.full((120, 160, 3), M)
+    for top in range(20, 100, 12):
+        page[top : top + 4, 20:140] = 0
+    tilted = creative.turned(page - M, 4.0).astype(int) + M  # white all around
+    assert creative.skew(page) == pytest.approx(0, abs=0.11) or abs(creative.skew(page)) < 0.2
+    angle = creative.skew(tilted)
+    assert abs(abs(angle) - 4.0) < 0.35
+    back = arrays(creative.deskew(images(spark, [tilted])))[0]
+    inner = back[back.shape[0] // 2 - 30 : back.shape[0] // 2 + 30, back.shape[1] // 2 - 40 : back.shape[1] // 2 + 40, 0]
+    assert abs(creative.skew(np.repeat(inner[..., None], 3, 2))) < 0.6
+    assert creative.skew(np.full((9, 9, 3), M)) == 0.0
+
+
+def test_shear_moves_rows():
+    from pixelweave.operators import creative
+
+    p = random(30, 6, 5)
+    assert np.array_equal(creative.sheared(p, 0.0), p)
+    out = creative.sheared(p, 1.0)
+    assert out.shape == (6, 11, 3)
+    for y in range(6):
+        assert np.array_equal(out[y, 3 + y - 3 : 3 + y - 3 + 5], p[y])
+    soft = creative.sheared(np.full((4, 4, 3), 40000), 0.25)
+    assert soft.shape == (4, 5, 3) and soft.max() <= 40000
