@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.quantum import M
 from .filters import LUMA, canny_pixels
 from .geometry import contributions
-from .kernels import carve
+from .kernels import carve, carve_stack
 from .neighbourhood import gaussian_weights
 
 SCHEMA = "image_id long, width int, height int, channels int, data binary"
@@ -47,6 +47,33 @@ def apply(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame
     return images.select(*COLUMNS).mapInArrow(run, SCHEMA)
 
 
+#: Pixels of images of one size that ``apply_stacks`` hands over together.
+STACK_PIXELS = 1 << 20
+
+
+def apply_stacks(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """As ``apply``, for functions of several images of one size, (n, h, w, c): images that follow each other in a batch go together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[int, np.ndarray]] = []
+
+            def flush(held: list = held) -> Iterator[pa.RecordBatch]:
+                if held:
+                    for (key, _), p in zip(held, f(np.stack([p for _, p in held])), strict=True):
+                        yield _row(key, p)
+                    held.clear()
+
+            for row in zip(*[batch.column(c) for c in COLUMNS], strict=True):
+                p = _array(row)
+                if held and (held[0][1].shape != p.shape or (len(held) + 1) * p.shape[0] * p.shape[1] > STACK_PIXELS):
+                    yield from flush()
+                held.append((row[0].as_py(), p))
+            yield from flush()
+
+    return images.select(*COLUMNS).mapInArrow(run, SCHEMA)
+
+
 def measure(images: DataFrame, other: DataFrame, f: Callable[[np.ndarray, np.ndarray], dict[str, float]], names: list[str]) -> DataFrame:
     """image_id and measures of each image and the one of its id in ``other``: one join of image rows."""
     right = other.select("image_id", *[F.col(c).alias(f"o_{c}") for c in COLUMNS[1:]])
@@ -253,7 +280,18 @@ def canny(images: DataFrame, sigma: float = 1.0, low: float = 0.1, high: float =
 
 
 def seam_carve(images: DataFrame, width: int, height: int) -> DataFrame:
-    return apply(images, lambda p: carve(carve(p[..., :3].astype(float), width).transpose(1, 0, 2), height).transpose(1, 0, 2))
+    """Least seams out of stacks of images of one size; where an image grows, image by image."""
+
+    def along(stack: np.ndarray, size: int) -> np.ndarray:
+        if size <= stack.shape[2]:
+            return carve_stack(stack, size)
+        return np.stack([carve(p.astype(float), size) for p in stack]).astype("<u2")
+
+    def f(stack: np.ndarray) -> np.ndarray:
+        tall = along(np.ascontiguousarray(stack[..., :3]), width).transpose(0, 2, 1, 3)
+        return np.ascontiguousarray(along(np.ascontiguousarray(tall), height).transpose(0, 2, 1, 3))
+
+    return apply_stacks(images, f)
 
 
 def mse(images: DataFrame, other: DataFrame) -> DataFrame:
