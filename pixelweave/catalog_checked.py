@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
-from .catalog import L709, LONG, ORACLES, PX, RGB, _PACK
+import numpy as np
+from pyspark.sql import functions as F
+
+from .catalog import KEY, L709, LONG, ORACLES, PX, RGB, _PACK, register
 from .catalog_more import warped
-from .operators import geometry
-from .sources import rasters
+from .operators import frames, geometry
+from .sources import codecs, rasters
 
 
 def _each(template: str) -> str:
@@ -126,3 +129,52 @@ _HAAR = lambda of, axis, other: f"SELECT image_id, {other}, {axis}//2 + 4*h AS {
 ORACLES["wavelet_hash"] = f"WITH {PX}, s AS (SELECT image_id, y, x, {L709} AS l FROM px), a AS ({_HAAR('s', 'x', 'y')}), b AS ({_HAAR('a', 'y', 'x')}), c AS (SELECT image_id, y*8 + x AS k, round(l, 6) AS l FROM b), m AS (SELECT image_id, list_sort(list(l))[33] AS m FROM c GROUP BY 1), t AS (SELECT image_id, k, l >= m AS bit FROM c JOIN m USING (image_id)) SELECT image_id, {_PACK} FROM t GROUP BY 1"
 _COS = "SELECT k, x, sum(cos((2*i + 1)*k*pi()/64)) AS w FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(32)) AS i), (SELECT unnest(range(8)) AS x) WHERE i//4 = x GROUP BY 1, 2"
 ORACLES["perceptual_hash"] = f"WITH {PX}, w AS ({_COS}), d AS (SELECT image_id, v.k AS v, u.k AS u, round(sum({L709}*u.w*v.w), 3) AS d FROM px JOIN w u ON u.x = px.x JOIN w v ON v.x = px.y WHERE u.k > 0 OR v.k > 0 GROUP BY 1, 2, 3), m AS (SELECT image_id, list_sort(list(d))[32] AS m FROM d GROUP BY 1), t AS (SELECT image_id, v*8 + u - 1 AS k, d >= m AS bit FROM d JOIN m USING (image_id)) SELECT image_id, {_PACK} FROM t GROUP BY 1"
+
+# --- the whole-image forms of operators whose pixel tables have SQL ------------------------------------------------------------------
+
+#: Values from sums in single precision are compared in steps of 256: the last digits of a sum are its order's.
+_STEPS = "CAST(floor(({c} + 128)/256.0) AS INT)"
+
+
+def _framed(name: str, f, of: str, exact: bool) -> None:
+    def run(spark, sf_dir: str):
+        out = codecs.to_pixels(f(frames.from_pixels(rasters.rgb(spark, sf_dir)))).select(*KEY, *RGB)
+        return out if exact else out.select(*KEY, *[F.floor((F.col(c) + 128) / 256).cast("int").alias(c) for c in RGB])
+
+    register(name, run, ORACLES[of] if exact else f"SELECT image_id, y, x, {_each(_STEPS)} FROM ({ORACLES[of]}) o")
+
+
+def _gathered(sql: str) -> str:
+    """Rows of one channel each as wide ones."""
+    return f"SELECT image_id, y, x, {', '.join(f'max(CASE WHEN c = {k} THEN v END) AS {n}' for k, n in enumerate(RGB))} FROM ({sql}) o GROUP BY 1, 2, 3"
+
+
+register("frames_equalize", lambda s, d: codecs.to_pixels(frames.equalize(frames.from_pixels(rasters.rgb(s, d)))).select(*KEY, *RGB), _gathered(ORACLES["equalize"]))
+_framed("frames_gaussian_blur", lambda i: frames.gaussian_blur(i, 0.6), "gaussian_blur", False)
+_framed("frames_sharpen", lambda i: frames.sharpen(i, 0.6, 1.3), "sharpen", False)
+_framed("frames_motion_blur", lambda i: frames.motion_blur(i, 2, 1.0, 30.0), "motion_blur", False)
+
+
+def _pairs(measure, name: str):
+    def run(spark, sf_dir: str):
+        images = frames.from_pixels(rasters.rgb(spark, sf_dir))
+        after = images.withColumn("image_id", F.col("image_id") - 1)
+        return measure(images, after).select("image_id", F.round(name, 5).alias(name))
+
+    return run
+
+
+for _measure, _name, _of in ((frames.mse, "mse", "compare_measures"), (frames.ssim, "ssim", "compare_ssim")):
+    register(f"frames_{_name}", _pairs(_measure, _name), f"SELECT image_id, round({_name}, 5) AS {_name} FROM ({ORACLES[_of]}) o")
+
+
+def _over(spark, sf_dir: str):
+    """A fading patch over the lower right of every image."""
+    patch = np.zeros((4, 5, 4), int)
+    patch[..., :3], patch[..., 3] = (60000, 30000, 1000), np.arange(20).reshape(4, 5) * 3449
+    return codecs.to_pixels(frames.composite_over(frames.from_pixels(rasters.rgb(spark, sf_dir)), patch, 4, 5)).select(*KEY, *[F.floor((F.col(c) + 8) / 16).cast("int").alias(c) for c in RGB])
+
+
+_SHARE = "((y-5)*5 + x-4)*3449/65535.0::DOUBLE"
+register("frames_composite", _over, f"WITH {PX} SELECT image_id, y, x, {', '.join(f'CAST(floor((CASE WHEN y >= 5 AND x >= 4 THEN floor({c} + ({k} - {c})*{_SHARE} + 0.5) ELSE {c} END + 8)/16) AS INT) AS {c}' for c, k in zip(RGB, (60000, 30000, 1000), strict=True))} FROM px")
+register("frames_encode_png", lambda s, d: codecs.to_pixels(codecs.decode(frames.encode(frames.from_pixels(rasters.rgb(s, d)), "png").withColumn("path", F.lit("x.png")))).select(*KEY, *RGB), f"WITH {PX} SELECT image_id, y, x, r, g, b FROM px")

@@ -208,6 +208,19 @@ def sharpen(images: DataFrame, sigma: float, amount: float = 1.0) -> DataFrame:
     return apply(images, f)
 
 
+def _moved(n: int, by: float) -> tuple[object, object]:
+    """Places along an axis whose place moved by a real distance, rounded half to even, lies inside, and those places.
+
+    Slices, but for halves that rounding sends both ways.
+    """
+    at = np.rint(np.arange(n) + by).astype(int)
+    here = np.flatnonzero((at >= 0) & (at < n))
+    there = at[here]
+    if len(here) and (np.diff(there) == 1).all():
+        return slice(here[0], here[-1] + 1), slice(there[0], there[-1] + 1)
+    return here, there
+
+
 def motion_blur(images: DataFrame, radius: int, sigma: float, degrees: float) -> DataFrame:
     """A Gaussian along a direction; what lies outside the image doesn't count."""
     dx, dy = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
@@ -216,11 +229,16 @@ def motion_blur(images: DataFrame, radius: int, sigma: float, degrees: float) ->
         h, w = p.shape[:2]
         total, weight = np.zeros(p.shape, np.float32), np.zeros((h, w, 1), np.float32)
         for n in range(-radius, radius + 1):
-            k, sx, sy = np.float32(math.exp(-n * n / (2 * sigma * sigma))), int(np.rint(n * dx)), int(np.rint(n * dy))
-            here = (slice(max(0, -sy), min(h, h - sy)), slice(max(0, -sx), min(w, w - sx)))
-            there = (slice(max(0, sy), min(h, h + sy)), slice(max(0, sx), min(w, w + sx)))
-            total[here] += p[there] * k
-            weight[here] += k
+            k = np.float32(math.exp(-n * n / (2 * sigma * sigma)))
+            (hy, ty), (hx, tx) = _moved(h, n * dy), _moved(w, n * dx)
+            if isinstance(hy, slice) and isinstance(hx, slice):
+                total[hy, hx] += p[ty, tx] * k
+                weight[hy, hx] += k
+            else:
+                rows, columns = (np.arange(v.start, v.stop) if isinstance(v, slice) else v for v in (hy, hx))
+                from_rows, from_columns = (np.arange(v.start, v.stop) if isinstance(v, slice) else v for v in (ty, tx))
+                total[np.ix_(rows, columns)] += p[np.ix_(from_rows, from_columns)] * k
+                weight[np.ix_(rows, columns)] += k
         return _half_up(total / weight)
 
     return apply(images, f)
@@ -247,15 +265,14 @@ def _bytes(p: np.ndarray) -> np.ndarray:
 
 
 def equalize(images: DataFrame) -> DataFrame:
-    """Each channel by the cumulative histogram of its 256 bins."""
+    """Each channel by the cumulative histogram of its 256 bins; a flat one becomes black."""
 
     def f(p: np.ndarray) -> np.ndarray:
         out, level = p.copy(), _bytes(p)
         for c in range(min(3, p.shape[2])):
             cum = np.bincount(level[..., c].reshape(-1), minlength=256).cumsum()
             first = cum[cum > 0][0]
-            if cum[-1] > first:
-                out[..., c] = np.floor(np.maximum(cum - first, 0) / (cum[-1] - first) * M + 0.5).astype("<u2")[level[..., c]]
+            out[..., c] = np.floor(np.maximum(cum - first, 0) / max(cum[-1] - first, 1) * M + 0.5).astype("<u2")[level[..., c]]
         return out
 
     return apply(images, f)
