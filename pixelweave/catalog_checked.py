@@ -130,6 +130,25 @@ ORACLES["wavelet_hash"] = f"WITH {PX}, s AS (SELECT image_id, y, x, {L709} AS l
 _COS = "SELECT k, x, sum(cos((2*i + 1)*k*pi()/64)) AS w FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(32)) AS i), (SELECT unnest(range(8)) AS x) WHERE i//4 = x GROUP BY 1, 2"
 ORACLES["perceptual_hash"] = f"WITH {PX}, w AS ({_COS}), d AS (SELECT image_id, v.k AS v, u.k AS u, round(sum({L709}*u.w*v.w), 3) AS d FROM px JOIN w u ON u.x = px.x JOIN w v ON v.x = px.y WHERE u.k > 0 OR v.k > 0 GROUP BY 1, 2, 3), m AS (SELECT image_id, list_sort(list(d))[32] AS m FROM d GROUP BY 1), t AS (SELECT image_id, v*8 + u - 1 AS k, d >= m AS bit FROM d JOIN m USING (image_id)) SELECT image_id, {_PACK} FROM t GROUP BY 1"
 
+# --- more of them -------------------------------------------------------------------------------------------------------------------
+
+_K = "exp(-(dx*dx + dy*dy)/(2*1.5::DOUBLE*1.5))*exp(-(floor(abs(q - v)/257.0)/255)*(floor(abs(q - v)/257.0)/255)/(2*0.1::DOUBLE*0.1))"
+ORACLES["bilateral"] = f"WITH {LONG}, {_around(2)}, r AS (SELECT image_id, y, x, c, CAST(floor(round(sum(q*({_K}))/sum({_K}), 6)) AS INT) AS s FROM n GROUP BY 1, 2, 3, 4) {_wide('s', 'r')}"
+ORACLES["oil_paint"] = (
+    f"WITH {PX}, l AS (SELECT *, least(greatest(CAST(floor({L709}/65535.0*255 + 0.5) AS INT), 0), 255) AS bin FROM px), n AS (SELECT p.image_id, p.y, p.x, q.r, q.g, q.b, (q.y-p.y)*3 + q.x-p.x AS s, row_number() OVER (PARTITION BY p.image_id, p.y, p.x, q.bin ORDER BY q.y, q.x) AS k FROM l p JOIN l q ON q.image_id = p.image_id AND abs(q.y-p.y) <= 1 AND abs(q.x-p.x) <= 1), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY k DESC, s) AS f FROM n) SELECT image_id, y, x, r, g, b FROM o WHERE f = 1"
+)
+_BOX = "abs(q.y-p.y) <= {k} AND abs(q.x-p.x) <= {k}"
+ORACLES["harris"] = (
+    f"WITH {PX}, {_SLOPES.format(lum=f'lu AS (SELECT image_id, y, x, 0 AS c, CAST(floor({L709} + 0.5) AS INT) AS v FROM px)')}, u AS (SELECT image_id, y, x, gx/65535*(gx/65535) AS xx, gx/65535*(gy/65535) AS xy, gy/65535*(gy/65535) AS yy FROM g), "
+    f"s AS (SELECT p.image_id, p.y, p.x, sum(q.xx) AS a, sum(q.xy) AS b, sum(q.yy) AS c FROM u p JOIN u q ON q.image_id = p.image_id AND {_BOX.format(k=1)} GROUP BY 1, 2, 3), r AS (SELECT image_id, y, x, round(a*c - b*b - (a+c)*(a+c)*0.04::DOUBLE, 9) AS response FROM s), "
+    f"m AS (SELECT p.image_id, p.y, p.x, p.response, max(q.response) FILTER (WHERE q.y <> p.y OR q.x <> p.x) AS near FROM r p JOIN r q ON q.image_id = p.image_id AND {_BOX.format(k=3)} GROUP BY 1, 2, 3, 4), t AS (SELECT image_id, max(response)*0.01::DOUBLE AS least FROM r GROUP BY 1) SELECT image_id, y, x, response FROM m JOIN t USING (image_id) WHERE response > near AND response > least"
+)
+# the identity table is linear, so interpolation gives every colour back
+ORACLES["apply_hald"] = f"WITH {PX} SELECT image_id, y, x, r, g, b FROM px"
+# an opaque overlay covers whatever its pattern is
+ORACLES["blend_dissolve"] = f"WITH {PX}, nx AS (SELECT image_id - 1 AS image_id, y, x, r AS r2, g AS g2, b AS b2 FROM px) SELECT image_id, y, x, {_each('coalesce({c}2, {c})')} FROM px LEFT JOIN nx USING (image_id, y, x)"
+
 # --- the whole-image forms of operators whose pixel tables have SQL ------------------------------------------------------------------
 
 #: Values from sums in single precision are compared in steps of 256: the last digits of a sum are its order's.
@@ -178,3 +197,7 @@ def _over(spark, sf_dir: str):
 _SHARE = "((y-5)*5 + x-4)*3449/65535.0::DOUBLE"
 register("frames_composite", _over, f"WITH {PX} SELECT image_id, y, x, {', '.join(f'CAST(floor((CASE WHEN y >= 5 AND x >= 4 THEN floor({c} + ({k} - {c})*{_SHARE} + 0.5) ELSE {c} END + 8)/16) AS INT) AS {c}' for c, k in zip(RGB, (60000, 30000, 1000), strict=True))} FROM px")
 register("frames_encode_png", lambda s, d: codecs.to_pixels(codecs.decode(frames.encode(frames.from_pixels(rasters.rgb(s, d)), "png").withColumn("path", F.lit("x.png")))).select(*KEY, *RGB), f"WITH {PX} SELECT image_id, y, x, r, g, b FROM px")
+
+
+for _method in ("lanczos3", "catrom", "triangle"):
+    _framed(f"frames_resize_{_method}", lambda i, m=_method: frames.resize(i, 12, 5, m), f"resize_{_method}", False)

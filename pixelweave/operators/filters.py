@@ -50,7 +50,7 @@ def bilateral_pixels(p: np.ndarray, radius: int, spatial: float, tonal: float) -
             k = math.exp(-(dx * dx + dy * dy) / (2 * spatial * spatial)) * np.exp(-((bucket / 255) ** 2) / (2 * tonal * tonal))
             total += n * k
             weight += k
-    return total / weight
+    return np.round(total / weight, 6)
 
 
 def bilateral(df: DataFrame, radius: int = 2, spatial: float = 1.5, tonal: float = 0.1) -> DataFrame:
