@@ -149,6 +149,22 @@ ORACLES["apply_hald"] = f"WITH {PX} SELECT image_id, y, x, r, g, b FROM px"
 # an opaque overlay covers whatever its pattern is
 ORACLES["blend_dissolve"] = f"WITH {PX}, nx AS (SELECT image_id - 1 AS image_id, y, x, r AS r2, g AS g2, b AS b2 FROM px) SELECT image_id, y, x, {_each('coalesce({c}2, {c})')} FROM px LEFT JOIN nx USING (image_id, y, x)"
 
+# --- regions ------------------------------------------------------------------------------------------------------------------------
+
+_LIGHT = f"l AS (SELECT *, y*8 + x AS i, {L709}/65535.0::DOUBLE AS l FROM px)"
+# the places that each place of the mask reaches; a component is known by the first of them
+ORACLES["components"] = (
+    f"WITH RECURSIVE {PX}, {_LIGHT}, m AS (SELECT * FROM l WHERE l >= 0.5), e AS (SELECT p.image_id, p.i AS a, q.i AS b FROM m p JOIN m q ON q.image_id = p.image_id AND abs(q.y-p.y) <= 1 AND abs(q.x-p.x) <= 1), "
+    "t AS (SELECT image_id, a, b FROM e UNION SELECT t.image_id, t.a, e.b FROM t JOIN e ON e.image_id = t.image_id AND e.a = t.b), f AS (SELECT image_id, a AS i, min(b) AS root FROM t GROUP BY 1, 2), n AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM f) "
+    "SELECT m.image_id, CAST(label AS INT) AS label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(l), 6) AS mean_intensity FROM m JOIN n ON n.image_id = m.image_id AND n.i = m.i GROUP BY 1, 2"
+)
+ORACLES["flood_select"] = (
+    f"WITH RECURSIVE {PX}, s AS (SELECT image_id, r AS sr, g AS sg, b AS sb FROM px WHERE x = 4 AND y = 4), m AS (SELECT image_id, y, x FROM px JOIN s USING (image_id) WHERE (r-sr)*(r-sr)::DOUBLE + (g-sg)*(g-sg)::DOUBLE + (b-sb)*(b-sb)::DOUBLE <= 9000.0*9000), "
+    "t AS (SELECT image_id, y, x FROM m WHERE x = 4 AND y = 4 UNION SELECT m.image_id, m.y, m.x FROM t JOIN m ON m.image_id = t.image_id AND abs(m.y-t.y) + abs(m.x-t.x) = 1) SELECT px.image_id, px.y, px.x, CASE WHEN t.x IS NULL THEN 0 ELSE 65535 END AS v FROM px LEFT JOIN t ON t.image_id = px.image_id AND t.y = px.y AND t.x = px.x"
+)
+_STEPS_TO = "greatest(abs(q.x-p.x), abs(q.y-p.y)) + (sqrt(2.0::DOUBLE) - 1)*least(abs(q.x-p.x), abs(q.y-p.y))"
+ORACLES["distance_transform"] = f"WITH {PX}, {_LIGHT}, d AS (SELECT p.image_id, p.y, p.x, CASE WHEN any_value(p.l) < 0.5 THEN 0.0::DOUBLE ELSE coalesce(min({_STEPS_TO}) FILTER (WHERE q.l < 0.5), 8.0) END AS d FROM l p JOIN l q ON q.image_id = p.image_id GROUP BY 1, 2, 3) SELECT image_id, y, x, CAST(floor(CASE WHEN max(d) OVER i > 0 THEN round(d/max(d) OVER i*65535, 6) ELSE 0 END + 0.5) AS INT) AS v FROM d WINDOW i AS (PARTITION BY image_id)"
+
 # --- the whole-image forms of operators whose pixel tables have SQL ------------------------------------------------------------------
 
 #: Values from sums in single precision are compared in steps of 256: the last digits of a sum are its order's.
