@@ -380,8 +380,10 @@ for _name, _f in {
     register(_name, lambda s, d, f=_f: f(rasters.rgb(s, d)).select(*KEY, *RGB))
 register("draw_rectangle", lambda s, d: drawing.paint(rasters.rgb(s, d), drawing.rectangle(s, 8, 8, 1.5, 2, 6, 5.25), (65535, 0, 0)).select(*KEY, *RGB), f"WITH {PX}, c AS (SELECT *, greatest(0, least(x+1, 6) - greatest(x, 1.5)) * greatest(0, least(y+1, 5.25) - greatest(y, 2)) AS t FROM px) SELECT image_id, y, x, {', '.join(f'CAST(floor({c}*(1-t)+t*{k}+0.5) AS INT) AS {c}' for c, k in zip(RGB, (65535, 0, 0), strict=True))} FROM c")
 register("draw_polygon", lambda s, d: drawing.polygon(s, 12, 9, [(1, 1), (11, 4), (2, 8)]), f"SELECT image_id, y, x, 1.0::DOUBLE AS coverage FROM {_GRID.format(h=9, w=12)} WHERE (CASE WHEN y+0.5 >= 1 AND y+0.5 < 4 AND x+0.5 < (y+0.5-1)*(10.0/3)+1 THEN 1 ELSE 0 END + CASE WHEN y+0.5 >= 4 AND y+0.5 < 8 AND x+0.5 < (y+0.5-4)*(-9.0/4)+11 THEN 1 ELSE 0 END + CASE WHEN y+0.5 >= 1 AND y+0.5 < 8 AND x+0.5 < (y+0.5-8)*(1.0/7)+2 THEN 1 ELSE 0 END) % 2 = 1")
-register("draw_ellipse", lambda s, d: drawing.ellipse(s, 20, 14, 9.5, 7, 6, 4))
-register("draw_line", lambda s, d: drawing.line(s, 20, 14, 2, 3, 17, 11, 1.5))
+_SOFT = "SELECT image_id, y, x, least(cov, 1) AS coverage FROM (SELECT image_id, y, x, {cov} AS cov FROM {grid}) WHERE cov > 0"
+register("draw_ellipse", lambda s, d: drawing.ellipse(s, 20, 14, 9.5, 7, 6, 4), _SOFT.format(cov="(1 - sqrt((x+0.5-9.5)*(x+0.5-9.5)/36.0::DOUBLE + (y+0.5-7)*(y+0.5-7)/16.0::DOUBLE))*4 + 0.5", grid=_GRID.format(h=14, w=20)))
+_ALONG = "least(greatest(((x+0.5-2)*15 + (y+0.5-3)*8)/289.0::DOUBLE, 0), 1)"
+register("draw_line", lambda s, d: drawing.line(s, 20, 14, 2, 3, 17, 11, 1.5), _SOFT.format(cov=f"1.25::DOUBLE - sqrt((x+0.5 - ({_ALONG}*15 + 2))*(x+0.5 - ({_ALONG}*15 + 2)) + (y+0.5 - ({_ALONG}*8 + 3))*(y+0.5 - ({_ALONG}*8 + 3)))", grid=_GRID.format(h=14, w=20)))
 
 # --- generators, expressions, pipelines, codecs -------------------------------------------------------------------------------------
 

@@ -149,6 +149,19 @@ ORACLES["apply_hald"] = f"WITH {PX} SELECT image_id, y, x, r, g, b FROM px"
 # an opaque overlay covers whatever its pattern is
 ORACLES["blend_dissolve"] = f"WITH {PX}, nx AS (SELECT image_id - 1 AS image_id, y, x, r AS r2, g AS g2, b AS b2 FROM px) SELECT image_id, y, x, {_each('coalesce({c}2, {c})')} FROM px LEFT JOIN nx USING (image_id, y, x)"
 
+_HUE = "CASE WHEN hi <= lo THEN 0.0 WHEN hi = r THEN ((g-b)/(hi-lo))/6 WHEN hi = g THEN ((b-r)/(hi-lo) + 2)/6 ELSE ((r-g)/(hi-lo) + 4)/6 END"
+_SECTOR = [("c", "x", "0", "0", "x", "c"), ("x", "c", "c", "x", "0", "0"), ("0", "0", "x", "c", "c", "x")]
+ORACLES["modulate"] = (
+    f"WITH {PX}, u AS (SELECT image_id, y AS py, x AS px_, r/65535.0::DOUBLE AS r, g/65535.0::DOUBLE AS g, b/65535.0::DOUBLE AS b FROM px), v AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM u), "
+    f"h AS (SELECT *, {_HUE} AS hu, CASE WHEN hi > lo THEN (hi-lo)/CASE WHEN (hi+lo)/2 <= 0.5 THEN hi+lo ELSE 2-hi-lo END ELSE 0 END AS sa, (hi+lo)/2 AS li FROM v), m AS (SELECT image_id, py, px_, (CASE WHEN hu < 0 THEN hu + 1 ELSE hu END)*6 AS k, least(greatest(sa*1.2::DOUBLE, 0), 1) AS s, least(greatest(li*1.1::DOUBLE, 0), 1) AS l FROM h), "
+    f"c AS (SELECT *, (1 - abs(l*2 - 1))*s AS c FROM m), d AS (SELECT *, c*(1 - abs(k % 2 - 1)) AS x FROM c) SELECT image_id, py AS y, px_ AS x, {', '.join('CAST(floor(round(least(greatest((' + 'CASE ' + ' '.join(f'WHEN k < {j + 1} THEN {v}' for j, v in enumerate(row[:5])) + f' ELSE {row[5]} END) + l - c/2, 0), 1)*65535, 6) + 0.5) AS INT) AS {n}' for n, row in zip(RGB, _SECTOR, strict=True))} FROM d"
+)
+# 8 x 8 is a power of two already; the quadrants are exchanged
+ORACLES["spectrum"] = (
+    f"WITH {PX}, w AS (SELECT image_id, v.k AS v, u.k AS u, sum({L709}/65535*cos(2*pi()*(u.k*x + v.k*y)/8)) AS re, sum({L709}/65535*sin(2*pi()*(u.k*x + v.k*y)/8)) AS im FROM px, (SELECT unnest(range(8)) AS k) v, (SELECT unnest(range(8)) AS k) u GROUP BY 1, 2, 3), m AS (SELECT image_id, (v + 4) % 8 AS y, (u + 4) % 8 AS x, sqrt(re*re + im*im) AS m FROM w), "
+    "s AS (SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(floor(round(ln(1 + m)/ln(1 + greatest(max(m) OVER (PARTITION BY image_id), 1e-12))*65535, 6) + 0.5) AS INT) AS v FROM m) SELECT image_id, y, x, v AS r, v AS g, v AS b FROM s"
+)
+
 # --- regions ------------------------------------------------------------------------------------------------------------------------
 
 _LIGHT = f"l AS (SELECT *, y*8 + x AS i, {L709}/65535.0::DOUBLE AS l FROM px)"

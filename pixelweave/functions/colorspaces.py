@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantum import clamp, from_unit, unit
+from .quantum import M, clamp, from_unit, q16, unit
 
 Triple = list[Column]
 
@@ -342,5 +342,6 @@ def restore(df: DataFrame, space: str) -> DataFrame:
 def modulate(df: DataFrame, brightness: float = 100, saturation: float = 100, hue_percent: float = 100) -> DataFrame:
     """HSL lightness and saturation in percent; hue turned by (percent - 100) * 1.8 degrees."""
     h, s, light = to_hsl(*[unit(c) for c in "rgb"])
-    df = df.withColumns({"s1": F.pmod(h + (hue_percent - 100) * 1.8 / 360, F.lit(1.0)), "s2": clamp(s * (saturation / 100), 0, 1), "s3": clamp(light * (brightness / 100), 0, 1)})
-    return restore(df, "hsl")
+    rgb = from_hsl(F.pmod(h + (hue_percent - 100) * 1.8 / 360, F.lit(1.0)), clamp(s * (saturation / 100), 0, 1), clamp(light * (brightness / 100), 0, 1))
+    # halves of a level are rounded up, whatever the last digits of the products
+    return df.withColumns({c: q16(F.round(clamp(v, 0, 1) * float(M), 6)) for c, v in zip("rgb", rgb, strict=True)})
