@@ -18,7 +18,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,16 +142,17 @@ def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, part int, k long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, k = TaskContext.get().partitionId(), None, 0
+        last, k = None, 0
         for batch in batches:
             places = []
             for g in batch.column("g").to_pylist():
                 k = k + 1 if g == last else 0
                 last = g
                 places.append(k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(places), pa.int32()), pa.array(places, pa.int64())], names=[*batch.schema.names, "part", "k"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=[*batch.schema.names, "k"])
 
-    dealt = rows.repartitionByRange("g", *order).sortWithinPartitions("g", *order).mapInArrow(count, schema)
+    # the number of the range, not of the task: ``materialize`` may let one task go through several ranges
+    dealt = rows.repartitionByRange("g", *order).sortWithinPartitions("g", *order).withColumn("part", F.spark_partition_id()).mapInArrow(count, schema)
     dealt = common.materialize(dealt, name)
     # one row for each source and task that holds some of it
     counts = common.materialize(dealt.groupBy("g", "part").agg(F.count("*").alias("c")), f"{name}-counts")

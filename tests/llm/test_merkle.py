@@ -95,6 +95,19 @@ def test_sources_of_all_heights(spark, tmp_path, n):
     assert sorted(query(spark, docs, tmp_path), key=key) == sorted(brute([r.asDict() for r in docs.collect()], tamper), key=key)
 
 
+def test_more_ranges_than_writers(spark, tmp_path):
+    """One task then writes several ranges, each with places of its own."""
+    docs = spark.createDataFrame([(i, f"T{i}", "en", "hot", 1, "x", "y", "z") for i in range(2000)], DOCS)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 9 * spark.sparkContext.defaultParallelism)
+    try:
+        assert sorted(query(spark, docs, tmp_path), key=key) == sorted(brute([r.asDict() for r in docs.collect()], tamper), key=key)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 @pytest.mark.parametrize("n,depth", [(1, 0), (5, 1), (16, 1), (17, 2), (255, 2), (256, 2), (1000, 3)])
 def test_traversal_keeps_few_nodes(n, depth):
     leaves = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
