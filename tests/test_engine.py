@@ -159,6 +159,21 @@ def test_hash_join_finds_all_pairs(spark):
     assert df.select(hashes.from_hex(hashes.to_hex(F.col("hash"))).alias("h"), "hash").where("h <> hash").count() == 0
 
 
+def sent_through_driver(df):
+    """The parts of a plan that are broadcast, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for k, line in enumerate(lines):
+        if line.lstrip(" :+-").startswith("BroadcastExchange"):
+            yield "\n".join(lines[k : next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))])
+
+
+@pytest.mark.parametrize("most", [3, 15])
+def test_looked_up_bands_are_not_sent_through_the_driver(spark, most):
+    df = spark.range(50).selectExpr("id as image_id", "xxhash64(id) as hash")
+    assert not any("Generate" in part for part in sent_through_driver(hashes.similar(df, most)))
+
+
 def test_seams_and_dither(image):
     assert array(kernels.seam_carve(image, 6, 9)).shape == (9, 6, 3)
     out = array(kernels.dither(image, "atkinson"))
