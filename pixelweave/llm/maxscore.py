@@ -33,6 +33,12 @@ def integers(w: np.ndarray) -> np.ndarray:
     return np.array([int(x) for x in w.flat], object).reshape(w.shape)
 
 
+def narrow(w: np.ndarray) -> np.ndarray:
+    """The same 64-bit integers in as few bytes as hold them all: shards and queries travel so."""
+    kinds = [k for k in (np.int8, np.int16, np.int32) if w.dtype != object and w.size and np.iinfo(k).min <= w.min() and w.max() <= np.iinfo(k).max]
+    return w.astype(kinds[0]) if kinds else w
+
+
 class Shard:
     """Postings of some documents, in blocks: for each term its documents (offsets in the block) and weights, and the weights' range."""
 
@@ -43,7 +49,7 @@ class Shard:
         self.blocks = []
         for a in range(0, len(ids), BLOCK):
             rows = order[a : a + BLOCK]
-            w = weights[rows]
+            w = narrow(weights[rows])
             postings = []
             for t in range(w.shape[1]):
                 at = np.flatnonzero(w[:, t])
@@ -54,8 +60,8 @@ class Shard:
     def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), ties to the smaller id, without the query's own row."""
         wide = query.dtype == object or (bool(self.blocks) and self.blocks[0][3].dtype == object)
-        query = query.astype(object) if wide else query
         kind = object if wide else np.int64
+        query = query.astype(kind)
         terms = np.flatnonzero(query)
         best: list[tuple[int, int]] = []
         least = None
@@ -110,7 +116,7 @@ def _index(key, table):
 
 
 def _pack(key, table):
-    content = pickle.dumps((table.column("row").to_numpy(), table.column("vec_id").to_numpy(), integers(matrix(table.column("w")))), protocol=5)
+    content = pickle.dumps((table.column("row").to_numpy(), table.column("vec_id").to_numpy(), narrow(integers(matrix(table.column("w"))))), protocol=5)
     return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "queries": pa.array([content], pa.binary())})
 
 
@@ -134,7 +140,7 @@ def search(rows: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> Dat
     any size are reckoned exactly. A query's candidates are all rows but its own: others of its id are candidates, and
     each row of a repeated query id is a query, with ranks of its own. Ties go to the smaller vec_id. Other columns are
     not read, whatever their names; an empty table, or one without other rows, gives no rows. A score among the k that
-    64 bits do not hold is an error, as in SQL. Runs some jobs when called. Queries meet all shards in blocks of QUERIES queries and SHARD rows.
+    64 bits do not hold is an error, as in SQL. Runs some jobs when called. Queries meet all shards in blocks of QUERIES queries and SHARD rows, by a shuffle in which only the queries are repeated.
     """
     spark = rows.sparkSession
     # the floor is 64-bit; a double of 2^53 or more is whole as it is
@@ -150,8 +156,10 @@ def search(rows: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> Dat
     key = place(shards, wide_shards)
     index = common.materialize(table.withColumn("shard", key).groupBy("shard").applyInArrow(_index, "shard long, content binary"), "maxscore-index")
     packed = common.materialize(asks.withColumn("part", place(parts, wide_parts, F.lit(1))).groupBy("part").applyInArrow(_pack, "part long, queries binary"), "maxscore-queries")
-    left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts + wide_parts - 1)))).withColumn("part", F.col("part").cast("long"))
-    right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards + wide_shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-    found = left.join(right, ["shard", "part"]).select("content", "queries").mapInArrow(_answer(k), "ask long, query_id long, vec_id long, score decimal(38,0)")
+    # every shard gets each part of the queries once; no side is small enough to be sent through the driver, whatever Spark expects of it
+    cells = 2 * (shards + wide_shards)
+    right = packed.select("queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards + wide_shards - 1).cast("long"))).alias("shard"))
+    met = index.repartition(cells, "shard").hint("merge").join(right.repartition(cells, "shard"), "shard")
+    found = met.select("content", "queries").mapInArrow(_answer(k), "ask long, query_id long, vec_id long, score decimal(38,0)")
     order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

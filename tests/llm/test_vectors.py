@@ -199,3 +199,16 @@ def test_rows_of_one_id_beyond_the_sample(spark):
     best = np.sort(d, 1)[:, :10].ravel()
     found = np.sort(np.array([r.score for r in got]))
     assert np.isclose(found, np.sort(best)).mean() > 0.9
+
+
+def test_repeated_queries_are_not_sent_through_the_driver(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(-i)]) for i in range(300)], "vec_id long, embedding array<double>")
+    plan = maxscore.search(rows, lambda v: v % 100 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
+def test_narrow_integers_are_the_same():
+    for v in ([], [0], [127, -128], [128], [-129], [32767, -32768], [32768], [2**31], [-(2**40)]):
+        w = np.array(v, np.int64)
+        assert (maxscore.narrow(w).astype(np.int64) == w).all()
+    assert maxscore.narrow(np.array([[3, -4]])).dtype == np.int8
