@@ -65,7 +65,7 @@ class _Merge:
 
     def add(self, p: np.ndarray, z: int, value: float | None) -> None:
         v = p[..., :3].astype(np.float64)
-        luma = (v @ LUMA) / M
+        luma = (v[..., 0] * LUMA[0] + v[..., 1] * LUMA[1] + v[..., 2] * LUMA[2]) / M
         weight = np.where(luma <= 0.5, 2 * luma, 2 * (1 - luma))[..., None]
         self.total = self.total + weight * (v / M / 2.0 ** (value or 0.0))
         self.weight = self.weight + weight
