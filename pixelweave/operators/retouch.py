@@ -39,7 +39,7 @@ def fill_from_edge(p: np.ndarray, hole: np.ndarray, radius: int = 5) -> np.ndarr
         k = weights[top - y + radius :, left - x + radius :][: out[near].shape[0], : out[near].shape[1]] * done[near]
         total = k.sum()
         if total > 0:
-            out[y, x] = np.clip((out[near] * k[..., None]).sum((0, 1)) / total + 0.5, 0, M).astype(np.int64)
+            out[y, x] = np.clip(np.round((out[near] * k[..., None]).sum((0, 1)) / total, 9) + 0.5, 0, M).astype(np.int64)
         done[y, x] = True
         for ny in range(max(y - 1, 0), min(y + 2, h)):
             for nx in range(max(x - 1, 0), min(x + 2, w)):
