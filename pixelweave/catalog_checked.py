@@ -207,7 +207,7 @@ def _pairs(measure, name: str):
     def run(spark, sf_dir: str):
         images = frames.from_pixels(rasters.rgb(spark, sf_dir))
         after = images.withColumn("image_id", F.col("image_id") - 1)
-        return measure(images, after).select("image_id", F.round(name, 5).alias(name))
+        return measure(images, after).select("image_id", F.round(F.round(name, 9), 5).alias(name))
 
     return run
 
