@@ -170,7 +170,7 @@ def flatten(layers: DataFrame, images: DataFrame, width: int, height: int) -> Da
     """
     rows = layers.select(*[c for c in COLUMNS])
     side = lambda name: images.select(F.col("image_id").alias(f"{name}_id"), F.struct(*frames.COLUMNS).alias(name))
-    rows = rows.join(side("image"), "image_id", "left").join(side("mask"), "mask_id", "left")
+    rows = rows.join(side("image").hint("merge"), "image_id", "left").join(side("mask").hint("merge"), "mask_id", "left")
     plain = {"mode": "over", "opacity": 1.0, "visible": True, "clipped": False, "dx": 0, "dy": 0, "depth": 0, "kind": "layer"}
 
     def array(row) -> np.ndarray | None:

@@ -90,6 +90,25 @@ def match(a: np.ndarray, b: np.ndarray, ratio: float = 0.75, block: int = 64) ->
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
+def matched(one: np.ndarray, two: np.ndarray, da: np.ndarray, db: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points of both images that belong together: of the matches with one descriptor of the second image the nearest, the first of equal ones."""
+    m = match(da, db, ratio)
+    m = m[np.lexsort((m[:, 0], m[:, 2]))]
+    m = m[np.sort(np.unique(m[:, 1], return_index=True)[1])]
+    m = m[np.argsort(m[:, 0])]
+    return one[m[:, 0]], two[m[:, 1]]
+
+
+def turned(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Whether three of four points, (n, 4, 2), turn the other way round in ``dst``: no two views of one side of a plane show that."""
+
+    def sides(p: np.ndarray) -> np.ndarray:
+        a, b, c = (p[:, [t[k] for t in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))]] for k in range(3))
+        return np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
+
+    return (sides(src) != sides(dst)).any(1)
+
+
 def homographies(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """(n, 8) homographies through four pairs of points each, (n, 4, 2); NaN where the points fix none."""
     unit = max(1.0, float(np.abs(src).max(initial=0)), float(np.abs(dst).max(initial=0)))
@@ -122,6 +141,7 @@ def estimate(src: np.ndarray, dst: np.ndarray, iterations: int = 1000, near: flo
     rng = np.random.default_rng(seed)
     samples = rng.random((iterations, len(src))).argpartition(3, axis=1)[:, :4] if len(src) <= 4096 else np.stack([rng.choice(len(src), 4, replace=False) for _ in range(iterations)])
     found = homographies(src[samples], dst[samples])
+    found[turned(src[samples], dst[samples])] = np.nan
     best, inliers = IDENTITY.copy(), np.zeros(len(src), bool)
     for at in range(0, iterations, 64):
         part = found[at : at + 64]
@@ -240,18 +260,21 @@ ALIGNED = "a long, b long, matches int, inliers int, homography array<double>"
 
 
 def align(pairs: DataFrame, found: DataFrame, ratio: float = 0.75, iterations: int = 1000, near: float = 3.0, seed: int = 42) -> DataFrame:
-    """a, b, matches, inliers and the homography from ``a`` to ``b`` (eight numbers, row by row) of each pair of image ids."""
+    """a, b, matches, inliers and the homography from ``a`` to ``b`` (eight numbers, row by row) of each pair of image ids.
+
+    Features of hundreds of points an image are shuffled by id, never sent through the driver.
+    """
     side = lambda s: found.select(F.col("image_id").alias(s), F.col("points").alias(f"p{s}"), F.col("descriptors").alias(f"d{s}"))
-    rows = pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).join(side("a"), "a").join(side("b"), "b")
+    rows = pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for a, b, pa_, da, pb, db in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "pa", "da", "pb", "db")], strict=True):
                 one, two = (np.frombuffer(v, "<i4").reshape(-1, 2).astype(float) for v in (pa_, pb))
-                m = match(np.frombuffer(da, "<u8").reshape(-1, 4), np.frombuffer(db, "<u8").reshape(-1, 4), ratio)
-                h, inliers = estimate(one[m[:, 0]], two[m[:, 1]], iterations, near, seed)
-                out.append((a, b, len(m), int(inliers.sum()), h.tolist()))
+                src, dst = matched(one, two, np.frombuffer(da, "<u8").reshape(-1, 4), np.frombuffer(db, "<u8").reshape(-1, 4), ratio)
+                h, inliers = estimate(src, dst, iterations, near, seed)
+                out.append((a, b, len(src), int(inliers.sum()), h.tolist()))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "matches", "inliers", "homography"])
@@ -260,17 +283,20 @@ def align(pairs: DataFrame, found: DataFrame, ratio: float = 0.75, iterations: i
 
 
 def stitch(pairs: DataFrame, images: DataFrame, most: int = 500, ratio: float = 0.75, levels: int = 4) -> DataFrame:
-    """One panorama for each pair (image_id: that of ``a``); a pair of fewer than four matches gives its first image."""
-    aligned = align(pairs, features(images, most), ratio)
+    """One panorama for each pair (image_id: that of ``a``); a pair of fewer than four matches gives its first image.
+
+    Images meet by two shuffles on ids, whatever their number; corners are found where the pair is, so that no image goes twice.
+    """
     side = lambda s: images.select(F.col("image_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in frames.COLUMNS[1:]])
-    rows = aligned.join(side("a"), "a").join(side("b"), "b")
+    rows = pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 one, two = (frames._array((batch.column(s)[k], *[batch.column(f"{s}_{c}")[k] for c in frames.COLUMNS[1:]])) for s in "ab")
-                h = np.array(batch.column("homography")[k].as_py())
-                yield frames._row(batch.column("a")[k].as_py(), panorama(one, two, h, levels) if batch.column("matches")[k].as_py() >= 4 else one)
+                found = [corners(p, most) for p in (one, two)]
+                src, dst = matched(*[c[:, :2] for c in found], *[describe(p, c) for p, c in zip((one, two), found, strict=True)], ratio)
+                yield frames._row(batch.column("a")[k].as_py(), panorama(one, two, estimate(src, dst)[0], levels) if len(src) >= 4 else one)
 
     return rows.mapInArrow(run, frames.SCHEMA)
 
@@ -279,7 +305,7 @@ def laplacian_blend(images: DataFrame, others: DataFrame, masks: DataFrame, leve
     """Images over others of the same id by a mask of it, in bands; white is the first."""
     mask = masks.select("image_id", *[F.col(c).alias(f"m_{c}") for c in frames.COLUMNS[1:]])
     over = others.select("image_id", *[F.col(c).alias(f"o_{c}") for c in frames.COLUMNS[1:]])
-    rows = images.select(*frames.COLUMNS).join(over, "image_id").join(mask, "image_id")
+    rows = images.select(*frames.COLUMNS).join(over.hint("merge"), "image_id").join(mask.hint("merge"), "image_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

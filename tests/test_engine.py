@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import blend, colorspaces, generators, point
 from pixelweave.functions.quantum import M, from_byte, to_byte
-from pixelweave.operators import compare, filters, geometry, hashes, histogram, kernels, layers, neighbourhood, regions
+from pixelweave.operators import compare, filters, frames, geometry, hashes, histogram, kernels, layers, neighbourhood, regions, stitching
 from pixelweave.plans import expression, steps
 from pixelweave.sources import codecs, rasters
 
@@ -174,6 +174,23 @@ def test_looked_up_bands_are_not_sent_through_the_driver(spark, most):
     assert not any("Generate" in part for part in sent_through_driver(hashes.similar(df, most)))
 
 
+def test_images_are_not_sent_through_the_driver(spark):
+    images = frames.made(spark, 4, 64, 64)
+    pairs = spark.range(3).selectExpr("id as a", "id + 1 as b")
+    for df in (stitching.stitch(pairs, images), stitching.align(pairs, stitching.features(images)), stitching.laplacian_blend(images, images, images), frames.mse(images, images), frames.combine(images, images, lambda p, q: p)):
+        assert not any("MapInArrow" in part for part in sent_through_driver(df))
+
+
+def test_matches_with_one_point_count_once_and_nothing_is_mirrored():
+    words = lambda *v: np.array([[x, 0, 0, 0] for x in v], np.uint64)
+    far = (1 << 40) - 1
+    one, two = np.array([[0.0, 0], [1, 0], [2, 0]]), np.array([[5.0, 5], [9, 9]])
+    src, dst = stitching.matched(one, two, words(1, 0, far << 20), words(0, far << 20), 0.75)
+    assert src.tolist() == [[1, 0], [2, 0]] and dst.tolist() == [[5, 5], [9, 9]]
+    square = np.array([[[0.0, 0], [9, 0], [9, 9], [0, 9]]])
+    assert stitching.turned(square, square * [-1, 1]).all() and not stitching.turned(square, square * 2 + 3).any()
+
+
 def test_seams_and_dither(image):
     assert array(kernels.seam_carve(image, 6, 9)).shape == (9, 6, 3)
     out = array(kernels.dither(image, "atkinson"))
