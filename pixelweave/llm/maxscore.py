@@ -110,6 +110,65 @@ class Shard:
         return best
 
 
+    def tops(self, queries: np.ndarray, owns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``top`` of many queries at once: place of the query, score and id, best first within a query.
+
+        Postings are gone through once a block for all queries: the essential terms of each add up in one matrix product, and
+        the others are probed, largest bound first, for all pairs of a query and a document that are still competitive.
+        """
+        if queries.dtype == object or (self.blocks and self.blocks[0][3].dtype == object):
+            rows = [(q, score, doc) for q, own in enumerate(owns.tolist()) for score, doc in self.top(queries[q], own, k)]
+            return tuple(np.array(c, kind) for c, kind in zip(list(zip(*rows, strict=True)) or [(), (), ()], (np.int64, object, np.int64), strict=True))
+        queries = queries.astype(np.int64)
+        n, terms = queries.shape
+        asker, best, docs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.iinfo(np.int64).min
+        least = np.full(n, none)
+        bounds = [np.maximum(queries * high.astype(np.int64), queries * low.astype(np.int64)) for _, _, _, high, low in self.blocks]
+        for b in sorted(range(len(self.blocks)), key=lambda b: -float(bounds[b].sum(dtype=np.float64))):
+            ids, owners, postings, high, low = self.blocks[b]
+            some = np.flatnonzero(bounds[b].sum(1) >= least)
+            if not len(some):
+                continue
+            bound, query, limit = bounds[b][some], queries[some], least[some]
+            order = np.argsort(bound, 1, kind="stable")
+            ranked = np.take_along_axis(bound, order, 1)
+            # below a term, the most that all terms of smaller bound add: bounds may be negative where every document has the term
+            rest = np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(ranked, 1)], 1)
+            essential = np.where(limit > 0, (np.cumsum(np.maximum(ranked, 0), 1) < limit[:, None]).sum(1), 0)
+            weights = np.zeros((terms, len(ids)), np.int64)
+            for t, (at, weight) in enumerate(postings):
+                weights[t, at] = weight
+            of_essential = query.copy()
+            np.put_along_axis(of_essential, order, np.where(np.arange(terms) < essential[:, None], 0, np.take_along_axis(query, order, 1)), 1)
+            # whole numbers below 2^53 add up exactly in doubles
+            exact = (np.abs(query) @ np.maximum(np.abs(high.astype(np.float64)), np.abs(low.astype(np.float64)))).max() < 2.0**52
+            score = (of_essential.astype(np.float64) @ weights.astype(np.float64)).astype(np.int64) if exact else of_essential @ weights
+            # a query without k documents so far wants this block's best k, beside its own row
+            if len(ids) > k and (limit == none).any():
+                fresh = limit == none
+                limit[fresh] = np.partition(score[fresh], len(ids) - k - 1, 1)[:, len(ids) - k - 1]
+            q, d = np.nonzero(score >= np.where(limit == none, none, limit - np.take_along_axis(rest, essential[:, None], 1)[:, 0])[:, None])
+            s, left = score[q, d], essential[q]
+            for _ in range(int(essential.max())):
+                go = np.flatnonzero(left > 0)
+                if not len(go):
+                    break
+                left[go] -= 1
+                t = order[q[go], left[go]]
+                s[go] += weights[t, d[go]] * query[q[go], t]
+                keep = s + rest[q, left] >= limit[q]
+                q, d, s, left = q[keep], d[keep], s[keep], left[keep]
+            keep = owners[d] != owns[some[q]]
+            asker, best, docs = (np.concatenate(x) for x in ((asker, some[q[keep]]), (best, s[keep]), (docs, ids[d[keep]])))
+            sort = np.lexsort((docs, -best, asker))
+            rank = np.arange(len(sort)) - np.searchsorted(asker[sort], asker[sort])
+            sort, rank = sort[rank < k], rank[rank < k]
+            asker, best, docs = asker[sort], best[sort], docs[sort]
+            least[asker[rank == k - 1]] = best[rank == k - 1]
+        return asker, best, docs
+
+
 def _index(key, table):
     content = pickle.dumps(Shard(table.column("vec_id").to_numpy(), integers(matrix(table.column("w"))), table.column("row").to_numpy()), protocol=5)
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
@@ -125,10 +184,9 @@ def _answer(k: int):
         for batch in batches:
             for content, packed in zip(batch.column("content"), batch.column("queries"), strict=True):
                 shard, (owns, asks, weights) = pickle.loads(content.as_py()), pickle.loads(packed.as_py())
-                rows = [(own, ask, doc, score) for own, ask, query in zip(owns.tolist(), asks.tolist(), weights, strict=True) for score, doc in shard.top(query, own, k)]
-                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                scores = pa.array([Decimal(s) for s in columns[3]], pa.decimal128(38, 0))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), scores], names=["ask", "query_id", "vec_id", "score"])
+                asker, scores, docs = shard.tops(weights, owns, k)
+                scores = pa.array([Decimal(s) for s in scores], pa.decimal128(38, 0)) if scores.dtype == object else pa.array(scores).cast(pa.decimal128(38, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(owns[asker]), pa.array(asks[asker]), pa.array(docs), scores], names=["ask", "query_id", "vec_id", "score"])
 
     return run
 
