@@ -31,8 +31,7 @@ def _sequence(kind: str):
         read = spark.read.format("image_frames").schema("path string, frame int, width int, channels int, delay_ms int, data binary").load(path)
         number = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long") * LENGTH + F.col("frame")
         whole = read.select(number.alias("image_id"), "width", "channels", "data", "delay_ms")
-        delays = whole.select("image_id", "delay_ms")
-        return codecs.to_pixels(whole).join(delays, "image_id").select("image_id", "y", "x", *RGB, "delay_ms")
+        return codecs.to_pixels(whole, ["delay_ms"]).select("image_id", "y", "x", *RGB, "delay_ms")
 
     return run
 

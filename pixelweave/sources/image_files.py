@@ -6,8 +6,8 @@
     spark.readStream.format("image_frames").option("filesPerBatch", 100).load(folder)
     rows.select("name", "content").write.format("image_frames").mode("append").save(folder)
 
-Files are listed once, where the query is planned, and packed into partitions of about ``splitBytes``; a larger TIFF file is
-shared out by pages. A task holds one file's bytes (TIFF: one page's or part's) and one image. Only the columns of the schema
+Files are listed once, where the query is planned, and packed into partitions of about ``splitBytes``, in which each counts
+OPEN_BYTES more than it has, so that many small files are shared out too; a larger TIFF file is shared out by pages. A task holds one file's bytes (TIFF: one page's or part's) and one image. Only the columns of the schema
 given to the reader are made: without ``data`` pages of TIFF files are not decoded. With the option ``pushFilters`` filters on
 ``frame`` are pushed down (spark.sql.python.filterPushdown.enabled must be set). A file that can't be read gives a row with its error.
 
@@ -35,6 +35,8 @@ from . import codecs, sequences
 SCHEMA = "path string, format string, frame int, x int, y int, width int, height int, channels int, delay_ms int, data binary, error string"
 KINDS = {"path": pa.string(), "format": pa.string(), "error": pa.string(), "data": pa.binary()} | dict.fromkeys(("frame", "x", "y", "width", "height", "channels", "delay_ms"), pa.int32())
 SPLIT_BYTES = 64 << 20
+#: What a file counts beside its bytes: images are packed many times tighter in files than their pixels are, so decoding small ones takes far longer than reading them.
+OPEN_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -100,7 +102,7 @@ class Files(InputPartition):
 
 
 def planned(files: list[tuple[str, int, int]], split: int) -> list[Files]:
-    """Files packed in order up to ``split`` bytes; a larger TIFF file is shared by as many partitions as it has splits."""
+    """Files packed in order up to ``split`` bytes, each with OPEN_BYTES on top; a larger TIFF file is shared by as many partitions as it has splits."""
     out: list[Files] = []
     held, size = [], 0
     for path, n, _ in files:
@@ -108,11 +110,11 @@ def planned(files: list[tuple[str, int, int]], split: int) -> list[Files]:
             ways = -(-n // split)
             out += [Files([path], (k, ways)) for k in range(ways)]
             continue
-        if held and size + n > split:
+        if held and size + n + OPEN_BYTES > split:
             out.append(Files(held))
             held, size = [], 0
         held.append(path)
-        size += n
+        size += n + OPEN_BYTES
     return out + ([Files(held)] if held else [])
 
 

@@ -376,3 +376,25 @@ def test_sink_and_stream(spark, tmp_path):
     with pytest.raises(Exception, match="name"):
         spark.createDataFrame([("../x", bytearray(b"y"))], "name string, content binary").write.format("image_frames").mode("append").save(into)
     assert not [n for n in os.listdir(f"{tmp_path}/out") if n.startswith("_")]
+
+
+def test_many_small_files_are_shared_out():
+    """Their decoding takes long whatever few bytes they have: partitions grow in number with the files, not in files."""
+    small = [(f"{k}.webp", 3000, 0) for k in range(2000)]
+    found = image_files.planned(small, image_files.SPLIT_BYTES)
+    assert len(found) > 40 and max(len(f.paths) for f in found) <= 40
+    assert [p for f in found for p in f.paths] == [p for p, _, _ in small]
+
+
+def test_kept_columns_follow_the_pixels(spark):
+    rows = spark.createDataFrame([(1, 2, 1, bytearray([1, 0, 2, 0]), 30, "a"), (2, 1, 1, bytearray([3, 0]), None, None)], "image_id long, width int, channels int, data binary, delay_ms int, name string")
+    got = codecs.to_pixels(rows, ["delay_ms", "name"])
+    assert got.columns == ["image_id", "y", "x", "r", "g", "b", "a", "delay_ms", "name"]
+    assert sorted((r.image_id, r.x, r.r, r.delay_ms, r.name) for r in got.collect()) == [(1, 0, 1, 30, "a"), (1, 1, 2, 30, "a"), (2, 0, 3, None, None)]
+
+
+def test_sequences_are_decoded_once(spark, sf):
+    from pixelweave import catalog_images
+
+    plan = catalog_images._sequence("webp")(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1 and "Join" not in plan
