@@ -63,6 +63,10 @@ def fill_along_edges(p: np.ndarray, hole: np.ndarray, radius: int = 5, rounds: i
     return v
 
 
+#: Pairs of places that are compared at once.
+COMPARED = 1 << 16
+
+
 class PatchField:
     """Of each masked pixel the place in the known part whose patch is most like its own, improved in turns.
 
@@ -72,6 +76,10 @@ class PatchField:
 
     def __init__(self, p: np.ndarray, hole: np.ndarray, size: int, seed: int):
         self.p, self.hole, self.half = p[..., :3].astype(np.float32), hole, size // 2
+        self.flat = self.p.reshape(-1, 3)
+        reach = np.arange(-self.half, self.half + 1)
+        #: (dy, dx) of a patch's places, row by row, as columns
+        self.around = np.repeat(reach, len(reach))[:, None], np.tile(reach, len(reach))[:, None]
         h, w = hole.shape
         ok = np.zeros(hole.shape, bool)
         ok[self.half : h - self.half, self.half : w - self.half] = True
@@ -88,15 +96,20 @@ class PatchField:
     def cost(self, now: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Mean squared difference of the patches about masked pixels ``of`` and places ``at``, inside the image."""
         h, w = self.hole.shape
-        total, n = np.zeros(len(of)), np.zeros(len(of))
-        for dy in range(-self.half, self.half + 1):
-            for dx in range(-self.half, self.half + 1):
-                sy, sx = self.y[of] + dy, self.x[of] + dx
-                ok = (sy >= 0) & (sy < h) & (sx >= 0) & (sx < w)
-                d = now[sy[ok], sx[ok]] - self.p[at[ok, 0] + dy, at[ok, 1] + dx]
-                total[ok] += (d * d).sum(1)
-                n[ok] += 1
-        return total / np.maximum(n, 1)
+        dy, dx = self.around
+        mean = np.empty(len(of))
+        step = max(1, COMPARED // dy.size)
+        for a in range(0, len(of), step):
+            some, place = of[a : a + step], at[a : a + step]
+            sy, sx = self.y[some] + dy, self.x[some] + dx
+            ok = (sy >= 0) & (sy < h) & (sx >= 0) & (sx < w)
+            d = now.reshape(-1, 3).take(np.where(ok, sy * w + sx, 0), 0) - self.flat.take((place[:, 0] + dy) * w + place[:, 1] + dx, 0)
+            square = np.where(ok, (d * d).sum(2), 0)
+            total = np.zeros(len(some))
+            for one in square:  # in the order of the places, whatever their number
+                total += one
+            mean[a : a + step] = total / np.maximum(ok.sum(0), 1)
+        return mean
 
     def turn(self, now: np.ndarray) -> None:
         everyone = np.arange(len(self.y))

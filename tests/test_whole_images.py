@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -387,3 +388,39 @@ def test_shear_moves_rows():
         assert np.array_equal(out[y, 3 + y - 3 : 3 + y - 3 + 5], p[y])
     soft = creative.sheared(np.full((4, 4, 3), 40000), 0.25)
     assert soft.shape == (4, 5, 3) and soft.max() <= 40000
+
+
+def test_patches_are_compared_at_all_places_together(monkeypatch):
+    """The costs of patches, as a sum over their places one by one gives them, in less than two thirds of its time."""
+    rng = np.random.default_rng(4)
+
+    def one_by_one(f, now, at, of):
+        h, w = f.hole.shape
+        total, n = np.zeros(len(of)), np.zeros(len(of))
+        for dy in range(-f.half, f.half + 1):
+            for dx in range(-f.half, f.half + 1):
+                sy, sx = f.y[of] + dy, f.x[of] + dx
+                ok = (sy >= 0) & (sy < h) & (sx >= 0) & (sx < w)
+                d = now[sy[ok], sx[ok]] - f.p[at[ok, 0] + dy, at[ok, 1] + dx]
+                total[ok] += (d * d).sum(1)
+                n[ok] += 1
+        return total / np.maximum(n, 1)
+
+    def seconds(f):
+        found = []
+        for _ in range(5):
+            start = time.perf_counter()
+            for _ in range(40):
+                f()
+            found.append(time.perf_counter() - start)
+        return min(found)
+
+    for side, size, compared in ((8, 3, 1 << 16), (8, 3, 10), (20, 9, 1 << 16), (20, 5, 100)):
+        monkeypatch.setattr(retouch, "COMPARED", compared)
+        p = rng.integers(0, 65536, (side, side, 3)).astype("<u2")
+        hole = rng.random((side, side)) < 0.3
+        f = retouch.PatchField(p, hole, size, 1)
+        now, of = p.astype(np.float32), np.arange(len(f.y))
+        assert f.ok and (f.cost(now, f.at, of) == one_by_one(f, now, f.at, of)).all()
+        if side == 8 and compared > 10:
+            assert seconds(lambda: f.cost(now, f.at, of)) < seconds(lambda: one_by_one(f, now, f.at, of)) * 2 / 3  # noqa: B023
