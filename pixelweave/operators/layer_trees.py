@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantum import M
+from ..sources.batches import follow
 from . import frames
 
 LAYERS = "doc_id long, z int, depth int, kind string, image_id long, mask_id long, mode string, opacity double, visible boolean, clipped boolean, dx int, dy int, adjustment string"
@@ -191,7 +192,7 @@ def flatten(layers: DataFrame, images: DataFrame, width: int, height: int) -> Da
             yield frames._row(doc, canvas.result())
 
     dealt = rows.select(*COLUMNS, "image", "mask").repartition("doc_id").sortWithinPartitions("doc_id", "z")
-    return dealt.mapInArrow(run, frames.SCHEMA)
+    return follow(dealt, dealt.columns, run, frames.SCHEMA)
 
 
 # --- changes of the table -----------------------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.batches import follow
 from . import frames
 from .frames import _bytes
 
@@ -112,7 +113,7 @@ def palettes(images: DataFrame, most: int) -> DataFrame:
                 found = median_cut(_bytes(frames._array(row)[..., :3]).reshape(-1, 3), most).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([row[0].as_py()] * len(found), pa.int64()), pa.array(np.arange(len(found), dtype=np.int32)), *[pa.array(found[:, c]) for c in range(3)]], names=["image_id", "k", "r", "g", "b"])
 
-    return images.select(*frames.COLUMNS).mapInArrow(run, "image_id long, k int, r int, g int, b int")
+    return follow(images, frames.COLUMNS, run, "image_id long, k int, r int, g int, b int")
 
 
 # --- one palette for a table --------------------------------------------------------------------------------------------------------
@@ -144,7 +145,7 @@ def cell_sums(images: DataFrame) -> DataFrame:
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(t[some]) for t in total]], names=["cell", "n", "r", "g", "b"])
 
-    parts = images.select(*frames.COLUMNS).mapInArrow(run, "cell int, n long, r long, g long, b long")
+    parts = follow(images, frames.COLUMNS, run, "cell int, n long, r long, g long, b long")
     return parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "r", "g", "b")])
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantum import M
+from ..sources.batches import follow
 from . import frames
 from .attention import window_sums
 
@@ -54,7 +55,8 @@ def fold(images: DataFrame, start: Callable[[], Fold], value: str | None = None)
         if state is not None:
             yield frames._row(key, state.result())
 
-    return rows.repartition("seq_id").sortWithinPartitions("seq_id", "z", "image_id").mapInArrow(run, frames.SCHEMA)
+    dealt = rows.repartition("seq_id").sortWithinPartitions("seq_id", "z", "image_id")
+    return follow(dealt, dealt.columns, run, frames.SCHEMA)
 
 
 class _Merge:

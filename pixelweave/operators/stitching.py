@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantum import M
+from ..sources.batches import follow
 from . import frames
 from .attention import window_sums
 from .selection import _shifted
@@ -253,7 +254,7 @@ def features(images: DataFrame, most: int = 500, patch: int = PATCH) -> DataFram
                 values = [row[0].as_py()], [len(points)], [points[:, :2].astype("<i4").tobytes()], [describe(p, points, patch).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["image_id", "n", "points", "descriptors"])
 
-    return images.select(*frames.COLUMNS).mapInArrow(run, FEATURES)
+    return follow(images, frames.COLUMNS, run, FEATURES)
 
 
 ALIGNED = "a long, b long, matches int, inliers int, homography array<double>"
@@ -298,7 +299,7 @@ def stitch(pairs: DataFrame, images: DataFrame, most: int = 500, ratio: float =
                 src, dst = matched(*[c[:, :2] for c in found], *[describe(p, c) for p, c in zip((one, two), found, strict=True)], ratio)
                 yield frames._row(batch.column("a")[k].as_py(), panorama(one, two, estimate(src, dst)[0], levels) if len(src) >= 4 else one)
 
-    return rows.mapInArrow(run, frames.SCHEMA)
+    return follow(rows, rows.columns, run, frames.SCHEMA)
 
 
 def laplacian_blend(images: DataFrame, others: DataFrame, masks: DataFrame, levels: int = 4) -> DataFrame:
@@ -315,4 +316,4 @@ def laplacian_blend(images: DataFrame, others: DataFrame, masks: DataFrame, leve
                 out = blend_bands(a[:h, :w], b[:h, :w], m[:h, :w, 0] / M, levels)
                 yield frames._row(batch.column("image_id")[k].as_py(), np.floor(np.clip(out, 0, M) + 0.5))
 
-    return rows.mapInArrow(run, frames.SCHEMA)
+    return follow(rows, rows.columns, run, frames.SCHEMA)
