@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..functions.quantum import M
+from ..sources.batches import follow
 from . import frames
 
 
@@ -80,4 +81,4 @@ def synthesize(images: DataFrame, width: int, height: int, radius: int = 3, cand
                 key = row[0].as_py()
                 yield frames._row(key, synthesized(frames._array(row), width, height, radius, candidates, [seed, key % (1 << 63)]))
 
-    return images.select(*frames.COLUMNS).mapInArrow(run, frames.SCHEMA)
+    return follow(images, frames.COLUMNS, run, frames.SCHEMA)

@@ -19,7 +19,7 @@ def python_steps(df) -> int:
 @pytest.mark.parametrize(
     ("name", "steps"),
     # files are made of groups, and their format is told by the JVM
-    [*[(f"codec_{k}", 2) for k in ("jpeg", "jpeg_progressive", "tensor", "fits")], *[(k, 1) for k in ("shear", "remap", "quantize_dithered", "liquify", "deskew")]],
+    [*[(f"codec_{k}", 2) for k in ("jpeg", "jpeg_progressive", "tensor", "fits")], *[(k, 1) for k in ("synthesize_texture", "shear", "remap", "quantize_dithered", "liquify", "deskew")]],
 )
 def test_a_query_has_few_python_steps(spark, sf, name, steps):
     assert python_steps(catalog.queries()[name](spark, sf)) == steps
