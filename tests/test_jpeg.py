@@ -1,5 +1,7 @@
 """JPEG files against Java's own reader and writer, which this library has no part in."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -106,3 +108,16 @@ def test_images_through_files(spark, sf):
     files = codecs.encode(image, "jpeg").selectExpr("image_id", "'x.jpg' AS path", "content")
     back = codecs.to_pixels(codecs.decode(files))
     assert compare.measures(image, back).first().psnr > 35
+
+
+def test_tables_of_a_file_are_small():
+    number, symbols, _ = jpeg.huffman({s: s + 1 for s in range(200)})
+    tracemalloc.start()
+    tables = [jpeg._lookup(number, symbols) for _ in range(8)]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(tables[0]) == 1 << 16
+    assert held < 8 << 18
+    # fewer symbols than codes are still an error
+    with pytest.raises(IndexError):
+        jpeg._lookup(number, symbols[:-1])
