@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,19 @@ def test_files_that_are_not_read_have_no_pixels(spark):
     pixels = codecs.to_pixels(read)
     assert python_steps(pixels) == 2
     assert sorted((r.image_id, r.n) for r in pixels.groupBy("image_id").agg(F.count("*").alias("n")).collect()) == [(0, 15), (1, 15), (3, 15)]
+
+
+def test_a_batch_of_files_is_not_held_decoded():
+    rng = np.random.default_rng(5)
+    images = [rng.integers(0, 65536, (300, 300, 3)).astype(np.int32) for _ in range(6)]
+    contents = [codecs.codec("tensor")[1](p) for p in images]
+    contents.insert(3, b"no file")
+    files = pa.RecordBatch.from_pydict({"image_id": list(range(7)), "path": ["x.tensor"] * 7, "format": ["tensor"] * 7, "content": contents})
+    decoded = list(codecs.decoded(iter([files])))
+    # two images pass the bound, so no batch has three
+    assert [len(b) for b in decoded] == [2, 3, 2]
+    rows = [r for b in decoded for r in b.to_pylist()]
+    assert [r["image_id"] for r in rows] == list(range(7))
+    assert [r["error"] is None for r in rows] == [k != 3 for k in range(7)]
+    for p, r in zip(images, [r for r in rows if r["error"] is None], strict=True):
+        assert (np.frombuffer(r["data"], "<u2").reshape(r["height"], r["width"], r["channels"]) == p).all()
