@@ -335,18 +335,20 @@ register("shared_palette", _shared)
 # --- stitching ----------------------------------------------------------------------------------------------------------------------
 
 
-def _overlapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Each image enlarged smoothly, as two views of 170 x 170, the second (its id and 2^40) 17 to the right and 13 down."""
-    large = frames.resize(_images(spark, sf_dir), 192, 192, "hermite")
-    first = frames.apply(large, lambda p: np.ascontiguousarray(p[:170, :170]))
-    second = frames.apply(large, lambda p: np.ascontiguousarray(p[13:183, 17:187])).withColumn("image_id", F.col("image_id") + (1 << 40))
-    pairs = large.select(F.col("image_id").alias("a"), (F.col("image_id") + (1 << 40)).alias("b"))
-    return first.unionByName(second), pairs
+_enlarged = frames.resized(192, 192, "hermite")
+#: Each image enlarged smoothly, as two views of 170 x 170, the second 17 to the right and 13 down.
+_VIEWS = (lambda p: np.ascontiguousarray(_enlarged(p)[:170, :170]), lambda p: np.ascontiguousarray(_enlarged(p)[13:183, 17:187]))
+_SECOND = 1 << 40
+
+
+def _view_pairs(images: DataFrame) -> DataFrame:
+    return images.select(F.col("image_id").alias("a"), (F.col("image_id") + _SECOND).alias("b"))
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images, pairs = _overlapping(spark, sf_dir)
-    found = stitching.align(pairs, stitching.features(images))
+    images = _images(spark, sf_dir)
+    first, second = (frames.apply(images, view) for view in _VIEWS)
+    found = stitching.align(_view_pairs(images), stitching.features(first.unionByName(second.withColumn("image_id", F.col("image_id") + _SECOND))))
     h = lambda k: F.round(F.element_at("homography", k + 1), 2) + F.lit(0.0)
     return found.select(F.col("a").alias("image_id"), *[h(k).alias(f"h{k}") for k in range(8)], (F.col("inliers") >= 4).alias("agreed"))
 
@@ -356,16 +358,18 @@ register("align_views", _aligned, f"WITH {PX} SELECT DISTINCT image_id, 1.0::DOU
 
 def _stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each panorama of 187 x 183 is from the enlarged image (both views show it as it is), at most, in steps of 256."""
-    images, pairs = _overlapping(spark, sf_dir)
-    whole = frames.apply(frames.resize(_images(spark, sf_dir), 192, 192, "hermite"), lambda p: np.ascontiguousarray(p[:183, :187]))
+    images = _images(spark, sf_dir)
     seen = np.zeros((183, 187), bool)
     seen[:170, :170] = seen[13:, 17:] = True
 
-    def away(p: np.ndarray, q: np.ndarray) -> dict[str, float]:
+    def away(p: np.ndarray, small: np.ndarray) -> dict[str, float]:
+        q = _enlarged(small)[:183, :187]
         same = p.shape == q.shape
         return {"width": p.shape[1], "height": p.shape[0], "away": np.abs(p.astype(float) - q)[seen].max() // 256 if same else -1.0}
 
-    return frames.measure(stitching.stitch(pairs, images), whole, away, ["width", "height", "away"])
+    # images are shuffled as they are stored, 576 times smaller than enlarged
+    stitched = stitching.stitch(_view_pairs(images), images.unionByName(images.withColumn("image_id", F.col("image_id") + _SECOND)), views=_VIEWS, beside=True)
+    return frames.measure_rows(stitched, away, ["width", "height", "away"])
 
 
 register("stitch", _stitched, f"WITH {PX} SELECT DISTINCT image_id, 187.0::DOUBLE AS width, 183.0::DOUBLE AS height, 0.0::DOUBLE AS away FROM px")

@@ -7,7 +7,7 @@ and bit counts of bounded blocks, so a task holds one pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from .stacks import LUMA
 PATCH, BITS = 31, 256
 IDENTITY = np.array([1.0, 0, 0, 0, 1, 0, 0, 0])
 
+View = Callable[[np.ndarray], np.ndarray]
+
 
 def luma(p: np.ndarray) -> np.ndarray:
     return p[..., :3].astype(np.float64) @ LUMA
@@ -295,23 +297,32 @@ def align(pairs: DataFrame, found: DataFrame, ratio: float = 0.75, iterations: i
     return rows.select("a", "b", "pa", "da", "pb", "db").mapInArrow(run, ALIGNED)
 
 
-def stitch(pairs: DataFrame, images: DataFrame, most: int = 500, ratio: float = 0.75, levels: int = 4) -> DataFrame:
+def stitch(pairs: DataFrame, images: DataFrame, most: int = 500, ratio: float = 0.75, levels: int = 4, views: tuple[View, View] | None = None, beside: bool = False) -> DataFrame:
     """One panorama for each pair (image_id: that of ``a``); a pair of fewer than four matches gives its first image.
 
     Images meet by two shuffles on ids, whatever their number; corners are found where the pair is, so that no image goes twice.
+    ``views`` make the first and the second view of a pair from the stored images where the pair is: what is shuffled is the stored
+    image, not an enlarged one. With ``beside`` the stored image of ``a`` stays in the row (``frames.BOTH``), for ``frames.measure_rows``.
     """
     side = lambda s: images.select(F.col("image_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in frames.COLUMNS[1:]])
     rows = pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    if views:  # few bytes, much work: tasks by number, which Spark doesn't draw together by their bytes
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 one, two = (frames._array((batch.column(s)[k], *[batch.column(f"{s}_{c}")[k] for c in frames.COLUMNS[1:]])) for s in "ab")
+                if views:
+                    one, two = (np.ascontiguousarray(view(p)) for view, p in zip(views, (one, two), strict=True))
                 found = [corners(p, most) for p in (one, two)]
                 src, dst = matched(*[c[:, :2] for c in found], *[describe(p, c) for p, c in zip((one, two), found, strict=True)], ratio)
-                yield frames._row(batch.column("a")[k].as_py(), panorama(one, two, estimate(src, dst)[0], levels) if len(src) >= 4 else one)
+                out = frames._row(batch.column("a")[k].as_py(), panorama(one, two, estimate(src, dst)[0], levels) if len(src) >= 4 else one)
+                if beside:
+                    out = pa.RecordBatch.from_arrays([*out.columns, *[batch.column(f"a_{c}").slice(k, 1) for c in frames.COLUMNS[1:]]], names=frames.BOTH)
+                yield out
 
-    return follow(rows, rows.columns, run, frames.SCHEMA)
+    return follow(rows, rows.columns, run, frames.BOTH_SCHEMA if beside else frames.SCHEMA)
 
 
 def laplacian_blend(images: DataFrame, others: DataFrame, masks: DataFrame, levels: int = 4) -> DataFrame:
